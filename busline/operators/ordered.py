@@ -130,6 +130,54 @@ def carry_last(df, keys, order, value: Column, out: str, span: int = SPAN) -> Da
     return out_df.select(*df.columns, F.coalesce("_seen", "_carry").alias(out))
 
 
+def islands(
+    df: DataFrame, keys: list[str], order: str, value: str, starts, out: str, pos: str, span: int = SPAN
+) -> DataFrame:
+    """Number the runs of each group and the rows inside each run, both from 0.
+
+    ``starts(previous, current)`` says whether a row opens a run.  Runs are cut
+    inside the spans; whether the first row of a span opens one, and how many
+    rows and runs lie before it, comes from the span summary.
+    """
+    d = df.withColumn(_B, span_of(order, span))
+    by_span = W.partitionBy(*keys, _B).orderBy(order)
+    running = by_span.rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.select("*", F.lag(value).over(by_span).alias("_pv"), F.row_number().over(by_span).alias("_rn"))
+    opens = F.when(F.col("_rn") > 1, starts(F.col("_pv"), F.col(value))).otherwise(F.lit(False))
+    d = d.withColumn("_new", opens)
+    d = d.select(
+        "*",
+        F.sum(F.col("_new").cast("long")).over(running).alias("_run"),
+        F.max(F.when(F.col("_new"), F.col("_rn"))).over(running).alias("_at"),
+    )
+    s = d.groupBy(*keys, _B).agg(
+        F.min_by(value, order).alias("_first"),
+        F.max_by(value, order).alias("_last"),
+        F.max("_run").alias("_runs"),
+        F.max("_at").alias("_tail_at"),
+        F.count("*").alias("_rows"),
+    )
+    over = W.partitionBy(*keys).orderBy(_B)
+    before = over.rowsBetween(W.unboundedPreceding, -1)
+    upto = over.rowsBetween(W.unboundedPreceding, W.currentRow)
+    s = s.select("*", F.lag("_last").over(over).alias("_pl"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_ro"))
+    s = s.withColumn("_head", F.when(F.col("_pl").isNull(), True).otherwise(starts(F.col("_pl"), F.col("_first"))))
+    head_at = F.when(F.col("_head"), F.col("_ro") + 1)
+    tail = F.coalesce(F.col("_ro") + F.col("_tail_at"), head_at)
+    s = s.select(
+        *keys,
+        _B,
+        "_ro",
+        (F.sum(F.col("_head").cast("long")).over(upto) + F.coalesce(F.sum("_runs").over(before), F.lit(0)) - 1).alias("_off"),
+        F.coalesce(head_at, F.last(tail, ignorenulls=True).over(before)).alias("_start"),
+    )
+    j = d.join(s, [*keys, _B])
+    start = F.coalesce(F.col("_at") + F.col("_ro"), F.col("_start"))
+    return j.select(
+        *df.columns, (F.col("_run") + F.col("_off")).alias(out), (F.col("_rn") + F.col("_ro") - start).alias(pos)
+    )
+
+
 def tie_table(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
     """One row per distinct value: partial aggregation shrinks ties before the shuffle."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(

@@ -273,10 +273,8 @@ def histogram(d: DataFrame, col: str, edges: list[float], by: list[str] = ()) ->
     x = F.col(col).cast("double")
     inside = d.where(x.between(edges[0], edges[-1])).select(*by, x.alias("_x"))
     k = len(edges) - 1
-    from pyspark.ml.feature import Bucketizer
-
-    b = Bucketizer(splits=list(map(float, edges)), inputCol="_x", outputCol="bin").transform(inside)
-    c = b.groupBy(*by, F.col("bin").cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    b = O.with_value_span(inside, "_x", [float(e) for e in edges[1:-1]])
+    c = b.groupBy(*by, F.col("_span").cast("int").alias("bin")).agg(F.count("*").alias("n"))
     groups = d.select(*by).distinct() if by else d.sparkSession.range(1).select()
     grid = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("bin"))
     c = grid.join(c, [*by, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from busline.functions.text import payload_matches
 from busline.operators import ordered as O
 from busline.schema import EPISODE_GAP, SPAN, SPLIT_RATIOS
+from busline.session import landed
 
 SRC = ["source_file"]
 ROW = "row_in_source"
@@ -28,21 +29,12 @@ def with_elapsed(df, by=SRC, order=ROW, ts="timestamp") -> DataFrame:
 
 def with_segments(df, by=SRC, order=ROW, ts="timestamp", span=SPAN) -> DataFrame:
     """Segment number (a clock step back starts a new one) and row index inside it."""
-    d = O.previous(df, list(by), order, {"_pt": ts}, span)
-    d = d.withColumn("_one", F.lit(1)).withColumn("_brk", F.coalesce(F.col(ts) < F.col("_pt"), F.lit(False)).cast("long"))
-    d = d.withColumn("_span", O.span_of(order, span))
-    d = O.prefix_sums(d, list(by), [order], {"_n": "_one", "segment_id": "_brk"})
-    starts = d.groupBy(*by, "segment_id").agg(F.min("_n").alias("_n0"))
-    d = d.join(starts, [*by, "segment_id"]).withColumn("row_in_segment", F.col("_n") - F.col("_n0"))
-    return d.select(*df.columns, "segment_id", "row_in_segment")
+    return O.islands(df, list(by), order, ts, lambda prev, cur: cur < prev, "segment_id", "row_in_segment", span)
 
 
 def segment_summary(seg, by=SRC, order=ROW) -> DataFrame:
     """Rows, last line and end reason of each segment."""
-    g = seg.groupBy(*by, "segment_id").agg(F.count("*").alias("rows"), F.max(order).alias("last_row"))
-    nxt = F.lead("last_row").over(W.partitionBy(*by).orderBy("segment_id"))
-    start = seg.groupBy(*by, "segment_id").agg(F.min(order).alias("_s"))
-    g = g.join(start, [*by, "segment_id"])
+    g = seg.groupBy(*by, "segment_id").agg(F.count("*").alias("rows"), F.max(order).alias("last_row"), F.min(order).alias("_s"))
     follower = F.lead("_s").over(W.partitionBy(*by).orderBy("segment_id"))
     g = g.withColumn("_f", follower)
     reason = F.when(F.col("_f").isNotNull(), "timestamp_decrease").otherwise("file_end")
@@ -53,11 +45,9 @@ def segment_summary(seg, by=SRC, order=ROW) -> DataFrame:
 def attack_episodes(df, gap=EPISODE_GAP, by=SRC, order=ROW, ts="timestamp", span=SPAN) -> DataFrame:
     """Runs of attack frames; more than ``gap`` seconds of silence starts a new run."""
     a = df.where(F.col("binary_label_id") == 1).select(*by, order, ts)
-    a = O.previous(a, list(by), order, {"_pt": ts}, span)
-    new = F.col("_pt").isNull() | (F.col(ts) - F.col("_pt") > gap)
-    a = O.running_count(a, list(by), order, new, "_e", span)
+    a = O.islands(a, list(by), order, ts, lambda prev, cur: cur - prev > gap, "episode_index", "_p", span)
     return (
-        a.groupBy(*by, (F.col("_e") - 1).alias("episode_index"))
+        a.groupBy(*by, "episode_index")
         .agg(
             F.min(order).alias("start_row"),
             F.max(order).alias("end_row"),
@@ -107,7 +97,7 @@ def assign_split_fraction(frames, ratios=SPLIT_RATIOS, by=SRC, order=ROW) -> Dat
 
 def split_frames(frames, gap=EPISODE_GAP, ratios=SPLIT_RATIOS, by=SRC, order=ROW, span=SPAN) -> DataFrame:
     """Episode split where a source has attacks, fraction split elsewhere."""
-    ep = split_episodes(attack_episodes(frames, gap, by, order, span=span), ratios, by)
+    ep = landed(split_episodes(attack_episodes(frames, gap, by, order, span=span), ratios, by), "episodes")
     d = assign_split_asof(frames, ep, by, order, span).withColumnRenamed("split", "_ep")
     d = assign_split_fraction(d, ratios, by, order)
     return d.withColumn("split", F.coalesce("_ep", "split")).drop("_ep")

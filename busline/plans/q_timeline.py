@@ -23,12 +23,12 @@ FROM lab WHERE binary_label_id = 1)) GROUP BY source_file, e"""
 CTES["eps"] = """
 SELECT *, CASE WHEN episode_index < floor(count(*) OVER (PARTITION BY source_file) * 0.6::DOUBLE) THEN 'train'
  WHEN episode_index < floor(count(*) OVER (PARTITION BY source_file) * (0.6::DOUBLE + 0.2::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM ep"""
-CTES["asof"] = """
+CTES["asf"] = """
 SELECT f.*, coalesce(e.split, g.split) AS split FROM fr f
 ASOF LEFT JOIN eps e ON f.source_file = e.source_file AND f.row_in_source >= e.start_row
 LEFT JOIN (SELECT source_file, split FROM eps WHERE episode_index = 0) g ON f.source_file = g.source_file"""
 CTES["spl"] = """
-SELECT * EXCLUDE (split), coalesce(split, CASE WHEN row_in_source / n_src < 0.6 THEN 'train' WHEN row_in_source / n_src < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END) AS split FROM asof"""
+SELECT * EXCLUDE (split), coalesce(split, CASE WHEN row_in_source / n_src < 0.6 THEN 'train' WHEN row_in_source / n_src < 0.6::DOUBLE + 0.2::DOUBLE THEN 'val' ELSE 'test' END) AS split FROM asf"""
 
 
 @query("c1_delta_t", "SELECT event_id, round(delta_t, 6) AS delta_t FROM fr")
@@ -66,7 +66,7 @@ def c6(t: Tables):
     return TL.split_episodes(TL.attack_episodes(t.labelled, GAP)).select("source_file", "episode_index", "split")
 
 
-@query("c7_split_asof", "SELECT event_id, split FROM asof")
+@query("c7_split_asof", "SELECT event_id, split FROM asf")
 def c7(t: Tables):
     ep = TL.split_episodes(TL.attack_episodes(t.labelled, GAP))
     return TL.assign_split_asof(t.labelled, ep).select("event_id", "split")

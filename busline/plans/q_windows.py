@@ -47,15 +47,6 @@ SELECT split, source_file, w, max(binary_label_id) AS y, sum((attack_type_id = 1
 SELECT *, unnest(generate_series(greatest(0, CAST(ceil((gi - 127) / 32.0) AS BIGINT)), least(gi // 32, (gn - 128) // 32))) AS w FROM sg WHERE gn >= 128) GROUP BY ALL"""
 
 
-def split_groups(t: Tables):
-    """Frames with their row index inside (split, source)."""
-    from busline.operators import ordered as O
-
-    d = TL.split_frames(t.labelled, GAP)
-    d = O.ranked(d, ["split", "source_file"], ["row_in_source"], O.span_of("row_in_source"), "_r")
-    return d.withColumn("idx", F.col("_r") - 1).drop("_r")
-
-
 @query("d5_window_stats", """
 WITH k AS (SELECT *, greatest(c1, c2, c3, c4) AS m, CASE WHEN y = 0 THEN 0 WHEN c1 = greatest(c1,c2,c3,c4) THEN 1 WHEN c2 = greatest(c1,c2,c3,c4) THEN 2 WHEN c3 = greatest(c1,c2,c3,c4) THEN 3 ELSE 4 END AS ty FROM sw),
 g AS (SELECT split, source_file, count(*) AS gn FROM spl GROUP BY ALL),
@@ -67,7 +58,7 @@ SELECT split, coalesce(source_file, 'ALL') AS source_file, count(*) AS groups_se
  sum(type_1)::BIGINT AS type_1, sum(type_2)::BIGINT AS type_2, sum(type_3)::BIGINT AS type_3, sum(type_4)::BIGINT AS type_4
 FROM p GROUP BY GROUPING SETS ((split), (split, source_file))""")
 def d5(t: Tables):
-    return WN.window_stats(split_groups(t), ["split", "source_file"]).drop("type_5")
+    return WN.window_stats(t.split, ["split", "source_file"]).drop("type_5")
 
 
 @query("d6_boundary_exposure", """

@@ -14,16 +14,17 @@ SQL: dict[str, str] = {}
 
 
 def _needs(body: str) -> list[str]:
-    """Shared CTEs a statement mentions, with what they mention, in order of definition."""
-    found: set[str] = set()
-    todo = [body]
-    while todo:
-        text = todo.pop()
+    """Shared CTEs a statement mentions, each after those it builds on."""
+    order: list[str] = []
+
+    def visit(text: str, open_: tuple[str, ...]) -> None:
         for name in CTES:
-            if name not in found and re.search(rf"\b{name}\b", text):
-                found.add(name)
-                todo.append(CTES[name])
-    return [n for n in CTES if n in found]
+            if name not in order and name not in open_ and re.search(rf"\b{name}\b", text):
+                visit(CTES[name], (*open_, name))
+                order.append(name)
+
+    visit(body, ())
+    return order
 
 
 def with_ctes(body: str) -> str:
@@ -43,7 +44,7 @@ def query(name: str, sql: str | None = None):
     def add(fn: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
         if sql is not None:
-            SQL[name] = with_ctes(sql)
+            SQL[name] = sql
         return fn
 
     return add

@@ -15,12 +15,21 @@ from busline.operators import ordered as O
 from busline.operators import timeline as TL
 from busline.operators import windows as WN
 from busline.schema import BYTES
+from busline.session import scratch_dir
 
 GAP = 6 * 3600.0  # events lie minutes apart, so an episode gap is counted in hours
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """Reads the parquet tables of one folder and derives the views."""
+    """Reads the parquet tables of one folder and derives the views.
+
+    Frames, splits and windows are stage tables: they are written once per
+    session to the shared folder and read back by each query, so that a plan
+    does not repeat the stages before it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -29,8 +38,19 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def stored(self, name: str, build) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _STORED:
+            path = scratch_dir(self.spark, name)
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def raw(self) -> DataFrame:
+        return self.stored("raw", self._raw)
+
+    def _raw(self) -> DataFrame:
         """Events as messages: source, row in the source, microseconds, id, dlc, payload hex."""
         us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
         e = F.col("event_id")
@@ -70,7 +90,18 @@ class Tables:
 
     @cached_property
     def frames(self) -> DataFrame:
-        return TL.with_delta_t(self.labelled)
+        return self.stored("frames", lambda: TL.with_delta_t(self.labelled))
+
+    @cached_property
+    def split(self) -> DataFrame:
+        """Frames with their split and their row index inside (split, source)."""
+
+        def build():
+            d = TL.split_frames(self.frames, GAP)
+            d = O.ranked(d, ["split", "source_file"], ["row_in_source"], O.span_of("row_in_source"), "_r")
+            return d.withColumn("idx", F.col("_r") - 1).drop("_r")
+
+        return self.stored("split", build)
 
     @cached_property
     def wf(self) -> DataFrame:
@@ -80,7 +111,7 @@ class Tables:
     @cached_property
     def windows(self) -> DataFrame:
         """Window table with frame arrays, labels and provenance."""
-        return WN.count_windows(self.frames, ["source_file"])
+        return self.stored("windows", lambda: WN.count_windows(self.frames, ["source_file"]))
 
     @cached_property
     def labels_w(self) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from busline.functions import text as X
 from busline.operators.timeline import with_segments
 from busline.schema import BYTES, FRAME_SCHEMA, HEX_CSV_SCHEMA
+from busline.session import landed
 
 REJECT_PREFIX = 160
 
@@ -175,12 +176,12 @@ def _named(d: DataFrame) -> DataFrame:
 
 
 def read_attack_csv(spark, paths, scenario="DoS", dataset="csv") -> tuple[DataFrame, DataFrame]:
-    good, bad = split_rejects(parse_attack_csv(_named(read_lines(spark, paths))))
+    good, bad = split_rejects(landed(parse_attack_csv(_named(read_lines(spark, paths))), "parsed"))
     return to_frames(good, dataset, F.lit("csv"), F.lit(scenario)), bad
 
 
 def read_tagged_txt(spark, paths, mode="txt_normal", scenario="Normal", dataset="txt") -> tuple[DataFrame, DataFrame]:
-    good, bad = split_rejects(parse_tagged_txt(_named(read_lines(spark, paths))))
+    good, bad = split_rejects(landed(parse_tagged_txt(_named(read_lines(spark, paths))), "parsed"))
     return to_frames(good, dataset, F.lit(mode), F.lit(scenario)), bad
 
 
@@ -223,7 +224,7 @@ def scan_sources(spark: SparkSession, spec: list[tuple], dataset="logs") -> Data
         table = spark.createDataFrame(rows, SPEC_SCHEMA).drop("path")
         good, _ = split_rejects(parsers[mode](lines.join(F.broadcast(table), "source_file")))
         parts.append(good)
-    good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    good = landed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "parsed")
     return to_frames(good, dataset, F.col("mode"), F.col("scenario"))
 
 
