@@ -23,8 +23,14 @@ DT_FLOOR = 1e-5
 
 
 def explode_frames(w: DataFrame, keys: list[str], frames="frames") -> DataFrame:
-    """Window rows to one row per frame."""
-    return w.select(*keys, F.posexplode(frames).alias("pos", "_f")).select(*keys, "pos", "_f.*")
+    """Window rows to one row per frame.
+
+    ``inline`` yields the fields as columns; exploding structs would let the
+    optimizer pull every field out of the array on its own and evaluate a
+    computed array once per field.
+    """
+    numbered = F.transform(frames, lambda f, i: F.struct(i.alias("pos"), *[f[c].alias(c) for c in CHANNELS]))
+    return w.select(*keys, F.inline(numbered))
 
 
 def implode_frames(f: DataFrame, keys: list[str], channels=CHANNELS) -> DataFrame:
@@ -369,7 +375,7 @@ def target_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:
 
     The id set is at most all 11-bit ids, so it fits one array.
     """
-    ids = normals.select(F.explode("frames.can_id").cast("int").alias("i")).where(F.col("i").between(0, MAX_ID))
+    ids = normals.select(F.explode("frames.can_id").alias("i")).select(F.col("i").cast("int").alias("i")).where(F.col("i").between(0, MAX_ID))
     support = ids.agg(F.sort_array(F.collect_set("i")).alias("ids")).scalar()
     d = draw_bases(normals.drop("y_binary", "y_attack_type"), n, seed, key)
     full = F.sequence(F.lit(0), F.lit(MAX_ID))
@@ -501,7 +507,9 @@ def factorial_checks(w: DataFrame, key="wkey") -> DataFrame:
     is set beside its level-0 partner by one equi join on the remaining cell
     coordinates and the frame position (spacing: the rank in the burst).
     """
-    f = w.select(key, "attack", "stratum", "p", "s", "d", "latent_start", F.posexplode(F.arrays_zip("frames", "base_frames")).alias("pos", "z"))
+    both_frames = F.zip_with("frames", "base_frames", lambda x, y: F.struct(x.alias("frames"), y.alias("base_frames")))
+    numbered = F.transform(both_frames, lambda z, i: F.struct(i.alias("pos"), z.alias("z")))
+    f = w.select(key, "attack", "stratum", "p", "s", "d", "latent_start", F.inline(numbered))
     off = F.col("pos") - F.col("latent_start")
     step = F.col("s") + 2
     hit = (off >= 0) & (off % step == 0) & (off < step * MASK)

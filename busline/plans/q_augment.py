@@ -204,8 +204,8 @@ def h13(t: Tables):
 @query("h14_factorial_windows")
 def h14(t: Tables):
     w = A.factorial_windows(normals(t).select("wkey", "frames"), SEED)
-    f = w.select("attack", "stratum", "p", "s", "d", F.explode("frames").alias("f"))
-    return f.groupBy("attack", "stratum", "p", "s", "d").agg(F.count("*").alias("frames"), F.round(F.avg("f.data0"), 4).alias("data0"), F.round(F.avg("f.data7"), 4).alias("data7"))
+    f = A.explode_frames(w, ["attack", "stratum", "p", "s", "d"])
+    return f.groupBy("attack", "stratum", "p", "s", "d").agg(F.count("*").alias("frames"), F.round(F.avg("data0"), 4).alias("data0"), F.round(F.avg("data7"), 4).alias("data7"))
 
 
 @query("h15_factorial_checks", """
