@@ -201,9 +201,13 @@ def h13(t: Tables):
     return normals(t).select("wkey", A.child_key(SEED, 1, F.col("wkey"), 3, 2).alias("key"))
 
 
+def factorial(t: Tables):
+    return t.stored("factorial", lambda: A.factorial_windows(normals(t).select("wkey", "frames"), SEED))
+
+
 @query("h14_factorial_windows")
 def h14(t: Tables):
-    w = A.factorial_windows(normals(t).select("wkey", "frames"), SEED)
+    w = factorial(t)
     f = A.explode_frames(w, ["attack", "stratum", "p", "s", "d"])
     return f.groupBy("attack", "stratum", "p", "s", "d").agg(F.count("*").alias("frames"), F.round(F.avg("data0"), 4).alias("data0"), F.round(F.avg("data7"), 4).alias("data7"))
 
@@ -213,7 +217,7 @@ WITH n AS (SELECT count(*) AS n FROM nw), a AS (SELECT unnest(['gear', 'rpm']) A
 SELECT attack, c.chk AS "check", (n * c.f)::BIGINT AS frames, 0::BIGINT AS violations FROM n, a,
  (SELECT unnest(['untouched', 'stratum', 'p', 'd', 's']) AS chk, unnest([16 * 96, 8 * 32, 8 * 32, 8 * 32, 8 * 32]) AS f) c""")
 def h15(t: Tables):
-    d = A.factorial_checks(A.factorial_windows(normals(t).select("wkey", "frames"), SEED))
+    d = A.factorial_checks(factorial(t))
     return d.select("attack", "check", "frames", "violations")
 
 

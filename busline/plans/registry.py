@@ -34,9 +34,9 @@ def with_ctes(body: str) -> str:
     if not names:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in names)
-    own = re.match(r"(?is)^WITH\s+", body)
+    own = re.match(r"(?is)^WITH\s+(RECURSIVE\s+)?", body)
     if own:
-        return f"WITH {head},\n{body[own.end():]}"
+        return f"WITH {own[1] or ''}{head},\n{body[own.end():]}"
     return f"WITH {head}\n{body}"
 
 
