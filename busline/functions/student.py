@@ -1,42 +1,89 @@
-"""Student-t and binomial functions as column expressions.
+"""Student-t and binomial functions as columns.
 
-For whole degrees of freedom the t distribution has a closed finite series, so
-no Python worker is needed.
+Spark has no t distribution, so quantile and tail are Arrow batches over an
+incomplete-beta routine.  They run on result tables: each distinct pair of
+arguments in a batch is computed once.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def t_within(t, df) -> Column:
-    """P(|T| <= |t|) with a whole number of degrees of freedom."""
-    t, df = F.abs(_c(t).cast("double")), _c(df).cast("int")
-    th = F.atan(t / F.sqrt(df.cast("double")))
-    cos, sin = F.cos(th), F.sin(th)
-    odd = df % 2 == 1
-    steps = F.when(odd, F.floor((df - 3) / 2)).otherwise(F.floor((df - 2) / 2)).cast("int")
-    idx = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    first = F.when(odd, F.when(df == 1, 0.0).otherwise(cos)).otherwise(1.0)
-
-    def add(acc, j):
-        ratio = F.when(odd, 2.0 * j / (2.0 * j + 1)).otherwise((2.0 * j - 1) / (2.0 * j))
-        term = acc["term"] * ratio * cos * cos
-        return F.struct(term.alias("term"), (acc["total"] + term).alias("total"))
-
-    total = F.aggregate(idx, F.struct(first.alias("term"), first.alias("total")), add)["total"]
-    return F.when(odd, (th + sin * total) * (2 / math.pi)).otherwise(sin * total)
+def _beta_fraction(a, b, x, steps=400):
+    """Continued fraction of the incomplete beta function (modified Lentz)."""
+    tiny = 1e-300
+    c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)
+    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+    h = d.copy()
+    for m in range(1, steps):
+        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + num * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + num / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * d * c
+        if np.all(np.abs(d * c - 1) < 1e-15):
+            break
+    return h
+
+
+def _both_tails(t, df):
+    """P(|T| > |t|)."""
+    a, b = df / 2, np.full_like(df, 0.5)
+    x = df / (df + t * t)
+    log_b = np.array([math.lgamma(p) + math.lgamma(q) - math.lgamma(p + q) for p, q in zip(a, b)])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = np.exp(a * np.log(x) + b * np.log1p(-x) - log_b)
+        low = front * _beta_fraction(a, b, x) / a
+        high = 1 - front * _beta_fraction(b, a, 1 - x) / b
+    return np.where(t == 0, 1.0, np.where(x < (a + 1) / (a + b + 2), low, high))
+
+
+def _quantile(p, df):
+    goal = 2 * np.minimum(p, 1 - p)
+    lo, hi = np.zeros_like(p), np.full_like(p, 1e6)
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        far = _both_tails(mid, df) < goal
+        hi, lo = np.where(far, mid, hi), np.where(far, lo, mid)
+    q = (lo + hi) / 2
+    return np.where(p >= 0.5, q, -q)
+
+
+def _batched(fn, x: pd.Series, y: pd.Series) -> pd.Series:
+    """``fn`` on the distinct pairs of a batch; NULL in, NULL out."""
+    d = pd.DataFrame({"x": x.astype(float).to_numpy(), "y": y.astype(float).to_numpy()})
+    u = d.dropna().drop_duplicates()
+    if not len(u):
+        return pd.Series(np.full(len(d), np.nan))
+    u = u.assign(v=fn(u["x"].to_numpy(), u["y"].to_numpy()))
+    return d.merge(u, on=["x", "y"], how="left")["v"]
+
+
+@F.pandas_udf(T.DoubleType())
+def _tails_udf(t: pd.Series, df: pd.Series) -> pd.Series:
+    return _batched(_both_tails, t, df)
+
+
+@F.pandas_udf(T.DoubleType())
+def _quantile_udf(p: pd.Series, df: pd.Series) -> pd.Series:
+    return _batched(_quantile, p, df)
 
 
 def t_two_sided(t, df) -> Column:
-    return F.greatest(F.lit(1.0) - t_within(t, df), F.lit(0.0))
+    """P(|T| > |t|)."""
+    return _tails_udf(F.abs(_c(t).cast("double")), _c(df).cast("double"))
 
 
 def t_sf(t, df) -> Column:
@@ -46,19 +93,8 @@ def t_sf(t, df) -> Column:
 
 
 def t_ppf(p, df) -> Column:
-    """Quantile by bisection."""
-    p = _c(p).cast("double")
-    goal = F.abs(2 * p - 1)
-
-    def halve(acc, _):
-        mid = (acc["lo"] + acc["hi"]) / 2
-        low = t_within(mid, df) < goal
-        return F.struct(F.when(low, mid).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1e4).alias("hi"))
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(64)), start, halve)
-    q = (end["lo"] + end["hi"]) / 2
-    return F.when(p >= 0.5, q).otherwise(-q)
+    """Quantile."""
+    return _quantile_udf(_c(p).cast("double"), _c(df).cast("double"))
 
 
 def sign_p(k, n) -> Column:

@@ -92,6 +92,13 @@ def decompose(per_construction: DataFrame, effect="P", rule="rule", placebo="pla
     return j.withColumn("residual", closed)
 
 
+def _two_levels(d: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Summary with the 90 and the 95 % interval, from one pass."""
+    t = ST.t_interval(d, by, value, {"90": 0.90, "95": 0.95})
+    ends = [F.col(f"ci_{a}{c}").alias(f"{b}{c}") for c in ("90", "95") for a, b in (("low", "lo"), ("high", "hi"))]
+    return t.select(*by, "n", "mean", "sd", "positive", "negative", *ends)
+
+
 def equivalence(d: DataFrame, by: list[str], value="theta", key="construction", margin: float | Column = MARGIN, b=10000, seed=20260725) -> DataFrame:
     """A equivalent, B material, C heterogeneous, D inconclusive.
 
@@ -100,15 +107,13 @@ def equivalence(d: DataFrame, by: list[str], value="theta", key="construction",
     """
     m = margin if isinstance(margin, Column) else F.lit(float(margin))
     d = d.withColumn("_m", m)
-    n90, n95 = ST.t_interval(d, by, value, 0.90), ST.t_interval(d, by, value, 0.95)
-    x = n90.select(*by, "n", "mean", "sd", "positive", "negative", F.col("ci_low").alias("lo90"), F.col("ci_high").alias("hi90"))
-    y = n95.select(*by, F.col("ci_low").alias("lo95"), F.col("ci_high").alias("hi95"))
+    x = _two_levels(d, by, value)
     v = F.col(value)
     units = d.groupBy(*by).agg(F.count_if(v > F.col("_m")).alias("above"), F.count_if(v < -F.col("_m")).alias("below"), F.max("_m").alias("margin"))
     bm = ST.bootstrap_means(d, by, value, key, b, seed)
     q = lambda p: F.percentile("boot_mean", F.lit(p))
     boot = bm.groupBy(*by).agg(q(0.05).alias("b_lo90"), q(0.95).alias("b_hi90"), q(0.025).alias("b_lo95"), q(0.975).alias("b_hi95"))
-    j = reduce(lambda a, c: a.join(c, by), [x, y, units, boot])
+    j = reduce(lambda a, c: a.join(c, by), [x, units, boot])
     mm = F.col("margin")
     inside = lambda lo, hi: (F.col(lo) >= -mm) & (F.col(hi) <= mm)
     beyond = lambda lo, hi: (F.col(lo) > mm) | (F.col(hi) < -mm)
@@ -324,9 +329,7 @@ def sparse_curves(d: DataFrame, value: str) -> DataFrame:
     th = th.select(F.lit("rule_minus_placebo").alias("arm"), "construction", "k", F.lit("theta").alias("quantity"), (F.col("rule") - F.col("placebo")).alias("value"))
     both = long.unionByName(th)
     by = ["arm", "k", "quantity"]
-    a = ST.t_interval(both, by, "value", 0.90).select(*by, "n", "mean", "sd", "positive", "negative", F.col("ci_low").alias("lo90"), F.col("ci_high").alias("hi90"))
-    b = ST.t_interval(both, by, "value", 0.95).select(*by, F.col("ci_low").alias("lo95"), F.col("ci_high").alias("hi95"))
-    return a.join(b, by)
+    return _two_levels(both, by, "value")
 
 
 def hierarchical(per_construction: DataFrame, family: list[str], anchor, value="value") -> DataFrame:

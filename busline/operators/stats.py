@@ -96,7 +96,8 @@ def burst_mismatch(a: DataFrame, b: DataFrame, cls: str, count: str) -> DataFram
 def t_interval(d: DataFrame, by: list[str], value: str, conf=0.95) -> DataFrame:
     """Mean, SD, extremes, t interval, sign counts, t and p; equal values are marked as degenerate.
 
-    A degenerate group has a point interval and p = 1 for bookkeeping.
+    A degenerate group has a point interval and p = 1 for bookkeeping.  ``conf``
+    may map name suffixes to levels for several intervals in one pass.
     """
     v = F.col(value)
     g = d.groupBy(*by).agg(
@@ -106,10 +107,16 @@ def t_interval(d: DataFrame, by: list[str], value: str, conf=0.95) -> DataFrame:
     flat = (F.col("min") == F.col("max")) | (F.col("n") < 2)
     df = F.greatest(F.col("n") - 1, F.lit(1))
     se = F.col("sd") / F.sqrt(F.col("n").cast("double"))
-    half = F.when(flat, 0.0).otherwise(t_ppf(F.lit(0.5 + conf / 2), df) * se)
+    levels = conf if isinstance(conf, dict) else {"": conf}
+    names = g.columns
+    g = g.select("*", *[t_ppf(F.lit(0.5 + level / 2), df).alias(f"_q{s}") for s, level in levels.items()])
+    ends = []
+    for suffix in levels:
+        half = F.when(flat, 0.0).otherwise(F.col(f"_q{suffix}") * se)
+        ends += [(F.col("mean") - half).alias(f"ci_low{suffix}"), (F.col("mean") + half).alias(f"ci_high{suffix}")]
     t = F.when(~flat, F.try_divide(F.col("mean"), se))
     return g.select(
-        "*", (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"), t.alias("t"),
+        *names, *ends, t.alias("t"),
         F.when(flat, 1.0).otherwise(t_two_sided(t, df)).alias("p"), flat.alias("degenerate"),
         F.when(flat, "degenerate_variance").otherwise("complete").alias("status"),
     )

@@ -140,14 +140,15 @@ def label_by_interval(frames, meta) -> DataFrame:
     return d.withColumn("attack", F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def split_files(meta, k=5, path="path") -> DataFrame:
+def split_files(meta, k=5, path="path", prefix=32) -> DataFrame:
     """Every k-th file of the sorted list is calibration.
 
-    ``meta`` is the file list: one row per log file, not per frame.
+    The list is ranked in spans of equal leading characters, whose order is
+    the order of the paths.
     """
-    r = F.row_number().over(W.orderBy(path))
-    role = F.when((r - 1) % k == 0, "calibration").otherwise("evaluation")
-    return meta.withColumn("role", role)
+    d = O.ranked(meta, [], [path], F.left(path, F.lit(prefix)), "_r")
+    role = F.when((F.col("_r") - 1) % k == 0, "calibration").otherwise("evaluation")
+    return d.withColumn("role", role).drop("_r")
 
 
 def timing_profile(frames, max_gap=10.0, by=SRC, order=ROW, ts="timestamp", span=SPAN) -> DataFrame:

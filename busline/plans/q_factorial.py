@@ -51,13 +51,17 @@ def p4(t: str) -> str:
 CTES["eth"] = f"""SELECT *, least(1.0, max(a) OVER (PARTITION BY arm ORDER BY p, effect)) AS holm_p FROM (SELECT *, (7 - row_number() OVER (PARTITION BY arm ORDER BY p, effect) + 1) * p AS a FROM (SELECT *, {p4('t')} AS p FROM ets))"""
 
 
-def decomposition(t: Tables):
-    _, per = FA.effects(FA.augmentation_delta(scenario(t), "v"))
-    return FA.decompose(per)
+def deltas(t: Tables):
+    return t.stored("deltas", lambda: FA.augmentation_delta(scenario(t), "v"))
 
 
 def per_construction(t: Tables):
-    return FA.effects(FA.augmentation_delta(scenario(t), "v"))[1]
+    return t.stored("effects", lambda: FA.effects(deltas(t))[1])
+
+
+def decomposition(t: Tables):
+    """Stage table: the decomposition is published before it is judged."""
+    return t.stored("decomposition", lambda: FA.decompose(per_construction(t)))
 
 
 @query("l1_factor_contrast", f"WITH e AS ({_eff_sql('cell8', 'construction, arm', 'v')} UNION ALL SELECT construction, arm, 'corner', sum(v) FILTER (p + s + d = 3) - sum(v) FILTER (p + s + d = 0) FROM cell8 GROUP BY ALL) SELECT construction, arm, effect, round(value, 6) AS value FROM e")
@@ -156,7 +160,7 @@ CTES["grd"] = "SELECT arm, effect, construction, seed, value, avg(value) OVER (P
 
 @query("l13_crossed_dispersion", "SELECT arm, effect, count(*) AS cells, round(sum((r - g) * (r - g)), 8) AS ss_row, round(sum((c - g) * (c - g)), 8) AS ss_col, round(sum((value - r - c + g) * (value - r - c + g)), 8) AS ss_interaction, round(sum((value - g) * (value - g)), 8) AS ss_total, round(sum((r - g) * (r - g)) / sum((value - g) * (value - g)), 6) AS share_row FROM grd GROUP BY ALL")
 def l13(t: Tables):
-    per, _ = FA.effects(FA.augmentation_delta(scenario(t), "v"))
+    per, _ = FA.effects(deltas(t))
     d = FA.crossed_dispersion(per, ["arm", "effect"], "construction", "seed", "value")
     return d.select("arm", "effect", "cells", *[F.round(c, 8).alias(c) for c in ("ss_row", "ss_col", "ss_interaction", "ss_total")], F.round("share_row", 6).alias("share_row"))
 
@@ -174,11 +178,14 @@ JOIN (SELECT arm, effect, avg(value) AS v FROM ({_eff_sql('adr', 'arm, construct
 
 
 def attack_effects(t: Tables):
-    parts = []
-    for a in ("gear", "rpm"):
-        _, per = FA.effects(FA.augmentation_delta(scenario(t), "v", attack=a))
-        parts.append(per.withColumn("attack", F.lit(a)))
-    return parts[0].unionByName(parts[1])
+    def build():
+        parts = []
+        for a in ("gear", "rpm"):
+            _, per = FA.effects(FA.augmentation_delta(scenario(t), "v", attack=a))
+            parts.append(per.withColumn("attack", F.lit(a)))
+        return parts[0].unionByName(parts[1])
+
+    return t.stored("attack_effects", build)
 
 
 @query("l15_verdict", """WITH r AS (SELECT *, NOT degenerate AND holm_p < 0.6 AND ((mean > 0 AND pos >= 3) OR (mean < 0 AND neg >= 3)) AS res FROM eth), o AS (SELECT DISTINCT arm FROM het WHERE opposed)
@@ -293,7 +300,7 @@ SELECT e.effect, e.sg AS exact_sign, b.sg AS binary_sign, e.res AS exact_resolve
  CASE WHEN e.res AND b.res AND e.sg = b.sg THEN 'endpoint-directionally-concordant' WHEN e.res AND b.res AND e.sg = -b.sg THEN 'endpoint-discordant' WHEN e.res THEN 'exact-only' WHEN b.res THEN 'binary-only' ELSE 'neither-endpoint-resolved' END AS endpoint_relation
 FROM r e JOIN r b ON e.effect = b.effect AND b.arm = 'placebo' JOIN pc ON pc.effect = e.effect JOIN het h ON h.effect = e.effect AND h.arm = 'rule' WHERE e.arm = 'rule'""")
 def l26(t: Tables):
-    per, unit = FA.effects(FA.augmentation_delta(scenario(t), "v"))
+    per, unit = FA.effects(deltas(t))
     e = FA.secondary(unit, FA.EFFECTS, ["arm"])
     pipes = per.where("arm = 'rule'").groupBy("effect", "seed").agg(F.avg("value").alias("value"))
     att = attack_effects(t).where("arm = 'rule'").groupBy("effect", "attack").agg(F.avg("value").alias("mean"))
