@@ -178,8 +178,9 @@ def boundary_exposure(counts: DataFrame, ks=(1, 2, 4, 8, 16), value="events") ->
 def window_features(frames: DataFrame, by, size=WINDOW, stride=STRIDE, idx="idx", channels=CHANNELS) -> DataFrame:
     """Mean, population SD, minimum, maximum and last minus first per channel.
 
-    Panes have equal size, so the window variance is the mean pane variance
-    plus the variance of the pane means.
+    Panes of a whole window are full, so the window variance is the mean pane
+    variance plus the variance of the pane means, and its first and last frame
+    are the first of the first and the last of the last pane.
     """
     pane = []
     for c in channels:
@@ -188,10 +189,11 @@ def window_features(frames: DataFrame, by, size=WINDOW, stride=STRIDE, idx="idx"
             F.var_pop(c).alias(f"{c}_v"),
             F.min(c).alias(f"{c}_lo"),
             F.max(c).alias(f"{c}_hi"),
-            F.min_by(c, idx).alias(f"{c}_f"),
-            F.max_by(c, idx).alias(f"{c}_l"),
+            F.max(F.when(F.col(idx) % stride == 0, F.col(c))).alias(f"{c}_f"),
+            F.max(F.when(F.col(idx) % stride == stride - 1, F.col(c))).alias(f"{c}_l"),
         ]
     p = pane_table(frames, by, pane, stride, idx)
+    at_start, at_end = F.col("pane") == F.col("w"), F.col("pane") == F.col("w") + size // stride - 1
     win = []
     for c in channels:
         win += [
@@ -199,7 +201,7 @@ def window_features(frames: DataFrame, by, size=WINDOW, stride=STRIDE, idx="idx"
             F.sqrt(F.avg(f"{c}_v") + F.var_pop(f"{c}_m")).alias(f"{c}_std"),
             F.min(f"{c}_lo").alias(f"{c}_min"),
             F.max(f"{c}_hi").alias(f"{c}_max"),
-            (F.max_by(f"{c}_l", "pane") - F.min_by(f"{c}_f", "pane")).alias(f"{c}_delta"),
+            (F.max(F.when(at_end, F.col(f"{c}_l"))) - F.max(F.when(at_start, F.col(f"{c}_f")))).alias(f"{c}_delta"),
         ]
     return from_panes(p, by, win, size, stride)
 
