@@ -249,7 +249,7 @@ def _noise(seed, key, i, half, stream="noise"):
     return draw_int(2 * half + 1, seed, key, stream, i) - half
 
 
-def _finish(d: DataFrame, scenarios, cols=()) -> DataFrame:
+def _finish(d: DataFrame) -> DataFrame:
     ids = {"Normal": 0, **{v: k for k, v in CLASSES.items()}}
     d = d.withColumn("attack_type", F.coalesce("attack_type", F.lit("Normal")))
     y = F.coalesce(*[F.when(F.col("attack_type") == n, F.lit(i)) for n, i in ids.items()])
@@ -258,11 +258,11 @@ def _finish(d: DataFrame, scenarios, cols=()) -> DataFrame:
     )
 
 
-def _assemble(d: DataFrame, rules: dict[str, object], scenarios) -> DataFrame:
+def _assemble(d: DataFrame, rules: dict[str, object]) -> DataFrame:
     parts = [d.where("slice = 0").withColumn("injection_count", F.lit(0).cast("long"))]
     for name, rule in rules.items():
         parts.append(rewrite(d.where(F.col("attack_type") == name), rule))
-    return _finish(_union(parts), scenarios)
+    return _finish(_union(parts))
 
 
 def variant_set(normals: DataFrame, n_normal: int, n_attack: int, seed: int, key="wkey") -> DataFrame:
@@ -277,7 +277,6 @@ def variant_set(normals: DataFrame, n_normal: int, n_attack: int, seed: int, key
     d = _fixed_burst(d, seed, key)
     zero = {b: F.lit(0) for b in BYTES}
     byte = lambda i, j: draw_int(256, seed, k, "byte", i, j)
-    floor = lambda f: F.greatest(f["delta_t"], F.lit(DT_FLOOR))
     rules = {
         "DoS": lambda f, i: {"can_id": F.lit(0), "dlc": F.lit(8), **zero, "delta_t": F.greatest(f["delta_t"] * 0.25, F.lit(DT_FLOOR))},
         "Fuzzy": lambda f, i: {
@@ -295,7 +294,7 @@ def variant_set(normals: DataFrame, n_normal: int, n_attack: int, seed: int, key
             "data3": clip(f["data3"] + _noise(seed, k, i, 30)),
         },
     }
-    return _assemble(d, rules, fam)
+    return _assemble(d, rules)
 
 
 # Burst length, step and amplitude of the low, medium and high severity per family.
@@ -335,7 +334,7 @@ def severity_set(normals: DataFrame, n_normal: int, n_each: int, seed: int, grid
             "data5": clip(f["data5"] + _noise(seed, k, i, 15) * a), "delta_t": floor(f),
         },
     }
-    return _assemble(d, rules, grid)
+    return _assemble(d, rules)
 
 
 def _id_grid(length: int, step: int) -> list[dict]:
@@ -355,7 +354,7 @@ def id_shift_set(normals: DataFrame, n_normal: int, n_each: int, seed: int, key=
         "Gear": lambda f, i: {**base(f), "data2": _ramp(i), "data3": F.lit(255.0) - _ramp(i), "data4": clip(f["data4"] + _noise(seed, k, i, 8))},
         "RPM": lambda f, i: {**base(f), "data2": _wave(i), "data3": _ramp(i), "data5": clip(f["data5"] + _noise(seed, k, i, 12))},
     }
-    return _assemble(d, rules, grid)
+    return _assemble(d, rules)
 
 
 def payload_shift_set(normals: DataFrame, n_normal: int, n_each: int, seed: int, key="wkey") -> DataFrame:
@@ -367,7 +366,7 @@ def payload_shift_set(normals: DataFrame, n_normal: int, n_each: int, seed: int,
         "Gear": lambda f, i: {**base(f), "data6": _ramp(i), "data7": clip(F.lit(255.0) - _ramp(i) + _noise(seed, k, i, 10))},
         "RPM": lambda f, i: {**base(f), "data4": (_order(i) * 37) % 256, "data6": _wave(i, 3.0), "data7": clip(_ramp(i) + _noise(seed, k, i, 12))},
     }
-    return _assemble(d, rules, grid)
+    return _assemble(d, rules)
 
 
 def target_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from busline.functions.student import sign_p, t_ppf
+from busline.functions.student import sign_p
 from busline.operators import stats as ST
 
 EFFECTS = ["P", "S", "D", "PS", "PD", "SD", "PSD"]

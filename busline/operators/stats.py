@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from busline.functions.keyed import draw_unit
-from busline.functions.student import sign_p, t_ppf, t_two_sided
+from busline.functions.student import t_ppf, t_two_sided
 from busline.operators import ordered as O
 from busline.operators import sampling as S
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busline.functions.keyed import draw_key
 from busline.operators import augment as A
 from busline.plans.registry import query
 from busline.plans.views import CTES, Tables

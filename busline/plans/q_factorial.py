@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from busline.operators import factorial as FA
-from busline.operators import stats as ST
 from busline.plans.q_profile import r6
 from busline.plans.registry import query
 from busline.plans.views import CTES, Tables

@@ -10,11 +10,10 @@ from busline.operators import metrics as ME
 from busline.operators import profile as P
 from busline.operators import timeline as TL
 from busline.operators import windows as WN
-from busline.plans.q_augment import cycled_pool, normals, pool_frames
+from busline.plans.q_augment import cycled_pool, pool_frames
 from busline.plans.q_profile import r6, unit_windows
 from busline.plans.registry import query
 from busline.plans.views import CTES, Tables
-from busline.schema import CHANNELS
 
 SRC = ["source_file"]
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busline.functions import text as X
 from busline.operators import profile as P
 from busline.operators import timeline as TL
 from busline.operators import windows as WN
@@ -199,7 +198,6 @@ def _cnt(col, src="dom"):
 
 
 _EDGES = [i * 0.1 for i in range(80)]
-_LOGBIN = "floor(log10(greatest(delta_t, 0) + 1e-8) * 10 + 1e-9)"
 
 
 @query("e14_normal_shift", f"""

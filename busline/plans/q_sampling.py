@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from busline.operators import sampling as S
 from busline.operators import timeline as TL
-from busline.plans.q_sources import VEHICLES, files
+from busline.plans.q_sources import files
 from busline.plans.registry import query
 from busline.plans.views import CTES, Tables
-from busline.sources import logs as L
 
 SEED = 7
 # Orders as labelled rows: class 0..5 (class 4 rare), binary label, key.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,6 @@ from busline.functions import text as X
 from busline.operators import masks as M
 from busline.operators import profile as P
 from busline.operators import timeline as TL
-from busline.operators import windows as WN
 from busline.plans.registry import query
 from busline.plans.views import Tables
 from busline.schema import BYTES

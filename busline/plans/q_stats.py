@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from busline.functions import student as SD
-from busline.operators import metrics as ME
 from busline.operators import stats as ST
 from busline.plans.q_augment import cycled_pool
 from busline.plans.q_metrics import scored

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from busline.functions import text as X
 from busline.operators import timeline as TL
 from busline.plans.q_sources import _payload_hex, files
 from busline.plans.registry import query

@@ -1,7 +1,6 @@
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from busline.functions import text as X
 from busline.schema import FRAME_SCHEMA
