@@ -39,3 +39,38 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.bpe import bpe_columns
 
     return bpe_columns(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op7_warc")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.warc import read_archives, with_revisits, write_archives
+
+    return read_archives(spark, write_archives(with_revisits(read_table(spark, sf_dir, "pages"))))
+
+
+@query("op9_token_store")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from busline.llm.token_store import crc_of_ids, look_up, read_documents, write_store
+
+    docs = read_table(spark, sf_dir, "documents")
+    store = write_store(docs, vocabulary("byte_bpe_50k.json"))
+    written = spark.read.parquet(f"{store.folder}/written").select("key", "copy")
+    rows = read_documents(store, look_up(store, written), "ids_crc32 long", crc_of_ids(store.width))
+    return rows.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query("op10_secrets")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.secret_scan import scan, span_digest, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    return span_digest(scan(docs, train(docs)))
+
+
+@query("op4_html_text")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.html_text import main_text
+
+    return main_text(read_table(spark, sf_dir, "pages"))
