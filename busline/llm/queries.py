@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from busline.llm.common import read_table
+from busline.llm.line_templates import SQL as LINE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +75,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.html_text import main_text
 
     return main_text(read_table(spark, sf_dir, "pages"))
+
+
+@query("op6_order_minhash")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.order_minhash import edited_fingerprints
+
+    return edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.quality import classify
+
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.line_templates import drop_recurring
+
+    return drop_recurring(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+query("op2_line_templates", LINE_SQL)(_op2)
