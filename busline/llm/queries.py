@@ -98,3 +98,10 @@ def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("op2_line_templates", LINE_SQL)(_op2)
+
+
+@query("op8_ngram_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.ngram_join import linked
+
+    return linked(read_table(spark, sf_dir, "documents")).drop("text_hash")
