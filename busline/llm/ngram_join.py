@@ -118,7 +118,7 @@ def records(docs: DataFrame, long: np.ndarray, *, key: str = "doc_id", text: str
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
+    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value
 
 
 def _run_pairs(ids: np.ndarray, n: np.ndarray, b0: np.ndarray, b1: np.ndarray, side: np.ndarray):
