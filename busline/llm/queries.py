@@ -105,3 +105,17 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.ngram_join import linked
 
     return linked(read_table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op1_decontaminate")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.decontaminate import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("a", "b")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
