@@ -11,9 +11,10 @@ A candidate list is then searched with DivideSkip: the long lists among the
 query's tokens are set aside, the short ones are merged with a heap, and records
 that can still reach T are looked up in the long ones by binary search.
 
-Equal sets are one record from the start. Candidates are verified in two rounds:
-first one per record, then those that the links so far leave in different
-components. A link inside a component that is known already changes nothing.
+Equal sets are one record from the start. Candidates that a longer parity allows
+are verified in two rounds: first the nearest one of each record, then those
+that the links so far leave in different components. A link inside a component
+that is known already changes nothing.
 
 Defined cases: null or empty texts have no shingles and link with nothing; fewer
 than three words are one shingle; rows that repeat a doc_id are records of their
@@ -41,6 +42,7 @@ WORDS = 3
 SHARE = (9, 10)  # Jaccard of 90 to 100
 COUNTERS = 1 << 20  # of token hashes; a bit of each is sent to every task
 SLICES = 64
+PARITY = 1024  # bits of the second parity test
 BLOCK = 4096  # records compared in one go for one token
 
 
@@ -68,9 +70,7 @@ def long_lists(docs: DataFrame, text: str = "text") -> np.ndarray:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 256):
                 for s in shingle_sets(texts[at : at + 256]):
-                    total += np.bincount(_counter(s), minlength=COUNTERS).astype(np.int32) if len(s) > COUNTERS // 64 else 0
-                    if len(s) <= COUNTERS // 64:
-                        np.add.at(total, _counter(s), 1)
+                    np.add.at(total, _counter(s), 1)
         if total.any():
             parts = total.reshape(SLICES, -1)
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(SLICES), pa.int32()), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
@@ -90,31 +90,33 @@ def long_lists(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def records(docs: DataFrame, long: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, id, n, prefix, n_short, b0, b1) of each document."""
+    """(doc_id, text_hash, id, n, prefix, n_short, b0, b1, parity) of each document."""
     src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(long))  # COUNTERS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         is_long = np.unpackbits(shared.value).astype(bool)
-        ids, sizes, prefixes, shorts, b0, b1 = [], [], [], [], [], []
+        ids, sizes, prefixes, shorts, b0, b1, wide = [], [], [], [], [], [], []
         for s in shingle_sets(batch.column(2).to_pylist()):
             n = len(s)
             digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
             late = is_long[_counter(s)]
             take = n - -(-SHARE[0] * n // SHARE[1]) + 1 if n else 0
             short = s[~late][:take]
-            parity = np.packbits(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1).tobytes()
+            full = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1
+            parity = np.packbits(full.reshape(128, -1).sum(axis=1) & 1).tobytes()
+            wide.append(np.packbits(full).view(np.int64).tolist())
             ids.append(int.from_bytes(digest, "little", signed=True))
             sizes.append(n)
             prefixes.append(np.concatenate([short, s[late][: take - len(short)]]).view(np.int64).tolist())
             shorts.append(len(short))
             b0.append(int.from_bytes(parity[:8], "little", signed=True))
             b1.append(int.from_bytes(parity[8:], "little", signed=True))
-        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(b0, pa.int64()), pa.array(b1, pa.int64())]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "b0", "b1"])
+        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(b0, pa.int64()), pa.array(b1, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "b0", "b1", "parity"])
 
     key_type = src.schema["doc_id"].dataType.simpleString()
-    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, b0 long, b1 long", "__text", rows=512)
+    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, b0 long, b1 long, parity array<long>", "__text", rows=512)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -151,6 +153,7 @@ def candidates(reps: DataFrame) -> DataFrame:
     flat = reps.select("id", "n", "n_short", "b0", "b1", F.posexplode("prefix").alias("pos", "token"))
     flat = flat.select("token", "id", F.col("n").cast("int").alias("n"), "b0", "b1", (F.col("pos") >= F.col("n_short")).alias("late"))
     large = flat.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = landed(large, "ngram-large")
     dealt = flat.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "n", "b0", "b1")
@@ -254,34 +257,46 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
+def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, y, apart) of pairs whose sizes and ``PARITY``-bit parities allow the overlap."""
+    of = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    both = pairs.join(of("y"), "y").join(of("x"), "x")
+    bits = [F.bit_count(F.get("parity_x", i).bitwiseXOR(F.get("parity_y", i))) for i in range(PARITY // 64)]
+    total, (a, b) = F.col("n_x") + F.col("n_y"), SHARE
+    need = F.ceil(a * total / F.lit(float(a + b)) - F.lit(1e-9))
+    return both.select("x", "y", sum(bits[1:], bits[0]).alias("apart"), total.alias("total"), need.alias("need")).filter(F.col("apart") <= F.col("total") - 2 * F.col("need")).select("x", "y", "apart")
+
+
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row."""
     found = landed(records(docs, long_lists(docs, text), key=key, text=text), "ngram-records")
-    reps = found.filter("n > 0").groupBy("id").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "n_short", "b0", "b1")]
-    )
-    pairs = landed(candidates(reps), "ngram-pairs")
+    traits = ("n", "prefix", "n_short", "b0", "b1", "parity")
+    reps = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in traits])
+    reps = landed(reps, "ngram-sets")
+    pairs = landed(near_enough(candidates(reps), reps), "ngram-pairs")
     needed = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    wanted = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep")).join(needed, "id")
-    wanted = wanted.select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b"))
+    wanted = landed(reps.select("id", "rep").join(needed, "id").select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b")), "ngram-wanted")
     texts = docs.select(F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"), F.col(text).alias("__text"))
     chosen = wanted.join(texts, ["a", "b"]).select("id", "__text")
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["id", "tokens"])
 
-    sets = landed(arrow_map(chosen, tokens, "id long, tokens binary", "__text", rows=256), "ngram-sets").dropDuplicates(["id"])
-    first = pairs.groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    sets = landed(arrow_map(chosen, tokens, "id long, tokens binary", "__text", rows=256), "ngram-tokens")
+    if sets.count() > wanted.count():  # rows that repeat doc_id and text
+        sets = sets.dropDuplicates(["id"])
+    # the nearest candidate of each record first
+    ends = pairs.select(F.col("y").alias("id"), "x", "y", "apart").unionByName(pairs.select(F.col("x").alias("id"), "x", "y", "apart"))
+    first = ends.groupBy("id").agg(F.min(F.struct("apart", "x", "y")).alias("m")).select("m.x", "m.y").distinct()
     links = landed(verified(first, sets), "ngram-links")
     labels = landed(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "ngram-labels")
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    rest = pairs.join(first, ["x", "y"], "left_anti").join(of("x"), "x", "left").join(of("y"), "y", "left")
-    rest = rest.filter(~(F.coalesce("label_x", "x") == F.coalesce("label_y", "y"))).select("x", "y")
-    every = links.unionByName(verified(rest, sets))
+    rest = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    rest = rest.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
+    every = links.unionByName(landed(verified(rest, sets), "ngram-links"))
     labels = components(every.select(F.col("x").alias("u"), F.col("y").alias("v")))
     rows = found.select("doc_id", "text_hash", "id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "id"), "id", "left")
-    rows = rows.withColumn("label", F.coalesce("label", "id"))
-    own = landed(rows, "ngram-rows")
+    own = landed(rows.withColumn("label", F.coalesce("label", "id")), "ngram-rows")
     least = own.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").select("label", "least")
     out = own.join(least, "label", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

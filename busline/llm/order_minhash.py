@@ -1,12 +1,14 @@
 """Order MinHash fingerprints, in DataFrame operations only.
 
 A text is the sequence of its words. Its k-mers are runs of ``K`` words, each
-numbered by how often the same run came before, so that repeats count. Per
-permutation the minimal k-mers are selected, one from each of two halves of the
-hash space (the form in which ``min`` aggregates can select two distinct ones),
-put in the order of the text, and hashed as a tuple. Texts that are close in
-edit distance keep both k-mers and their order; texts with the same runs in
-another order do not. The share of equal tuples is the likeness.
+numbered by how often the same run came before, so that repeats count. One
+hash per numbered k-mer cuts them into ``BINS`` bins, each with two sides. The
+minimal k-mer of either side of a bin is selected, the two are put in the order
+of the text, and hashed as a tuple. Texts that are close in edit distance keep
+both k-mers and their order; texts with the same runs in another order do not.
+The likeness is the share of equal tuples among the bins that either text fills
+(one hash cut into bins stands for one permutation per tuple: the selection
+then is two ``min`` aggregates, and short texts need no padding).
 
 Defined cases: a null text is an empty one; a text of fewer than ``K`` words is
 one k-mer; equal texts have equal fingerprints; rows that repeat key and text
@@ -17,30 +19,20 @@ beyond 2^24 words count as the last one.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from busline.llm.common import landed
 
 K = 3  # words of a k-mer
-PERMUTATIONS = 64
+BINS = 64
 DIGITS = 5  # hex digits of a tuple hash
+EMPTY = "-" * DIGITS
 CHARS_PER_TASK = 4_000_000  # code points in a task; their k-mers then sort in memory
 MOST_TASKS = 100_000  # beyond that, tasks grow and sorts spill
 _POSITION = (1 << 24) - 1
 
 
-def _masks() -> list[int]:
-    """Random 64-bit masks; the minimum of hash xor mask is the minimum of a permutation."""
-    out = []
-    for i in range(PERMUTATIONS):
-        v = int.from_bytes(hashlib.sha256(f"permutation {i}".encode()).digest()[:8], "big", signed=True)
-        out.append(v & ~_POSITION)
-    return out
-
-
 def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, fingerprint) of each row; ``keys`` identify a row.
 
@@ -55,26 +47,31 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     # the run comes first, as it tells rows apart at once when they are sorted
     seen = Window.partitionBy("_run", *keys).orderBy("_pos")
     numbered = flat.select(*keys, F.least(F.col("_pos"), F.lit(_POSITION)).cast("long").alias("_pos"), F.xxhash64("_run", F.row_number().over(seen)).alias("_v"))
-    placed = numbered.select(*keys, "_v", F.col("_v").bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.col("_pos")).alias("_p"))
-    side = lambda i: F.col("_v").bitwiseAND(F.lit(1 << i % 24))
-    ranked = lambda m: F.col("_p").bitwiseXOR(F.lit(m))
-    least = [F.min(F.when(side(i) == 0 if s == 0 else side(i) != 0, ranked(m))).alias(f"_m{i}_{s}") for i, m in enumerate(_masks()) for s in (0, 1)]
-    chosen = placed.groupBy(*keys).agg(*least)
-    return chosen.select(*keys, F.concat(*[_tuple_hash(F.col(f"_m{i}_0"), F.col(f"_m{i}_1"), i) for i in range(PERMUTATIONS)]).alias("fingerprint"))
-
-
-def _tuple_hash(a: Column, b: Column, i: int) -> Column:
-    """Hash of two selected k-mers in the order of the text."""
+    # seven leading bits of the hash are bin and side, the next ones the rank, the rest the place in the text
+    cell = F.shiftrightunsigned("_v", 57)
+    ranked = F.col("_v").bitwiseAND(F.lit((1 << 57) - 1 - _POSITION)).bitwiseOR(F.col("_pos"))
+    placed = numbered.select(*keys, F.shiftright(cell, 1).cast("int").alias("_bin"), cell.bitwiseAND(F.lit(1)).alias("_side"), ranked.alias("_p"))
+    least = [F.min(F.when(F.col("_side") == s, F.col("_p"))).alias(f"_m{s}") for s in (0, 1)]
+    chosen = placed.groupBy(*keys, "_bin").agg(*least).select(*keys, "_bin", _tuple_hash(F.col("_m0"), F.col("_m1")).alias("_t"))
+    wide = chosen.groupBy(*keys).agg(*[F.max(F.when(F.col("_bin") == i, F.col("_t"))).alias(f"_t{i}") for i in range(BINS)])
+    shown = [F.coalesce(F.lower(F.lpad(F.hex(F.col(f"_t{i}")), DIGITS, "0")), F.lit(EMPTY)) for i in range(BINS)]
+    return wide.select(*keys, F.concat(*shown).alias("fingerprint"))
+
+
+def _tuple_hash(a: Column, b: Column) -> Column:
+    """Hash of two selected k-mers in the order of the text; one of them may be missing."""
     mer = lambda c: c.bitwiseAND(F.lit(~_POSITION))
     at = lambda c: c.bitwiseAND(F.lit(_POSITION))
-    h = F.xxhash64(F.lit(i), mer(a), mer(b), F.coalesce(at(a) <= at(b), F.lit(True)))
-    return F.lower(F.lpad(F.hex(h.bitwiseAND(F.lit(16**DIGITS - 1))), DIGITS, "0"))
+    h = F.xxhash64(F.coalesce(mer(a), F.lit(-1)), F.coalesce(mer(b), F.lit(-1)), F.coalesce(at(a) <= at(b), F.lit(True)))
+    return h.bitwiseAND(F.lit(16**DIGITS - 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal tuples of two fingerprints, 0 to 1."""
-    same = [(F.substring(a, 1 + DIGITS * i, DIGITS) == F.substring(b, 1 + DIGITS * i, DIGITS)).cast("int") for i in range(PERMUTATIONS)]
-    return sum(same[1:], same[0]) / F.lit(float(PERMUTATIONS))
+    """Share of equal tuples among the bins that either fingerprint fills, 0 to 1."""
+    part = lambda c, i: F.substring(c, 1 + DIGITS * i, DIGITS)
+    same = [((part(a, i) == part(b, i)) & (part(a, i) != EMPTY)).cast("int") for i in range(BINS)]
+    none = [((part(a, i) == part(b, i)) & (part(a, i) == EMPTY)).cast("int") for i in range(BINS)]
+    return sum(same[1:], same[0]) / (F.lit(float(BINS)) - sum(none[1:], none[0]))
 
 
 def with_next(ids: DataFrame, order: list[str], rows_per_span: int = 16_384) -> DataFrame:
