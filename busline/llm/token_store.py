@@ -57,6 +57,9 @@ class UnitEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.type = np.dtype(f"<u{width}")
+        self.size = np.zeros(self.lib.get_vocab_size(), np.int64)  # bytes of each token; a character stands for one
+        for token, i in self.lib.get_vocab().items():
+            self.size[i] = len(token)
         self.cache = cache
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -64,6 +67,25 @@ class UnitEncoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units. Those with a blank before them are asked for in rows, and told apart by the bytes of their tokens."""
+        rows = [u for u in units if u[0] == " " and len(u) > 1 and not u.isspace()]
+        rest = [u for u in units if not (u[0] == " " and len(u) > 1 and not u.isspace())]
+        out = dict(zip(rest, self._bytes(rest)))
+        groups = [rows[i : i + 256] for i in range(0, len(rows), 256)]
+        for us, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.type)
+            ends, cuts = np.cumsum(self.size[ids]), np.cumsum([len(u.encode()) for u in us])
+            last = np.searchsorted(ends, cuts)
+            if not np.array_equal(ends[last], cuts):
+                out.update(zip(us, self._bytes(us)))
+                continue
+            raw, width, at = ids.tobytes(), self.type.itemsize, 0
+            for u, b in zip(us, ((last + 1) * width).tolist()):
+                out[u] = raw[at:b]
+                at = b
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
         units = [_UNIT.findall(t) for t in texts]
@@ -72,12 +94,12 @@ class UnitEncoder:
         if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
         known = self.known
-        new = {u for us in units for u in us if u not in known}
+        new = set().union(*units).difference(known)
         for u in [u for u in new if u in self.older]:
             known[u] = self.older[u]
             new.discard(u)
         order = list(new)
-        known.update(zip(order, self._bytes(order)))
+        known.update(self._units(order))
         out = [b"".join(map(known.__getitem__, us)) for us in units]
         for u in order:
             if len(u) > 40:
