@@ -82,7 +82,7 @@ def with_next(ids: DataFrame, order: list[str], rows_per_span: int = 16_384) ->
     """
     lead = order[0]
     low, high, n = ids.agg(F.min(lead), F.max(lead), F.count("*")).first()
-    width = max(1, ((high - low) if n else 0) * rows_per_span // max(n, 1))
+    width = min(1 << 62, max(1, ((high - low) if n else 0) * rows_per_span // max(n, 1)))
     d = ids.withColumn("_span", F.floor(F.col(lead) / F.lit(width)).cast("long"))
     key = F.struct(*order)
     heads = d.groupBy("_span").agg(F.min(key).alias("_head"))
@@ -102,7 +102,8 @@ def edited_fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("kd"), t.alias("text"), F.xxhash64(t).alias("h"))
+    first = docs.agg(F.min(F.col(key).cast("long"))).first()[0] or 0
+    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(first - 1)).alias("kd"), t.alias("text"), F.xxhash64(t).alias("h"))
     ids = d.groupBy("kd", "h").agg(F.count("*").alias("copies"), F.first("doc_id").alias("doc_id"), F.first(F.length("text").cast("long")).alias("n"))
     ids = landed(with_next(landed(ids, "omh-ids"), ["kd", "h"]), "omh-next")
     chars, most = ids.agg(F.sum("n"), F.max("copies")).first()
