@@ -7,9 +7,10 @@ wildcard, so lines that differ in one part share a template. A template recurs
 if it is found in many unrelated documents; its lines are dropped from all.
 
 Copies of a document repeat every line of it, and are left to document dedup:
-two documents count as related if their least or their greatest word hash
-(over words of six letters and more) is the same. A template needs
-``LEAST`` unrelated documents, and they must be a fifth of all that have it.
+two documents count as related if the least or the greatest hash of their words
+is the same (words of six letters and more that are not in the line itself). A
+template needs ``LEAST`` unrelated documents, and they must be a fifth of all
+that have it.
 
 Defined cases: a null text stays null; empty lines and lines of fewer than
 three tokens are kept; a text that loses all lines is empty; rows that repeat
@@ -28,42 +29,45 @@ SHARE = 0.2  # of the documents that have the template
 TOKENS = 3  # shorter lines have no template
 WILD_TOKENS = 8  # shorter lines have no wildcard part
 PARTS = 3
+MARKS = 16  # words kept from either end of the hash order
 _BLANK = r"[ \t\r\f\x0B]+"
 _FIELD = r"[^ ]*(?:[0-9@]|://)[^ ]*"
 
 
 def _cleaned(line: Column) -> Column:
     """Single blanks, and ``<*>`` for tokens with digits, addresses and links."""
-    one = F.trim(F.regexp_replace(line, _BLANK, " "))
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\f") | line.contains("\x0b")
+    one = F.trim(F.when(uneven, F.regexp_replace(line, _BLANK, " ")).otherwise(line))
     return F.when(one.rlike("[0-9@]|://"), F.regexp_replace(one, _FIELD, "<*>")).otherwise(one)
 
 
-def _templates(clean: Column, tokens: Column) -> Column:
-    """Hashes of the templates of a line: tree path, and the rest with one part or none left open."""
-    n = F.size(tokens)
+def _templates(clean: Column, n: Column) -> Column:
+    """Hashes of the templates of a line of ``n`` tokens: tree path, and the rest with one part or none left open."""
     whole = F.array(F.xxhash64(F.lit(PARTS), n, clean))
     cut = lambda j: F.floor((n - 2) * F.lit(j) / F.lit(PARTS)).cast("int") + 2
-    part = lambda j: F.xxhash64(F.lit(j), n, F.concat_ws(" ", F.slice(tokens, F.lit(1), cut(j)), F.lit("<*>"), F.slice(tokens, cut(j + 1) + 1, n)))
+    part = lambda j: F.xxhash64(F.lit(j), n, F.call_function("substring_index", clean, F.lit(" "), cut(j)), F.call_function("substring_index", clean, F.lit(" "), cut(j + 1) - n))
     return F.when(n >= WILD_TOKENS, F.concat(whole, F.array(*[part(j) for j in range(PARTS)]))).otherwise(whole)
 
 
-def _kin(text: Column) -> list[Column]:
-    """Least and greatest hash of the long words of a text."""
-    words = F.filter(F.split(text, r"[ \t\r\n\f\x0B]+"), lambda w: F.length(w) >= 6)
-    hashes = F.transform(words, lambda w: F.md5(w))
-    return [hashes, F.md5(text)]
+def _marks(text: Column) -> Column:
+    """Distinct long words of a text in the order of their md5."""
+    words = F.array_distinct(F.filter(F.split(text, r"[ \t\r\n\f\x0B]+"), lambda w: F.length(w) >= 6))
+    return F.transform(F.array_sort(F.transform(words, lambda w: F.concat(F.md5(w), w))), lambda x: F.substring(x, 33, 1 << 30))
 
 
 def recurring_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, bad): hash pair of each document with recurring lines, and the hashes of these lines."""
     ids = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("a"), F.xxhash64(text).alias("b"), F.col(text).alias("t"))
-    hashes, whole = _kin(F.col("t"))
-    d = ids.select("a", "b", "t", F.explode(F.array(hashes)).alias("hs"))
-    d = d.select("a", "b", F.xxhash64(F.coalesce(F.array_min("hs"), F.md5("t"))).alias("f1"), F.xxhash64(F.coalesce(F.array_max("hs"), F.md5("t"))).alias("f2"), F.explode(F.array_distinct(F.split("t", "\n"))).alias("line"))
-    lines = d.select("a", "b", "f1", "f2", F.xxhash64("line").alias("line"), F.explode(F.array(_cleaned(F.col("line")))).alias("clean"))
-    lines = lines.select("a", "b", "f1", "f2", "line", "clean", F.split("clean", " ").alias("tokens")).filter(F.size("tokens") >= TOKENS)
-    rows = lines.select("a", "b", "f1", "f2", "line", F.explode(_templates(F.col("clean"), F.col("tokens"))).alias("template"))
-    often = rows.groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("template")
+    d = ids.select("a", "b", "t", F.explode(F.array(_marks(F.col("t")))).alias("m"))
+    last = F.reverse(F.slice("m", F.greatest(F.size("m") - (MARKS - 1), F.lit(1)), MARKS))
+    d = d.select("a", "b", F.slice("m", 1, MARKS).alias("m1"), last.alias("m2"), F.explode(F.array_distinct(F.split("t", "\n"))).alias("line"))
+    kin = lambda m: F.xxhash64(F.coalesce(F.get(F.filter(m, lambda w: ~F.contains("line", w)), 0), F.col("b").cast("string")))
+    lines = d.select("a", "b", kin("m1").alias("f1"), kin("m2").alias("f2"), F.xxhash64("line").alias("line"), F.explode(F.array(_cleaned(F.col("line")))).alias("clean"))
+    tokens = F.length("clean") - F.length(F.replace("clean", F.lit(" "), F.lit(""))) + 1
+    lines = lines.withColumn("n", tokens).filter(F.col("n") >= TOKENS)
+    lines = landed(lines.select("a", "b", "f1", "f2", "line", _templates(F.col("clean"), F.col("n")).alias("templates")), "line-hashes")
+    often = lines.select(F.explode("templates").alias("template")).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("template")
+    rows = lines.select("a", "b", "f1", "f2", "line", F.explode("templates").alias("template"))
     found = landed(rows.join(often, "template", "left_semi"), "line-templates")
     chosen = unrelated(found)
     # a template may be in a third of all lines: its rows are dealt out over 32 keys
@@ -100,9 +104,12 @@ def drop_recurring(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 SQL = rf"""
 WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts,
-       list_transform(list_filter(string_split_regex(text, '[ \t\r\n\f\x0B]+'), lambda w: length(w) >= 6), lambda w: md5(w)) AS hs FROM documents),
-raw AS (SELECT doc_id, md5(text) AS b, coalesce(list_min(hs), md5(text)) AS f1, coalesce(list_max(hs), md5(text)) AS f2, unnest(list_distinct(parts)) AS line FROM doc),
-clean AS (SELECT *, regexp_replace(trim(regexp_replace(line, '{_BLANK}', ' ', 'g')), '{_FIELD}', '<*>', 'g') AS c FROM raw),
+       list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(text, '[ \t\r\n\f\x0B]+'), lambda w: length(w) >= 6)),
+         lambda w: md5(w) || w)), lambda x: x[33:]) AS m FROM documents),
+raw AS (SELECT doc_id, md5(text) AS b, m[1:{MARKS}] AS m1, list_reverse(m[greatest(len(m) - {MARKS - 1}, 1):]) AS m2, unnest(list_distinct(parts)) AS line FROM doc),
+kin AS (SELECT *, coalesce(list_filter(m1, lambda w: NOT contains(line, w))[1], '#' || b) AS f1,
+       coalesce(list_filter(m2, lambda w: NOT contains(line, w))[1], '#' || b) AS f2 FROM raw),
+clean AS (SELECT *, regexp_replace(trim(regexp_replace(line, '{_BLANK}', ' ', 'g')), '{_FIELD}', '<*>', 'g') AS c FROM kin),
 tok AS (SELECT *, string_split(c, ' ') AS t, len(string_split(c, ' ')) AS n FROM clean WHERE len(string_split(c, ' ')) >= {TOKENS}),
 rows AS (SELECT doc_id, b, f1, f2, line, '{PARTS} ' || n || ' ' || c AS template FROM tok
   UNION ALL

@@ -23,7 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     labels = read_table(spark, sf_dir, "labels")
     featured = landed(quality.with_features(docs, keep=docs.columns), "pipeline-features")
     ranker = quality.train(featured, labels)
-    return quality.score(featured, ranker, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    scored = quality.score(featured, ranker, keep=docs.columns, names=("__score", "__predicted"))
+    return scored.filter("__predicted = 1").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +35,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of linked ones: that with the smallest doc_id, then text hash."""
-    rows = ngram_join.linked(docs)
+    """Keep one document of each group of linked ones: that with the smallest doc_id, then text hash.
+
+    Documents without words are kept. A document without an id goes if its group has one with an id.
+    """
+    rows = landed(ngram_join.linked(docs), "stage-links")
     size = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     first = rows.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(size).alias("first"))
     keep = first.select(F.xxhash64("first.doc_id").alias("__a"), F.col("first.text_hash").alias("__b"))
     alone = rows.filter((F.col("n_shingles") == 0) | F.col("component_id").isNull()).select(F.xxhash64("doc_id").alias("__a"), F.col("text_hash").alias("__b"))
     named = docs.withColumn("__a", F.xxhash64("doc_id")).withColumn("__b", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return named.join(keep.unionByName(alone).distinct(), ["__a", "__b"], "left_semi").select(*docs.columns)
+    kept = named.join(keep.unionByName(alone).distinct(), ["__a", "__b"], "left_semi")
+    if rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+        with_words = kept.join(keep, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"])  # rows that repeat both
+        kept = kept.join(keep, ["__a", "__b"], "left_anti").unionByName(with_words)
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
