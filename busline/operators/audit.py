@@ -181,10 +181,14 @@ def content_uniqueness(d: DataFrame, by: list[str], digest="digest") -> DataFram
 def ordered_digest(d: DataFrame, rank: str, label="y_attack_type", digest="digest", fan=4096) -> DataFrame:
     """Hash of label byte and row digest in order: a tree of hashes, ``fan`` children per node.
 
-    ``rank`` is dense from 1. Three levels hold fan^3 rows; no node gathers more than ``fan`` rows.
+    ``rank`` is dense from 1. The number of levels follows the number of rows, so one node is
+    left; no node gathers more than ``fan`` rows.
     """
+    levels, rows = 1, d.count()
+    while fan**levels < rows:
+        levels += 1
     cur = d.select((F.col(rank) - 1).alias("i"), F.concat(F.lpad(F.hex(F.col(label).cast("long")), 2, "0"), F.col(digest)).alias("h"))
-    for _ in range(3):
+    for _ in range(levels):
         node = F.sort_array(F.collect_list(F.struct("i", "h")))
         cur = cur.groupBy(F.floor(F.col("i") / fan).alias("p")).agg(F.sha2(F.array_join(node["h"], "").cast("binary"), 256).alias("h"))
         cur = cur.select(F.col("p").alias("i"), "h")

@@ -210,7 +210,13 @@ def rule_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:
 
 
 def take_slices(normals: DataFrame, sizes: list[int], seed: int, key="wkey") -> DataFrame:
-    """Disjoint keyed slices of the normals; ``slice`` numbers them, nothing is used twice."""
+    """Disjoint keyed slices of the normals; ``slice`` numbers them, nothing is used twice.
+
+    Fewer normals than the slices need are an error.
+    """
+    have = normals.count()
+    if have < sum(sizes):
+        raise ValueError(f"not enough normal windows: {have} for slices of {sizes}")
     d = normals.withColumn("_k", draw_key(seed, F.col(key), "slice"))
     d = O.ranked(d, [], ["_k", key], F.floor(F.col("_k") / (1 << 24)), "_rank").drop("_k")
     ends, at = [], 0

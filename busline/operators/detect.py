@@ -63,11 +63,14 @@ def detect_timing(intervals: DataFrame, id_counts: DataFrame, profile: DataFrame
     )
 
 
-def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=12, seed=42, balanced=True):
-    """Random forest on feature columns; balanced weights per class of the training table."""
+def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=30, seed=42, balanced=True, leaf=2):
+    """Random forest on feature columns; balanced weights per class of the training table, ``leaf`` rows in a leaf at least.
+
+    Spark grows trees to a depth of 30 at most.
+    """
     label_table = S.class_weights(d, label) if balanced else d.withColumn("weight", F.lit(1.0))
     rf = RandomForestClassifier(
-        featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0)
+        featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf)
     table = label_table.withColumn(label, F.col(label).cast("double"))
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), rf]).fit(table)
 

@@ -233,13 +233,16 @@ def verdict(d: DataFrame, by: list[str], opposed: DataFrame | None = None, need=
     """Localisation verdict of the seven effects of each group, with its suffixes.
 
     ``d``: effect, mean, holm_p, degenerate, positive, negative.  ``opposed``
-    lists groups with effects whose attacks point apart.
+    lists groups with effects whose attacks point apart.  A group without all
+    seven effects is an error.
     """
     d = d.withColumn("_res", _resolved(need=need)).withColumn("_sig", ~F.col("degenerate") & (F.col("holm_p") < 0.05))
     pos = F.array_position(F.array(*[F.lit(e) for e in EFFECTS]), F.col("effect"))
     deg = F.sort_array(F.collect_list(F.when(F.col("degenerate"), F.struct(pos.alias("i"), F.col("effect").alias("e")))))["e"]
     g = d.groupBy(*by).agg(
-        F.bool_or(F.col("_res") & (F.length("effect") == 1)).alias("_main"), F.bool_or("_res").alias("_any"), F.bool_or("_sig").alias("_mixed"), deg.alias("_deg"))
+        F.bool_or(F.col("_res") & (F.length("effect") == 1)).alias("_main"), F.bool_or("_res").alias("_any"), F.bool_or("_sig").alias("_mixed"), deg.alias("_deg"), F.count_distinct("effect").alias("_n"))
+    whole = F.when(F.col("_n") != len(EFFECTS), F.raise_error(F.lit("a group lacks effects")).cast("long")).otherwise(F.col("_n"))
+    g = g.withColumn("_n", whole).where(F.col("_n") == len(EFFECTS))
     base = F.when(F.col("_main"), "F-MAIN").when(F.col("_any"), "F-INTERACTION").when(F.col("_mixed"), "F-MIXED").otherwise("F-UNRESOLVED")
     tail = F.when(F.size("_deg") > 0, F.concat(F.lit("+DEGENERATE("), F.array_join("_deg", ","), F.lit(")"))).otherwise("")
     if opposed is None:

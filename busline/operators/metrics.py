@@ -131,8 +131,10 @@ def threshold_linear(normal: DataFrame, fpr: float, by: list[str] = (), score="s
     return j.groupBy(*by).agg(F.max("threshold").alias("threshold"), (above / F.sum("n")).alias("achieved"))
 
 
-def apply_threshold(d: DataFrame, thr: DataFrame, by: list[str] = (), score="score", strict=False) -> DataFrame:
-    j = d.join(thr.select(*by, "threshold"), list(by)) if by else d.withColumn("threshold", thr.select("threshold").scalar())
+def apply_threshold(d: DataFrame, thr: DataFrame, by: list[str] = (), score="score", strict=False, without=1.0) -> DataFrame:
+    """Alarm where the score reaches the threshold of its group; groups without normals have the threshold ``without``."""
+    j = d.join(thr.select(*by, "threshold"), list(by), "left") if by else d.withColumn("threshold", thr.select("threshold").scalar())
+    j = j.withColumn("threshold", F.coalesce("threshold", F.lit(without)))
     hit = F.col(score) > F.col("threshold") if strict else F.col(score) >= F.col("threshold")
     return j.withColumn("pred", hit.cast("int"))
 

@@ -26,14 +26,16 @@ def span_of(order: str, span: int = SPAN) -> Column:
     return F.floor(F.col(order) / span)
 
 
-def value_splits(df: DataFrame, col: str, parts: int = 64) -> list[float]:
+def value_splits(df: DataFrame, col: str, parts: int | None = None) -> list[float]:
     """At most ``parts`` cut points that spread the values of ``col`` evenly.
 
-    This is the only value that goes through the driver: a fixed number of
+    By default there are as many spans as shuffle partitions, 64 at least.
+    This is the only value that goes through the driver: a set number of
     doubles, fixed before the plan that uses them is built, so that a
     recomputed task sees the same spans.
     """
-    cuts = df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.005)
+    parts = parts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = df.approxQuantile(col, [i / parts for i in range(1, parts)], min(0.005, 0.25 / parts))
     return sorted({c for c in cuts if not math.isnan(c) and not math.isinf(c)})
 
 

@@ -220,6 +220,8 @@ def purged_split(w: DataFrame, block: int, seed, by: list[str], cls="y_attack_ty
     d = d.withColumn("group", F.concat_ws("|", *by, b.cast("string")))
     groups = d.select(cls, "group").distinct()
     n = groups.groupBy(cls).agg(F.count("*").alias("_n"))
+    enough = F.when(F.col("_n") < 2, F.raise_error(F.lit("a class has fewer than two groups")).cast("long")).otherwise(F.col("_n"))
+    n = n.select(cls, enough.alias("_n"))
     test = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.bround(F.col("_n") * F.lit(test_share)).cast("long")))
     g = keyed_rank(groups, [cls], seed, "group", "purge").join(n, cls)
     g = g.select(cls, "group", F.when(F.col("rank") <= test, "test").otherwise("train").alias("part"))

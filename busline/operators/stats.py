@@ -203,6 +203,11 @@ def holm(d: DataFrame, family: list[str], p="p", tie="name", out="holm_p") -> Da
     return d.withColumn(out, F.least(F.lit(1.0), F.max("_s").over(w.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
 
 
+def _finite(value: str):
+    x = F.col(value).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def bootstrap_means(d: DataFrame, by: list[str], value: str, key: str, b: int, seed, stratum: list[str] = ()) -> DataFrame:
     """Mean of each of ``b`` keyed resamples per group.
 
@@ -210,7 +215,7 @@ def bootstrap_means(d: DataFrame, by: list[str], value: str, key: str, b: int, s
     join on the rank, no cross join.
     """
     own = [*by, *stratum]
-    u = d.where(F.col(value).isNotNull()).select(*own, key, F.col(value).cast("double").alias("_v"))
+    u = d.where(_finite(value)).select(*own, key, F.col(value).cast("double").alias("_v"))
     r = S.keyed_rank(u, own, seed, key, "boot", "_rank") if own else S.keyed_rank(u, [], seed, key, "boot", "_rank")
     n = r.groupBy(*own).agg(F.count("*").alias("_n"))
     slots = r.select(*own, F.col("_rank").alias("_slot"))
@@ -223,15 +228,21 @@ def bootstrap_means(d: DataFrame, by: list[str], value: str, key: str, b: int, s
 
 
 def bootstrap_ci(d: DataFrame, by: list[str], value: str, key: str, b=2000, seed=1, conf=0.95, stratum: list[str] = ()) -> DataFrame:
-    """Percentile interval of the mean; a single unit gives itself, undefined units are counted and left out.
+    """Percentile interval of the mean; undefined (NULL or not finite) units are counted and left out.
 
-    With ``stratum`` units are redrawn inside their stratum and pooled.
+    A single unit gives itself. With ``stratum`` units are redrawn inside their
+    stratum and pooled, and fewer than two units give no interval.
     """
     m = bootstrap_means(d, by, value, key, b, seed, stratum)
     lo, hi = (1 - conf) / 2, (1 + conf) / 2
     q = m.groupBy(*by).agg(F.percentile("boot_mean", F.lit(lo)).alias("ci_low"), F.percentile("boot_mean", F.lit(hi)).alias("ci_high"))
-    base = d.groupBy(*by).agg(F.count(value).alias("units"), F.count_if(F.col(value).isNull()).alias("undefined"), F.avg(value).alias("mean"))
-    return base.join(q, by, "left") if by else base.select("*", q.select("ci_low").scalar().alias("ci_low"), q.select("ci_high").scalar().alias("ci_high"))
+    used = F.when(_finite(value), F.col(value).cast("double"))
+    base = d.groupBy(*by).agg(F.count(used).alias("units"), F.count_if(~_finite(value)).alias("undefined"), F.avg(used).alias("mean"))
+    out = base.join(q, by, "left") if by else base.select("*", q.select("ci_low").scalar().alias("ci_low"), q.select("ci_high").scalar().alias("ci_high"))
+    if stratum:
+        for c in ("ci_low", "ci_high"):
+            out = out.withColumn(c, F.when(F.col("units") >= 2, F.col(c)))
+    return out
 
 
 def nested_summary(d: DataFrame, by: list[str], seed: str, block: str, value: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -143,10 +145,12 @@ def label_by_interval(frames, meta) -> DataFrame:
 def split_files(meta, k=5, path="path", prefix=32) -> DataFrame:
     """Every k-th file of the sorted list is calibration.
 
-    The list is ranked in spans of equal leading characters, whose order is
-    the order of the paths.
+    The list is ranked in spans of equal characters behind the part that all
+    paths have in common; their order is the order of the paths.
     """
-    d = O.ranked(meta, [], [path], F.left(path, F.lit(prefix)), "_r")
+    low, high = meta.agg(F.min(path), F.max(path)).first()
+    common = len(os.path.commonprefix([low or "", high or ""]))
+    d = O.ranked(meta, [], [path], F.substring(path, common + 1, prefix), "_r")
     role = F.when((F.col("_r") - 1) % k == 0, "calibration").otherwise("evaluation")
     return d.withColumn("role", role).drop("_r")
 

@@ -138,34 +138,39 @@ def _summary(w, by):
     return d
 
 
+def share(t: Tables, of: int) -> int:
+    """A size in proportion to the normal windows."""
+    return normals(t).count() // of
+
+
 @query("h5_rule_pool")
 def h5(t: Tables):
-    return _summary(A.rule_pool(normals(t), 200, SEED), ["synthetic_type", "y_attack_type"])
+    return _summary(A.rule_pool(normals(t), share(t, 2), SEED), ["synthetic_type", "y_attack_type"])
 
 
 @query("h6_variant_set")
 def h6(t: Tables):
-    return _summary(A.variant_set(normals(t), 20, 10, SEED), ["attack_type", "y_binary"])
+    return _summary(A.variant_set(normals(t), share(t, 3), share(t, 8), SEED), ["attack_type", "y_binary"])
 
 
 @query("h7_severity_set")
 def h7(t: Tables):
-    return _summary(A.severity_set(normals(t), 12, 4, SEED), ["attack_type", "severity"])
+    return _summary(A.severity_set(normals(t), share(t, 5), share(t, 20), SEED), ["attack_type", "severity"])
 
 
 @query("h8_id_shift_set")
 def h8(t: Tables):
-    return _summary(A.id_shift_set(normals(t), 12, 8, SEED), ["attack_type", "id_condition"])
+    return _summary(A.id_shift_set(normals(t), share(t, 4), share(t, 8), SEED), ["attack_type", "id_condition"])
 
 
 @query("h9_payload_shift_set")
 def h9(t: Tables):
-    return _summary(A.payload_shift_set(normals(t), 12, 8, SEED), ["attack_type", "id_condition"])
+    return _summary(A.payload_shift_set(normals(t), share(t, 4), share(t, 8), SEED), ["attack_type", "id_condition"])
 
 
 @query("h10_target_pool")
 def h10(t: Tables):
-    return _summary(A.target_pool(normals(t), 100, SEED), ["synthetic_type"])
+    return _summary(A.target_pool(normals(t), share(t, 2), SEED), ["synthetic_type"])
 
 
 @query("h11_injection_stats", "SELECT y_attack_type::BIGINT AS cls, count(*) AS windows, round(avg(injection_count), 6) AS mean, min(injection_count) AS min, max(injection_count) AS max FROM pw GROUP BY ALL")

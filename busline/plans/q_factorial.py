@@ -93,7 +93,7 @@ def l5(t: Tables):
 
 
 CTES["rd"] = "SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', 20260725, 'boot', construction)), 1, 8))::BIGINT, construction) AS rk FROM dec"
-CTES["bm"] = """SELECT b, avg(r.theta) AS m FROM (SELECT b, floor(('0x' || substr(md5(concat_ws('|', 20260725, 'all', b, rk)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 5)::BIGINT + 1 AS pick FROM rd, (SELECT unnest(range(1000)) AS b)) s JOIN rd r ON r.rk = s.pick GROUP BY b"""
+CTES["bm"] = """SELECT b, avg(r.theta) AS m FROM (SELECT b, floor(('0x' || substr(md5(concat_ws('|', 20260725, 'all', b, rk)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 5)::BIGINT + 1 AS pick FROM rd, (SELECT unnest(range(10000)) AS b)) s JOIN rd r ON r.rk = s.pick GROUP BY b"""
 
 
 def _eq_sql(margin):
@@ -106,7 +106,7 @@ FROM dec, (SELECT {margin} AS mg)), (SELECT quantile_cont(m, 0.05) AS bl90, quan
 
 @query("l6_equivalence", f"SELECT n, round(mean, 6) AS mean, round(lo90, 6) AS lo90, round(hi90, 6) AS hi90, round(lo95, 6) AS lo95, round(hi95, 6) AS hi95, round(bl90, 6) AS b_lo90, round(bh90, 6) AS b_hi90, above, below, eq AS equivalent, ma AS material, verdict FROM {_eq_sql('0.133855625::DOUBLE')}")
 def l6(t: Tables):
-    d = FA.equivalence(decomposition(t).withColumn("g", F.lit("all")), ["g"], b=1000)
+    d = FA.equivalence(decomposition(t).withColumn("g", F.lit("all")), ["g"], b=10000)
     return r6(d, "mean", "lo90", "hi90", "lo95", "hi95", "b_lo90", "b_hi90", keep=("n", "above", "below", "equivalent", "material", "verdict"))
 
 
@@ -120,7 +120,7 @@ SELECT a.verdict, round(a.m, 6) AS margin, round(g.pg * 0.15::DOUBLE, 6) AS stri
 def l7(t: Tables):
     cells = FA.cell_comparison(scenario(t), "v", 1)
     gain = cells.where("scope = 'equal_macro'").agg((F.avg("placebo_gain") + 0.2).alias("placebo_gain")).withColumn("g", F.lit("all"))
-    d = FA.margin_sensitivity(decomposition(t).withColumn("g", F.lit("all")), ["g"], gain, b=1000)
+    d = FA.margin_sensitivity(decomposition(t).withColumn("g", F.lit("all")), ["g"], gain, b=10000)
     return r6(d, "margin", "strict_margin", keep=("verdict", "strict_verdict", "disagreement"))
 
 

@@ -41,12 +41,12 @@ def logits(t: Tables):
 
 # ---- I ---------------------------------------------------------------------------------
 
-CTES["wlist"] = """SELECT source_file, start_index, sum((can_id NOT IN (SELECT can_id FROM fr WHERE binary_label_id = 0 AND source_file = 'src_0' AND idx < 400))::INT)::BIGINT AS unknown_frames FROM wf GROUP BY ALL"""
+CTES["wlist"] = """SELECT source_file, start_index, sum((can_id NOT IN (SELECT can_id FROM sg WHERE binary_label_id = 0 AND split = 'train'))::INT)::BIGINT AS unknown_frames FROM wf GROUP BY ALL"""
 
 
 @query("i1_whitelist", "SELECT source_file, start_index, unknown_frames, (unknown_frames > 0)::INT::BIGINT AS pred FROM wlist")
 def i1(t: Tables):
-    ids = DE.normal_ids(t.frames.where("source_file = 'src_0' AND idx < 400"))
+    ids = DE.normal_ids(t.split.where("split = 'train'"))
     d = DE.detect_whitelist(t.frames, ids, SRC)
     return d.withColumn("pred", F.col("pred").cast("long"))
 
@@ -62,13 +62,13 @@ def i2(t: Tables):
 
 
 @query("i3_interval_rule", """
-WITH p AS (SELECT can_id, quantile_cont(gap, 0.5) FILTER (gap > 0 AND gap < 400000) AS med FROM (SELECT can_id, timestamp - lag(timestamp) OVER (PARTITION BY source_file, can_id ORDER BY idx) AS gap FROM fr WHERE binary_label_id = 0 AND source_file <> 'src_3') GROUP BY can_id HAVING count(*) > 40),
+WITH p AS (SELECT can_id, quantile_cont(gap, 0.5) FILTER (gap > 0 AND gap < 400000) AS med FROM (SELECT can_id, timestamp - lag(timestamp) OVER (PARTITION BY source_file, can_id ORDER BY idx) AS gap FROM sg WHERE binary_label_id = 0 AND split = 'train') GROUP BY can_id),
 c AS (SELECT DISTINCT source_file, start_index, can_id FROM wf)
 SELECT source_file, start_index, max(coalesce(gaps >= 2 AND mean_gap < med * 0.5, false)::INT)::BIGINT AS pred_ignore_unseen,
  max((coalesce(gaps >= 2 AND mean_gap < med * 0.5, false) OR p.can_id IS NULL)::INT)::BIGINT AS pred_unseen_attack
 FROM c LEFT JOIN iv USING (source_file, start_index, can_id) LEFT JOIN p ON p.can_id = c.can_id GROUP BY ALL""")
 def i3(t: Tables):
-    prof = TL.timing_profile(t.frames.where("source_file <> 'src_3'"), 400000.0).where("frames > 40")
+    prof = TL.timing_profile(t.split.where("split = 'train'"), 400000.0)
     d = DE.detect_timing(WN.window_id_intervals(t.frames, SRC), WN.window_id_counts(t.frames, SRC), prof, ["source_file", "start_index"], min_gaps=2)
     return d.select("source_file", "start_index", *[F.col(c).cast("long").alias(c) for c in ("pred_ignore_unseen", "pred_unseen_attack")])
 

@@ -137,7 +137,7 @@ CTES["un"] = "SELECT setting, unit, unit % 3 AS stratum, avg((score >= 0.5)::INT
 def _boot_sql(own, label):
     part = ", ".join(own)
     return f"""(SELECT setting, b, avg(rate) AS m FROM (
- SELECT s.setting, s.b, r.rate FROM (SELECT {part}, rk, n, b, floor(('0x' || substr(md5(concat_ws('|', 3, {label}, b, rk)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT + 1 AS pick FROM ru, (SELECT unnest(range(200)) AS b)) s
+ SELECT s.setting, s.b, r.rate FROM (SELECT {part}, rk, n, b, floor(('0x' || substr(md5(concat_ws('|', 3, {label}, b, rk)), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT + 1 AS pick FROM ru, (SELECT unnest(range(2000)) AS b)) s
  JOIN ru r ON {' AND '.join(f's.{c} = r.{c}' for c in own)} AND r.rk = s.pick) GROUP BY ALL)"""
 
 
@@ -152,13 +152,13 @@ def unit_rates(t: Tables):
 
 @query("k14_bootstrap", f"WITH ru AS ({_ru(['setting'])}) SELECT u.setting, any_value(u.c) AS units, round(any_value(u.m), 6) AS mean, round(quantile_cont(b.m, 0.025), 6) AS ci_low, round(quantile_cont(b.m, 0.975), 6) AS ci_high FROM {_boot_sql(['setting'], 'setting')} b JOIN (SELECT setting, count(*) AS c, avg(rate) AS m FROM un GROUP BY setting) u ON u.setting = b.setting GROUP BY u.setting")
 def k14(t: Tables):
-    d = ST.bootstrap_ci(unit_rates(t), ["setting"], "rate", "unit", 200, 3)
+    d = ST.bootstrap_ci(unit_rates(t), ["setting"], "rate", "unit", 2000, 3)
     return r6(d, "mean", "ci_low", "ci_high", keep=("setting", "units"))
 
 
 @query("k15_bootstrap_strata", f"WITH ru AS ({_ru(['setting', 'stratum'])}) SELECT setting, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM {_boot_sql(['setting', 'stratum'], "setting || '/' || stratum")} GROUP BY setting")
 def k15(t: Tables):
-    d = ST.bootstrap_ci(unit_rates(t), ["setting"], "rate", "unit", 200, 3, stratum=["stratum"])
+    d = ST.bootstrap_ci(unit_rates(t), ["setting"], "rate", "unit", 2000, 3, stratum=["stratum"])
     return r6(d, "ci_low", "ci_high", keep=("setting",))
 
 

@@ -15,7 +15,6 @@ from busline.schema import BYTES, FRAME_SCHEMA, HEX_CSV_SCHEMA
 from busline.session import landed
 
 REJECT_PREFIX = 160
-BLOCK_LIMIT = 1_000_000  # rows of about 100 bytes: file blocks of some 120 TB
 
 
 def read_lines(spark: SparkSession, paths) -> DataFrame:
@@ -25,9 +24,8 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     number of lines in the blocks before it, so a file of any size is read by
     many tasks.  Both scans see the same blocks; a mismatch raises.
 
-    The block table has one row per file block.  It is written first and
-    counted: up to ``BLOCK_LIMIT`` rows it is broadcast, so the text itself is
-    never shuffled; a larger one is joined by key.
+    The block table has one row per file block.  It is written first, so Spark
+    knows its size and decides how to join it.
     """
     raw = spark.read.text(paths)
     extra = [c for c in raw.columns if c != "value"]
@@ -42,8 +40,7 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     before = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     blocks = landed(blocks, "blocks")
-    side = F.broadcast(blocks) if blocks.count() <= BLOCK_LIMIT else blocks
-    out = raw.join(side, ["path", "_block"], "left")
+    out = raw.join(blocks, ["path", "_block"], "left")
     number = F.col("_id") - F.col("_first") + F.col("_before") + 1
     checked = F.when(number.isNull(), F.raise_error(F.lit("file blocks changed between scans")).cast("long"))
     return out.select("path", checked.otherwise(number).alias("line_no"), "value", *extra).where(
