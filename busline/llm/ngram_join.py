@@ -42,7 +42,9 @@ WORDS = 3
 SHARE = (9, 10)  # Jaccard of 90 to 100
 COUNTERS = 1 << 20  # of token hashes; a bit of each is sent to every task
 SLICES = 64
-PARITY = 1024  # bits of the second parity test
+NEAR_BITS = 256  # bits of the parity test while candidates are made
+PARITY = 2048  # bits of the second parity test
+BITS = tuple(f"b{i}" for i in range(NEAR_BITS // 64))
 BLOCK = 4096  # records compared in one go for one token
 
 
@@ -90,43 +92,41 @@ def long_lists(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def records(docs: DataFrame, long: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, id, n, prefix, n_short, b0, b1, parity) of each document."""
+    """(doc_id, text_hash, id, n, prefix, n_short, near, parity) of each document."""
     src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(long))  # COUNTERS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         is_long = np.unpackbits(shared.value).astype(bool)
-        ids, sizes, prefixes, shorts, b0, b1, wide = [], [], [], [], [], [], []
+        ids, sizes, prefixes, shorts, near, wide = [], [], [], [], [], []
         for s in shingle_sets(batch.column(2).to_pylist()):
             n = len(s)
             digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
             late = is_long[_counter(s)]
             take = n - -(-SHARE[0] * n // SHARE[1]) + 1 if n else 0
             short = s[~late][:take]
-            full = np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITY) & 1
-            parity = np.packbits(full.reshape(128, -1).sum(axis=1) & 1).tobytes()
+            full = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITY) & 1
+            near.append(np.packbits(full.reshape(NEAR_BITS, -1).sum(axis=1) & 1).view(np.int64).tolist())
             wide.append(np.packbits(full).view(np.int64).tolist())
             ids.append(int.from_bytes(digest, "little", signed=True))
             sizes.append(n)
             prefixes.append(np.concatenate([short, s[late][: take - len(short)]]).view(np.int64).tolist())
             shorts.append(len(short))
-            b0.append(int.from_bytes(parity[:8], "little", signed=True))
-            b1.append(int.from_bytes(parity[8:], "little", signed=True))
-        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(b0, pa.int64()), pa.array(b1, pa.int64()), pa.array(wide, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "b0", "b1", "parity"])
+        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "near", "parity"])
 
     key_type = src.schema["doc_id"].dataType.simpleString()
-    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, b0 long, b1 long, parity array<long>", "__text", rows=512)
+    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, near array<long>, parity array<long>", "__text", rows=512)
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value
 
 
-def _run_pairs(ids: np.ndarray, n: np.ndarray, b0: np.ndarray, b1: np.ndarray, side: np.ndarray):
+def _run_pairs(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray):
     """Pairs of a block that pass the size and parity tests; across sides if the block has two."""
     order = np.argsort(n, kind="stable")
-    ids, n, b0, b1, side = ids[order], n[order], b0[order], b1[order], side[order]
+    ids, n, bits, side = ids[order], n[order], bits[:, order], side[order]
     two = side.any() and not side.all()
     step = max(1, (1 << 20) // max(1, len(n)))
     for at in range(0, len(n), step):
@@ -137,7 +137,7 @@ def _run_pairs(ids: np.ndarray, n: np.ndarray, b0: np.ndarray, b1: np.ndarray, s
         ok = (other > rows[:, None]) & (SHARE[1] * n[rows][:, None] >= SHARE[0] * n[other])
         if two:
             ok &= side[rows][:, None] != side[other]
-        apart = _popcount(b0[rows][:, None] ^ b0[other]) + _popcount(b1[rows][:, None] ^ b1[other])
+        apart = sum(_popcount(b[rows][:, None] ^ b[other]) for b in bits)
         ok &= apart <= total - 2 * least_overlap(total, 0)
         i, j = np.nonzero(ok & (ids[rows][:, None] != ids[other]))
         a, b = ids[rows[i]], ids[other[j]]
@@ -150,18 +150,18 @@ def candidates(reps: DataFrame) -> DataFrame:
     Rows of a token lie together in a task, sorted; tokens with more than
     ``BLOCK`` records are dealt out as pairs of blocks.
     """
-    flat = reps.select("id", "n", "n_short", "b0", "b1", F.posexplode("prefix").alias("pos", "token"))
-    flat = flat.select("token", "id", F.col("n").cast("int").alias("n"), "b0", "b1", (F.col("pos") >= F.col("n_short")).alias("late"))
+    flat = reps.select("id", "n", "n_short", *[F.get("near", i).alias(b) for i, b in enumerate(BITS)], F.posexplode("prefix").alias("pos", "token"))
+    flat = flat.select("token", "id", F.col("n").cast("int").alias("n"), *BITS, (F.col("pos") >= F.col("n_short")).alias("late"))
     large = flat.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     large = landed(large, "ngram-large")
     dealt = flat.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "n", "b0", "b1")
+    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "n", *BITS)
 
     def run(batches):
         kept = None
         for batch in batches:
-            t = {c: np.asarray(batch.column(c)) for c in ("token", "p", "q", "id", "n", "b0", "b1")}
+            t = {c: np.asarray(batch.column(c)) for c in ("token", "p", "q", "id", "n", *BITS)}
             t["side"] = np.asarray(batch.column("side").to_pylist(), bool)
             if kept is not None:
                 t = {c: np.concatenate([kept[c], t[c]]) for c in t}
@@ -176,7 +176,7 @@ def candidates(reps: DataFrame) -> DataFrame:
         xs, ys = [], []
         for a, b in zip(heads[:-1], heads[1:]):
             if b - a > 1:
-                for x, y in _run_pairs(*(t[c][a:b] for c in ("id", "n", "b0", "b1", "side"))):
+                for x, y in _run_pairs(t["id"][a:b], t["n"][a:b], np.stack([t[c][a:b] for c in BITS]), t["side"][a:b]):
                     xs.append(x)
                     ys.append(y)
         if xs:
@@ -270,7 +270,7 @@ def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row."""
     found = landed(records(docs, long_lists(docs, text), key=key, text=text), "ngram-records")
-    traits = ("n", "prefix", "n_short", "b0", "b1", "parity")
+    traits = ("n", "prefix", "n_short", "near", "parity")
     reps = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in traits])
     reps = landed(reps, "ngram-sets")
     pairs = landed(near_enough(candidates(reps), reps), "ngram-pairs")

@@ -153,8 +153,8 @@ def test_block_tests_lose_no_pair():
         s = base[: rng.integers(90, 120)].copy()
         s[rng.integers(0, len(s), 5)] = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
         sets.append(np.unique(s))
-    parity = [np.packbits(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=128) & 1).view(np.int64) for s in sets]
-    args = np.arange(60), np.array([len(s) for s in sets], np.int32), np.array([p[0] for p in parity]), np.array([p[1] for p in parity])
+    parity = [np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for s in sets]
+    args = np.arange(60), np.array([len(s) for s in sets], np.int32), np.array(parity).T
     found = {(int(a), int(b)) for x, y in ngram_join._run_pairs(*args, np.zeros(60, bool)) for a, b in zip(x, y)}
     for i, j in itertools.combinations(range(60), 2):
         common = len(np.intersect1d(sets[i], sets[j]))
