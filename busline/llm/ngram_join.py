@@ -11,8 +11,7 @@ A candidate list is then searched with DivideSkip: the long lists among the
 query's tokens are set aside, the short ones are merged with a heap, and records
 that can still reach T are looked up in the long ones by binary search.
 
-Equal sets are one record from the start. Candidates that a longer parity allows
-are verified in two rounds: first the nearest one of each record, then those
+Equal sets are one record from the start. Candidates are verified in two rounds: first the nearest one of each record, then those
 that the links so far leave in different components. A link inside a component
 that is known already changes nothing.
 
@@ -42,9 +41,7 @@ WORDS = 3
 SHARE = (9, 10)  # Jaccard of 90 to 100
 COUNTERS = 1 << 20  # of token hashes; a bit of each is sent to every task
 SLICES = 64
-NEAR_BITS = 256  # bits of the parity test while candidates are made
-PARITY = 2048  # bits of the second parity test
-BITS = tuple(f"b{i}" for i in range(NEAR_BITS // 64))
+PARITY = 256  # bits of the parity test for up to four times as many tokens; eight times as many for each eightfold size
 BLOCK = 4096  # records compared in one go for one token
 
 
@@ -92,102 +89,137 @@ def long_lists(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def records(docs: DataFrame, long: np.ndarray, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, id, n, prefix, n_short, near, parity) of each document."""
+    """(doc_id, text_hash, id, n, prefix, n_short, parity) of each document."""
     src = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("__text"))
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(long))  # COUNTERS / 8 bytes
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         is_long = np.unpackbits(shared.value).astype(bool)
-        ids, sizes, prefixes, shorts, near, wide = [], [], [], [], [], []
+        ids, sizes, prefixes, shorts, wide = [], [], [], [], []
         for s in shingle_sets(batch.column(2).to_pylist()):
             n = len(s)
             digest = hashlib.blake2b(s.tobytes(), digest_size=8).digest()
             late = is_long[_counter(s)]
             take = n - -(-SHARE[0] * n // SHARE[1]) + 1 if n else 0
             short = s[~late][:take]
-            full = np.bincount((s >> np.uint64(53)).astype(np.int64), minlength=PARITY) & 1
-            near.append(np.packbits(full.reshape(NEAR_BITS, -1).sum(axis=1) & 1).view(np.int64).tolist())
-            wide.append(np.packbits(full).view(np.int64).tolist())
+            wide.append(parity_bits(s).tobytes())
             ids.append(int.from_bytes(digest, "little", signed=True))
             sizes.append(n)
             prefixes.append(np.concatenate([short, s[late][: take - len(short)]]).view(np.int64).tolist())
             shorts.append(len(short))
-        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "near", "parity"])
+        cols = [pa.array(x, pa.int64()) for x in (ids, sizes)] + [pa.array(prefixes, pa.list_(pa.int64())), pa.array(shorts, pa.int32()), pa.array(wide, pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], names=["doc_id", "text_hash", "id", "n", "prefix", "n_short", "parity"])
 
     key_type = src.schema["doc_id"].dataType.simpleString()
-    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, near array<long>, parity array<long>", "__text", rows=512)
+    return arrow_map(src, run, f"doc_id {key_type}, text_hash long, id long, n long, prefix array<long>, n_short int, parity binary", "__text", rows=512)
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x.view(np.uint64)).astype(np.int64)  # of signed numbers it would count the absolute value
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Bytes with a bit per hash class of the tokens: is the number of tokens in it odd?"""
+    bits = PARITY
+    while len(s) > 4 * bits:
+        bits *= 8
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little")
 
 
-def _run_pairs(ids: np.ndarray, n: np.ndarray, bits: np.ndarray, side: np.ndarray):
-    """Pairs of a block that pass the size and parity tests; across sides if the block has two."""
+def fold(parity: np.ndarray, size: int) -> np.ndarray:
+    """The parity with fewer classes, ``size`` bytes; rows of a matrix one by one."""
+    while parity.shape[-1] > size:
+        half = parity.shape[-1] // 2
+        parity = parity[..., :half] ^ parity[..., half:]
+    return np.ascontiguousarray(parity)
+
+
+def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray):
+    """(x, y, apart) of pairs of a block that pass the size and parity tests; across sides if the block has two.
+
+    ``apart`` is the parity difference per mille of the two sizes.
+    """
     order = np.argsort(n, kind="stable")
-    ids, n, bits, side = ids[order], n[order], bits[:, order], side[order]
+    ids, n, side = ids[order], n[order], side[order]
+    width = np.array([len(parity[i]) for i in order])
+    first = {w: int(np.argmax(width == w)) for w in set(width.tolist())}  # rows of a width follow each other
+    bits = {w: np.frombuffer(b"".join(parity[i] for i in order if len(parity[i]) == w), np.uint8).reshape(-1, w) for w in first}
     two = side.any() and not side.all()
-    step = max(1, (1 << 20) // max(1, len(n)))
+    step = max(1, (1 << 18) // max(1, len(n)))
     for at in range(0, len(n), step):
         rows = np.arange(at, min(at + step, len(n)))
         last = int(np.searchsorted(n, SHARE[1] * n[rows[-1]] // SHARE[0], side="right"))
         other = np.arange(at, last)
-        total = n[rows][:, None] + n[other]
-        ok = (other > rows[:, None]) & (SHARE[1] * n[rows][:, None] >= SHARE[0] * n[other])
+        ok = (other > rows[:, None]) & (SHARE[1] * n[rows][:, None] >= SHARE[0] * n[other]) & (ids[rows][:, None] != ids[other])
         if two:
             ok &= side[rows][:, None] != side[other]
-        apart = sum(_popcount(b[rows][:, None] ^ b[other]) for b in bits)
-        ok &= apart <= total - 2 * least_overlap(total, 0)
-        i, j = np.nonzero(ok & (ids[rows][:, None] != ids[other]))
-        a, b = ids[rows[i]], ids[other[j]]
-        yield np.minimum(a, b), np.maximum(a, b)
+        i, j = np.nonzero(ok)
+        i, j = rows[i], other[j]
+        for v, w in set(zip(width[i].tolist(), width[j].tolist())):
+            chosen = np.flatnonzero((width[i] == v) & (width[j] == w))
+            for c in range(0, len(chosen), max(1, (1 << 23) // w)):
+                a, b = i[chosen[c : c + max(1, (1 << 23) // w)]], j[chosen[c : c + max(1, (1 << 23) // w)]]
+                apart = np.bitwise_count(bits[v][a - first[v]] ^ fold(bits[w][b - first[w]], v)).sum(axis=1).astype(np.int64)
+                total = (n[a] + n[b]).astype(np.int64)
+                good = apart <= total - 2 * least_overlap(total, 0)
+                x, y = ids[a[good]], ids[b[good]]
+                yield np.minimum(x, y), np.maximum(x, y), 1000 * apart[good] // total[good]
+
+
+def _runs(batches, keys: list[str]):
+    """Tables of whole runs of equal keys from sorted batches, with the places where runs begin."""
+    kept = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch]) if kept is None else pa.concat_tables([kept, pa.Table.from_batches([batch])]).combine_chunks()
+        cols = [np.asarray(t.column(k)) for k in keys]
+        change = np.zeros(len(t) - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        heads = np.concatenate([[0], np.flatnonzero(change) + 1])
+        if len(heads) > 1:
+            yield t.slice(0, int(heads[-1])), heads
+        kept = t.slice(int(heads[-1]))
+    if kept is not None:
+        yield kept, np.array([0, len(kept)])
+
+
+def shared_tokens(reps: DataFrame) -> DataFrame:
+    """(token, id, late) of prefix tokens that more than one record has."""
+    flat = reps.select("id", "n_short", F.posexplode("prefix").alias("pos", "token")).select("token", "id", (F.col("pos") >= F.col("n_short")).alias("late"))
+
+    def run(batches):
+        for t, heads in _runs(batches, ["token"]):
+            size = np.diff(heads)
+            many = np.flatnonzero(np.repeat(size > 1, size))
+            if len(many):
+                yield from t.take(pa.array(many)).combine_chunks().to_batches()
+
+    return flat.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, late boolean")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(x, y) of records that share a prefix token and may reach the overlap.
+    """(x, y, apart) of records that share a prefix token and may reach the overlap.
 
     Rows of a token lie together in a task, sorted; tokens with more than
     ``BLOCK`` records are dealt out as pairs of blocks.
     """
-    flat = reps.select("id", "n", "n_short", *[F.get("near", i).alias(b) for i, b in enumerate(BITS)], F.posexplode("prefix").alias("pos", "token"))
-    flat = flat.select("token", "id", F.col("n").cast("int").alias("n"), *BITS, (F.col("pos") >= F.col("n_short")).alias("late"))
-    large = flat.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    large = landed(large, "ngram-large")
-    dealt = flat.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    shared = landed(shared_tokens(reps), "ngram-shared")
+    large = shared.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = shared.join(landed(large, "ngram-large"), "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "n", *BITS)
+    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id")
+    dealt = dealt.join(reps.select("id", F.col("n").cast("int").alias("n"), "parity"), "id").select("token", "p", "q", "side", "id", "n", "parity")
 
     def run(batches):
-        kept = None
-        for batch in batches:
-            t = {c: np.asarray(batch.column(c)) for c in ("token", "p", "q", "id", "n", *BITS)}
-            t["side"] = np.asarray(batch.column("side").to_pylist(), bool)
-            if kept is not None:
-                t = {c: np.concatenate([kept[c], t[c]]) for c in t}
-            change = (np.diff(t["token"]) != 0) | (np.diff(t["p"]) != 0) | (np.diff(t["q"]) != 0)
-            heads = np.concatenate([[0], np.flatnonzero(change) + 1])
-            yield from emit({c: v[: heads[-1]] for c, v in t.items()}, heads)
-            kept = {c: v[heads[-1] :] for c, v in t.items()}
-        if kept is not None:
-            yield from emit(kept, np.array([0, len(kept["id"])]))
-
-    def emit(t, heads):
-        xs, ys = [], []
-        for a, b in zip(heads[:-1], heads[1:]):
-            if b - a > 1:
-                for x, y in _run_pairs(t["id"][a:b], t["n"][a:b], np.stack([t[c][a:b] for c in BITS]), t["side"][a:b]):
-                    xs.append(x)
-                    ys.append(y)
-        if xs:
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            pairs = np.unique(np.stack([x, y], axis=1), axis=0)
-            for at in range(0, len(pairs), 10_000):
-                part = pairs[at : at + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["x", "y"])
+        for t, heads in _runs(batches, ["token", "p", "q"]):
+            ids, n, side = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool)
+            parity, found = t.column("parity"), []
+            for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
+                if b - a > 1:
+                    found += [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b])]
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                for at in range(0, len(pairs), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[at : at + 10_000].T], names=["x", "y", "apart"])
 
     keys = ["token", "p", "q"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long, apart long").distinct()
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int], mu: float = 0.01) -> list[bool]:
@@ -257,23 +289,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def near_enough(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(x, y, apart) of pairs whose sizes and ``PARITY``-bit parities allow the overlap."""
-    of = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
-    both = pairs.join(of("y"), "y").join(of("x"), "x")
-    bits = [F.bit_count(F.get("parity_x", i).bitwiseXOR(F.get("parity_y", i))) for i in range(PARITY // 64)]
-    total, (a, b) = F.col("n_x") + F.col("n_y"), SHARE
-    need = F.ceil(a * total / F.lit(float(a + b)) - F.lit(1e-9))
-    return both.select("x", "y", sum(bits[1:], bits[0]).alias("apart"), total.alias("total"), need.alias("need")).filter(F.col("apart") <= F.col("total") - 2 * F.col("need")).select("x", "y", "apart")
-
-
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id) of every row."""
     found = landed(records(docs, long_lists(docs, text), key=key, text=text), "ngram-records")
-    traits = ("n", "prefix", "n_short", "near", "parity")
+    traits = ("n", "prefix", "n_short", "parity")
     reps = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in traits])
     reps = landed(reps, "ngram-sets")
-    pairs = landed(near_enough(candidates(reps), reps), "ngram-pairs")
+    pairs = landed(candidates(reps), "ngram-pairs")
     needed = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     wanted = landed(reps.select("id", "rep").join(needed, "id").select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b")), "ngram-wanted")
     texts = docs.select(F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"), F.col(text).alias("__text"))

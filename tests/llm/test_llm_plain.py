@@ -153,9 +153,9 @@ def test_block_tests_lose_no_pair():
         s = base[: rng.integers(90, 120)].copy()
         s[rng.integers(0, len(s), 5)] = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
         sets.append(np.unique(s))
-    parity = [np.packbits(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1).view(np.int64) for s in sets]
-    args = np.arange(60), np.array([len(s) for s in sets], np.int32), np.array(parity).T
-    found = {(int(a), int(b)) for x, y in ngram_join._run_pairs(*args, np.zeros(60, bool)) for a, b in zip(x, y)}
+    parity = [ngram_join.parity_bits(s).tobytes() for s in sets]
+    args = np.arange(60), np.array([len(s) for s in sets], np.int32), parity
+    found = {(int(a), int(b)) for x, y, _ in ngram_join._run_pairs(*args, np.zeros(60, bool)) for a, b in zip(x, y)}
     for i, j in itertools.combinations(range(60), 2):
         common = len(np.intersect1d(sets[i], sets[j]))
         link = 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common)
@@ -163,6 +163,17 @@ def test_block_tests_lose_no_pair():
         assert not link or (i, j) in found
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(10)
+    for n in (0, 5, 1024, 1025, 40_000):
+        s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        t = np.unique(np.concatenate([s[: n - n // 20], rng.integers(0, 1 << 63, n // 25, dtype=np.uint64)]))
+        a, b = ngram_join.parity_bits(s), ngram_join.parity_bits(t)
+        small = min(len(a), len(b))
+        apart = np.bitwise_count(ngram_join.fold(a, small) ^ ngram_join.fold(b, small)).sum()
+        assert apart <= len(np.setxor1d(s, t)) and len(a) * 8 >= len(s) / 4
+
+
 def test_best_stretch_equals_brute_force():
     rng = np.random.default_rng(7)
     for _ in range(200):
