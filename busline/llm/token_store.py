@@ -95,20 +95,29 @@ class UnitEncoder:
             self.known, self.older = {}, self.known
         known = self.known
         new = set().union(*units).difference(known)
-        for u in [u for u in new if u in self.older]:
+        again = self.older.keys() & new
+        for u in again:
             known[u] = self.older[u]
-            new.discard(u)
-        order = list(new)
+        order = list(new - again)
         known.update(self._units(order))
         out = [b"".join(map(known.__getitem__, us)) for us in units]
-        for u in order:
-            if len(u) > 40:
-                del known[u]
+        for u in [u for u in order if len(u) > 40]:
+            del known[u]
         for i, b in zip(whole, self._bytes([texts[i] for i in whole])):
             out[i] = b
         return out
 
 
+_ENCODERS: dict[tuple[str, int], UnitEncoder] = {}
+
+
+def _encoder(path: str, width: int) -> UnitEncoder:
+    """One encoder per worker process: later tasks find the vocabulary loaded and most units known."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = UnitEncoder(path, width)
+    return _ENCODERS[path, width]
+
+
 @dataclass
 class Store:
     folder: str
@@ -135,7 +144,7 @@ def write_store(df: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
     key_type = rows.schema["key"].dataType.simpleString()
 
     def write(batches):
-        enc = UnitEncoder(tokenizer, width)
+        enc = _encoder(tokenizer, width)
         end = np.array([end_id], enc.type).tobytes()
         ctx = TaskContext.get()
         fs, root = open_fs(f"{folder}/ids")
