@@ -305,9 +305,18 @@ def variant_set(normals: DataFrame, n_normal: int, n_attack: int, seed: int, key
 
 # Burst length, step and amplitude of the low, medium and high severity per family.
 SEVERITIES = [
-    {"attack_type": a, "severity": s, "burst_len": n, "burst_step": st, "amplitude": amp}
-    for a, steps in (("DoS", (3, 2, 1)), ("Fuzzy", (4, 3, 1)), ("Gear", (4, 2, 1)), ("RPM", (4, 2, 1)))
-    for s, n, st, amp in zip(("low", "medium", "high"), (24, 48, 96), steps, (0.25, 0.5, 1.0))
+    {"attack_type": "DoS", "severity": "low", "burst_len": 24, "burst_step": 3, "amplitude": 0.25},
+    {"attack_type": "DoS", "severity": "medium", "burst_len": 48, "burst_step": 2, "amplitude": 0.5},
+    {"attack_type": "DoS", "severity": "high", "burst_len": 96, "burst_step": 1, "amplitude": 1.0},
+    {"attack_type": "Fuzzy", "severity": "low", "burst_len": 24, "burst_step": 4, "amplitude": 0.25},
+    {"attack_type": "Fuzzy", "severity": "medium", "burst_len": 48, "burst_step": 3, "amplitude": 0.5},
+    {"attack_type": "Fuzzy", "severity": "high", "burst_len": 96, "burst_step": 1, "amplitude": 1.0},
+    {"attack_type": "Gear", "severity": "low", "burst_len": 24, "burst_step": 4, "amplitude": 0.25},
+    {"attack_type": "Gear", "severity": "medium", "burst_len": 48, "burst_step": 2, "amplitude": 0.5},
+    {"attack_type": "Gear", "severity": "high", "burst_len": 96, "burst_step": 1, "amplitude": 1.0},
+    {"attack_type": "RPM", "severity": "low", "burst_len": 24, "burst_step": 4, "amplitude": 0.25},
+    {"attack_type": "RPM", "severity": "medium", "burst_len": 48, "burst_step": 2, "amplitude": 0.5},
+    {"attack_type": "RPM", "severity": "high", "burst_len": 96, "burst_step": 1, "amplitude": 1.0},
 ]
 
 
@@ -344,11 +353,14 @@ def severity_set(normals: DataFrame, n_normal: int, n_each: int, seed: int, grid
 
 
 def _id_grid(length: int, step: int) -> list[dict]:
-    rows = []
-    for name, mode in (("Gear", "gear"), ("RPM", "rpm")):
-        for cond, ident in zip(("canonical", "shifted"), TARGET_IDS[mode]):
-            rows.append({"attack_type": name, "id_condition": cond, "target_id": ident, "burst_len": length, "burst_step": step})
-    return rows
+    """Both families with their canonical and their shifted id."""
+    burst = {"burst_len": length, "burst_step": step}
+    return [
+        {"attack_type": "Gear", "id_condition": "canonical", "target_id": TARGET_IDS["gear"][0], **burst},
+        {"attack_type": "Gear", "id_condition": "shifted", "target_id": TARGET_IDS["gear"][1], **burst},
+        {"attack_type": "RPM", "id_condition": "canonical", "target_id": TARGET_IDS["rpm"][0], **burst},
+        {"attack_type": "RPM", "id_condition": "shifted", "target_id": TARGET_IDS["rpm"][1], **burst},
+    ]
 
 
 def id_shift_set(normals: DataFrame, n_normal: int, n_each: int, seed: int, key="wkey") -> DataFrame:

@@ -99,6 +99,7 @@ VEHICLES = {
     "set_1": {"known": "car C", "unknown": "car D"},
     "set_2": {"known": "car E", "unknown": "car F"},
 }
+# Folder names of the subsets.
 _SUBSETS = ["train_01", "test_01_known_vehicle_known_attack", "test_02_unknown_vehicle_known_attack",
             "test_03_known_vehicle_unknown_attack", "test_04_unknown_vehicle_unknown_attack"]
 

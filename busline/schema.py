@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Columns, defaults and schemas of the frame format.
 BYTES = [f"data{i}" for i in range(8)]
 CHANNELS = ["can_id", "dlc", *BYTES, "delta_t"]
 
@@ -21,6 +22,7 @@ MAX_ID = 2047
 # spans of this many order units and stitched together by span totals.
 SPAN = 1 << 20
 
+# Columns of the frame table, in order.
 FRAME_SCHEMA = T.StructType(
     [
         T.StructField("dataset", T.StringType()),

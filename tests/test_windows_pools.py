@@ -101,11 +101,13 @@ def test_padding_violation(spark):
 
 
 def test_condition_share(spark):
-    rows = [(1, c, n, c, n) for c, n in A.CLASSES.items()]
-    rows[2] = (1, 3, "Gear", 4, "Gear")
+    names = {c: n for c, n in A.CLASSES.items()}
+    rows = [(1, c, names[c], c, names[c]) for c in (1, 1, 2, 3, 4)]
+    rows += [(1, 4, names[4], 2, names[4]), (1, 1, names[1], 1, names[2])]
     d = spark.createDataFrame(rows, "y_binary int, y_attack_type int, synthetic_type string, condition_label int, condition_name string")
     r = AU.condition_audit(d, A.CLASSES).first()
-    assert (r.condition_label_share, r.all_share, r.all_valid, r.name_share) == (0.75, 0.75, False, 1.0)
+    assert r.condition_label_share == pytest.approx(6 / 7) and r.condition_name_share == pytest.approx(6 / 7) and r.name_share == 1.0
+    assert r.all_share == pytest.approx(5 / 7) and not r.all_valid
 
 
 def test_balanced_quotas_and_strict_error(spark):
@@ -120,19 +122,27 @@ def test_balanced_quotas_and_strict_error(spark):
     assert {r.cls: r["count"] for r in b} == {1: 8, 2: 8, 3: 8, 4: 7}
 
 
-def test_purged_blocks(spark):
+def test_purged_groups_of_uneven_classes(spark):
+    groups = {1: 3, 2: 7, 3: 2}
     rows = []
-    for c in (1, 2, 3, 4):
-        for b in range(12):
-            rows.append((f"f{c}", b * 4096, b * 4096 + 127, c))
-        rows.append((f"f{c}", 4096 - 64, 4096 + 63, c))
-    w = spark.createDataFrame(rows, "source_file string, start_index long, end_index long, y_attack_type int")
-    out = S.purged_split(w, 4096, 1, ["source_file"]).collect()
-    assert len(out) == 48
+    for cls, n in groups.items():
+        for seg in range(2):
+            for g in range(n):
+                at = g * 256
+                rows += [(f"log{cls}", seg, at + s, at + s + 63, cls) for s in (0, 64, 192)]
+                rows.append((f"log{cls}", seg, at + 224, at + 287, cls))  # reaches into the next group
+    schema = "source_file string, segment_id long, start_index long, end_index long, y_attack_type int"
+    w = spark.createDataFrame([*rows, ("log1", 0, 5, 68, 0)], schema)
     parts = {}
-    for r in out:
-        parts.setdefault(r.y_attack_type, {}).setdefault(r.part, set()).add(r.group)
-    assert all(not p["train"] & p["test"] and len(p["test"]) == 4 for p in parts.values())
+    for r in S.purged_split(w, 256, 4, ["source_file", "segment_id"]).collect():
+        assert r.start_index // 256 == r.end_index // 256 and r.y_attack_type > 0
+        parts.setdefault(r.y_attack_type, {}).setdefault(r.part, []).append(r.group)
+    for cls, n in groups.items():
+        test, train = set(parts[cls]["test"]), set(parts[cls]["train"])
+        assert not test & train and len(test | train) == 2 * n and len(test) == max(1, round(0.3 * 2 * n))
+        assert len(parts[cls]["test"]) == 3 * len(test)
+    with pytest.raises(Exception, match="fewer than two groups"):
+        S.purged_split(spark.createDataFrame([("a", 0, 0, 63, 1), ("a", 0, 300, 363, 2), ("b", 0, 0, 63, 2)], schema), 256, 4, ["source_file"]).collect()
 
 
 @pytest.mark.parametrize("chunk", [40, 128, 1000, 10**6])
