@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from busline.session import landed, scratch_dir
 
-__all__ = ["arrow_map", "landed", "open_fs", "read_table", "scratch_dir", "slices"]
+__all__ = ["arrow_map", "discard", "landed", "open_fs", "read_table", "scratch_dir", "slices"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stage tables of ``landed`` that nothing reads any more: all that was made from them is itself written."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            fs, path = open_fs(folder)
+            fs.delete_dir(path)
+
+
 def open_fs(uri: str):
     """File system and path of a folder that all executors share (file, hdfs, s3, gs, abfs)."""
     from pyarrow import fs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import landed
+from busline.llm.common import discard, landed
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     now = landed(down(edges), "cc")
     state = None
     for _ in range(rounds):
-        now = landed(down(_small(down(_large(now)))), "cc")
+        before, now = now, landed(down(_small(down(_large(now)))), "cc")
+        discard(before)
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == state:
             break

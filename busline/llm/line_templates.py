@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import landed
+from busline.llm.common import discard, landed
 
 LEAST = 8  # unrelated documents
 SHARE = 0.2  # of the documents that have the template
@@ -69,6 +69,7 @@ def recurring_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     often = lines.select(F.explode("templates").alias("template")).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("template")
     rows = lines.select("a", "b", "f1", "f2", "line", F.explode("templates").alias("template"))
     found = landed(rows.join(often, "template", "left_semi"), "line-templates")
+    discard(lines)
     chosen = unrelated(found)
     # a template may be in a third of all lines: its rows are dealt out over 32 keys
     salt = F.pmod(F.col("b"), F.lit(32)).cast("int")

@@ -14,16 +14,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busline.llm import bpe, decontaminate, line_templates, ngram_join, quality
-from busline.llm.common import landed, read_table
+from busline.llm.common import discard, landed, read_table
 from busline.llm.queries import vocabulary
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with a score of 0.5 and more; scores come from the text alone."""
     labels = read_table(spark, sf_dir, "labels")
-    featured = landed(quality.with_features(docs, keep=docs.columns), "pipeline-features")
-    ranker = quality.train(featured, labels)
-    scored = quality.score(featured, ranker, keep=docs.columns, names=("__score", "__predicted"))
+    known = landed(quality.with_features(docs, keep=["doc_id"]), "pipeline-features")
+    ranker = quality.train(known, labels)
+    discard(known)
+    # features again, rather than the texts written with them
+    scored = quality.score(quality.with_features(docs, keep=docs.columns), ranker, keep=docs.columns, names=("__score", "__predicted"))
     return scored.filter("__predicted = 1").select(*docs.columns)
 
 
