@@ -11,9 +11,11 @@ A candidate list is then searched with DivideSkip: the long lists among the
 query's tokens are set aside, the short ones are merged with a heap, and records
 that can still reach T are looked up in the long ones by binary search.
 
-Equal sets are one record from the start. Candidates are verified in two rounds: first the nearest one of each record, then those
-that the links so far leave in different components. A link inside a component
-that is known already changes nothing.
+Equal sets are one record from the start. Candidates are made and verified in
+two rounds: first the nearest one of each record and token, a number in
+proportion to the input, then those that the links so far leave in different
+components. A link inside a component that is known already changes nothing, so
+a large group of near copies does not become all its pairs.
 
 Defined cases: null or empty texts have no shingles and link with nothing; fewer
 than three words are one shingle; rows that repeat a doc_id are records of their
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from busline.llm.common import arrow_map, landed
+from busline.llm.common import arrow_map, discard, landed
 from busline.llm.components import components
 from busline.llm.hashing import sequences, word_hashes
 
@@ -130,13 +132,13 @@ def fold(parity: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(parity)
 
 
-def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray):
-    """(x, y, apart) of pairs of a block that pass the size and parity tests; across sides if the block has two.
+def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, label: np.ndarray):
+    """(x, y, apart) of pairs of a block with different labels that pass the size and parity tests; across sides if it has two.
 
     ``apart`` is the parity difference per mille of the two sizes.
     """
     order = np.argsort(n, kind="stable")
-    ids, n, side = ids[order], n[order], side[order]
+    ids, n, side, label = ids[order], n[order], side[order], label[order]
     width = np.array([len(parity[i]) for i in order])
     first = {w: int(np.argmax(width == w)) for w in set(width.tolist())}  # rows of a width follow each other
     bits = {w: np.frombuffer(b"".join(parity[i] for i in order if len(parity[i]) == w), np.uint8).reshape(-1, w) for w in first}
@@ -146,7 +148,7 @@ def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.nda
         rows = np.arange(at, min(at + step, len(n)))
         last = int(np.searchsorted(n, SHARE[1] * n[rows[-1]] // SHARE[0], side="right"))
         other = np.arange(at, last)
-        ok = (other > rows[:, None]) & (SHARE[1] * n[rows][:, None] >= SHARE[0] * n[other]) & (ids[rows][:, None] != ids[other])
+        ok = (other > rows[:, None]) & (SHARE[1] * n[rows][:, None] >= SHARE[0] * n[other]) & (label[rows][:, None] != label[other])
         if two:
             ok &= side[rows][:, None] != side[other]
         i, j = np.nonzero(ok)
@@ -193,27 +195,44 @@ def shared_tokens(reps: DataFrame) -> DataFrame:
     return flat.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, late boolean")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of (x, y, apart) rows those that are the nearest of x or of y."""
+    keep = np.zeros(len(pairs), bool)
+    for c in (0, 1):
+        order = np.lexsort((pairs[:, 1 - c], pairs[:, 2], pairs[:, c]))
+        keep[order[np.concatenate([[True], np.diff(pairs[order, c]) != 0])]] = True
+    return pairs[keep]
+
+
+def candidates(shared: DataFrame, large: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """(x, y, apart) of records that share a prefix token and may reach the overlap.
 
-    Rows of a token lie together in a task, sorted; tokens with more than
-    ``BLOCK`` records are dealt out as pairs of blocks.
+    Without ``labels`` only the nearest of each record and token; with them all
+    that are in different components. Rows of a token lie together in a task,
+    sorted; tokens with more than ``BLOCK`` records (``large``) are dealt out as
+    pairs of blocks.
     """
-    shared = landed(shared_tokens(reps), "ngram-shared")
-    large = shared.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
-    dealt = shared.join(landed(large, "ngram-large"), "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
+    dealt = shared.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id")
-    dealt = dealt.join(reps.select("id", F.col("n").cast("int").alias("n"), "parity"), "id").select("token", "p", "q", "side", "id", "n", "parity")
+    rows = reps.select("id", F.col("n").cast("int").alias("n"), "parity")
+    if labels is None:
+        rows = rows.withColumn("label", F.col("id"))
+    else:
+        rows = rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    dealt = dealt.join(rows, "id").select("token", "p", "q", "side", "id", "n", "parity", "label")
+    nearest = labels is None
 
     def run(batches):
         for t, heads in _runs(batches, ["token", "p", "q"]):
-            ids, n, side = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool)
+            ids, n, side, label = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool), np.asarray(t.column("label"))
             parity, found = t.column("parity"), []
             for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                if b - a > 1:
-                    found += [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b])]
-            if found:
+                if b - a > 1 and (label[a:b] != label[a]).any():
+                    own = [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b], label[a:b])]
+                    own = np.concatenate(own) if own else np.zeros((0, 3), np.int64)
+                    found.append(_nearest(own) if nearest and len(own) else own)
+            if sum(map(len, found)):
                 pairs = np.unique(np.concatenate(found), axis=0)
                 for at in range(0, len(pairs), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[at : at + 10_000].T], names=["x", "y", "apart"])
@@ -295,8 +314,12 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     traits = ("n", "prefix", "n_short", "parity")
     reps = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in traits])
     reps = landed(reps, "ngram-sets")
-    pairs = landed(candidates(reps), "ngram-pairs")
-    needed = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
+    shared = landed(shared_tokens(reps), "ngram-shared")
+    large = shared.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
+    large = landed(large, "ngram-large")
+    near = landed(candidates(shared, large, reps).select("x", "y"), "ngram-near")
+    # a record with any candidate has a nearest one, so these are all whose sets are needed
+    needed = near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct()
     wanted = landed(reps.select("id", "rep").join(needed, "id").select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b")), "ngram-wanted")
     texts = docs.select(F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"), F.col(text).alias("__text"))
     chosen = wanted.join(texts, ["a", "b"]).select("id", "__text")
@@ -304,21 +327,18 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["id", "tokens"])
 
-    sets = landed(arrow_map(chosen, tokens, "id long, tokens binary", "__text", rows=256), "ngram-tokens")
+    sets = tokens_of = landed(arrow_map(chosen, tokens, "id long, tokens binary", "__text", rows=256), "ngram-tokens")
     if sets.count() > wanted.count():  # rows that repeat doc_id and text
         sets = sets.dropDuplicates(["id"])
-    # the nearest candidate of each record first
-    ends = pairs.select(F.col("y").alias("id"), "x", "y", "apart").unionByName(pairs.select(F.col("x").alias("id"), "x", "y", "apart"))
-    first = ends.groupBy("id").agg(F.min(F.struct("apart", "x", "y")).alias("m")).select("m.x", "m.y").distinct()
-    links = landed(verified(first, sets), "ngram-links")
+    links = landed(verified(near, sets), "ngram-links")
     labels = landed(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "ngram-labels")
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-    rest = pairs.join(of("x"), "x", "left").join(of("y"), "y", "left")
-    rest = rest.filter(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
-    every = links.unionByName(landed(verified(rest, sets), "ngram-links"))
-    labels = components(every.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    rest = landed(candidates(shared, large, reps, labels).select("x", "y").join(near, ["x", "y"], "left_anti"), "ngram-rest")
+    more = landed(verified(rest, sets), "ngram-links")
+    discard(tokens_of, near, rest, shared, large, wanted, reps, labels)
+    labels = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
     rows = found.select("doc_id", "text_hash", "id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "id"), "id", "left")
     own = landed(rows.withColumn("label", F.coalesce("label", "id")), "ngram-rows")
+    discard(found)
     least = own.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").select("label", "least")
     out = own.join(least, "label", "left")
     return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -155,7 +155,7 @@ def test_block_tests_lose_no_pair():
         sets.append(np.unique(s))
     parity = [ngram_join.parity_bits(s).tobytes() for s in sets]
     args = np.arange(60), np.array([len(s) for s in sets], np.int32), parity
-    found = {(int(a), int(b)) for x, y, _ in ngram_join._run_pairs(*args, np.zeros(60, bool)) for a, b in zip(x, y)}
+    found = {(int(a), int(b)) for x, y, _ in ngram_join._run_pairs(*args, np.zeros(60, bool), np.arange(60)) for a, b in zip(x, y)}
     for i, j in itertools.combinations(range(60), 2):
         common = len(np.intersect1d(sets[i], sets[j]))
         link = 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common)
