@@ -52,7 +52,7 @@ def _templates(clean: Column, n: Column) -> Column:
 def _marks(text: Column) -> Column:
     """Distinct long words of a text in the order of their md5."""
     words = F.array_distinct(F.filter(F.split(text, r"[ \t\r\n\f\x0B]+"), lambda w: F.length(w) >= 6))
-    return F.transform(F.array_sort(F.transform(words, lambda w: F.concat(F.md5(w), w))), lambda x: F.substring(x, 33, 1 << 30))
+    return F.transform(F.sort_array(F.transform(words, lambda w: F.concat(F.md5(w), w))), lambda x: F.substring(x, 33, 1 << 30))
 
 
 def recurring_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
