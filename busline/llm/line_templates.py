@@ -7,10 +7,11 @@ wildcard, so lines that differ in one part share a template. A template recurs
 if it is found in many unrelated documents; its lines are dropped from all.
 
 Copies of a document repeat every line of it, and are left to document dedup:
-two documents count as related if the least or the greatest hash of their words
-is the same (words of six letters and more that are not in the line itself). A
-template needs ``LEAST`` unrelated documents, and they must be a fifth of all
-that have it.
+texts are clustered by pairs of minhashes of their word 3-shingles, which near
+copies share and unrelated texts do not, however few words a language has. A
+template needs ``LEAST`` clusters, however many texts each of them holds, so a
+larger corpus can only add to its count. Texts that share nothing but a common
+line are in one cluster if both hashes of a pair fall into that line.
 
 Defined cases: a null text stays null; empty lines and lines of fewer than
 three tokens are kept; a text that loses all lines is empty; rows that repeat
@@ -23,13 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busline.llm.common import discard, landed
+from busline.llm.components import components
 
 LEAST = 8  # unrelated documents
-SHARE = 0.2  # of the documents that have the template
+SHARE = 0.2  # of the documents that have the template; SQL twin only
 TOKENS = 3  # shorter lines have no template
 WILD_TOKENS = 8  # shorter lines have no wildcard part
 PARTS = 3
-MARKS = 16  # words kept from either end of the hash order
+MARKS = 16  # words kept from either end of the hash order; SQL twin only
+SHINGLE = 3  # words
+SKETCH = 32  # least shingle hashes of a text
+BANDS = 6  # pairs of minhashes of the sketch
+SALTS = 32
 _BLANK = r"[ \t\r\f\x0B]+"
 _FIELD = r"[^ ]*(?:[0-9@]|://)[^ ]*"
 
@@ -49,44 +55,48 @@ def _templates(clean: Column, n: Column) -> Column:
     return F.when(n >= WILD_TOKENS, F.concat(whole, F.array(*[part(j) for j in range(PARTS)]))).otherwise(whole)
 
 
-def _marks(text: Column) -> Column:
-    """Distinct long words of a text in the order of their md5."""
-    words = F.array_distinct(F.filter(F.split(text, r"[ \t\r\n\f\x0B]+"), lambda w: F.length(w) >= 6))
-    return F.transform(F.sort_array(F.transform(words, lambda w: F.concat(F.md5(w), w))), lambda x: F.substring(x, 33, 1 << 30))
+def clusters(texts: DataFrame) -> DataFrame:
+    """(b, kin) of texts that share a pair of minhashes with another one. ``texts``: b, t."""
+    words = texts.select("b", F.explode(F.array(F.split(F.trim(F.col("t")), r"[ \t\r\n\f\x0B]+"))).alias("w"))
+    hashed = F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2)))
+    sketch = F.slice(F.sort_array(F.slice(hashed, 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(0)))), 1, SKETCH)
+    d = words.filter(F.size("w") >= SHINGLE).select("b", F.explode(F.array(sketch)).alias("s"))
+    least = lambda j: F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(j))))
+    bands = landed(d.select("b", F.array(*[F.xxhash64(F.lit(j), least(2 * j), least(2 * j + 1)) for j in range(BANDS)]).alias("bands")), "line-bands")
+    rows = bands.select("b", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("b").alias("root"), F.max("b").alias("top")).filter("root < top").select("band", "root")
+    # a band may be that of a third of all texts
+    shared = shared.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    edges = rows.withColumn("salt", F.pmod("b", F.lit(SALTS)).cast("int")).join(shared, ["band", "salt"])
+    labels = components(edges.select(F.col("b").alias("u"), F.col("root").alias("v")))
+    discard(bands)
+    return labels.select(F.col("node").alias("b"), F.col("label").alias("kin"))
 
 
 def recurring_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, bad): hash pair of each document with recurring lines, and the hashes of these lines."""
     ids = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(key).alias("a"), F.xxhash64(text).alias("b"), F.col(text).alias("t"))
-    d = ids.select("a", "b", "t", F.explode(F.array(_marks(F.col("t")))).alias("m"))
-    last = F.reverse(F.slice("m", F.greatest(F.size("m") - (MARKS - 1), F.lit(1)), MARKS))
-    d = d.select("a", "b", F.slice("m", 1, MARKS).alias("m1"), last.alias("m2"), F.explode(F.array_distinct(F.split("t", "\n"))).alias("line"))
-    kin = lambda m: F.xxhash64(F.coalesce(F.get(F.filter(m, lambda w: ~F.contains("line", w)), 0), F.col("b").cast("string")))
-    lines = d.select("a", "b", kin("m1").alias("f1"), kin("m2").alias("f2"), F.xxhash64("line").alias("line"), F.explode(F.array(_cleaned(F.col("line")))).alias("clean"))
+    d = ids.select("a", "b", F.explode(F.array_distinct(F.split("t", "\n"))).alias("line"))
+    lines = d.select("a", "b", F.xxhash64("line").alias("line"), F.explode(F.array(_cleaned(F.col("line")))).alias("clean"))
     tokens = F.length("clean") - F.length(F.replace("clean", F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n", tokens).filter(F.col("n") >= TOKENS)
-    lines = landed(lines.select("a", "b", "f1", "f2", "line", _templates(F.col("clean"), F.col("n")).alias("templates")), "line-hashes")
+    lines = landed(lines.select("a", "b", "line", _templates(F.col("clean"), F.col("n")).alias("templates")), "line-hashes")
     often = lines.select(F.explode("templates").alias("template")).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("template")
-    rows = lines.select("a", "b", "f1", "f2", "line", F.explode("templates").alias("template"))
+    rows = lines.select("a", "b", "line", F.explode("templates").alias("template"))
     found = landed(rows.join(often, "template", "left_semi"), "line-templates")
     discard(lines)
-    chosen = unrelated(found)
-    # a template may be in a third of all lines: its rows are dealt out over 32 keys
-    salt = F.pmod(F.col("b"), F.lit(32)).cast("int")
-    salted = chosen.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(32)])))
+    chosen = unrelated(found, clusters(ids.select("b", "t")))
+    # a template may be in a third of all lines: its rows are dealt out
+    salt = F.pmod(F.col("b"), F.lit(SALTS)).cast("int")
+    salted = chosen.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     hit = found.withColumn("salt", salt).join(salted, ["template", "salt"], "left_semi")
     return hit.groupBy("a", "b").agg(F.collect_set("line").alias("bad"))
 
 
-def unrelated(found: DataFrame) -> DataFrame:
-    """Templates that recur in enough unrelated documents. ``found``: template, a, b, f1, f2."""
-    counts = []
-    for f in ("f1", "f2"):
-        kin = found.groupBy("template", f, "a", "b").agg(F.lit(1).alias("one")).groupBy("template", f)
-        kin = kin.agg(F.count("*").alias("docs"), (F.min("b") == F.max("b")).alias("alone"))
-        counts.append(kin.groupBy("template").agg(F.sum("docs").alias("docs"), F.sum(F.col("alone").cast("long")).alias("alone")))
-    both = counts[0].unionByName(counts[1]).groupBy("template").agg(F.max("docs").alias("docs"), F.max("alone").alias("alone"))
-    return both.filter((F.col("alone") >= LEAST) & (F.col("alone") >= SHARE * F.col("docs"))).select("template")
+def unrelated(found: DataFrame, kin: DataFrame) -> DataFrame:
+    """Templates of enough clusters of texts. ``found``: template, b; ``kin``: b, kin of texts that are not alone."""
+    named = found.select("template", "b").distinct().join(kin, "b", "left").select("template", F.coalesce("kin", "b").alias("kin"))
+    return named.distinct().groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST).select("template")
 
 
 def drop_recurring(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lines: str = "n_lines", dropped: str = "n_dropped") -> DataFrame:

@@ -244,6 +244,17 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1_000, 10_000, 100_000])
+def test_line_in_every_document(spark, n):
+    # texts of 40 words out of 300, so that unrelated ones share any single word; a third of them are near copies of one
+    word = lambda i, k: F.substring(F.translate(F.md5(F.pmod(F.xxhash64(k, i), F.lit(300)).cast("string")), "0123456789", "ghijklmnop"), 1, 8)
+    base = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id"))
+    own = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.when((F.col("id") % 3 == 0) & (i == F.pmod(F.xxhash64("id"), F.lit(40))), word(i, F.col("id"))).otherwise(word(i, base)))
+    texts = F.concat(F.array_join(own, " "), F.lit("\nall rights are reserved by us"), F.when(F.col("id") % 3 == 0, "\nthis line is in the copies").otherwise(""))
+    out = line_templates.drop_recurring(spark.range(n).select(F.col("id").alias("doc_id"), texts.alias("text")))
+    assert [tuple(r) for r in out.groupBy(F.col("doc_id") % 3 == 0, "n_lines", "n_dropped").count().sort("n_lines").collect()] == [(False, 2, 1, n - -(-n // 3)), (True, 3, 1, -(-n // 3))]
+
+
 def test_decontamination(spark, docs, empty, texts):
     bench = spark.createDataFrame([(1, texts["bench"]), (1, texts["bench"]), (2, None), (3, "tiny item"), (4, ""), (5, "w w w w w w")], "item_id long, text string")
     out = decontaminate.leaks(docs, bench).select("doc_id", "item_id", "matched", "item_words").collect()
