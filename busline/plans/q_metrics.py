@@ -97,20 +97,20 @@ def i4(t: Tables):
     f = features(t)
     corr = WN.payload_correlations(t.frames, SRC)
     f = f.join(corr, ["source_file", "start_index"])
-    m = DE.fit_forest(f, WN.FEATURES + WN.CORRELATIONS, "y_attack_type", trees=20, depth=5)
+    m = DE.fit_forest(f, WN.FEATURES + WN.CORRELATIONS, "y_attack_type")
     s = DE.score_forest(f, m)
     return s.groupBy("y_attack_type", "pred_class").agg(F.count("*").alias("windows"), F.round(F.avg("score"), 4).alias("score"))
 
 
 @query("i5_discriminator")
 def i5(t: Tables):
-    auc, s = DE.discriminator(features(t), pool_features(t), WN.FEATURES, "wkey", trees=20)
+    auc, s = DE.discriminator(features(t), pool_features(t), WN.FEATURES, "wkey")
     return s.groupBy("y_attack_type").agg(F.count("*").alias("windows"), F.round(F.avg("score"), 4).alias("score")).withColumn("auc", F.round(auc.scalar(), 4))
 
 
 @query("i6_condition_agreement")
 def i6(t: Tables):
-    d = DE.condition_agreement(features(t), pool_features(t), WN.FEATURES, trees=20)
+    d = DE.condition_agreement(features(t), pool_features(t), WN.FEATURES)
     return d.withColumn("agreement", F.round("agreement", 4))
 
 
@@ -118,7 +118,7 @@ def i6(t: Tables):
 def i7(t: Tables):
     f = features(t).withColumn("y", F.col("y_binary"))
     doms = {"a": f.where("source_file IN ('src_0', 'src_1')"), "b": f.where("source_file IN ('src_2', 'src_3')")}
-    models = {k: DE.fit_forest(d, WN.FEATURES, "y", trees=10, depth=5) for k, d in doms.items()}
+    models = {k: DE.fit_forest(d, WN.FEATURES, "y") for k, d in doms.items()}
     return DE.transfer_matrix(models, doms)
 
 
@@ -132,7 +132,7 @@ def i8(t: Tables):
 def e21(t: Tables):
     real = t.wf.join(t.labels_w.where("y_binary = 1").select("source_file", "start_index"), ["source_file", "start_index"])
     syn = pool_frames(cycled_pool(t))
-    auc, _ = DE.discriminator(features(t).where("y_binary = 1"), pool_features(t), WN.FEATURES, "wkey", trees=20)
+    auc, _ = DE.discriminator(features(t).where("y_binary = 1"), pool_features(t), WN.FEATURES, "wkey")
     ids = lambda d: d.groupBy(F.col("can_id").cast("int").alias("k")).agg(F.count("*").alias("n"))
     byte = lambda d: d.select(F.explode(F.array(*[F.col(f"data{i}").cast("int") for i in range(8)])).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     dt = [0, 60, 120, 300, 600, 1200, 3600, 1e9]
