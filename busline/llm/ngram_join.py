@@ -309,7 +309,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id) of every row."""
+    """(doc_id, text_hash, n_shingles, component_id, component) of every row; ``component`` tells components apart where ids repeat or are null."""
     found = landed(records(docs, long_lists(docs, text), key=key, text=text), "ngram-records")
     traits = ("n", "prefix", "n_short", "parity")
     reps = found.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), *[F.first(c).alias(c) for c in traits])
@@ -341,4 +341,4 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     discard(found)
     least = own.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1").select("label", "least")
     out = own.join(least, "label", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("label").alias("component"))

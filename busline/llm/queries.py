@@ -104,7 +104,7 @@ query("op2_line_templates", LINE_SQL)(_op2)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.ngram_join import linked
 
-    return linked(read_table(spark, sf_dir, "documents")).drop("text_hash")
+    return linked(read_table(spark, sf_dir, "documents")).drop("text_hash", "component")
 
 
 @query("op1_decontaminate")

@@ -43,12 +43,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     rows = landed(ngram_join.linked(docs), "stage-links")
     size = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    first = rows.filter((F.col("n_shingles") > 0) & F.col("component_id").isNotNull()).groupBy("component_id").agg(F.min(size).alias("first"))
+    first = rows.filter("n_shingles > 0").groupBy("component").agg(F.min(size).alias("first"))
     keep = first.select(F.xxhash64("first.doc_id").alias("__a"), F.col("first.text_hash").alias("__b"))
-    alone = rows.filter((F.col("n_shingles") == 0) | F.col("component_id").isNull()).select(F.xxhash64("doc_id").alias("__a"), F.col("text_hash").alias("__b"))
+    alone = rows.filter("n_shingles = 0").select(F.xxhash64("doc_id").alias("__a"), F.col("text_hash").alias("__b"))
     named = docs.withColumn("__a", F.xxhash64("doc_id")).withColumn("__b", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = named.join(keep.unionByName(alone).distinct(), ["__a", "__b"], "left_semi")
-    if rows.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
+    if rows.filter("n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count():
         with_words = kept.join(keep, ["__a", "__b"], "left_semi").dropDuplicates(["__a", "__b"])  # rows that repeat both
         kept = kept.join(keep, ["__a", "__b"], "left_anti").unionByName(with_words)
     return kept.select(*docs.columns)

@@ -264,6 +264,19 @@ def test_decontamination(spark, docs, empty, texts):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    alone, near = [prose(rng) for _ in range(6)], prose(rng).split()
+    copies = [" ".join([*near[:k], "changed", *near[k + 1 :]]) for k in (0, 59)] + [" ".join(near)] * 2
+    data = [(7, t, *r[2:]) for t, r in zip(alone[:5], rows_of(alone))] + [(None, t, *r[2:]) for t, r in zip([alone[5], *copies], rows_of(copies * 2))]
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(data, DOCS), str(tmp_path)).collect()]
+    assert sorted(t for k, t in kept if k == 7) == sorted(alone[:5])
+    rest = [t for k, t in kept if k is None]
+    assert len(rest) == 2 and alone[5] in rest
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path):
     import corpus_pipeline
 
