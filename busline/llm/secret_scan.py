@@ -317,7 +317,8 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model
         return pa.RecordBatch.from_pylist(found, pa.schema([("words", pa.list_(pa.string())), ("tags", pa.list_(pa.int32())), ("traits", pa.list_(pa.int32())), ("hit", pa.bool_())]))
 
     found = arrow_map(d, lines, "words array<string>, tags array<int>, traits array<int>, hit boolean").withColumn("o", F.xxhash64("words", "tags"))
-    picked = [found.filter(c).orderBy("o", "words").limit(SAMPLE_LINES) for c in (F.col("hit"), ~F.col("hit"))]
+    once = F.min(F.struct("words", "tags", "traits", "hit")).alias("line")  # of the copies of a line
+    picked = [found.filter(c).groupBy("o").agg(once).select("o", "line.*").orderBy("o").limit(SAMPLE_LINES) for c in (F.col("hit"), ~F.col("hit"))]
     rows = [r.asDict() for p in picked for r in p.drop("o").collect()]
     return fit(rows)
 

@@ -277,6 +277,21 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
     assert len(rest) == 2 and alone[5] in rest
 
 
+def test_training_samples_take_copies_once(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 40 + i) for i in range(20)] * 30
+    table = spark.createDataFrame(rows_of(texts), DOCS)
+    labels = spark.createDataFrame([(i, i % 20 % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(quality, "SAMPLE", 6)
+    monkeypatch.setattr(quality, "fit_pairs", lambda good, bad, bad_share: (good, bad))
+    for x in quality.train(quality.with_features(table, keep=["doc_id"]), labels):
+        assert len(x) == len({tuple(r) for r in x.tolist()}) == 6
+    secrets = spark.createDataFrame(rows_of([f'token = "{hashlib.sha1(str(i % 20).encode()).hexdigest()}"\n{texts[i]}' for i in range(600)]), DOCS)
+    monkeypatch.setattr(secret_scan, "SAMPLE_LINES", 6)
+    monkeypatch.setattr(secret_scan, "fit", lambda rows: rows)
+    assert len({tuple(r["words"]) for r in secret_scan.train(secrets) if r["hit"]}) == 6
+
+
 def test_pipeline_stages(spark, docs, texts, tmp_path):
     import corpus_pipeline
 
