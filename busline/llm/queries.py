@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from busline.llm.common import read_table
 from busline.llm.line_templates import SQL as LINE_SQL
+from busline.llm.twins import clusters_sql, resample_sql, top_products_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,6 +115,27 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("a", "b")
 
 
+@query("op11_simplex_clusters", clusters_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.simplex_clusters import clusters
+
+    return clusters(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_voronoi_join", top_products_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.voronoi_join import top_products
+
+    return top_products(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_crc_resampling", resample_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from busline.llm.crc_resampling import resample
+
+    return resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
