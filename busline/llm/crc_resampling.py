@@ -42,6 +42,7 @@ SEED = 7
 SHARE = 25  # per cent of the documents with enough words
 LEAST_WORDS = 20
 _POLY = 0xEDB88320  # reversed CRC-32 polynomial of zlib
+PIECE = 1 << 20  # bytes whose words are held at once
 _SHORT = 64  # shifts over fewer bytes have a table of their own
 # A-Z become a-z, other ASCII characters than letters and digits a blank.
 CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -103,8 +104,8 @@ def shifted(crc: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(CLEAN).split()
+def cleaned(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").translate(CLEAN)
 
 
 def gram_crcs(words: list[bytes], longest: int) -> list[np.ndarray]:
@@ -124,11 +125,11 @@ def gram_crcs(words: list[bytes], longest: int) -> list[np.ndarray]:
     return out
 
 
-def buckets_of(texts: list, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the features of all texts one after the other, where each text ends, and words per text."""
+def buckets_of(raws: list[bytes], buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the features of all cleaned texts one after the other, where each text ends, and words per text."""
     words, counts = [], []
-    for text in texts:
-        own = words_of(text)
+    for raw in raws:
+        own = raw.split()
         words += own
         counts.append(len(own))
     counts = np.array(counts, np.int64)
@@ -144,6 +145,22 @@ def buckets_of(texts: list, buckets: int, longest: int) -> tuple[np.ndarray, np.
     return np.concatenate(found)[order], ends, counts
 
 
+def buckets_of_long(raw: bytes, buckets: int, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one text, cut between words; runs that end in a piece are counted with it."""
+    found, tail, at, count = [], [], 0, 0
+    while at < len(raw):
+        end = raw.find(b" ", at + PIECE)
+        end = len(raw) if end < 0 else end
+        words = tail + raw[at:end].split()
+        for n, crc in enumerate(gram_crcs(words, longest), 1):
+            found.append(crc[max(0, len(tail) - n + 1) :] % np.uint32(buckets))
+        count += len(words) - len(tail)
+        tail = words[-(longest - 1) :] if longest > 1 else []
+        at = end
+    found = np.concatenate(found)
+    return found, np.array([len(found)]), np.array([count])
+
+
 def with_buckets(df: DataFrame, key: str, buckets: int, longest: int) -> DataFrame:
     """(key, n_words, features): packed buckets of every n-gram of the whole text."""
     kind = df.schema[key].dataType.simpleString()
@@ -151,8 +168,10 @@ def with_buckets(df: DataFrame, key: str, buckets: int, longest: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
-                found, ends, words = buckets_of(part.column("text").to_pylist(), buckets, longest)
+            for part in slices(batch, "text", size=PIECE):
+                raws = [cleaned(t) for t in part.column("text").to_pylist()]
+                long = len(raws) == 1 and len(raws[0]) > PIECE
+                found, ends, words = buckets_of_long(raws[0], buckets, longest) if long else buckets_of(raws, buckets, longest)
                 yield pa.record_batch([part.column("key"), pa.array(words), pack(found, ends, wide)], ["key", "n_words", "features"])
 
     return df.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, n_words long, features binary")

@@ -194,7 +194,17 @@ def test_crcs_of_all_runs():
 
 @pytest.mark.parametrize("text", ["", " -- ", "A-b_c\tÀ1'x", "\x00\x7f@[`{", "É é", "a\nb\n", None])
 def test_words_of_text(text):
-    assert [w.decode() for w in crc.words_of(text)] == words(text)
+    assert [w.decode() for w in crc.cleaned(text).split()] == words(text)
+
+
+@pytest.mark.parametrize("longest", [1, 2, 4])
+@pytest.mark.parametrize("size", [1, 7, 40, 10_000])
+def test_long_texts_in_pieces(monkeypatch, longest, size):
+    monkeypatch.setattr(crc, "PIECE", size)
+    for raw in (b"a", b" a  bb ccc d " * 9, b"one" + b" x" * 50 + b"  ", b"   ", b"w" * 60 + b" v"):
+        whole, _, n = crc.buckets_of([raw], 1000, longest)
+        pieces, ends, m = crc.buckets_of_long(raw, 1000, longest)
+        assert sorted(whole) == sorted(pieces) and ends.tolist() == [len(whole)] and n.tolist() == m.tolist()
 
 
 def brute_resample(docs, items, share, least, buckets):
