@@ -10,6 +10,7 @@ has one row per (group, span).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from busline.schema import SPAN
+from busline.session import landed
 
 _B = "_span"
 
@@ -91,10 +93,49 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], span: Column, out:
     return prefix_sums(d, keys, order, {out: "_one"}).drop(_B, "_one", f"{out}_total")
 
 
-def ranked_by_value(df, keys, value, ties, out="rank", splits=None) -> DataFrame:
-    """1-based row number by ``value`` then the ``ties`` columns."""
-    d = with_value_span(df, value, splits).withColumn("_one", F.lit(1))
-    return prefix_sums(d, keys, [value, *ties], {out: "_one"}).drop(_B, "_one")
+def ranged(df: DataFrame, order: list[str], name: str = "ranged", parts: int | None = None) -> DataFrame:
+    """``df`` with a span number that rises with ``order``, in spans of about equal size.
+
+    Cut points are taken from a sample of the whole order, so groups of any
+    scale and values that most rows share are cut too: list the groups first
+    and what tells ties apart last. Rows equal in all of that are told apart by
+    ``_row``. The result is written, so every reader sees the same spans.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = df.withColumn("_row", F.monotonically_increasing_id())
+    d = d.repartitionByRange(parts, *order, "_row").withColumn(_B, F.spark_partition_id())
+    return landed(d, name)
+
+
+def ranked_by_value(df, keys, value, ties, out="rank") -> DataFrame:
+    """1-based row number by ``value`` (nulls last) then the ``ties`` columns, and ``<out>_total`` rows per group."""
+    d = df.withColumn("_none", F.col(value).isNull()).withColumn("_one", F.lit(1))
+    order = ["_none", value, *ties]
+    return prefix_sums(ranged(d, [*keys, *order]), keys, [*order, "_row"], {out: "_one"}).drop(_B, "_one", "_row", "_none")
+
+
+def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+    """(keys, value, ``_n``, rank): the mean rank of each distinct value, without nulls."""
+    t = ranged(tie_table(df, keys, value, {"_n": F.lit(1)}), [*keys, value])
+    t = prefix_sums(t, keys, [value], {"_c": "_n"})
+    return t.select(*keys, value, "_n", (F.col("_c") - (F.col("_n") - 1) / 2).alias(out))
+
+
+def join_ties(df: DataFrame, table: DataFrame, on: list[str], count: str = "_n") -> DataFrame:
+    """Join a table of distinct values back to the rows it counts, with no task for one value.
+
+    Values with more than a ``parts``-th of all rows, fewer than ``parts`` in
+    number, are sent to every task; the rest meet by a shuffle. Rows without a
+    match go, null keys included.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = landed(table, "ties")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * parts > total
+    hot = table.where(often).drop(count)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    rows = df.where(known)
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table.where(~often).drop(count), on))
 
 
 def previous(

@@ -6,11 +6,15 @@ that holds most of the rows is still ranked by many tasks.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from busline.functions.keyed import draw_key, draw_unit
 from busline.operators import ordered as O
+from busline.schema import SPAN
+from busline.session import discard, landed
 
 CLASSES = (1, 2, 3, 4)
 _RANGE = 1 << 22  # key range ranked by one task: 1024 ranges over all keys
@@ -130,81 +134,58 @@ def aligned(w: DataFrame, size=128, start="start_index") -> DataFrame:
     return w.where(F.col(start) % size == 0)
 
 
-_CHUNK_SCHEMA = "first long, reach long"
+def next_starts(nodes: DataFrame, by: list[str], start: str, end: str, span: int = SPAN) -> DataFrame:
+    """(by, at, to): for each window the start of the first one after its end; windows without one are left out.
+
+    Starts and ends lie on one line; walking down it, the last start passed is
+    the next one. The walk goes span by span, so a segment is many tasks.
+    """
+    place = F.greatest(start, end)  # a window with its end before its start still moves on
+    starts = nodes.select(*by, (F.col(start) * -2).alias("_o"), F.col(start).alias("_at"), F.lit(None).cast("long").alias("_from"))
+    ends = nodes.select(*by, (place * -2 - 1).alias("_o"), F.lit(None).cast("long").alias("_at"), F.col(start).alias("_from"))
+    line = O.carry_last(starts.unionAll(ends), by, "_o", F.col("_at"), "_to", 2 * span)
+    return line.where(F.col("_from").isNotNull() & F.col("_to").isNotNull()).select(*by, F.col("_from").alias("at"), F.col("_to").alias("to"))
+
 
+def reached(jumps: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
+    """All (by, at) that the jumps lead to from the roots, in a number of rounds that is logarithmic in the longest way.
 
-def greedy_disjoint(w: DataFrame, by: list[str], start="start_index", end="end_index", chunk=1 << 16) -> DataFrame:
+    A round starts with the first 4^r windows of each way and jumps of that many
+    steps. It takes one and two jumps from what it has, and puts four jumps
+    together by equi joins. Each round is written, and the one before deleted.
+    """
+    roots, jumps = landed(roots, "reached"), landed(jumps, "jumps")
+    while True:
+        hop = lambda d, j: d.join(j, [*by, "at"]).select(*by, F.col("to").alias("at"))
+        chain = lambda j, k: j.withColumnRenamed("at", "_a").withColumnRenamed("to", "at").join(k, [*by, "at"]).select(*by, F.col("_a").alias("at"), "to")
+        double = chain(jumps, jumps)
+        once = roots.unionAll(hop(roots, jumps))
+        more = landed(hop(once, double).unionAll(hop(roots, jumps)), "reached-new")
+        if more.isEmpty():
+            discard(more, jumps)
+            return roots
+        new_roots = landed(roots.unionAll(more), "reached")
+        new_jumps = landed(chain(double, double), "jumps")
+        discard(more, roots, jumps)
+        roots, jumps = new_roots, new_jumps
+
+
+def greedy_disjoint(w: DataFrame, by: list[str], start="start_index", end="end_index", span: int = SPAN) -> DataFrame:
     """Per segment keep the next window that starts after the last kept end.
 
-    The scan is sequential, but its state is one number, and what a chunk of
-    the segment does depends only on which window it keeps first.  So every
-    chunk works out the end it would reach from each possible first window
-    (those that start before the longest window of the chunk before can end),
-    the chunks of a segment are chained over that small table, and each chunk
-    then keeps its windows from its known entry.
+    Which window follows a kept one depends on that one alone. So every window
+    points to its successor, the pointers are doubled, and what the first
+    window of the segment reaches is kept. Of windows with equal starts the
+    shortest counts, once; rows with a null key, start or end are left out.
     """
-    import pandas as pd
-
-    d = w.withColumn("_c", F.floor(F.col(start) / chunk))
-    longest = d.agg(F.max(F.col(end) - F.col(start) + 1)).scalar()
-    d = d.withColumn("_longest", longest)
-
-    def walk(starts, ends, i):
-        kept, last = [], None
-        for j in range(i, len(starts)):
-            if last is None or starts[j] > last:
-                kept.append(j)
-                last = ends[j]
-        return kept, last
-
-    def ordered(pdf):
-        return pdf.sort_values([start, end], kind="mergesort")
-
-    def reach(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = ordered(pdf)
-        s, e = p[start].tolist(), p[end].tolist()
-        head = int(p["_c"].iloc[0]) * chunk + int(p["_longest"].iloc[0])
-        rows, memo = [], {}
-        for i in range(len(s)):
-            if i and s[i] == s[i - 1]:
-                continue
-            rows.append((s[i], walk(s, e, i)[1]))
-            if s[i] >= head:
-                break
-        out = pd.DataFrame(rows, columns=["first", "reach"])
-        for c in [*by, "_c"]:
-            out[c] = p[c].iloc[0]
-        return out[[*by, "_c", "first", "reach"]]
-
-    types = {f.name: f.dataType.simpleString() for f in d.schema}
-    keys = ", ".join(f"{c} {types[c]}" for c in [*by, "_c"])
-    slim = d.select(*by, "_c", "_longest", start, end)
-    jumps = slim.groupBy(*by, "_c").applyInPandas(reach, f"{keys}, first long, reach long")
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, rows = -1, []
-        for c, g in pdf.sort_values(["_c", "first"]).groupby("_c", sort=True):
-            rows.append((c, last))
-            ok = g[g["first"] > last]
-            if len(ok):
-                last = int(ok["reach"].iloc[0])
-        out = pd.DataFrame(rows, columns=["_c", "_last"])
-        for k in by:
-            out[k] = pdf[k].iloc[0]
-        return out[[*by, "_c", "_last"]]
-
-    entries = jumps.groupBy(*by).applyInPandas(chain, f"{keys}, _last long")
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = ordered(pdf)
-        s, e = p[start].tolist(), p[end].tolist()
-        last = int(p["_last"].iloc[0])
-        first = next((i for i, x in enumerate(s) if x > last), len(s))
-        return p.iloc[walk(s, e, first)[0]][[*by, start, end]]
-
-    cols = ", ".join(f"{c} {types[c]}" for c in [*by, start, end])
-    kept = slim.join(entries, [*by, "_c"]).groupBy(*by, "_c").applyInPandas(keep, cols)
-    return kept
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, start, end]])
+    kinds = {f.name: f.dataType for f in w.schema}
+    nodes = w.where(known).groupBy(*by, F.col(start).cast("long").alias(start)).agg(F.min(F.col(end).cast("long")).alias(end))
+    nodes = landed(nodes, "greedy-windows")
+    kept = reached(next_starts(nodes, by, start, end, span), nodes.groupBy(*by).agg(F.min(start).alias("at")), by)
+    return nodes.join(kept.withColumnRenamed("at", start), [*by, start], "left_semi").select(
+        *by, F.col(start).cast(kinds[start]).alias(start), F.col(end).cast(kinds[end]).alias(end)
+    )
 
 
 def partition_blocks(w: DataFrame, size: int, blocks: int, seed, key: str) -> DataFrame:

@@ -17,6 +17,7 @@ from busline.functions.keyed import draw_unit
 from busline.functions.student import t_ppf, t_two_sided
 from busline.operators import ordered as O
 from busline.operators import sampling as S
+from busline.session import landed
 
 
 def _sd(c) -> Column:
@@ -67,11 +68,9 @@ def _pearson(x: str, y: str) -> Column:
 
 
 def with_rank(d: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
-    """Average rank of equal values, from counts of distinct values."""
-    t = O.with_value_span(O.tie_table(d, by, col, {"_n": F.lit(1)}), col, [])
-    t = O.prefix_sums(t, by, [col], {"_c": "_n"})
-    r = t.select(*by, col, (F.col("_c") - (F.col("_n") - 1) / 2).alias(out))
-    return d.join(r, [*by, col])
+    """Average rank of equal values, from counts of distinct values; rows with a null value or key go."""
+    d = landed(d, "rank-rows")  # read for the counts and for the join
+    return O.join_ties(d, O.average_ranks(d, by, col, out), [*by, col])
 
 
 def correlations(d: DataFrame, by: list[str], pairs: list[tuple[str, str]]) -> DataFrame:

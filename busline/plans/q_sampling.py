@@ -111,7 +111,7 @@ g AS (SELECT source_file, min(start_index) AS start_index FROM s GROUP BY source
 SELECT source_file, start_index, start_index + 127 AS end_index FROM g""")
 def g9(t: Tables):
     w = t.windows.where("y_binary = 0").select("source_file", "start_index", "end_index")
-    return S.greedy_disjoint(w, ["source_file"], chunk=512)
+    return S.greedy_disjoint(w, ["source_file"])
 
 
 @query("g10_aligned", "SELECT source_file, start_index FROM wl WHERE start_index % 128 = 0")

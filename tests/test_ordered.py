@@ -88,3 +88,49 @@ def test_exact_quantiles(df, rows, splits):
 
 def test_quantiles_of_nothing(df):
     assert O.exact_quantiles(df.where("i < 0"), ["g"], "v", {"q": 0.5}, []).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tied():
+    """One group with most rows, 95 % of them with one score; scales of the groups lie far apart."""
+    rnd = random.Random(9)
+    score = lambda: 0.5 if rnd.random() < 0.95 else rnd.random()
+    rows = [("hot", i, score()) for i in range(6000)] + [("far", 10_000 + i, 1e6 * score()) for i in range(900)]
+    rows += [("hot", 20_000, 0.7)] * 3 + [("hot", 20_001, None), ("cold", 20_002, 0.1), ("cold", 20_003, float("nan"))]
+    rnd.shuffle(rows)
+    return rows
+
+
+def test_spans_of_ties_are_even(spark, tied):
+    df = spark.createDataFrame(tied, "g string, i long, v double").repartition(7)
+    for order in (["g", "v", "i"], ["g", "v"]):
+        sizes = [r["count"] for r in O.ranged(df, order, parts=20).groupBy("_span").count().collect()]
+        assert len(sizes) == 20 and max(sizes) < 2 * len(tied) / 20
+    same = spark.range(5000).selectExpr("'g' as g", "1.0 as v")
+    sizes = [r["count"] for r in O.ranged(same, ["g", "v"], parts=20).groupBy("_span").count().collect()]
+    assert max(sizes) < 2 * 5000 / 20
+
+
+def test_ranks_of_ties(spark, tied):
+    df = spark.createDataFrame(tied, "g string, i long, v double").repartition(7)
+    got = sorted((r.g, r["rank"], r.i, r.rank_total) for r in O.ranked_by_value(df, ["g"], "v", ["i"]).collect())
+    want = []
+    for g in ("cold", "far", "hot"):
+        own = sorted((r for r in tied if r[0] == g), key=lambda r: (r[2] is None, r[2] != r[2], r[2] if r[2] == r[2] else 0, r[1]))
+        want += [(g, n, r[1], len(own)) for n, r in enumerate(own, 1)]
+    assert got == want
+
+
+def test_average_ranks_return_to_their_rows(spark, tied):
+    df = spark.createDataFrame(tied, "g string, i long, v double").repartition(7)
+    got = [(r.g, r.i, r.r) for r in O.join_ties(df, O.average_ranks(df, ["g"], "v", "r"), ["g", "v"]).collect()]
+    want = []
+    for g in ("cold", "far", "hot"):
+        own = [r for r in tied if r[0] == g and r[2] is not None]
+        key = lambda v: (v != v, v if v == v else 0)
+        for _, i, v in own:
+            less, same = sum(key(r[2]) < key(v) for r in own), sum(key(r[2]) == key(v) for r in own)
+            want.append((g, i, less + (same + 1) / 2))
+    assert sorted(got) == sorted(want)
+    plan = O.join_ties(df, O.average_ranks(df, ["g"], "v", "r"), ["g", "v"])._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

@@ -145,23 +145,54 @@ def test_purged_groups_of_uneven_classes(spark):
         S.purged_split(spark.createDataFrame([("a", 0, 0, 63, 1), ("a", 0, 300, 363, 2), ("b", 0, 0, 63, 2)], schema), 256, 4, ["source_file"]).collect()
 
 
-@pytest.mark.parametrize("chunk", [40, 128, 1000, 10**6])
-def test_greedy_disjoint(spark, chunk):
-    rnd = random.Random(5)
-    rows = sorted({("h" if rnd.random() < 0.8 else "c", s, s + rnd.choice([31, 127, 60])) for s in (rnd.randrange(4000) for _ in range(500))})
-    w = spark.createDataFrame(rows, "source_file string, start_index long, end_index long")
-    want = set()
-    for g in ("h", "c"):
-        last = -1
-        for _, s, e in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
-            if s > last:
-                want.add((g, s, e))
-                last = e
-    assert {tuple(r) for r in S.greedy_disjoint(w, ["source_file"], chunk=chunk).collect()} == want
-    kept = spark.createDataFrame(sorted(want), "source_file string, start_index long, end_index long")
+def greedy(rows):
+    """(segment, start, end) kept by a scan in order of start, then end."""
+    last, out = {}, set()
+    for seg, s, e in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if s > last.get(seg, -1):
+            out.add((seg, s, e))
+            last[seg] = e
+    return out
+
+
+@pytest.mark.parametrize("span", [16, 100, 1 << 20])
+def test_greedy_disjoint(spark, span):
+    rnd = random.Random(8)
+    rows = [(f"s{rnd.randrange(3)}", s, s + rnd.choice([0, 1, 7, 15, 15, 40])) for s in (rnd.randrange(900) for _ in range(700))]
+    rows += rows[:40] + [("one", 5, 9), ("long", 0, 10_000), ("long", 3, 4)]
+    odd = [(None, 1, 2), ("s1", None, 3), ("s1", 4, None)]
+    w = spark.createDataFrame([(*r, "x") for r in rows + odd], "source_file string, start_index long, end_index long, at string").repartition(5)
+    got = [tuple(r) for r in S.greedy_disjoint(w, ["source_file"], span=span).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+    kept = spark.createDataFrame(got, "source_file string, start_index long, end_index long")
     assert all(r.overlaps == 0 for r in AU.assert_disjoint(kept, ["source_file"]).collect())
 
 
+def test_greedy_disjoint_in_one_long_segment(spark):
+    """Many windows of one segment; their successors are found by many tasks."""
+    n = 300_000
+    w = spark.range(n).select(F.lit("s").alias("source_file"), (F.col("id") * 3).alias("start_index"), (F.col("id") * 3 + 7 + F.col("id") % 5).alias("end_index"))
+    got = sorted(r[0] for r in S.greedy_disjoint(w, ["source_file"]).select("start_index").collect())
+    want, last = [], -1
+    for i in range(n):
+        if 3 * i > last:
+            want.append(3 * i)
+            last = 3 * i + 7 + i % 5
+    assert got == want
+    nodes = w.drop("source_file").selectExpr("'s' as source_file", "start_index", "end_index")
+    jumps = S.next_starts(nodes, ["source_file"], "start_index", "end_index", span=1 << 14)
+    plan = jumps._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan and "PythonUDF" not in plan
+    spans = w.selectExpr("floor(start_index * -2 / (2 * 16384)) as s").groupBy("s").count().agg(F.count("*"), F.max("count")).first()
+    assert spans[0] > 40 and spans[1] < 2 * n / spans[0]
+
+
+def test_greedy_disjoint_of_nothing(spark):
+    w = spark.createDataFrame([], "source_file string, start_index int, end_index int")
+    out = S.greedy_disjoint(w, ["source_file"])
+    assert out.count() == 0 and out.dtypes == w.dtypes
+
+
 def test_twin_keeps_marginals_and_breaks_relation(spark, frames):
     w = WN.count_windows(frames, ["source_file"]).withColumn("wkey", A.window_key("source_file", "start_index")).drop("y_binary", "y_attack_type")
     for mode, cls in (("gear", 3), ("rpm", 4)):
