@@ -86,6 +86,16 @@ def t_two_sided(t, df) -> Column:
     return _tails_udf(F.abs(_c(t).cast("double")), _c(df).cast("double"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_udf(z: pd.Series) -> pd.Series:
+    return z.map(lambda x: math.erfc(x / math.sqrt(2)), na_action="ignore").astype("float64")
+
+
+def normal_two_sided(z) -> Column:
+    """P(|Z| > |z|) of the standard normal distribution."""
+    return _normal_udf(F.abs(_c(z).cast("double")))
+
+
 def t_sf(t, df) -> Column:
     """P(T > t)."""
     half = t_two_sided(t, df) / 2

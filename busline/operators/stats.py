@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from busline.functions.keyed import draw_unit
-from busline.functions.student import t_ppf, t_two_sided
+from busline.functions.keyed import draw_key, draw_unit
+from busline.functions.student import normal_two_sided, t_ppf, t_two_sided
 from busline.operators import ordered as O
 from busline.operators import sampling as S
 from busline.session import landed
@@ -161,30 +164,60 @@ def wilson_hw(k: Column, n: Column, z=1.96) -> Column:
     return F.try_divide(F.lit(z) * F.sqrt(F.try_divide(p * (1 - p), n) + F.try_divide(F.lit(z * z), 4 * n * n)), 1 + F.try_divide(F.lit(z * z), n))
 
 
+EXACT_PAIRS = 2000  # differences up to which the distribution of the rank sum is built
+
+
+def _rank_sum_p(ranks: np.ndarray, w: int) -> float:
+    """Two-sided p of a sum ``w`` of doubled ranks, each of which is in the sum or not with equal chance.
+
+    The product of the factors (1 + z^r) / 2 is built up to the nearer tail
+    alone; the distribution is symmetric.
+    """
+    unit = int(np.gcd.reduce(ranks))
+    ranks, w = np.sort(ranks // unit), w // unit
+    top = int(min(w, ranks.sum() - w))
+    ways, reach, halved = np.zeros(top + 1), 0, 0
+    ways[0] = 1.0
+    for n, r in enumerate(ranks.tolist(), 1):
+        reach = min(top, reach + r)
+        if r <= top:
+            ways[r : reach + 1] += ways[: reach + 1 - r].copy()
+        if n % 500 == 0:  # a power of two, so nothing is rounded
+            ways, halved = ways * 2.0**-500, n
+    return min(1.0, 2 * float(ways.sum()) * 2.0 ** (halved - len(ranks)))
+
+
+@F.pandas_udf(T.DoubleType())
+def _exact_p(ranks: pd.Series, w: pd.Series) -> pd.Series:
+    return pd.Series([_rank_sum_p(np.asarray(r, np.int64), int(x)) for r, x in zip(ranks, w)], dtype="float64")
+
+
 def wilcoxon(pairs: DataFrame, by: list[str], delta="delta") -> DataFrame:
-    """Two-sided exact signed-rank p on few pairs; zero differences are dropped, p = 1 if all are zero.
+    """Two-sided signed-rank p; zero and undefined differences are dropped, p = 1 if none is left.
 
-    The distribution of the rank sum is built by adding one rank at a time to
-    an array of counts (ranks doubled, so tied ranks stay whole).
+    Exact with up to ``EXACT_PAIRS`` differences in a group, tied ranks
+    included. Beyond, where the distribution no longer fits a task, from the
+    normal distribution with the variance of the given ranks; no group's ranks
+    are gathered for that.
     """
-    d = pairs.where(F.col(delta) != 0).withColumn("_abs", F.abs(F.col(delta)))
-    d = with_rank(d, by, "_abs", "_r").withColumn("_r2", F.round(F.col("_r") * 2).cast("int"))
-    g = d.groupBy(*by).agg(F.collect_list("_r2").alias("_rs"), F.sum(F.when(F.col(delta) > 0, F.col("_r2")).otherwise(0)).alias("_w"))
-    size = F.aggregate("_rs", F.lit(0), lambda a, x: a + x) + 1
-    start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.when(i == 0, 1.0).otherwise(0.0))
-    dist = F.aggregate(
-        "_rs", start,
-        lambda acc, r: F.transform(acc, lambda x, i: x + F.when(i >= r, F.get(acc, i - r)).otherwise(0.0)),
+    if not by:
+        return wilcoxon(pairs.withColumn("_all", F.lit(0)), ["_all"], delta).drop("_all")
+    d = pairs.where(_finite(delta) & (F.col(delta) != 0)).select(*by, F.abs(F.col(delta).cast("double")).alias("_abs"), (F.col(delta) > 0).alias("_up"))
+    d = landed(with_rank(d, by, "_abs", "_r").select(*by, "_up", F.round(F.col("_r") * 2).cast("long").alias("_r2")), "signed-ranks")
+    whole = F.col("_r2").cast("decimal(38,0)")
+    g = d.groupBy(*by).agg(
+        F.count("*").alias("n_used"), F.coalesce(F.sum(F.when(F.col("_up"), whole)), F.lit(0)).cast("double").alias("_w"),
+        F.sum(whole).cast("double").alias("_s"), F.sum(F.col("_r2").cast("double") ** 2).alias("_q"),
     )
-    g = g.withColumn("_d", dist)
-    total = F.pow(F.lit(2.0), F.size("_rs").cast("double"))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / total
-    low = add(F.slice("_d", F.lit(1), (F.col("_w") + 1).cast("int")))
-    high = add(F.slice("_d", (F.col("_w") + 1).cast("int"), F.size("_d")))
-    p = F.least(F.lit(1.0), 2 * F.least(low, high))
-    r = g.select(*by, F.size("_rs").alias("n_used"), (F.col("_w") / 2).alias("w_plus"), p.alias("p"))
-    every = pairs.select(*by).distinct()
-    return every.join(r, by, "left").select(*by, F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("p", F.lit(1.0)).alias("p"))
+    few = F.col("n_used") <= EXACT_PAIRS
+    small = g.where(few).select(*by, F.col("_w").cast("long").alias("_sum"))
+    exact = d.join(small, by).groupBy(*by).agg(F.collect_list("_r2").alias("_rs"), F.first("_sum").alias("_sum"))
+    exact = exact.select(*by, _exact_p("_rs", "_sum").alias("_p"))
+    z = (F.abs(F.col("_w") - F.col("_s") / 2) - 1) / F.sqrt(F.col("_q") / 4)  # of doubled ranks, half a step is 1
+    p = F.coalesce("_p", F.least(F.lit(1.0), normal_two_sided(F.greatest(z, F.lit(0.0)))))
+    r = g.join(exact, by, "left").select(*by, "n_used", (F.col("_w") / 2).alias("w_plus"), p.alias("p"))
+    every = pairs.select(*by).distinct().join(r, by, "left")
+    return every.select(*by, F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), F.coalesce("p", F.lit(1.0)).alias("p"))
 
 
 def t_from_summary(d: DataFrame, mean="mean", sd="sd", n="n") -> DataFrame:
@@ -207,23 +240,63 @@ def _finite(value: str):
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def bootstrap_means(d: DataFrame, by: list[str], value: str, key: str, b: int, seed, stratum: list[str] = ()) -> DataFrame:
-    """Mean of each of ``b`` keyed resamples per group.
+GROUP_UNITS = 1 << 16  # units of a group that are held as one array
+RESAMPLES = 50  # resamples of one row
+
 
-    Every unit slot draws a unit of its own (group, stratum) by rank: an equi
-    join on the rank, no cross join.
+def _units(d: DataFrame, own: list[str], value: str, key: str) -> DataFrame:
+    return d.where(_finite(value)).select(*own, F.col(key).alias("_key"), F.col(value).cast("double").alias("_v"))
+
+
+def _drawn_in_arrays(u: DataFrame, own: list[str], b: int, seed) -> DataFrame:
+    """(own, _b, _sum, _n) of each resample: the units of a group lie in an array, draws index it.
+
+    Rows are (group, some resamples), dealt out to all tasks.
     """
-    own = [*by, *stratum]
-    u = d.where(_finite(value)).select(*own, key, F.col(value).cast("double").alias("_v"))
-    r = S.keyed_rank(u, own, seed, key, "boot", "_rank") if own else S.keyed_rank(u, [], seed, key, "boot", "_rank")
+    label = F.concat_ws("/", *[F.col(c).cast("string") for c in own]) if own else F.lit("")
+    unit = F.struct(draw_key(seed, "boot", F.col("_key")).alias("k"), "_key", "_v")
+    g = u.groupBy(*own).agg(F.sort_array(F.collect_list(unit))["_v"].alias("_vals"), F.count("*").alias("_n"))
+    parts = int(u.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.explode(F.sequence(F.lit(0), F.lit(b - 1), F.lit(RESAMPLES)))
+    g = g.select(*own, label.alias("_label"), "_vals", "_n", first.alias("_b0")).repartition(parts, *own, "_b0")
+    pick = lambda i, slot: F.floor(draw_unit(seed, F.col("_label"), i, slot) * F.col("_n")).cast("int")
+    total = lambda i: F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda s, slot: s + F.get("_vals", pick(i, slot)))
+    numbers = F.sequence(F.col("_b0"), F.least(F.col("_b0") + RESAMPLES, F.lit(b)) - 1)
+    sums = F.transform(numbers, lambda i: F.struct(i.alias("_b"), total(i).alias("_sum")))
+    return g.select(*own, "_n", F.inline(sums))
+
+
+def _drawn_by_rank(u: DataFrame, own: list[str], b: int, seed) -> DataFrame:
+    """The same for groups of any size: every slot draws a rank, and an equi join finds its unit."""
+    r = S.keyed_rank(u, own, seed, "_key", "boot", "_rank")
     n = r.groupBy(*own).agg(F.count("*").alias("_n"))
     slots = r.select(*own, F.col("_rank").alias("_slot"))
-    slots = slots.join(n, own) if own else slots.withColumn("_n", n.scalar())
+    slots = slots.join(n, own) if own else slots.withColumn("_n", n.select("_n").scalar())
     slots = slots.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     label = F.concat_ws("/", *[F.col(c).cast("string") for c in own]) if own else F.lit("")
     slots = slots.withColumn("_rank", F.floor(draw_unit(seed, label, F.col("_b"), F.col("_slot")) * F.col("_n")) + 1)
     drawn = slots.join(r.select(*own, "_rank", "_v"), [*own, "_rank"])
-    return drawn.groupBy(*by, "_b").agg(F.avg("_v").alias("boot_mean"))
+    return drawn.groupBy(*own, "_b").agg(F.count("*").alias("_n"), F.sum("_v").alias("_sum")).select(*own, "_n", "_b", "_sum")
+
+
+def bootstrap_means(d: DataFrame, by: list[str], value: str, key: str, b: int, seed, stratum: list[str] = ()) -> DataFrame:
+    """Mean of each of ``b`` keyed resamples per group.
+
+    Every unit slot draws a unit of its own (group, stratum) by a hashed key, so
+    both ways of looking it up give the same draws: arrays for groups of up to
+    ``GROUP_UNITS`` units, ranks for larger ones.
+    """
+    own = [*by, *stratum]
+    u = landed(_units(d, own, value, key), "boot-units")
+    sizes = u.groupBy(*own).agg(F.count("*").alias("_size"))
+    large = landed(sizes.where(F.col("_size") > GROUP_UNITS).select(*own, F.lit(True).alias("_large")), "boot-large")
+    if large.isEmpty():
+        drawn = _drawn_in_arrays(u, own, b, seed)
+    elif not own:
+        drawn = _drawn_by_rank(u, own, b, seed)
+    else:
+        drawn = _drawn_in_arrays(u.join(large, own, "left_anti"), own, b, seed).unionByName(_drawn_by_rank(u.join(large, own, "left_semi"), own, b, seed))
+    return drawn.groupBy(*by, "_b").agg((F.sum("_sum") / F.sum("_n")).alias("boot_mean"))
 
 
 def bootstrap_ci(d: DataFrame, by: list[str], value: str, key: str, b=2000, seed=1, conf=0.95, stratum: list[str] = ()) -> DataFrame:

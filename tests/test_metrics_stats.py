@@ -1,5 +1,7 @@
+import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -134,6 +136,62 @@ def test_wilcoxon_exact(spark):
     assert got[1].p == pytest.approx(p) and got[1].n_used == 5 and got[2].p == 1.0
 
 
+def test_wilcoxon_equals_all_signs(spark):
+    """Every n up to 12, with ties, zeros and undefined values."""
+    rnd = np.random.default_rng(2)
+    rows = [(n, float(v)) for n in range(1, 13) for v in rnd.integers(-4, 6, n)] + [(3, None), (3, float("nan")), (5, 0.0)]
+    got = {r.g: r for r in ST.wilcoxon(spark.createDataFrame(rows, "g int, delta double"), ["g"]).collect()}
+    for n in range(1, 13):
+        x = [v for g, v in rows if g == n and v]
+        x = [v for v in x if v == v]
+        rank = [np.mean([i + 1 for i, o in enumerate(sorted(map(abs, x))) if o == abs(v)]) for v in x]
+        w = sum(r for v, r in zip(x, rank) if v > 0)
+        sums = np.array(list(itertools.product((0, 1), repeat=len(x)))) @ np.array(rank) if x else np.zeros(1)
+        p = min(1.0, 2 * min(np.mean(sums <= w), np.mean(sums >= w)))
+        assert got[n].n_used == len(x) and got[n].w_plus == pytest.approx(w) and got[n].p == pytest.approx(p, rel=1e-12)
+
+
+def test_wilcoxon_of_many_pairs(spark, monkeypatch):
+    """2,000 differences in seconds, equal to whole-number counts; beyond the bound close to them."""
+    n = 400
+    ways = [1]  # counts of subsets of 1..n by their sum
+    for r in range(1, n + 1):
+        ways = [a + b for a, b in itertools.zip_longest(ways, [0] * r + ways, fillvalue=0)]
+    up = set(range(1, n + 1, 3)) | set(range(200, 320))
+    w = sum(up)
+    want = 2 * min(sum(ways[: w + 1]), sum(ways[w:])) / 2**n
+    rows = [("a", float(i if i in up else -i)) for i in range(1, n + 1)]
+    rows += [("b", float(i if i % 9 < 5 else -i)) for i in range(1, 2001)]
+    d = spark.createDataFrame(rows, "g string, delta double")
+    t = time.time()
+    got = {r.g: r for r in ST.wilcoxon(d, ["g"]).collect()}
+    assert time.time() - t < 60
+    assert got["a"].p == pytest.approx(want, rel=1e-11) and got["b"].n_used == 2000 and 0 < got["b"].p < 1
+    monkeypatch.setattr(ST, "EXACT_PAIRS", 10)
+    near = {r.g: r for r in ST.wilcoxon(d, ["g"]).collect()}
+    assert near["a"].p == pytest.approx(got["a"].p, rel=0.05) and near["b"].p == pytest.approx(got["b"].p, rel=0.05)
+    assert ST.wilcoxon(d.where("g = 'a'"), []).first()["n_used"] == n and ST.wilcoxon(d.limit(0), ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("stratum", [[], ["s"]])
+def test_bootstrap_arrays_equal_ranks(spark, monkeypatch, stratum):
+    """Small and large groups take different ways to the same draws."""
+    rnd = np.random.default_rng(3)
+    rows = [("big", i, i % 2, float(rnd.normal())) for i in range(60)] + [("small", i, i % 3, float(rnd.normal())) for i in range(7)] + [("small", 99, 0, None)]
+    d = spark.createDataFrame(rows, "g string, u int, s int, v double")
+    run = lambda: {(r.g, r._b): r.boot_mean for r in ST.bootstrap_means(d, ["g"], "v", "u", 120, 5, stratum).collect()}
+    arrays = run()
+    assert len(arrays) == 240
+    for most in (10, 0):
+        monkeypatch.setattr(ST, "GROUP_UNITS", most)
+        assert run() == pytest.approx(arrays)
+    key = lambda *x: int(hashlib.md5("|".join(map(str, x)).encode()).hexdigest()[:8], 16)
+    if not stratum:
+        vals = [r[3] for r in sorted((r for r in rows if r[0] == "small" and r[3] is not None), key=lambda r: (key(5, "boot", r[1]), r[1]))]
+        for i in range(120):
+            assert arrays["small", i] == pytest.approx(np.mean([vals[int(key(5, "small", i, s) / 2**32 * 7)] for s in range(1, 8)]))
+
+
 def test_bootstrap_single_unit(spark):
     d = spark.createDataFrame([("g", 1, 0.25)], "g string, u int, v double")
     r = ST.bootstrap_ci(d, ["g"], "v", "u", 50).first()
