@@ -187,16 +187,19 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def draw_bases(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:
-    """``n`` draws with replacement per class from the normal windows.
+    """``n`` draws with replacement per class from the normal windows, which ``key`` tells apart.
 
-    Draws are made in parallel from a range and meet their window by its rank.
+    Draws are made in parallel from a range and meet the key of their window by
+    its rank; only then are the windows themselves looked up.
     """
-    r = O.ranked(normals.withColumn("_k", draw_key(seed, F.col(key), "base")), [], ["_k", key], F.floor(F.col("_k") / (1 << 24)), "_rank").drop("_k")
-    total = normals.agg(F.count("*")).scalar()
+    keys = normals.select(F.col(key), draw_key(seed, F.col(key), "base").alias("_k"))
+    r = O.ranked(keys, [], ["_k", key], F.floor(F.col("_k") / (1 << 24)), "_rank").drop("_k")
+    total = keys.agg(F.count("*")).scalar()
     d = normals.sparkSession.range(n).withColumnRenamed("id", "draw")
     d = d.select("draw", F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("cls"))
     d = d.withColumn("_rank", F.floor(draw_unit(seed, F.col("cls"), F.col("draw")) * total) + 1)
-    return d.join(r, "_rank").drop("_rank").withColumn(key, F.concat_ws(":", key, "cls", "draw"))
+    d = d.join(r, "_rank").drop("_rank").join(normals, key)
+    return d.withColumn(key, F.concat_ws(":", key, "cls", "draw"))
 
 
 def rule_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.functions.keyed import draw_unit
 from busline.operators import metrics as ME
 from busline.operators import ordered as O
 from busline.operators import sampling as S
 from busline.operators import windows as WN
 from busline.schema import STRIDE, WINDOW
+from busline.session import landed
 
 
 def normal_ids(frames: DataFrame) -> DataFrame:
@@ -63,16 +63,24 @@ def detect_timing(intervals: DataFrame, id_counts: DataFrame, profile: DataFrame
     )
 
 
+FOREST_ROWS = 1 << 15  # rows of a task that grows trees; small tables are dealt to up to eight tasks
+
+
 def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=30, seed=42, balanced=True, leaf=2):
     """Random forest on feature columns; balanced weights per class of the training table, ``leaf`` rows in a leaf at least.
 
-    Spark grows trees to a depth of 30 at most.
+    Spark grows trees to a depth of 30 at most, one job for each level and node
+    group. Every task of it sends the histograms of all open nodes, so the
+    vectors are written once and dealt to no more tasks than needed.
     """
-    label_table = S.class_weights(d, label) if balanced else d.withColumn("weight", F.lit(1.0))
+    weighted = S.class_weights(d, label) if balanced else d.withColumn("weight", F.lit(1.0))
+    vectors = VectorAssembler(inputCols=features, outputCol="_x")
+    table = landed(vectors.transform(weighted.withColumn(label, F.col(label).cast("double"))).select("_x", label, "weight"), "forest-rows")
     rf = RandomForestClassifier(
         featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf)
-    table = label_table.withColumn(label, F.col(label).cast("double"))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), rf]).fit(table)
+    n = table.count()
+    model = rf.fit(table.repartition(max(-(-n // FOREST_ROWS), min(8, 1 + n // 512))))
+    return PipelineModel([vectors, model])
 
 
 def score_forest(d: DataFrame, model) -> DataFrame:
@@ -82,16 +90,65 @@ def score_forest(d: DataFrame, model) -> DataFrame:
     return s.select("*", (F.array_position("probs", F.array_max("probs")) - 1).cast("int").alias("pred_class"), (F.lit(1.0) - F.col("probs")[0]).alias("score"))
 
 
+def _held_out(d: DataFrame, label: str, key: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Train and held-out part; each class gives round(n * share) of its rows, one at least."""
+    n = d.groupBy(label).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(share))).cast("long").alias("quota"))
+    held = landed(S.first_ranks(d.select(label, key), [label], n, seed, key, "held").select(label, key), "held-out")
+    return d.join(held, [label, key], "left_anti"), d.join(held, [label, key], "left_semi")
+
+
 def discriminator(real: DataFrame, syn: DataFrame, features: list[str], key: str, seed=42, test_share=0.3, trees=100) -> tuple[DataFrame, DataFrame]:
-    """Forest that tells real from synthetic windows: held-out AUC, and scores of all synthetic windows."""
+    """Forest that tells real from synthetic windows: AUC on a held-out part with equal shares of both, and scores of all synthetic windows."""
     cols = [key, *features]
     both = real.select(*cols, F.lit(0).alias("y")).unionByName(syn.select(*cols, F.lit(1).alias("y")))
-    both = both.withColumn("_u", draw_unit(seed, F.col(key), F.col("y")))
-    model = fit_forest(both.where(F.col("_u") >= test_share), features, "y", trees, seed=seed)
-    auc = ME.roc_auc(score_forest(both.where(F.col("_u") < test_share), model), [], "score", "y")
+    train, test = _held_out(both, "y", key, test_share, seed)
+    model = fit_forest(train, features, "y", trees, seed=seed)
+    auc = ME.roc_auc(score_forest(test, model), [], "score", "y")
     return auc, score_forest(syn, model)
 
 
+AUDIT_WINDOWS = 12_500  # of one class and domain that the audit looks at
+
+
+def domain_audit(
+    real: DataFrame, syn: DataFrame, features: list[str], by: list[str], key: str, block: int,
+    cls="y_attack_type", classes=S.CLASSES, most=AUDIT_WINDOWS, seed=42, train_share=0.7, trees=100,
+) -> DataFrame:
+    """AUC of telling real from synthetic windows with equal counts of every class in both domains.
+
+    Real windows are split by blocks of raw frames, those over an edge dropped,
+    so train and test share no frame; synthetic ones by a keyed draw. One row
+    per class from a forest of its own, and row ``all`` from one over all
+    classes, with the windows per class and domain that were used. Fewer than
+    two in either part raise.
+    """
+    spark = real.sparkSession
+    parts = S.purged_split(real, block, seed, by, cls, 1 - train_share).select(cls, key, *features, "part")
+    parts = landed(parts.where(F.col(cls).isin(*classes)), "audit-real")
+    have = {(r[0], r[1]): r[2] for r in parts.groupBy(cls, "part").agg(F.count("*")).collect()}  # two per class
+    n_syn = S.class_sizes(syn, cls, classes)
+    wanted = round(most * train_share)
+    n_train = min([wanted, *(have.get((c, "train"), 0) for c in classes), *(max(1, round(train_share * n_syn[c])) for c in classes)])
+    n_test = min([most - wanted, *(have.get((c, "test"), 0) for c in classes), *(n_syn[c] - n_train for c in classes)])
+    if n_train < 2 or n_test < 2:
+        raise ValueError(f"a class has too few windows for an audit: {n_train} to train, {n_test} to test")
+    size = spark.createDataFrame([("train", n_train), ("test", n_test)], "part string, quota long")
+    drawn = S.first_ranks(parts, [cls, "part"], size, seed, key, "audit").withColumn("y", F.lit(0))
+    kind = syn.schema[cls].dataType
+    pool = S.first_ranks(syn.select(cls, key, *features), [cls], S._quota_table(spark, cls, kind, dict.fromkeys(classes, n_train + n_test)), seed, key, "audit")
+    pool = pool.withColumn("part", F.when(F.col("rank") <= n_train, "train").otherwise("test")).withColumn("y", F.lit(1))
+    table = landed(drawn.unionByName(pool).select(F.col(cls).cast("int").alias("class"), "part", "y", *features), "audit")
+
+    def auc(d: DataFrame, name: str, seed: int) -> DataFrame:
+        model = fit_forest(d.where("part = 'train'"), features, "y", trees, seed=seed)
+        scores = score_forest(d.where("part = 'test'"), model)
+        return ME.roc_auc(scores, [], "score", "y").select(F.lit(name).alias("class"), "auc")
+
+    rows = [auc(table, "all", seed)] + [auc(table.where(F.col("class") == c), str(c), seed + c) for c in classes]
+    out = reduce(lambda a, b: a.unionByName(b), rows)
+    return out.select("class", "auc", F.lit(n_train).cast("long").alias("train_windows"), F.lit(n_test).cast("long").alias("test_windows"))
+
+
 def condition_agreement(real: DataFrame, pool: DataFrame, features: list[str], label="y_attack_type", trees=100, seed=42) -> DataFrame:
     """Share of pool windows that a forest trained on real classes assigns to their label."""
     model = fit_forest(real, features, label, trees, seed=seed)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from busline.functions import text as X
 from busline.operators import ordered as O
 from busline.schema import BYTES, CHANNELS, MAX_ID
+from busline.session import landed
 
 EPS = 1e-12
 
@@ -301,52 +302,157 @@ def periodicity_mae(a: DataFrame, b: DataFrame, min_frames=100) -> DataFrame:
     return j.agg(F.avg(F.abs(F.col("m0") - F.col("m1"))).alias("mae"), F.count("*").alias("ids"))
 
 
-def normal_summary(f: DataFrame, by="domain") -> DataFrame:
-    """Id, dlc, payload and gap statistics of window frames, per domain."""
-    ids = f.groupBy(by, "can_id").agg(F.count("*").alias("n"))
-    r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "can_id"))
-    top = ids.withColumn("r", r).groupBy(by).agg(
-        F.count("*").alias("unique_ids"), (F.sum(F.when(F.col("r") <= 20, F.col("n"))) / F.sum("n")).alias("top20_coverage")
+# Bin edges of gaps in the quality row.
+DT_EDGES = [0, 1e-6, 1e-5, 5e-5, 1e-4, 5e-4, 1e-3, 5e-3, 1e-2, 5e-2, 1e-1, 1.0]
+
+
+def value_counts(d: DataFrame, kinds: dict[str, Column], sides: dict[str, Column], by: list[str] = ()) -> DataFrame:
+    """(by, kind, v, one count per side): how often each value occurs, for several kinds of values in one scan.
+
+    ``kinds`` gives an array of values for each row, ``sides`` which rows count
+    where. Equal values collapse before the shuffle, and everything that a
+    comparison needs can be had from the written table.
+    """
+    named = lambda kind: lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("double").alias("v"))
+    pairs = F.flatten(F.array(*[F.transform(values, named(kind)) for kind, values in kinds.items()]))
+    rows = d.select(*by, F.inline(pairs), *[cond.alias(s) for s, cond in sides.items()])
+    counts = rows.where(F.col("v").isNotNull()).groupBy(*by, "kind", "v").agg(*[F.count_if(s).alias(s) for s in sides])
+    return landed(counts, "value-counts")
+
+
+def _sides(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
+    return a.select(*cols, F.lit(True).alias("_one")).unionByName(b.select(*cols, F.lit(False).alias("_one")))
+
+
+def pair_counts(a: DataFrame, b: DataFrame, kinds: dict[str, Column], cols: list[str]) -> DataFrame:
+    """``value_counts`` of two tables side by side as ``a`` and ``b``."""
+    return value_counts(_sides(a, b, cols), kinds, {"a": F.col("_one"), "b": ~F.col("_one")})
+
+
+def divergences(counts: DataFrame, eps: float = 0.0, grid: DataFrame | None = None) -> DataFrame:
+    """Jensen-Shannon divergence and entropies in bits of the sides ``a`` and ``b``, a row per kind.
+
+    ``grid`` lists all bins (kind, v) of the kinds; a side without rows has
+    equal shares over them. ``eps`` smooths each bin of the grid.
+    """
+    if grid is not None:
+        counts = grid.join(counts, ["kind", "v"], "left").fillna(0, ["a", "b"])
+    total = counts.groupBy("kind").agg(F.sum("a").alias("_ta"), F.sum("b").alias("_tb"), F.count("*").alias("_bins"))
+    bins = F.col("_bins") if grid is not None else F.lit(0)
+    share = lambda c, t: (F.when(F.col(t) == 0, 1 / bins if grid is not None else F.lit(0.0)).otherwise(F.try_divide(F.col(c), F.col(t))) + eps) / (1 + bins * eps)
+    p = counts.join(total, "kind").select("kind", share("a", "_ta").alias("a"), share("b", "_tb").alias("b"))
+    m = (F.col("a") + F.col("b")) / 2
+    kl = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / m)).otherwise(0.0)
+    bits = lambda c: F.sum(F.when(F.col(c) > 0, -F.col(c) * F.log2(F.col(c))).otherwise(0.0))
+    return p.groupBy("kind").agg((F.sum(kl("a") + kl("b")) / 2).alias("js"), bits("a").alias("entropy_a"), bits("b").alias("entropy_b"))
+
+
+def distances(counts: DataFrame) -> DataFrame:
+    """First Wasserstein distance of the sides ``a`` and ``b``, a row per kind; running counts go span by span."""
+    t = O.ranged(counts, ["kind", "v"])
+    d = O.prefix_sums(t, ["kind"], ["v"], {"ca": "a", "cb": "b"})
+    heads = t.groupBy("kind", "_span").agg(F.min("v").alias("_h"))
+    heads = heads.select("kind", "_span", F.lead("_h").over(W.partitionBy("kind").orderBy("_span")).alias("_next"))
+    d = d.withColumn("_nv", F.lead("v").over(W.partitionBy("kind", "_span").orderBy("v"))).join(heads, ["kind", "_span"])
+    gap = F.coalesce("_nv", "_next") - F.col("v")
+    apart = F.abs(F.col("ca") / F.col("ca_total") - F.col("cb") / F.col("cb_total"))
+    return d.groupBy("kind").agg(F.sum(apart * gap).alias("distance"))
+
+
+def normal_summary(f: DataFrame, by="domain", edges=None) -> DataFrame:
+    """Id, dlc, payload and gap statistics of window frames per domain, with the 79 counts of log10 gaps, from one count table."""
+    c = value_counts(f, {"id": F.array("can_id"), "dlc": F.array("dlc"), "byte": F.array(*BYTES), "gap": F.array("delta_t")}, {"n": F.lit(True)}, [by])
+    n, v, is_ = F.col("n"), F.col("v"), lambda k: F.col("kind") == k
+    when = lambda k, x: F.sum(F.when(is_(k), x))
+    total = c.groupBy(by, "kind").agg(F.sum("n").alias("_t"))
+    p = n / F.col("_t")
+    base = c.join(total, [by, "kind"]).groupBy(by).agg(
+        when("id", n).alias("frames"), (when("gap", n * v) / when("gap", n)).alias("dt_mean"), F.count_if(is_("id")).alias("unique_ids"),
+        (F.coalesce(F.sum(F.when(is_("dlc") & (v == 8), n)), F.lit(0)) / when("dlc", n)).alias("dlc8_share"),
+        *[when(k, -p * F.log2(p)).alias(f"{name}_entropy") for k, name in (("id", "id"), ("dlc", "dlc"), ("byte", "payload"))],
     )
-    dlc = f.groupBy(by, "dlc").agg(F.count("*").alias("n"))
-    share8 = dlc.groupBy(by).agg((F.coalesce(F.sum(F.when(F.col("dlc") == 8, F.col("n"))), F.lit(0)) / F.sum("n")).alias("dlc8_share"))
-    pay = f.select(by, F.explode(F.array(*BYTES)).alias("v")).groupBy(by, "v").agg(F.count("*").alias("n"))
-    ent = lambda c, name: entropy_of(c, [by]).withColumnRenamed("entropy", name)
-    q = O.exact_quantiles(f, [by], "delta_t", {"dt_median": 0.5, "dt_p95": 0.95, "dt_p99": 0.99})
-    base = f.groupBy(by).agg(F.count("*").alias("frames"), F.avg("delta_t").alias("dt_mean"))
-    parts = [base, top, share8, ent(ids, "id_entropy"), ent(dlc, "dlc_entropy"), ent(pay, "payload_entropy"), q]
-    return reduce(lambda a, b: a.join(b, by), parts)
+    r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "v"))
+    top = c.where(is_("id")).select(by, "n", r.alias("_r")).where("_r <= 20").groupBy(by).agg(F.sum("n").alias("_top"))
+    gaps = c.where(is_("gap"))
+    q = O.exact_quantiles(gaps.select(by, v.alias("delta_t"), "n"), [by], "delta_t", {"dt_median": 0.5, "dt_p95": 0.95, "dt_p99": 0.99}, weight=n)
+    edges = edges or LOG_EDGES
+    bin_ = _bin_of(_log_gap(v), edges)
+    hist = gaps.groupBy(by, bin_.alias("bin")).agg(F.sum("n").alias("n")).where("bin is not null")
+    hist = hist.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_m"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(edges) - 2)), lambda i: F.coalesce(F.try_element_at("_m", i.cast("int")), F.lit(0)))
+    out = reduce(lambda a, b: a.join(b, by, "left"), [base, top, q, hist])
+    return out.withColumn("top20_coverage", F.col("_top") / F.col("frames")).withColumn("log_dt_counts", counts).drop("_top", "_m")
 
 
 LOG_EDGES = [-8 + 7.5 * i / 79 for i in range(80)]
 
 
+def _log_gap(dt: Column) -> Column:
+    return F.log10(F.greatest(dt, F.lit(0.0)) + 1e-8)
+
+
+def _bin_of(x: Column, edges: list[float]) -> Column:
+    """Number of the half-open bin of ``x``, the last one closed; NULL outside."""
+    e = [float(v) for v in edges]
+    inside = F.aggregate(F.array(*[F.lit(v) for v in e[1:-1]]), F.lit(0), lambda k, v: k + F.when(x >= v, 1).otherwise(0))
+    return F.when((x >= e[0]) & (x <= e[-1]), inside)
+
+
 def log_dt_counts(f: DataFrame, dt="delta_t", edges=None, by: list[str] = ()) -> DataFrame:
     """Counts of log10(delta + 1e-8) in 79 equal bins."""
-    d = f.withColumn("_l", F.log10(F.greatest(F.col(dt), F.lit(0.0)) + 1e-8))
-    return histogram(d, "_l", edges or LOG_EDGES, by)
+    return histogram(f.withColumn("_l", _log_gap(F.col(dt))), "_l", edges or LOG_EDGES, by)
 
 
 def normal_shift(a: DataFrame, b: DataFrame, edges=None) -> DataFrame:
-    """Divergences on id, dlc, payload and log gap, top-50 overlap and coverage by the reference's top 20."""
-    count = lambda d, c: d.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n"))
-    byte = lambda d: d.select(F.explode(F.array(*BYTES)).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    js = lambda p, q, k="k": js_divergence(p, q, k).scalar()
-    ia, ib = count(a, "can_id"), count(b, "can_id")
-    top = lambda c, k: c.orderBy(F.desc("n"), "k").limit(k)
-    t50 = top(ia, 50).select("k", F.lit(1).alias("x")).join(top(ib, 50).select("k", F.lit(1).alias("y")), "k", "full")
-    jac = t50.agg((F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull()) / F.count("*")).alias("j")).scalar()
-    cov = ib.join(top(ia, 20).select("k", F.lit(1).alias("x")), "k", "left").agg(
-        (F.coalesce(F.sum(F.when(F.col("x") == 1, F.col("n"))), F.lit(0)) / F.sum("n")).alias("c")
-    ).scalar()
-    return a.sparkSession.range(1).select(
-        js(ia, ib).alias("js_id"),
-        js(count(a, "dlc"), count(b, "dlc")).alias("js_dlc"),
-        js(byte(a), byte(b)).alias("js_payload"),
-        js(log_dt_counts(a, edges=edges), log_dt_counts(b, edges=edges), "bin").alias("js_log_dt"),
-        jac.alias("top50_jaccard"),
-        cov.alias("top20_coverage"),
+    """Divergences on id, dlc, payload and log gap, top-50 overlap and coverage by the reference's top 20, from one count table."""
+    c = pair_counts(a, b, {"id": F.array("can_id"), "dlc": F.array("dlc"), "byte": F.array(*BYTES), "gap": F.array("delta_t")}, ["can_id", "dlc", "delta_t", *BYTES])
+    # gaps by bin, all else as it is
+    v = F.when(F.col("kind") == "gap", _bin_of(_log_gap(F.col("v")), edges or LOG_EDGES).cast("double")).otherwise(F.col("v"))
+    c = landed(c.select("kind", v.alias("v"), "a", "b").where("v is not null").groupBy("kind", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "shift-counts")
+    js = divergences(c).agg(*[F.max(F.when(F.col("kind") == k, F.col("js"))).alias(f"js_{name}") for k, name in (("id", "id"), ("dlc", "dlc"), ("byte", "payload"), ("gap", "log_dt"))])
+    # the most frequent ids of either side: 100 rows at most
+    ids = c.where("kind = 'id'").select("v", "a", "b")
+    top = lambda s, k: [r[0] for r in ids.where(F.col(s) > 0).orderBy(F.desc(s), "v").limit(k).collect()]
+    top_a, top_b = top("a", 50), top("b", 50)
+    both, either = len({*top_a} & {*top_b}), len({*top_a} | {*top_b})
+    known = F.coalesce(F.sum(F.when(F.col("v").isin(top_a[:20]), F.col("b"))), F.lit(0)) / F.sum("b")
+    facts = ids.agg(known.alias("top20_coverage")).scalar()
+    return js.select("*", F.lit(both / either if either else None).cast("double").alias("top50_jaccard"), facts.alias("top20_coverage"))
+
+
+def synthetic_quality(real: DataFrame, syn: DataFrame, auc: DataFrame, window: list[str], dt_edges=DT_EDGES, min_frames=100) -> DataFrame:
+    """How close synthetic attack frames are to real ones, in one row; ``auc`` holds that of the discriminator.
+
+    Divergences are smoothed over fixed bins (ids to 2049, bytes to 257, the
+    gap edges); distances use the values themselves; ids with enough frames on
+    both sides give the periodicity error. Empty tables have equal shares.
+    """
+    cols = ["can_id", "delta_t", *BYTES]
+    c = pair_counts(real, syn, {"id": F.array("can_id"), "byte": F.array(*BYTES), "gap": F.array("delta_t")}, cols)
+    v, kind = F.col("v"), F.col("kind")
+    last = {"id": 2048, "byte": 256}  # bins of width one; the last is closed
+    unit = lambda k: F.when((v >= 0) & (v <= last[k] + 1), F.least(F.floor(v), F.lit(last[k])))
+    bin_ = F.when(kind == "id", unit("id")).when(kind == "byte", unit("byte")).otherwise(_bin_of(v, dt_edges)).cast("double")
+    binned = c.select("kind", bin_.alias("v"), "a", "b").where("v is not null").groupBy("kind", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sizes = [("id", 2049), ("byte", 257), ("gap", len(dt_edges) - 1)]
+    grid = real.sparkSession.createDataFrame(sizes, "kind string, _n int").select("kind", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("v")).select("kind", F.col("v").cast("double").alias("v"))
+    shares, apart = divergences(binned, EPS, grid), distances(c)
+    mean = lambda s: F.sum(F.when(kind == "gap", v * F.col(s))) / F.sum(F.when(kind == "gap", F.col(s)))
+    means = c.agg(mean("a").alias("real_delta_t_mean"), mean("b").alias("synthetic_delta_t_mean"))
+    windows = _sides(real, syn, window).groupBy("_one", *window).agg(F.lit(1)).agg(F.count_if("_one").alias("real_windows"), F.count_if(~F.col("_one")).alias("synthetic_windows"))
+    per = _sides(real, syn, ["can_id", "delta_t"]).groupBy("can_id").agg(
+        *[F.avg(F.when(cond, F.col("delta_t"))).alias(f"m{i}") for i, cond in enumerate((F.col("_one"), ~F.col("_one")))],
+        *[F.count_if(cond).alias(f"n{i}") for i, cond in enumerate((F.col("_one"), ~F.col("_one")))],
     )
+    mae = per.where((F.col("n0") > min_frames) & (F.col("n1") > min_frames)).agg(F.avg(F.abs(F.col("m0") - F.col("m1"))).alias("mae"))
+    name = {"id": "can_id", "byte": "payload", "gap": "delta_t"}
+    at = lambda k, x: F.max(F.when(F.col("kind") == k, F.col(x)))
+    js = shares.agg(*[at(k, "js").alias(f"{n}_js") for k, n in name.items()], *[at(k, f"entropy_{s}").alias(f"{side}_{name[k]}_entropy") for k in ("id", "byte") for s, side in (("a", "real"), ("b", "synthetic"))])
+    far = apart.agg(*[at(k, "distance").alias(f"{n}_wasserstein") for k, n in name.items()])
+    one = lambda d: d.select(F.struct("*").alias("s")).scalar()
+    parts = [windows, js, far, means]
+    row = real.sparkSession.range(1).select(*[one(d).alias(f"_{i}") for i, d in enumerate(parts)], mae.scalar().alias("periodicity_mae"), auc.scalar().alias("real_vs_synthetic_auc"))
+    return row.select(*[f"_{i}.{c}" for i, d in enumerate(parts) for c in d.columns], "periodicity_mae", "real_vs_synthetic_auc")
 
 
 def grammar_distance(profile: DataFrame, families: dict[str, tuple[str, str]]) -> DataFrame:

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from busline.functions.keyed import draw_key, draw_unit
+from busline.functions.keyed import KEY_RANGE, draw_key, draw_unit
 from busline.operators import ordered as O
 from busline.schema import SPAN
 from busline.session import discard, landed
@@ -26,6 +26,43 @@ def keyed_rank(d: DataFrame, by: list[str], seed, key: str, stream="draw", out="
     return O.ranked(d, by, ["_k", key], F.floor(F.col("_k") / _RANGE), out).drop("_k")
 
 
+def first_ranks(d: DataFrame, by: list[str], quota: DataFrame | int, seed, key: str, stream="draw", out="rank") -> DataFrame:
+    """The rows that ``keyed_rank`` puts at ``quota`` or before, with their rank, without ranking the rest.
+
+    ``quota`` is a number, or a table with one row per group and a column
+    ``quota``; groups without a row there are left out. The keys of a group are
+    even over their range, so few beyond those wanted lie under quota / size
+    and a margin of six standard deviations. Only these rows are shuffled. A
+    group that keeps too few of them is ranked whole.
+    """
+    d = d.withColumn("_k", draw_key(seed, stream, F.col(key)))
+    if by:
+        sizes = landed(d.groupBy(*by).agg(F.count("*").alias("_size")), "sizes")
+        want = sizes.withColumn("quota", F.lit(quota)) if isinstance(quota, int) else sizes.join(quota, [c for c in by if c in quota.columns])
+    else:
+        want = d.agg(F.count("*").alias("_size")).withColumn("quota", F.lit(quota))
+    q = F.col("quota").cast("double")
+    share = F.least(F.lit(1.0), (q + 6 * F.sqrt(q) + 20) / F.greatest(F.col("_size"), F.lit(1)))
+    want = landed(want.where("quota > 0").select(*by, "quota", "_size", (share * KEY_RANGE).alias("_upto")), "quotas")
+
+    def under(limits: DataFrame) -> DataFrame:
+        if by:
+            return d.join(limits, by).where(F.col("_k") <= F.col("_upto"))
+        one = limits.first()
+        return d.limit(0).withColumn("quota", F.lit(0)) if one is None else d.where(F.col("_k") <= one["_upto"]).withColumn("quota", F.lit(one["quota"]))
+
+    kept = under(want).groupBy(*by).agg(F.count("*").alias("_kept"))
+    kept = want.join(kept, by, "left") if by else want.withColumn("_kept", kept.select("_kept").scalar())
+    short = F.coalesce("_kept", F.lit(0)) < F.least("quota", "_size")
+    limits = landed(kept.withColumn("_upto", F.when(short, F.lit(float(KEY_RANGE))).otherwise(F.col("_upto"))).select(*by, "quota", "_upto"), "quotas")
+    near = under(limits).select(*d.columns, F.col("quota").alias("_quota"))
+    return O.ranked(near, by, ["_k", key], F.floor(F.col("_k") / _RANGE), out).where(F.col(out) <= F.col("_quota")).drop("_k", "_quota")
+
+
+def _quota_table(spark, cls: str, kind, want: dict[int, int]) -> DataFrame:
+    return spark.createDataFrame(list(want.items()), "c long, quota long").select(F.col("c").cast(kind).alias(cls), "quota")
+
+
 def quotas(total: int, classes=CLASSES) -> dict[int, int]:
     """Equal shares; the first classes take the remainder."""
     share, rest = divmod(total, len(classes))
@@ -46,11 +83,11 @@ def class_sizes(d: DataFrame, cls: str, classes=CLASSES) -> dict[int, int]:
 def sample_balanced(d: DataFrame, total: int, seed, key: str, cls="y_attack_type", classes=CLASSES) -> DataFrame:
     """Balanced draw; a class with too few rows is drawn with replacement."""
     want, have = quotas(total, classes), class_sizes(d, cls, classes)
-    r = keyed_rank(d.where(F.col(cls).isin(*classes)), [cls], seed, key)
     short = [c for c in classes if want[c] > have[c]]
-    enough = [c for c in classes if c not in short]
-    once = r.where(F.col(cls).isin(*enough) & (F.col("rank") <= _per_class(want, cls))) if enough else r.limit(0)
-    out = once.withColumn("draw", F.col("rank"))
+    # a short class is ranked whole, as each of its rows can be drawn
+    table = _quota_table(d.sparkSession, cls, d.schema[cls].dataType, {c: max(want[c], have[c]) if c in short else want[c] for c in classes})
+    r = first_ranks(d, [cls], table, seed, key)
+    out = r.where(~F.col(cls).isin(*short)).withColumn("draw", F.col("rank"))
     for c in short:
         if have[c] == 0:
             raise ValueError(f"class {c} has no rows to draw from")
@@ -66,8 +103,8 @@ def sample_strict(d: DataFrame, total: int, seed, key: str, cls="y_attack_type",
     short = {c: (want[c], have[c]) for c in classes if want[c] > have[c]}
     if short:
         raise ValueError("capacity exceeded: " + ", ".join(f"class {c} wants {w}, has {h}" for c, (w, h) in short.items()))
-    r = keyed_rank(d.where(F.col(cls).isin(*classes)), [cls], seed, key)
-    drawn = r.where(F.col("rank") <= _per_class(want, cls)).withColumnRenamed("rank", "draw")
+    table = _quota_table(d.sparkSession, cls, d.schema[cls].dataType, want)
+    drawn = first_ranks(d, [cls], table, seed, key).withColumnRenamed("rank", "draw")
     audit = drawn.groupBy(cls).agg(F.count("*").alias("drawn"), F.count_distinct(key).alias("unique_rows"))
     audit = audit.select(
         cls, _per_class(have, cls).alias("available"), _per_class(want, cls).alias("requested"), "drawn", "unique_rows",
@@ -110,7 +147,7 @@ def oversample(train: DataFrame, ratio: float, seed: int, key: str, cls="y_attac
 
 def cap_rows(d: DataFrame, n: int, seed, key: str) -> DataFrame:
     """At most ``n`` rows, uniform and without replacement."""
-    return keyed_rank(d, [], seed, key).where(F.col("rank") <= n).drop("rank")
+    return first_ranks(d, [], n, seed, key).drop("rank")
 
 
 def stratified_cap(d: DataFrame, cap: int, seed, key: str, y="y") -> DataFrame:
@@ -120,13 +157,14 @@ def stratified_cap(d: DataFrame, cap: int, seed, key: str, y="y") -> DataFrame:
         return d
     attacks = min(have[1], cap // 2)
     normals = min(have[0], cap - attacks)
-    return keyed_rank(d, [y], seed, key).where(F.col("rank") <= _per_class({0: normals, 1: attacks}, y)).drop("rank")
+    table = _quota_table(d.sparkSession, y, d.schema[y].dataType, {0: normals, 1: attacks})
+    return first_ranks(d, [y], table, seed, key).drop("rank")
 
 
 def stratified_fraction(d: DataFrame, f: float, seed, key: str, cls: str) -> DataFrame:
     """max(1, round(n*f)) rows per class."""
-    n = d.groupBy(cls).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(f))).alias("_q"))
-    return keyed_rank(d, [cls], seed, key).join(n, cls).where(F.col("rank") <= F.col("_q")).drop("rank", "_q")
+    n = d.groupBy(cls).agg(F.greatest(F.lit(1), F.bround(F.count("*") * F.lit(f))).cast("long").alias("quota"))
+    return first_ranks(d, [cls], n, seed, key).drop("rank")
 
 
 def aligned(w: DataFrame, size=128, start="start_index") -> DataFrame:
@@ -190,7 +228,7 @@ def greedy_disjoint(w: DataFrame, by: list[str], start="start_index", end="end_i
 
 def partition_blocks(w: DataFrame, size: int, blocks: int, seed, key: str) -> DataFrame:
     """Keyed permutation cut into ``blocks`` consecutive blocks of ``size`` rows."""
-    d = keyed_rank(w, [], seed, key).withColumn("block", F.floor((F.col("rank") - 1) / size) + 1)
+    d = first_ranks(w, [], size * blocks, seed, key).withColumn("block", F.floor((F.col("rank") - 1) / size) + 1)
     return d.where(F.col("block") <= blocks).drop("rank")
 
 
@@ -213,9 +251,8 @@ def match_domains(real: DataFrame, syn: DataFrame, seed, key: str, cls="y_attack
     """Equal real and synthetic counts in every (class, part): the smallest count of the part."""
     both = real.withColumn("domain", F.lit("real")).unionByName(syn.withColumn("domain", F.lit("synthetic")), allowMissingColumns=True)
     c = both.groupBy("domain", cls, part).agg(F.count("*").alias("_n"))
-    least = c.groupBy(part).agg(F.min("_n").alias("_q"))
-    r = keyed_rank(both, ["domain", cls, part], seed, key)
-    return r.join(least, part).where(F.col("rank") <= F.col("_q")).drop("rank", "_q")
+    least = c.groupBy(part).agg(F.min("_n").alias("quota"))
+    return first_ranks(both, ["domain", cls, part], least, seed, key).drop("rank")
 
 
 # Which tables each training arm adds to the real source windows.

@@ -108,6 +108,13 @@ def i5(t: Tables):
     return s.groupBy("y_attack_type").agg(F.count("*").alias("windows"), F.round(F.avg("score"), 4).alias("score")).withColumn("auc", F.round(auc.scalar(), 4))
 
 
+@query("i5_domain_audit")
+def i5_audit(t: Tables):
+    real = features(t).withColumn("end_index", F.col("start_index") + 127)
+    classes = (1, 2, 3)  # those that the cycled pool has
+    return DE.domain_audit(real, pool_features(t), WN.FEATURES, SRC, "wkey", 256, classes=classes).withColumn("auc", F.round("auc", 4))
+
+
 @query("i6_condition_agreement")
 def i6(t: Tables):
     d = DE.condition_agreement(features(t), pool_features(t), WN.FEATURES)
@@ -131,21 +138,11 @@ def i8(t: Tables):
 @query("e21_synthetic_quality")
 def e21(t: Tables):
     real = t.wf.join(t.labels_w.where("y_binary = 1").select("source_file", "start_index"), ["source_file", "start_index"])
+    real = real.withColumn("wkey", A.window_key("source_file", "start_index"))
     syn = pool_frames(cycled_pool(t))
     auc, _ = DE.discriminator(features(t).where("y_binary = 1"), pool_features(t), WN.FEATURES, "wkey")
-    ids = lambda d: d.groupBy(F.col("can_id").cast("int").alias("k")).agg(F.count("*").alias("n"))
-    byte = lambda d: d.select(F.explode(F.array(*[F.col(f"data{i}").cast("int") for i in range(8)])).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
-    dt = [0, 60, 120, 300, 600, 1200, 3600, 1e9]
-    hist = lambda d: P.histogram(d, "delta_t", dt)
-    ra, sa, rb, sb = ids(real), ids(syn), byte(real), byte(syn)
-    cells = {
-        "can_id_js": P.js_divergence(ra, sa, "k", eps=P.EPS, bins=2049), "delta_t_js": P.js_divergence(hist(real), hist(syn), "bin", eps=P.EPS, bins=len(dt) - 1),
-        "payload_js": P.js_divergence(rb, sb, "k", eps=P.EPS, bins=257), "can_id_wasserstein": P.wasserstein_1d(real, syn, "can_id"),
-        "delta_t_wasserstein": P.wasserstein_1d(real, syn, "delta_t"), "real_id_entropy": P.entropy_of(ra, bins=2049), "synthetic_id_entropy": P.entropy_of(sa, bins=2049),
-        "real_payload_entropy": P.entropy_of(rb, bins=257), "synthetic_payload_entropy": P.entropy_of(sb, bins=257),
-        "periodicity_mae": P.periodicity_mae(real, syn).select("mae"), "auc": auc,
-    }
-    return t.spark.range(1).select(*[F.round(d.scalar(), 5).alias(n) for n, d in cells.items()])
+    d = P.synthetic_quality(real, syn, auc, ["wkey"], dt_edges=[0, 60, 120, 300, 600, 1200, 3600, 1e9])
+    return d.select(*[F.round(c, 5).alias(c) if k == "double" else c for c, k in d.dtypes])
 
 
 # ---- J ---------------------------------------------------------------------------------

@@ -176,13 +176,16 @@ _BYTE_LIST = "unnest([" + ", ".join(BYTES) + "])"
 WITH i AS (SELECT domain, count(*) AS unique_ids, sum(n) FILTER (r <= 20) / sum(n) AS top20_coverage FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, can_id) AS r FROM (SELECT domain, can_id, count(*) AS n FROM domw GROUP BY ALL)) GROUP BY domain),
 g AS (SELECT domain, count(*) AS frames, avg(delta_t) AS dt_mean, avg((dlc = 8)::INT) AS dlc8_share, quantile_cont(delta_t, 0.5) AS dt_median, quantile_cont(delta_t, 0.95) AS dt_p95, quantile_cont(delta_t, 0.99) AS dt_p99 FROM domw GROUP BY domain)
 SELECT g.domain, frames, unique_ids, round(dt_mean, 5) AS dt_mean, round(top20_coverage, 6) AS top20_coverage, round(dlc8_share, 6) AS dlc8_share, round(a.e, 6) AS id_entropy, round(b.e, 6) AS dlc_entropy,
- round(c.e, 6) AS payload_entropy, round(dt_median, 5) AS dt_median, round(dt_p95, 5) AS dt_p95, round(dt_p99, 5) AS dt_p99
+ round(c.e, 6) AS payload_entropy, round(dt_median, 5) AS dt_median, round(dt_p95, 5) AS dt_p95, round(dt_p99, 5) AS dt_p99,
+ (SELECT string_agg(n, ',' ORDER BY k) FROM (SELECT k, count(l)::VARCHAR AS n FROM (SELECT unnest(generate_series(0, 78)) AS k) LEFT JOIN
+  (SELECT log10(greatest(delta_t, 0) + 1e-8) AS l, (SELECT count(*) FROM (SELECT unnest(generate_series(1, 78)) AS i) WHERE i * 0.1::DOUBLE <= log10(greatest(delta_t, 0) + 1e-8)) AS b FROM domw WHERE domw.domain = g.domain
+   AND log10(greatest(delta_t, 0) + 1e-8) BETWEEN 0 AND 79 * 0.1::DOUBLE) ON b = k GROUP BY k)) AS log_dt_counts
 FROM g JOIN i USING (domain) JOIN {_ent_sql('can_id')} a USING (domain) JOIN {_ent_sql('dlc')} b USING (domain) JOIN {_ent_sql('v', f'(SELECT domain, {_BYTE_LIST} AS v FROM domw)')} c USING (domain)""")
 def e13(t: Tables):
-    d = P.normal_summary(normal_window_frames(t))
+    d = P.normal_summary(normal_window_frames(t), edges=_EDGES).withColumn("log_dt_counts", F.array_join(F.col("log_dt_counts").cast("array<string>"), ","))
     nd = lambda c: 5 if c.startswith("dt_") else 6
     return d.select("domain", "frames", "unique_ids", *[F.round(c, nd(c)).alias(c) for c in (
-        "dt_mean", "top20_coverage", "dlc8_share", "id_entropy", "dlc_entropy", "payload_entropy", "dt_median", "dt_p95", "dt_p99")])
+        "dt_mean", "top20_coverage", "dlc8_share", "id_entropy", "dlc_entropy", "payload_entropy", "dt_median", "dt_p95", "dt_p99")], "log_dt_counts")
 
 
 def _js_sql(counts, eps=0.0, bins=0):
@@ -224,13 +227,17 @@ def e15(t: Tables):
 
 @query("e16_js_divergence", f"SELECT round({_js_sql(_cnt('can_id'))}, 8) AS js_exact, round({_js_sql(_cnt('can_id'), 1e-12, 2049)}, 8) AS js_smoothed")
 def e16(t: Tables):
-    c = domains(t).groupBy("domain", "can_id").agg(F.count("*").alias("n"))
-    p, q = c.where("domain = 'a'"), c.where("domain = 'b'")
-    a = P.js_divergence(p, q, "can_id").scalar()
-    b = P.js_divergence(p, q, "can_id", eps=1e-12, bins=2049).scalar()
+    c = _pair(t, {"id": F.array("can_id")})
+    bins = t.spark.range(2049).select(F.lit("id").alias("kind"), F.col("id").cast("double").alias("v"))
+    a, b = P.divergences(c).select("js").scalar(), P.divergences(c, P.EPS, bins).select("js").scalar()
     return t.spark.range(1).select(F.round(a, 8).alias("js_exact"), F.round(b, 8).alias("js_smoothed"))
 
 
+def _pair(t: Tables, kinds):
+    d = domains(t)
+    return P.value_counts(d, kinds, {"a": F.col("domain") == "a", "b": F.col("domain") == "b"})
+
+
 def _w1_sql(col):
     return f"""(SELECT sum(abs(ca / na - cb / nb) * (nx - v)) FROM (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(a) OVER (ORDER BY v) AS ca, sum(b) OVER (ORDER BY v) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb
  FROM (SELECT {col}::DOUBLE AS v, count(*) FILTER (domain = 'a') AS a, count(*) FILTER (domain = 'b') AS b FROM dom GROUP BY ALL)))"""
@@ -238,10 +245,9 @@ def _w1_sql(col):
 
 @query("e17_wasserstein", f"SELECT round({_w1_sql('can_id')}, 6) AS w_id, round({_w1_sql('delta_t')}, 4) AS w_dt")
 def e17(t: Tables):
-    d = domains(t)
-    a, b = d.where("domain = 'a'"), d.where("domain = 'b'")
-    w = lambda c: P.wasserstein_1d(a, b, c).scalar()
-    return t.spark.range(1).select(F.round(w("can_id"), 6).alias("w_id"), F.round(w("delta_t"), 4).alias("w_dt"))
+    d = P.distances(_pair(t, {"id": F.array("can_id"), "dt": F.array("delta_t")}))
+    w = lambda k: F.max(F.when(F.col("kind") == k, F.col("distance")))
+    return d.agg(F.round(w("id"), 6).alias("w_id"), F.round(w("dt"), 4).alias("w_dt"))
 
 
 _HEDGES = [0, 60, 120, 300, 600, 1200, 3600]

@@ -1,9 +1,12 @@
+import random
 from unittest.mock import MagicMock
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from busline.operators import detect as DE
+from busline.operators import profile as P
 from busline.operators import windows as WN
 from busline.plans import q_metrics as Q
 
@@ -16,7 +19,7 @@ def grown(spark, monkeypatch):
     y = (F.col("id") % 2).cast("int")
     wide = lambda names, y=y: [(y * 10 + F.rand(3)).alias(c) for c in names]
     d = spark.range(120).select((F.col("id") % 4).alias("part"), F.col("id").alias("start_index"), y.alias("y_binary"), y.alias("y_attack_type"), *wide(WN.FEATURES))
-    d = d.select(F.concat(F.lit("src_"), F.floor(F.col("start_index") / 30).cast("string")).alias("source_file"), F.col("start_index").cast("string").alias("wkey"), "*").localCheckpoint()
+    d = d.select(F.concat(F.lit("src_"), F.floor(F.col("start_index") / 30).cast("string")).alias("source_file"), F.col("start_index").cast("string").alias("wkey"), "*").cache()
     monkeypatch.setattr(Q, "features", lambda t: d)
     monkeypatch.setattr(Q, "pool_features", lambda t: d.withColumn("wkey", F.concat("wkey", F.lit("|syn"))))
     monkeypatch.setattr(WN, "payload_correlations", lambda *a: d.select(*KEYS, *wide(WN.CORRELATIONS, F.col("y_binary"))))
@@ -36,16 +39,88 @@ def test_forests_of_queries_have_full_size(grown):
     assert grown[4:] == [(100, 30)]
 
 
-def test_synthetic_quality_uses_the_whole_discriminator(monkeypatch):
-    class Called(Exception):
-        pass
+def audit_windows(spark, shift, n=240):
+    """Windows of two classes in blocks of four; ``shift`` moves the first feature of the synthetic ones of class 2."""
+    i = F.col("id")
+    cls = (F.floor(i / 4) % 2 + 1).cast("int")
+    base = spark.range(n).select("id", cls.alias("y_attack_type"), F.lit("s").alias("source_file"), (i * 64).alias("start_index"), (i * 64 + 63).alias("end_index"))
+    real = base.select("*", F.concat(F.lit("r"), i.cast("string")).alias("wkey"), F.rand(1).alias("f0"), F.rand(2).alias("f1"))
+    syn = base.select("*", F.concat(F.lit("p"), i.cast("string")).alias("wkey"), (F.rand(3) + F.when(cls == 2, shift).otherwise(0.0)).alias("f0"), F.rand(4).alias("f1"))
+    return real, syn
 
-    def spy(*args, **kwargs):
-        raise Called(len(args), kwargs)
 
-    for name in ("features", "pool_features", "pool_frames", "cycled_pool"):
-        monkeypatch.setattr(Q, name, MagicMock())
-    monkeypatch.setattr(DE, "discriminator", spy)
-    with pytest.raises(Called) as e:
-        Q.e21(MagicMock())
-    assert e.value.args == (4, {})
+def test_domain_audit_per_class(spark):
+    """A class that the domains share has an AUC near a half, one that differs has 1."""
+    real, syn = audit_windows(spark, 2.0)
+    got = {r["class"]: r for r in DE.domain_audit(real, syn, ["f0", "f1"], ["source_file"], "wkey", 256, classes=(1, 2), trees=40).collect()}
+    assert set(got) == {"all", "1", "2"} and got["2"].auc == 1.0 and 0.3 < got["1"].auc < 0.7 and got["1"].auc < got["all"].auc < 1.0
+    assert {(r.train_windows, r.test_windows) for r in got.values()} == {(84, 36)}  # 70 and 30 % of 30 blocks of four
+    few = {(r.train_windows, r.test_windows) for r in DE.domain_audit(real, syn, ["f0", "f1"], ["source_file"], "wkey", 256, classes=(1, 2), most=20, trees=2).collect()}
+    assert few == {(14, 6)}
+    with pytest.raises(ValueError, match="too few windows"):
+        DE.domain_audit(real, syn.where("y_attack_type = 1"), ["f0", "f1"], ["source_file"], "wkey", 256, classes=(1, 2))
+
+
+def test_audit_parts_share_no_block(spark, monkeypatch):
+    real, syn = audit_windows(spark, 0.0)
+    seen = []
+    fit = DE.fit_forest
+    monkeypatch.setattr(DE, "fit_forest", lambda d, *a, **k: (seen.append(d.groupBy("y").count().collect()), fit(d, *a, **k))[1])
+    parts = DE.S.purged_split(real, 256, 42, ["source_file"], test_share=0.3).select("group", "part").distinct().collect()
+    assert len({r.group for r in parts}) == len(parts)
+    DE.domain_audit(real, syn, ["f0", "f1"], ["source_file"], "wkey", 256, classes=(1, 2), trees=2).collect()
+    assert [sorted((r.y, r["count"]) for r in s) for s in seen] == [[(0, 168), (1, 168)], [(0, 84), (1, 84)], [(0, 84), (1, 84)]]
+
+
+def test_held_out_part_is_stratified(spark):
+    d = spark.range(1000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), (F.col("id") < 60).cast("int").alias("y"))
+    train, test = DE._held_out(d, "y", "k", 0.3, 5)
+    assert {r.y: r["count"] for r in test.groupBy("y").count().collect()} == {0: 282, 1: 18}
+    assert train.count() == 700 and train.join(test, "k").count() == 0
+
+
+QUALITY = "can_id int, delta_t double, data0 int, data1 int, data2 int, data3 int, data4 int, data5 int, data6 int, data7 int, w int"
+
+
+def frames_of(spark, seed, ids, top, n=640):
+    rnd = random.Random(seed)
+    return spark.createDataFrame([(rnd.choice(ids), rnd.random() * top, *[rnd.randrange(256) for _ in range(8)], i // 64) for i in range(n)], QUALITY)
+
+
+def test_synthetic_quality_row(spark):
+    """Values of every cell against numpy on small tables."""
+    real, syn = frames_of(spark, 1, [5, 9, 700], 0.3), frames_of(spark, 2, [5, 9, 30, 2047], 0.2)
+    auc = spark.createDataFrame([(0.75,)], "auc double")
+    r = P.synthetic_quality(real, syn, auc, ["w"]).first()
+    a, b = real.toPandas(), syn.toPandas()
+    cols = [f"data{i}" for i in range(8)]
+    eps = P.EPS
+
+    def share(x, edges):
+        h = np.histogram(x, bins=edges)[0].astype(float)
+        h = h / max(h.sum(), 1) + eps
+        return h / h.sum()
+
+    def js(p, q):
+        m = (p + q) / 2
+        return float((p * np.log2(p / m)).sum() + (q * np.log2(q / m)).sum()) / 2
+
+    def distance(x, y):
+        v = np.sort(np.concatenate([x, y]))
+        f = lambda z: np.searchsorted(np.sort(z), v[:-1], side="right") / len(z)
+        return float((np.abs(f(x) - f(y)) * np.diff(v)).sum())
+
+    ids, byte = np.arange(2050), np.arange(258)
+    entropy = lambda p: float(-(p * np.log2(p)).sum())
+    flat = lambda t: t[cols].to_numpy().ravel()
+    assert (r.real_windows, r.synthetic_windows) == (10, 10)
+    assert r.can_id_js == pytest.approx(js(share(a.can_id, ids), share(b.can_id, ids)), abs=1e-9)
+    assert r.delta_t_js == pytest.approx(js(share(a.delta_t, P.DT_EDGES), share(b.delta_t, P.DT_EDGES)), abs=1e-9)
+    assert r.payload_js == pytest.approx(js(share(flat(a), byte), share(flat(b), byte)), abs=1e-9)
+    assert r.can_id_wasserstein == pytest.approx(distance(a.can_id, b.can_id)) and r.delta_t_wasserstein == pytest.approx(distance(a.delta_t, b.delta_t))
+    assert r.payload_wasserstein == pytest.approx(distance(flat(a), flat(b)))
+    assert r.real_can_id_entropy == pytest.approx(entropy(share(a.can_id, ids))) and r.synthetic_can_id_entropy == pytest.approx(entropy(share(b.can_id, ids)))
+    assert r.real_payload_entropy == pytest.approx(entropy(share(flat(a), byte))) and r.synthetic_payload_entropy == pytest.approx(entropy(share(flat(b), byte)))
+    assert r.real_delta_t_mean == pytest.approx(a.delta_t.mean()) and r.synthetic_delta_t_mean == pytest.approx(b.delta_t.mean())
+    means = [(a[a.can_id == i].delta_t.mean(), b[b.can_id == i].delta_t.mean()) for i in (5, 9)]
+    assert r.periodicity_mae == pytest.approx(np.mean([abs(x - y) for x, y in means])) and r.real_vs_synthetic_auc == 0.75
