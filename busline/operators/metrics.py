@@ -142,8 +142,15 @@ def apply_threshold(d: DataFrame, thr: DataFrame, by: list[str] = (), score="sco
 def low_fpr_point(d: DataFrame, fprs=(0.001, 0.01), by: list[str] = (), score="score", y="y", splits=None) -> DataFrame:
     """Largest set of whole tie groups of normals within floor(fpr*n) false alarms, and its TPR.
 
-    Alarms are scores above the first excluded normal score.
+    Alarms are scores above the first excluded normal score; ``threshold`` is
+    the least double above it, or minus infinity if no normal is excluded, so
+    they are the scores that reach it. ``unused_fp`` false alarms would still be
+    allowed; ``tie_step_exceeds`` says that the next tie group is too large for
+    them. Scores that are null or not finite raise.
     """
+    x = F.col(score).cast("double")
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    d = d.withColumn(score, F.when(finite, x).otherwise(F.raise_error(F.lit("non-finite scores")).cast("double")))
     c = curves(d, by, score, y, splits)
     tot = c.groupBy(*by).agg(F.sum("neg").alias("normals"), F.sum("pos").alias("attacks"))
     grid = F.array(*[F.lit(float(f)) for f in fprs])
@@ -164,8 +171,13 @@ def low_fpr_point(d: DataFrame, fprs=(0.001, 0.01), by: list[str] = (), score="s
         .when(tie, "attainable_boundary_tie").otherwise("attainable")
     )
     ok = F.col("normals") > 0
+    allowed = F.floor(F.col("target") * F.col("normals"))
+    excluded = F.col(f"_x.{score}")
+    above = F.when(excluded.isNotNull(), F.reflect(F.lit("java.lang.Math"), F.lit("nextUp"), excluded).cast("double")).otherwise(float("-inf"))
+    fp = F.when(ok, fp).otherwise(0)
     return g.select(
-        *by, "target", F.floor(F.col("target") * F.col("normals")).alias("allowed_fp"), F.when(ok, fp).alias("achieved_fp"),
+        *by, "target", allowed.alias("allowed_fp"), fp.alias("achieved_fp"), (allowed - fp).alias("unused_fp"),
+        F.when(ok, above).alias("threshold"), F.when(ok, excluded.isNotNull()).alias("tie_step_exceeds"),
         F.when(ok, F.try_divide(fp, "normals")).alias("achieved_fpr"), F.when(ok, F.try_divide(tp, "attacks")).alias("tpr"),
         F.col(f"_x.{score}").alias("excluded_score"), F.coalesce("_x.neg", F.lit(0)).alias("normal_ties"),
         F.coalesce("_x.pos", F.lit(0)).alias("attack_ties"), status.alias("status"),
@@ -204,17 +216,18 @@ def best_f1(d: DataFrame, candidates=512, score="score", y="y", splits=None) ->
     return best.agg(F.max(F.struct("f1", (-F.col("i")).alias("o"), "threshold")).alias("m")).select("m.threshold", "m.f1")
 
 
-def calibration_probe(d: DataFrame, by: list[str], fpr=0.01) -> DataFrame:
+def calibration_probe(d: DataFrame, by: list[str], fpr=0.01, without=1.0) -> DataFrame:
     """Confusion counts under four conditions: argmax, threshold, refit scaler, both.
 
     Rows carry role ('calibration' or an evaluation axis), y, and score and
     pred with the original (``_o``) and the refit (``_r``) scaler.  Thresholds
-    come from calibration rows only, by group.
+    come from calibration rows only, by group; a group without any has the
+    threshold ``without``.
     """
     cal, held = d.where("role = 'calibration'"), d.where("role <> 'calibration'")
     thr = lambda s: O.exact_quantiles(cal, by, f"score_{s}", {f"thr_{s}": 1.0 - fpr})
-    j = held.join(thr("o"), by).join(thr("r"), by)
-    at = lambda s: (F.col(f"score_{s}") >= F.col(f"thr_{s}")).cast("int")
+    j = held.join(thr("o"), by, "left").join(thr("r"), by, "left")
+    at = lambda s: (F.col(f"score_{s}") >= F.coalesce(f"thr_{s}", F.lit(without))).cast("int")
     conds = {"original": F.col("pred_o"), "threshold": at("o"), "refit": F.col("pred_r"), "refit_threshold": at("r")}
     c = F.array(*[F.struct(F.lit(n).alias("condition"), p.alias("pred")) for n, p in conds.items()])
     e = j.select(*by, "role", "y", F.inline(c))
@@ -225,9 +238,10 @@ def saturation(d: DataFrame, by: list[str], thr: DataFrame, score="score") -> Da
     """Ambient maximum, share of windows at it, AUROC ambient against attack, alarm rates by role.
 
     Roles: ambient, attack (attack windows), attack_normal (other windows of attack captures).
+    What a group lacks rows or a threshold for is NULL.
     """
     top = d.where("role = 'ambient'").groupBy(*by).agg(F.max(score).alias("ambient_max"))
-    j = d.join(top, by).join(thr.select(*by, "threshold"), by)
+    j = d.join(top, by, "left").join(thr.select(*by, "threshold"), by, "left")
     hit = (F.col(score) >= F.col("threshold")).cast("double")
     rate = lambda r: F.avg(F.when(F.col("role") == r, hit))
     g = j.groupBy(*by).agg(
@@ -236,7 +250,7 @@ def saturation(d: DataFrame, by: list[str], thr: DataFrame, score="score") -> Da
         rate("ambient").alias("ambient_fpr"), rate("attack").alias("attack_recall"), rate("attack_normal").alias("attack_capture_fpr"),
     )
     two = d.where("role IN ('ambient', 'attack')").withColumn("_y", (F.col("role") == "attack").cast("int"))
-    return g.join(roc_auc(two, by, score, "_y"), by)
+    return g.join(roc_auc(two, by, score, "_y"), by, "left")
 
 
 def scenario_metrics(d: DataFrame, by: list[str], y="y_class", pred="pred_class", score="score") -> DataFrame:

@@ -240,12 +240,13 @@ def exact_quantiles(
 
     ``percentile`` keeps all distinct values of a group in one buffer; here the
     distinct values stay spread over spans and only the rows that hold the
-    wanted ranks survive the last aggregation.
+    wanted ranks survive the last aggregation. Spans follow the order of
+    (keys, value), so groups may differ in scale; ``splits`` are for tables
+    whose spans are known beforehand.
     """
-    if splits is None:
-        splits = value_splits(df, value)
     t = tie_table(df, keys, value, {"_n": F.lit(1) if weight is None else weight})
-    t = prefix_sums(with_value_span(t, value, splits), keys, [value], {"_cum": "_n"})
+    t = ranged(t, [*keys, value], "quantiles") if splits is None else with_value_span(t, value, splits)
+    t = prefix_sums(t, keys, [value], {"_cum": "_n"})
     first = F.col("_cum") - F.col("_n")
     picks = []
     for i, p in enumerate(probs.values()):

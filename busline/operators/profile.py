@@ -177,20 +177,23 @@ def id_overlap(frames: DataFrame, ref: DataFrame, by: list[str], key="can_id") -
     )
 
 
-def _long(d: DataFrame, keep: list[str], channels=CHANNELS) -> DataFrame:
-    d = d.select(*keep, *[F.col(c).cast("double").alias(c) for c in channels])
-    return d.unpivot(keep, list(channels), "channel", "value")
-
-
 def scaled_shift(frames: DataFrame, scaler: DataFrame, by: list[str], channels=CHANNELS) -> DataFrame:
-    """Mean, SD and quantiles of the standardized channels per file."""
-    from busline.operators.windows import apply_scaler
+    """Mean, SD and quantiles of the standardized channels per file.
 
-    z = _long(apply_scaler(frames.select(*by, *channels), scaler, channels), by, channels)
-    keys = [*by, "channel"]
-    m = z.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    q = O.exact_quantiles(z, keys, "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99})
-    return m.join(q, keys)
+    Standardizing keeps the order, so all of them are taken from counts of the
+    values as they are, one scan, and then shifted and scaled.
+    """
+    c = value_counts(frames, {ch: F.array(ch) for ch in channels}, {"n": F.lit(True)}, by).withColumnRenamed("kind", "channel")
+    keys, n, v = [*by, "channel"], F.col("n"), F.col("v")
+    mean = c.groupBy(*keys).agg((F.sum(v * n) / F.sum("n")).alias("_mean"))
+    off = (v - F.col("_mean")) ** 2
+    m = c.join(mean, keys).groupBy(*keys).agg(F.first("_mean").alias("mean"), F.sqrt(F.sum(off * n) / F.sum("n")).alias("sd"))
+    names = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    q = O.exact_quantiles(c, keys, "v", names, weight=n)
+    sides = scaler.select(F.map_from_arrays(F.array(*[F.lit(ch) for ch in channels]), F.array(*[F.struct(F.col(f"{ch}_mu").alias("mu"), F.col(f"{ch}_sd").alias("sd")) for ch in channels])).alias("s"))
+    d = m.join(q, keys).withColumn("_s", sides.scalar()[F.col("channel")])
+    z = lambda x: ((F.col(x) - F.col("_s")["mu"]) / F.col("_s")["sd"]).alias(x)
+    return d.select(*keys, z("mean"), (F.col("sd") / F.col("_s")["sd"]).alias("sd"), *[z(x) for x in names])
 
 
 def shift_outliers(shift: DataFrame, mean_limit=3.0, p99_limit=10.0) -> DataFrame:
@@ -249,24 +252,8 @@ def js_divergence(p: DataFrame, q: DataFrame, bin: str, n="n", eps: float = 0.0,
 
 
 def wasserstein_1d(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """First Wasserstein distance of two samples, one row ``distance``.
-
-    Equal values are counted first; running counts go span by span.
-    """
-    both = a.select(F.col(value).cast("double").alias("v"), F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(
-        b.select(F.col(value).cast("double").alias("v"), F.lit(0).alias("_a"), F.lit(1).alias("_b"))
-    )
-    splits = O.value_splits(both, "v")
-    t = O.tie_table(both, [], "v", {"_a": F.col("_a"), "_b": F.col("_b")})
-    t = O.with_value_span(t, "v", splits)
-    d = O.prefix_sums(t, [], ["v"], {"ca": "_a", "cb": "_b"})
-    heads = t.groupBy("_span").agg(F.min("v").alias("_h"))
-    heads = heads.select("_span", F.lead("_h").over(W.orderBy("_span")).alias("_next"))
-    inside = W.partitionBy("_span").orderBy("v")
-    d = d.withColumn("_nv", F.lead("v").over(inside)).join(heads, "_span")
-    gap = F.coalesce("_nv", "_next") - F.col("v")
-    diff = F.abs(F.col("ca") / F.col("ca_total") - F.col("cb") / F.col("cb_total"))
-    return d.agg(F.sum(diff * gap).alias("distance"))
+    """First Wasserstein distance of two samples, one row ``distance``."""
+    return distances(pair_counts(a, b, {"v": F.array(value)}, [value])).select("distance")
 
 
 def histogram(d: DataFrame, col: str, edges: list[float], by: list[str] = ()) -> DataFrame:
@@ -364,12 +351,11 @@ def normal_summary(f: DataFrame, by="domain", edges=None) -> DataFrame:
     c = value_counts(f, {"id": F.array("can_id"), "dlc": F.array("dlc"), "byte": F.array(*BYTES), "gap": F.array("delta_t")}, {"n": F.lit(True)}, [by])
     n, v, is_ = F.col("n"), F.col("v"), lambda k: F.col("kind") == k
     when = lambda k, x: F.sum(F.when(is_(k), x))
-    total = c.groupBy(by, "kind").agg(F.sum("n").alias("_t"))
-    p = n / F.col("_t")
-    base = c.join(total, [by, "kind"]).groupBy(by).agg(
+    bits = lambda k: F.log2(when(k, n).cast("double")) - when(k, n * F.log2(n.cast("double"))) / when(k, n)
+    base = c.groupBy(by).agg(
         when("id", n).alias("frames"), (when("gap", n * v) / when("gap", n)).alias("dt_mean"), F.count_if(is_("id")).alias("unique_ids"),
         (F.coalesce(F.sum(F.when(is_("dlc") & (v == 8), n)), F.lit(0)) / when("dlc", n)).alias("dlc8_share"),
-        *[when(k, -p * F.log2(p)).alias(f"{name}_entropy") for k, name in (("id", "id"), ("dlc", "dlc"), ("byte", "payload"))],
+        *[bits(k).alias(f"{name}_entropy") for k, name in (("id", "id"), ("dlc", "dlc"), ("byte", "payload"))],
     )
     r = F.row_number().over(W.partitionBy(by).orderBy(F.desc("n"), "v"))
     top = c.where(is_("id")).select(by, "n", r.alias("_r")).where("_r <= 20").groupBy(by).agg(F.sum("n").alias("_top"))

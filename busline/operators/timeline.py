@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -142,17 +141,11 @@ def label_by_interval(frames, meta) -> DataFrame:
     return d.withColumn("attack", F.coalesce(hit, F.lit(False)).cast("int"))
 
 
-def split_files(meta, k=5, path="path", prefix=32) -> DataFrame:
-    """Every k-th file of the sorted list is calibration.
-
-    The list is ranked in spans of equal characters behind the part that all
-    paths have in common; their order is the order of the paths.
-    """
-    low, high = meta.agg(F.min(path), F.max(path)).first()
-    common = len(os.path.commonprefix([low or "", high or ""]))
-    d = O.ranked(meta, [], [path], F.substring(path, common + 1, prefix), "_r")
+def split_files(meta, k=5, path="path") -> DataFrame:
+    """Every k-th file of the sorted list is calibration; the list is ranked by ranges of the paths themselves."""
+    d = O.ranked_by_value(meta, [], path, [], "_r")
     role = F.when((F.col("_r") - 1) % k == 0, "calibration").otherwise("evaluation")
-    return d.withColumn("role", role).drop("_r")
+    return d.withColumn("role", role).drop("_r", "_r_total")
 
 
 def timing_profile(frames, max_gap=10.0, by=SRC, order=ROW, ts="timestamp", span=SPAN) -> DataFrame:

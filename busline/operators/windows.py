@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from busline.operators import ordered as O
 from busline.schema import BYTES, CHANNELS, SPAN, STRIDE, WINDOW
+from busline.session import landed
 
 PAIRS = list(combinations(range(8), 2))
 
@@ -283,11 +284,30 @@ def window_id_intervals(frames, by, size=WINDOW, stride=STRIDE, idx="idx", span=
     )
 
 
-def fit_scaler(wf: DataFrame, channels=CHANNELS) -> DataFrame:
-    """One row with mean and population SD per channel; SD below 1e-6 becomes 1."""
-    d = wf.agg(*[F.avg(c).alias(f"{c}_mu") for c in channels], *[F.stddev_pop(c).alias(f"{c}_sd") for c in channels])
-    sd = lambda c: F.when(F.col(f"{c}_sd") < 1e-6, 1.0).otherwise(F.col(f"{c}_sd")).alias(f"{c}_sd")
-    return d.select(*[f"{c}_mu" for c in channels], *[sd(c) for c in channels])
+def fit_scaler(frames: DataFrame, by, channels=CHANNELS, size=WINDOW, stride=STRIDE, idx="idx") -> DataFrame:
+    """One row with mean and population SD per channel over the frames of all complete windows; SD below 1e-6 becomes 1.
+
+    A frame counts once for each window over it. That number follows from its
+    index and the length of its source, so frames are not repeated. Squares are
+    taken from the least value of the channel, which keeps a constant one at 0.
+    """
+    sources = frames.groupBy(*by).agg(F.count("*").alias("_len"), *[F.min(c).alias(f"_m_{c}") for c in channels])
+    sources = landed(sources, "scaler-sources")
+    least = sources.agg(F.struct(*[F.min(f"_m_{c}").cast("double").alias(c) for c in channels]).alias("m")).scalar()
+    first = F.greatest(F.lit(0), F.ceil((F.col(idx) - (size - 1)) / stride))
+    last = F.least(F.floor(F.col(idx) / stride), F.floor((F.col("_len") - size) / stride))
+    d = frames.select(*by, idx, *channels).join(sources.select(*by, "_len"), by).withColumn("_w", F.greatest(F.lit(0), last - first + 1)).where("_w > 0").withColumn("_least", least)
+    aggs = []
+    for c in channels:
+        x = F.col(c) - F.col("_least")[c]
+        w = F.sum(F.when(F.col(c).isNotNull(), F.col("_w")))
+        aggs += [(F.sum(x * F.col("_w")) / w).alias(f"_a_{c}"), (F.sum(x * x * F.col("_w")) / w).alias(f"_q_{c}")]
+    g = d.agg(*aggs).withColumn("_least", least)
+    var = lambda c: F.greatest(F.lit(0.0), F.col(f"_q_{c}") - F.col(f"_a_{c}") * F.col(f"_a_{c}"))
+    sd = lambda c: F.when(F.sqrt(var(c)) < 1e-6, 1.0).otherwise(F.sqrt(var(c))).alias(f"{c}_sd")
+    mu = lambda c: (F.col(f"_a_{c}") + F.col("_least")[c]).alias(f"{c}_mu")
+    known = lambda c, x: F.when(F.col(f"_a_{c}").isNotNull(), x)
+    return g.select(*[mu(c) for c in channels], *[known(c, sd(c)).alias(f"{c}_sd") for c in channels])
 
 
 def apply_scaler(d: DataFrame, scaler: DataFrame, channels=CHANNELS) -> DataFrame:

@@ -240,14 +240,17 @@ def j11(t: Tables):
 
 def _low_sql(target):
     return f"""SELECT {target}::DOUBLE AS target, seed::BIGINT AS seed, floor({target}::DOUBLE * any_value(nn))::BIGINT AS allowed_fp, coalesce(arg_max(fp - neg, score) FILTER (bad), any_value(nn))::BIGINT AS achieved_fp,
- round(coalesce(arg_max(tp - pos, score) FILTER (bad), any_value(np)) / any_value(np), 6) AS tpr, round(max(score) FILTER (bad), 6) AS excluded_score, coalesce(arg_max(neg, score) FILTER (bad), 0)::BIGINT AS normal_ties
+ round(coalesce(arg_max(tp - pos, score) FILTER (bad), any_value(np)) / any_value(np), 6) AS tpr, round(max(score) FILTER (bad), 6) AS excluded_score, coalesce(arg_max(neg, score) FILTER (bad), 0)::BIGINT AS normal_ties,
+ coalesce(nextafter(max(score) FILTER (bad), 'infinity'::DOUBLE), '-infinity'::DOUBLE) AS threshold, (floor({target}::DOUBLE * any_value(nn)) - coalesce(arg_max(fp - neg, score) FILTER (bad), any_value(nn)))::BIGINT AS unused_fp,
+ max(score) FILTER (bad) IS NOT NULL AS tie_step_exceeds, CASE WHEN max(score) FILTER (bad) IS NULL THEN 'all_normals_included' WHEN arg_max(neg, score) FILTER (bad) > 1 OR arg_max(pos, score) FILTER (bad) > 0 THEN 'attainable_boundary_tie' ELSE 'attainable' END AS status
  FROM (SELECT *, fp > floor({target}::DOUBLE * nn) AND neg > 0 AS bad FROM crv) GROUP BY seed"""
 
 
 @query("j12_low_fpr_point", f"{_low_sql(0.01)} UNION ALL {_low_sql(0.2)}")
 def j12(t: Tables):
     d = ME.low_fpr_point(t.scores, (0.01, 0.2), ["seed"])
-    return d.select("target", F.col("seed").cast("long").alias("seed"), F.col("allowed_fp").cast("long").alias("allowed_fp"), "achieved_fp", F.round("tpr", 6).alias("tpr"), F.round("excluded_score", 6).alias("excluded_score"), "normal_ties")
+    return d.select("target", F.col("seed").cast("long").alias("seed"), F.col("allowed_fp").cast("long").alias("allowed_fp"), "achieved_fp", F.round("tpr", 6).alias("tpr"), F.round("excluded_score", 6).alias("excluded_score"), "normal_ties",
+                    "threshold", F.col("unused_fp").cast("long").alias("unused_fp"), "tie_step_exceeds", "status")
 
 
 @query("j13_best_f1", """WITH q AS (SELECT i, quantile_cont(price, i / 511.0::DOUBLE) AS thr FROM sc, (SELECT unnest(range(512)) AS i) GROUP BY i),

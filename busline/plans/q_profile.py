@@ -143,7 +143,7 @@ FROM ({_unpivot_sql('(SELECT * FROM fr WHERE binary_label_id = 0)')}) GROUP BY A
 
 
 def _shift(t: Tables):
-    return P.scaled_shift(t.frames.where("binary_label_id = 0"), WN.fit_scaler(t.wf), ["source_file"])
+    return P.scaled_shift(t.frames.where("binary_label_id = 0"), WN.fit_scaler(t.frames, ["source_file"]), ["source_file"])
 
 
 @query("e10_scaled_shift", "SELECT source_file, channel, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mean", "sd", "p05", "p50", "p95", "p99")) + " FROM shift")
@@ -161,7 +161,7 @@ def e11(t: Tables):
        + ", round(avg((can_id IN (SELECT can_id FROM r))::INT) FILTER (binary_label_id = 0), 6) AS known_id_coverage FROM fr, scl GROUP BY source_file")
 def e12(t: Tables):
     ref = t.labelled.where("binary_label_id = 0 AND source_file = 'src_0'")
-    d = P.zscore_diag(t.frames, WN.fit_scaler(t.wf), ref)
+    d = P.zscore_diag(t.frames, WN.fit_scaler(t.frames, ["source_file"]), ref)
     return r6(d, *[c for c in d.columns if c not in ("source_file", "frames")], keep=("source_file", "frames"))
 
 

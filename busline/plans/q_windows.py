@@ -133,6 +133,6 @@ CTES["scl"] = "SELECT " + ", ".join(
 
 @query("d12_scaler", "SELECT source_file, " + ", ".join(f"round(avg(({c} - {c}_mu) / {c}_sd), 6) AS {c}" for c in CHANNELS) + " FROM fr, scl GROUP BY source_file")
 def d12(t: Tables):
-    s = WN.fit_scaler(t.wf)
+    s = WN.fit_scaler(t.frames, ["source_file"])
     z = WN.apply_scaler(t.frames, s)
     return z.groupBy("source_file").agg(*[F.round(F.avg(c), 6).alias(c) for c in CHANNELS])

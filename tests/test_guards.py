@@ -62,6 +62,16 @@ def test_file_ranks_under_one_root(spark):
     assert {r.path for r in out if r.role == "calibration"} == set(paths[::5])
 
 
+def test_file_ranks_under_two_roots(spark):
+    """Spans come from the paths themselves, wherever they differ."""
+    paths = [f"s3a://one/a/long/common/root/of/all/logs/{i:05d}.csv" for i in range(990)] + [f"hdfs://two/b/{i}.csv" for i in range(10)]
+    d = spark.createDataFrame([(p,) for p in paths], "path string").repartition(6)
+    out = TL.split_files(d).collect()
+    assert {r.path for r in out if r.role == "calibration"} == set(sorted(paths)[::5])
+    sizes = [r["count"] for r in O.ranged(d, ["path"], parts=20).groupBy("_span").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 2 * len(paths) / 20
+
+
 def test_spans_follow_the_partitions(spark):
     d = spark.range(5000).select(F.col("id").cast("double").alias("v"))
     assert 200 < len(O.value_splits(d, "v", 300)) <= 299 and len(O.value_splits(d, "v")) <= 63

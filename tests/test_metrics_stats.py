@@ -55,10 +55,33 @@ def test_low_fpr_tie_group_is_whole(spark):
     assert t.threshold > 0 and t.achieved == 0
     h = ME.threshold_higher(n, 0.1).first().threshold
     assert h == np.quantile([0.0] * 8 + [0.5] * 2, 0.9, method="higher")
+    assert (r.threshold, r.unused_fp, r.tie_step_exceeds) == (np.nextafter(0.5, np.inf), 1, True)
     every = ME.low_fpr_point(d, (1.0,)).first()
+    assert (every.threshold, every.unused_fp, every.tie_step_exceeds) == (-np.inf, 0, False)
+    tiny = ME.low_fpr_point(spark.createDataFrame([(-0.5, 0), (1e-310, 0), (1.0, 1)], "score double, y int"), (0.1, 0.6)).collect()
+    assert {x.target: x.threshold for x in tiny} == {0.1: np.nextafter(1e-310, 1), 0.6: np.nextafter(-0.5, 1)}
+    none = ME.low_fpr_point(spark.createDataFrame([(0.5, 1)], "score double, y int"), (0.1,)).first()
+    assert (none.status, none.threshold, none.achieved_fp, none.tpr) == ("undefined_no_normals", None, 0, None)
+    for bad in (float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="non-finite"):
+            ME.low_fpr_point(spark.createDataFrame([(0.5, 1), (bad, 0)], "score double, y int")).collect()
     assert (every.status, every.achieved_fp, every.tpr) == ("all_normals_included", 10, 1.0)
 
 
+def test_groups_without_calibration_rows_stay(spark):
+    d = spark.createDataFrame(
+        [("a", "calibration", 0, 0.3, 0.2, 0, 0), ("a", "ambient", 0, 0.4, 0.1, 1, 0), ("b", "ambient", 1, 0.9, 1.0, 1, 0)],
+        "g string, role string, y int, score_o double, score_r double, pred_o int, pred_r int")
+    got = {(r.g, r.condition): (r.tn, r.fp, r.fn, r.tp) for r in ME.calibration_probe(d, ["g"]).collect()}
+    assert got["a", "threshold"] == (0, 1, 0, 0) and got["a", "refit_threshold"] == (1, 0, 0, 0)
+    assert got["b", "original"] == (0, 0, 0, 1) and got["b", "threshold"] == (0, 0, 1, 0) and got["b", "refit_threshold"] == (0, 0, 0, 1)
+    s = spark.createDataFrame([("a", "ambient", 0.2), ("a", "attack", 0.8), ("b", "attack", 0.7)], "g string, role string, score double")
+    thr = spark.createDataFrame([("a", 0.5)], "g string, threshold double")
+    out = {r.g: r for r in ME.saturation(s, ["g"], thr).collect()}
+    assert (out["a"].attack_recall, out["a"].ambient_fpr, out["a"].auc) == (1.0, 0.0, 1.0)
+    assert (out["b"].attack_recall, out["b"].ambient_max, out["b"].auc) == (None, None, None)
+
+
 def test_confusion_one_of_each(spark):
     d = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 0)], "y int, pred int")
     r = ME.binary_metrics(ME.confusion(d, [])).first()

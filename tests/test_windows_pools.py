@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,10 +8,12 @@ from pyspark.sql import functions as F
 from busline.functions import student as SD
 from busline.operators import audit as AU
 from busline.operators import augment as A
+from busline.operators import profile as P
 from busline.operators import sampling as S
 from busline.operators import timeline as TL
 from busline.operators import windows as WN
 from busline.schema import BYTES, CHANNELS
+from busline.session import scratch_dir
 
 
 @pytest.fixture(scope="module")
@@ -240,3 +243,70 @@ def test_student_table(spark):
                               SD.t_sf(F.lit(2.0), F.lit(3)).alias("d"), SD.sign_p(F.lit(8), F.lit(10)).alias("e"), SD.t_ppf(F.lit(0.025), F.lit(4)).alias("f")).first()
     assert r.a == pytest.approx(2.7764451, abs=1e-6) and r.b == pytest.approx(1.7291328, abs=1e-6) and r.c == pytest.approx(12.7062047, abs=1e-5)
     assert r.d == pytest.approx(0.0696630, abs=1e-6) and r.e == pytest.approx(0.109375) and r.f == pytest.approx(-2.7764451, abs=1e-6)
+
+
+def test_scaler_weights_equal_repeated_frames(spark, frames):
+    """A frame counts once per window over it: against the frames of all windows one by one."""
+    rnd = random.Random(3)
+    rows = [(src, i, rnd.choice([1, 5, 7]), 0.1, None if i % 9 == 0 else rnd.random()) for src, n in (("long", 400), ("short", 127), ("one", 128), ("two", 161)) for i in range(n)]
+    d = spark.createDataFrame(rows, "source_file string, idx long, can_id int, flat double, gap double").repartition(3)
+    s = WN.fit_scaler(d, ["source_file"], ["can_id", "flat", "gap"]).first()
+    by = {}
+    for r in rows:
+        by.setdefault(r[0], []).append(r)
+    used = [r for own in by.values() for at in range(0, len(own) - 127, 32) for r in own[at : at + 128]]
+    for k, c in ((2, "can_id"), (4, "gap")):
+        x = [r[k] for r in used if r[k] is not None]
+        assert s[f"{c}_mu"] == pytest.approx(np.mean(x)) and s[f"{c}_sd"] == pytest.approx(np.std(x))
+    assert s.flat_mu == pytest.approx(0.1) and s.flat_sd == 1.0
+    none = WN.fit_scaler(d.where("source_file = 'short'"), ["source_file"], ["can_id"]).first()
+    assert (none.can_id_mu, none.can_id_sd) == (None, None)
+    assert "Generate" not in WN.fit_scaler(d, ["source_file"], ["can_id"])._jdf.queryExecution().toString()
+
+
+def test_shift_plans_read_frames_once(spark, frames, monkeypatch):
+    """Divergences and quality rows are made from one written count table: exchanges and scans are counted."""
+    seen, real = [], P.landed
+    monkeypatch.setattr(P, "landed", lambda d, name: (seen.append(d._jdf.queryExecution().executedPlan().toString()), real(d, name))[1])
+    path = scratch_dir(spark, "plan-frames")
+    frames.write.parquet(path)
+    f = spark.read.parquet(path)
+    a, b = f.where("source_file = 's1'"), f.where("source_file <> 's1'")
+    for build in (lambda: P.normal_shift(a, b), lambda: P.normal_summary(f, "source_file")):
+        out = build()
+        plans = [*seen, out._jdf.queryExecution().executedPlan().toString()]
+        reads = sum(p.count("plan-frames") for p in plans)
+        exchanges = sum(p.count("Exchange hashpartitioning") + p.count("Exchange rangepartitioning") for p in plans)
+        assert reads <= 2 and exchanges <= 9, (reads, exchanges)
+        assert out.count() >= 1
+        seen.clear()
+
+
+def test_first_ranks_equal_whole_ranking(spark):
+    """Rows by the hash threshold are those of a whole ranking, also where keys are not spread as hoped."""
+    rows = [(i, "ab"[i % 7 == 0], i % 3) for i in range(3000)] + [(10**9, "c", 0)] * 60 + [(5000 + i, "d", 1) for i in range(4)]
+    d = spark.createDataFrame(rows, "id long, cls string, part int").repartition(5)
+    want = spark.createDataFrame([("a", 20), ("b", 0), ("c", 3), ("d", 9), ("none", 5)], "cls string, quota long")
+    whole = S.keyed_rank(d, ["cls"], 7, "id").join(want, "cls").where("rank <= quota")
+    key = lambda t: sorted((r.cls, r.id, r["rank"]) for r in t.collect())
+    assert key(S.first_ranks(d, ["cls"], want, 7, "id")) == key(whole)
+    assert len(S.first_ranks(d, ["cls"], want, 7, "id").collect()) == 20 + 3 + 4
+    for n in (0, 1, 500, 10**6):
+        assert key(S.first_ranks(d, [], n, 7, "id")) == key(S.keyed_rank(d, [], 7, "id").where(F.col("rank") <= n))
+    parts = spark.createDataFrame([(0, 5), (1, 2)], "part int, quota long")
+    got = S.first_ranks(d, ["cls", "part"], parts, 7, "id").groupBy("cls", "part").count().collect()
+    assert {(r.cls, r.part): r["count"] for r in got} == {("a", 0): 5, ("b", 0): 5, ("c", 0): 5, ("a", 1): 2, ("b", 1): 2, ("d", 1): 2}
+    assert S.first_ranks(d.limit(0), [], 5, 7, "id").count() == 0 and S.first_ranks(d.limit(0), ["cls"], want, 7, "id").count() == 0
+
+
+def test_pool_bases_are_looked_up_after_the_ranking(spark):
+    """No frame array passes the exchanges of the ranks."""
+    n = spark.range(200).select(F.concat(F.lit("k"), F.col("id")).alias("wkey"), F.array(F.struct(F.col("id").alias("x"))).alias("frames"))
+    d = A.draw_bases(n, 50, 3)
+    assert d.count() == 200 and d.select("wkey").distinct().count() == 200
+    total = n.count()
+    ranks = {r.wkey: i for i, r in enumerate(sorted(n.collect(), key=lambda r: (int(hashlib.md5(f"3|{r.wkey}|base".encode()).hexdigest()[:8], 16), r.wkey)))}
+    for r in d.collect():
+        k, c, i = r.wkey.split(":")
+        u = int(hashlib.md5(f"3|{c}|{i}".encode()).hexdigest()[:8], 16) / 2**32
+        assert ranks[k] == int(u * total) and r.frames[0].x == int(k[1:])
