@@ -143,9 +143,23 @@ def share(t: Tables, of: int) -> int:
     return normals(t).count() // of
 
 
-@query("h5_rule_pool")
+# Draws with replacement: each class draws half as many windows as there are normals, by their rank in hashed order.
+CTES["nr"] = "SELECT wkey AS bkey, row_number() OVER (ORDER BY ('0x' || substr(md5(concat_ws('|', 7, wkey, 'base')), 1, 8))::BIGINT, wkey) AS rk, count(*) OVER () AS total FROM nw"
+CTES["pdr"] = f"""SELECT bkey || ':' || c || ':' || d AS wkey, bkey, c FROM (SELECT c, d, floor({u(SEED, 'c', 'd')} * total)::BIGINT + 1 AS pick
+ FROM (SELECT unnest([1, 2, 3, 4]) AS c), (SELECT any_value(total) AS total, unnest(range(any_value(total) // 2)) AS d FROM nr)) JOIN nr ON rk = pick"""
+
+
+def _pool_sql(cls: int) -> str:
+    ident = _rule_sql(cls)["can_id"]
+    burst = _burst_sql(*BURSTS[cls]).format(src=f"(SELECT wkey, bkey FROM pdr WHERE c = {cls})")
+    return f"""SELECT {cls} AS c, wkey, count(*) FILTER (hit) AS injected, sum(CASE WHEN hit THEN {ident} ELSE can_id END) AS ids FROM (
+ SELECT *, {_HIT} AS hit FROM (SELECT b.wkey, b.burst_len, b.burst_start, b.burst_step, nf.pos, nf.can_id FROM ({burst}) b JOIN nf ON nf.wkey = b.bkey)) GROUP BY ALL"""
+
+
+@query("h5_rule_pool", f"""SELECT y_attack_type, count(*) AS windows, sum(injected)::BIGINT AS injected, round(avg(ids), 3) AS mean_ids
+FROM (SELECT c::BIGINT AS y_attack_type, injected, ids FROM ({" UNION ALL ".join(_pool_sql(c) for c in BURSTS)})) GROUP BY y_attack_type""")
 def h5(t: Tables):
-    return _summary(A.rule_pool(normals(t), share(t, 2), SEED), ["synthetic_type", "y_attack_type"])
+    return _summary(A.rule_pool(normals(t), share(t, 2), SEED), [F.col("y_attack_type").cast("long").alias("y_attack_type")])
 
 
 @query("h6_variant_set")

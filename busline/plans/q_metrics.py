@@ -11,7 +11,7 @@ from busline.operators import profile as P
 from busline.operators import timeline as TL
 from busline.operators import windows as WN
 from busline.plans.q_augment import cycled_pool, pool_frames
-from busline.plans.q_profile import r6, unit_windows
+from busline.plans.q_profile import _BYTE_LIST, _cnt, _js_sql, _w1_sql, r6, unit_windows
 from busline.plans.registry import query
 from busline.plans.views import CTES, Tables
 
@@ -135,16 +135,51 @@ def i8(t: Tables):
     return r6(g, "score", "maxlogit", "energy", "margin", keep=("y_class", "n", "preds"))
 
 
-@query("e21_synthetic_quality")
-def e21(t: Tables):
+def quality_frames(t: Tables):
+    """Frames of real attack windows and of the cycled pool."""
     real = t.wf.join(t.labels_w.where("y_binary = 1").select("source_file", "start_index"), ["source_file", "start_index"])
     real = real.withColumn("wkey", A.window_key("source_file", "start_index"))
-    syn = pool_frames(cycled_pool(t))
+    return real, pool_frames(cycled_pool(t))
+
+
+@query("e21_synthetic_quality")
+def e21(t: Tables):
+    real, syn = quality_frames(t)
     auc, _ = DE.discriminator(features(t).where("y_binary = 1"), pool_features(t), WN.FEATURES, "wkey")
-    d = P.synthetic_quality(real, syn, auc, ["wkey"], dt_edges=[0, 60, 120, 300, 600, 1200, 3600, 1e9])
+    d = P.synthetic_quality(real, syn, auc, ["wkey"], dt_edges=_QDT)
     return d.select(*[F.round(c, 5).alias(c) if k == "double" else c for c, k in d.dtypes])
 
 
+_QDT = [0, 60, 120, 300, 600, 1200, 3600, 1e9]
+# Frames of real attack windows and of the cycled pool, in the shape of ``dom``.
+CTES["qd"] = "SELECT 'a' AS domain, source_file || ':' || start_index AS wkey, can_id::DOUBLE AS can_id, delta_t, " + ", ".join(f"data{i}::DOUBLE AS data{i}" for i in range(8)) + """
+ FROM wf JOIN wl USING (source_file, start_index) WHERE y_binary = 1 UNION ALL SELECT 'b', wkey, can_id, delta_t, """ + ", ".join(f"data{i}" for i in range(8)) + " FROM pl"
+CTES["qb"] = f"SELECT domain, {_BYTE_LIST} AS v FROM qd"
+
+
+def _smooth_entropy(col, src, side, bins):
+    return f"""(SELECT -sum(q * log2(q)) - any_value({bins} - k) * ((1e-12 / (1 + {bins} * 1e-12)) * log2(1e-12 / (1 + {bins} * 1e-12))) FROM (
+ SELECT (n / sum(n) OVER () + 1e-12) / (1 + {bins} * 1e-12) AS q, count(*) OVER () AS k FROM (SELECT {col}, count(*) AS n FROM {src} WHERE domain = '{side}' GROUP BY {col})))"""
+
+
+_QBIN = "(SELECT count(*) FROM (SELECT unnest([" + ", ".join(map(str, _QDT[1:-1])) + "]) AS e) WHERE e <= delta_t)"
+
+
+@query("e21_quality_counts", f"""SELECT (SELECT count(DISTINCT wkey) FROM qd WHERE domain = 'a') AS real_windows, (SELECT count(DISTINCT wkey) FROM qd WHERE domain = 'b') AS synthetic_windows,
+ round({_js_sql(_cnt("can_id", "qd"), 1e-12, 2049)}, 5) AS can_id_js, round({_js_sql(_cnt("v", "qb"), 1e-12, 257)}, 5) AS payload_js,
+ round({_js_sql(_cnt("b", f"(SELECT domain, {_QBIN} AS b FROM qd WHERE delta_t BETWEEN 0 AND 1e9)"), 1e-12, len(_QDT) - 1)}, 5) AS delta_t_js,
+ round({_w1_sql("can_id").replace("FROM dom ", "FROM qd ")}, 5) AS can_id_wasserstein, round({_w1_sql("v").replace("FROM dom ", "FROM qb ")}, 5) AS payload_wasserstein,
+ round({_smooth_entropy("can_id", "qd", "a", 2049)}, 5) AS real_can_id_entropy, round({_smooth_entropy("v", "qb", "b", 257)}, 5) AS synthetic_payload_entropy,
+ round((SELECT avg(delta_t) FROM qd WHERE domain = 'a'), 4) AS real_delta_t_mean, round((SELECT avg(delta_t) FROM qd WHERE domain = 'b'), 4) AS synthetic_delta_t_mean""")
+def e21_counts(t: Tables):
+    """The part of the quality row that needs no forest."""
+    real, syn = quality_frames(t)
+    none = t.spark.createDataFrame([(None,)], "auc double")
+    d = P.synthetic_quality(real, syn, none, ["wkey"], dt_edges=_QDT)
+    five = ["can_id_js", "payload_js", "delta_t_js", "can_id_wasserstein", "payload_wasserstein", "real_can_id_entropy", "synthetic_payload_entropy"]
+    return d.select("real_windows", "synthetic_windows", *[F.round(c, 5).alias(c) for c in five], *[F.round(c, 4).alias(c) for c in ("real_delta_t_mean", "synthetic_delta_t_mean")])
+
+
 # ---- J ---------------------------------------------------------------------------------
 
 _CONF = "count(*) FILTER (y = 0 AND pred = 0) AS tn, count(*) FILTER (y = 0 AND pred = 1) AS fp, count(*) FILTER (y = 1 AND pred = 0) AS fn, count(*) FILTER (y = 1 AND pred = 1) AS tp"

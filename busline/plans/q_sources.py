@@ -188,14 +188,14 @@ def frame_table(t: Tables) -> DataFrame:
     return L.to_frames(d, "events", F.lit("csv"), F.lit("DoS"))
 
 
-@query("a8_frame_sink")
+@query("a8_frame_sink", "SELECT source_file, count(*) AS n, max(row_in_source)::BIGINT AS last FROM raw GROUP BY source_file")
 def a8(t: Tables):
     path = scratch_dir(t.spark, "frames")
     L.write_frames(frame_table(t), path)
     return t.spark.read.parquet(path).groupBy("source_file").agg(F.count("*").alias("n"), F.max("row_in_source").alias("last"))
 
 
-@query("a9_split_sink")
+@query("a9_split_sink", "SELECT source_file, split, count(*) AS n FROM sg WHERE split = 'train' GROUP BY ALL")
 def a9(t: Tables):
     path = scratch_dir(t.spark, "splits")
     L.write_splits(TL.split_frames(t.labelled, 6 * 3600.0).select("source_file", "row_in_source", "can_id", "split"), path)
@@ -230,22 +230,25 @@ def a11(t: Tables):
                     F.col("injection_data_str").alias("pattern"))
 
 
-@query("a12_window_table")
+@query("a12_window_table", "SELECT source_file, y_binary::BIGINT AS y_binary, count(*) AS n, (count(*) * 128)::BIGINT AS frames FROM wl GROUP BY ALL")
 def a12(t: Tables):
     path = scratch_dir(t.spark, "windows")
     L.write_windows(t.windows, path)
     w = L.read_windows(t.spark, path)
-    return w.groupBy("source_file", "y_binary").agg(F.count("*").alias("n"), F.sum(F.size("frames")).alias("frames"))
+    return w.groupBy("source_file", F.col("y_binary").cast("long").alias("y_binary")).agg(F.count("*").alias("n"), F.sum(F.size("frames")).alias("frames"))
 
 
-@query("a13_result_sink")
+@query("a13_result_sink", """
+SELECT setting, coalesce(seed, -1)::BIGINT AS seed, coalesce(n, -1)::BIGINT AS n, mean_score FROM (
+SELECT setting, seed, count(*) AS n, NULL::DOUBLE AS mean_score FROM sc GROUP BY setting, seed UNION ALL SELECT setting, NULL, NULL, round(avg(score), 6) FROM sc GROUP BY setting)""")
 def a13(t: Tables):
     path = scratch_dir(t.spark, "result")
     s = t.scores
     a = s.groupBy("setting", "seed").agg(F.count("*").alias("n"))
     b = s.groupBy("setting").agg(F.round(F.avg("score"), 6).alias("mean_score"))
     L.write_result([a, b], path)
-    return t.spark.read.csv(path, header=True, schema="setting string, seed int, n long, mean_score double")
+    d = t.spark.read.csv(path, header=True, schema="setting string, seed int, n long, mean_score double")
+    return d.select("setting", F.coalesce(F.col("seed").cast("long"), F.lit(-1)).alias("seed"), F.coalesce("n", F.lit(-1)).alias("n"), "mean_score")
 
 
 @query("a14_merge_shards", "SELECT setting, seed::BIGINT AS seed, count(*) AS n, sum(y)::BIGINT AS hits FROM sc GROUP BY ALL")
