@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from busline.functions.keyed import draw_int, draw_key, draw_unit
 from busline.operators import ordered as O
+from busline.operators import sampling as S
 from busline.schema import BYTES, CHANNELS, MAX_ID, WINDOW
 
 # Class ids and the ids that the spoofing rules write.
@@ -390,14 +391,37 @@ def payload_shift_set(normals: DataFrame, n_normal: int, n_each: int, seed: int,
     return _assemble(d, rules)
 
 
-def target_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:
-    """Rule attacks on target normals with ids drawn from the target's own id set.
+def quota_bases(normals: DataFrame, sizes: dict[int, int], seed: int, key="wkey") -> DataFrame:
+    """Each class draws its number of normal windows: without replacement, or with it where there are too few.
 
-    The id set is at most all 11-bit ids, so it fits one array.
+    Only keys are ranked; windows are looked up once they are drawn.
+    """
+    keys, have = normals.select(key), normals.count()
+    if not have and any(sizes.values()):
+        raise ValueError("no normal windows to draw from")
+    parts = []
+    for c, n in sizes.items():
+        r = S.first_ranks(keys, [], min(n, have) if n <= have else have, seed, key, f"base{c}", "_rank")
+        if n > have:
+            draws = normals.sparkSession.range(n).select(F.col("id").alias("draw"), (F.floor(draw_unit(seed, c, F.col("id")) * have) + 1).alias("_rank"))
+            r = draws.join(r, "_rank")
+        else:
+            r = r.withColumn("draw", F.col("_rank") - 1)
+        parts.append(r.select(key, "draw", F.lit(c).alias("cls")))
+    d = _union(parts).join(normals, key)
+    return d.withColumn(key, F.concat_ws(":", key, "cls", "draw"))
+
+
+def target_pool(normals: DataFrame, n_train: int, seed: int, ratio=0.3, full_ids=False, key="wkey") -> DataFrame:
+    """round(n_train * ratio) rule attacks on target normals with ids drawn from the target's own id set.
+
+    The classes share the number equally, the first ones take the remainder.
+    With ``full_ids`` Fuzzy draws from all ids instead. The id set is at most
+    all 11-bit ids, so it fits one array.
     """
     ids = normals.select(F.explode("frames.can_id").alias("i")).select(F.col("i").cast("int").alias("i")).where(F.col("i").between(0, MAX_ID))
     support = ids.agg(F.sort_array(F.collect_set("i")).alias("ids")).scalar()
-    d = draw_bases(normals.drop("y_binary", "y_attack_type"), n, seed, key)
+    d = quota_bases(normals.drop("y_binary", "y_attack_type"), S.quotas(S.half_even(n_train * ratio), tuple(CLASSES)), seed, key)
     full = F.sequence(F.lit(0), F.lit(MAX_ID))
     d = d.withColumn("_ids", support).withColumn("_ids", F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(full))
     k, sup = F.col(key), F.col("_ids")
@@ -406,7 +430,7 @@ def target_pool(normals: DataFrame, n: int, seed: int, key="wkey") -> DataFrame:
     parts = []
     for c, (lens, steps, rule) in {
         1: ((32, 90), (1, 2), dos_rule(seed, k)),
-        2: ((24, 88), (1, 2, 3, 4), fuzzy_rule(seed, k, sup)),
+        2: ((24, 88), (1, 2, 3, 4), fuzzy_rule(seed, k, None if full_ids else sup)),
         3: ((32, 90), (1, 2, 3), spoof("gear", {"data6": 16})),
         4: ((32, 90), (1, 2, 3), spoof("rpm", {"data5": 24})),
     }.items():

@@ -182,9 +182,24 @@ def h9(t: Tables):
     return _summary(A.payload_shift_set(normals(t), share(t, 4), share(t, 8), SEED), ["attack_type", "id_condition"])
 
 
-@query("h10_target_pool")
+# 0.3 x all windows in equal shares, the remainder to the first classes; ids come from those of the normals.
+CTES["tq"] = "SELECT c, t // 4 + (c - 1 < t % 4)::INT AS n FROM (SELECT unnest([1, 2, 3, 4]) AS c), (SELECT round_even(count(*) * 0.3::DOUBLE, 0)::BIGINT AS t FROM wl)"
+CTES["tdr"] = """SELECT wkey || ':' || c || ':' || (rk - 1) AS wkey, wkey AS bkey, c FROM (
+SELECT wkey, c, n, row_number() OVER (PARTITION BY c ORDER BY ('0x' || substr(md5(concat_ws('|', 7, 'base' || c, wkey)), 1, 8))::BIGINT, wkey) AS rk FROM nw, tq) WHERE rk <= n"""
+CTES["tsup"] = "SELECT list(DISTINCT can_id::BIGINT ORDER BY can_id::BIGINT) AS ids FROM nf WHERE can_id BETWEEN 0 AND 2047"
+
+
+def _target_sql(cls: int) -> str:
+    ident = "0" if cls == 1 else f"ids[floor({u(*_d('id'))} * len(ids))::BIGINT + 1]"
+    burst = _burst_sql(*BURSTS[cls]).format(src=f"(SELECT wkey, bkey FROM tdr WHERE c = {cls})")
+    return f"""SELECT {cls} AS c, wkey, count(*) FILTER (hit) AS injected, sum(CASE WHEN hit THEN {ident} ELSE can_id END) AS ids FROM (
+ SELECT *, {_HIT} AS hit FROM (SELECT b.wkey, b.burst_len, b.burst_start, b.burst_step, nf.pos, nf.can_id FROM ({burst}) b JOIN nf ON nf.wkey = b.bkey)), tsup GROUP BY ALL"""
+
+
+@query("h10_target_pool", f"""SELECT c::BIGINT AS y_attack_type, count(*) AS windows, sum(injected)::BIGINT AS injected, round(avg(ids), 3) AS mean_ids
+FROM (SELECT c, wkey, injected, ids FROM ({" UNION ALL ".join(_target_sql(c) for c in BURSTS)})) GROUP BY c""")
 def h10(t: Tables):
-    return _summary(A.target_pool(normals(t), share(t, 2), SEED), ["synthetic_type"])
+    return _summary(A.target_pool(normals(t), t.windows.count(), SEED), [F.col("y_attack_type").cast("long").alias("y_attack_type")])
 
 
 @query("h11_injection_stats", "SELECT y_attack_type::BIGINT AS cls, count(*) AS windows, round(avg(injection_count), 6) AS mean, min(injection_count) AS min, max(injection_count) AS max FROM pw GROUP BY ALL")

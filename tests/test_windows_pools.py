@@ -310,3 +310,27 @@ def test_pool_bases_are_looked_up_after_the_ranking(spark):
         k, c, i = r.wkey.split(":")
         u = int(hashlib.md5(f"3|{c}|{i}".encode()).hexdigest()[:8], 16) / 2**32
         assert ranks[k] == int(u * total) and r.frames[0].x == int(k[1:])
+
+
+def test_target_pool_quotas(spark):
+    """round(n * ratio) windows in equal shares, no base twice in a class unless it has too few, ids from the target."""
+    n = spark.range(30).select(
+        F.concat(F.lit("k"), F.col("id")).alias("wkey"),
+        F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.struct(*[(F.lit(100.0) if c == "can_id" else F.lit(1.0)).alias(c) for c in CHANNELS])).alias("frames"))
+    d = A.target_pool(n, 47, 3, ratio=0.5).collect()  # 23.5 goes to the even 24
+    count = {}
+    for r in d:
+        base, c, draw = r.wkey.split(":")
+        count.setdefault(int(c), []).append(base)
+        assert r.y_attack_type == int(c) and {f.can_id for f in r.frames} <= ({0.0, 100.0} if c == "1" else {100.0})
+    assert {c: len(v) for c, v in count.items()} == {1: 6, 2: 6, 3: 6, 4: 6} and all(len(set(v)) == 6 for v in count.values())
+    odd = A.target_pool(n, 30, 3, ratio=0.2).groupBy("y_attack_type").count().collect()
+    assert {r.y_attack_type: r["count"] for r in odd} == {1: 2, 2: 2, 3: 1, 4: 1}
+    many = A.target_pool(n, 400, 3, full_ids=True).collect()
+    by = {c: [r for r in many if r.y_attack_type == c] for c in (1, 2, 3, 4)}
+    assert {c: len(v) for c, v in by.items()} == {1: 30, 2: 30, 3: 30, 4: 30} and len({r.wkey.split(":")[0] for r in by[1]}) == 30
+    assert len({f.can_id for r in by[2] for f in r.frames}) > 100  # all ids for Fuzzy
+    short = A.target_pool(n, 1000, 3).groupBy("y_attack_type").count().collect()
+    assert {r["count"] for r in short} == {75}
+    with pytest.raises(ValueError, match="no normal windows"):
+        A.target_pool(n.limit(0), 100, 3)
