@@ -45,15 +45,15 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def landed(df, name: str):
-    """Write ``df`` to the shared scratch folder and return it as read back.
+def landed(df, name: str, by: list[str] = ()):
+    """Write ``df`` to the shared scratch folder, in folders of the columns ``by``, and return it as read back.
 
     Used where one result feeds several passes that must agree row by row;
     the table survives the loss of executors.
     """
     spark = df.sparkSession
     path = scratch_dir(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -17,35 +17,57 @@ from busline.session import landed
 REJECT_PREFIX = 160
 
 
-def read_lines(spark: SparkSession, paths) -> DataFrame:
-    """Text lines with their line number in the file.
-
-    Line numbers come from two levels: the position inside a file block and the
-    number of lines in the blocks before it, so a file of any size is read by
-    many tasks.  Both scans see the same blocks; a mismatch raises.
-
-    The block table has one row per file block.  It is written first, so Spark
-    knows its size and decides how to join it.
-    """
+def _text(spark: SparkSession, paths) -> DataFrame:
+    """Text lines with their file, file block and an id that rises by one inside a block."""
     raw = spark.read.text(paths)
     extra = [c for c in raw.columns if c != "value"]
-    raw = raw.select(
+    return raw.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
         "value",
         *extra,
     )
-    blocks = raw.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+
+
+def _numbered(lines: DataFrame, every: DataFrame) -> DataFrame:
+    """Line numbers for ``lines``, from the ids of all lines and the number of lines in the blocks before.
+
+    The block table has one row per file block.  It is written first, so Spark
+    knows its size and decides how to join it.
+    """
+    blocks = every.groupBy("path", "_block").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
     before = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    blocks = landed(blocks, "blocks")
-    out = raw.join(blocks, ["path", "_block"], "left")
+    blocks = landed(blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"), "blocks")
     number = F.col("_id") - F.col("_first") + F.col("_before") + 1
-    checked = F.when(number.isNull(), F.raise_error(F.lit("file blocks changed between scans")).cast("long"))
-    return out.select("path", checked.otherwise(number).alias("line_no"), "value", *extra).where(
-        F.trim("value") != ""
-    )
+    checked = F.when(number.isNull(), F.raise_error(F.lit("file blocks changed between scans")).cast("long")).otherwise(number)
+    return lines.join(blocks, ["path", "_block"], "left").withColumn("line_no", checked).drop("_block", "_id", "_first", "_before")
+
+
+def read_lines(spark: SparkSession, paths) -> DataFrame:
+    """Text lines with their line number in the file; blank ones are left out but counted.
+
+    Line numbers come from two levels: the position inside a file block and the
+    number of lines in the blocks before it, so a file of any size is read by
+    many tasks.  Both scans see the same blocks; a mismatch raises.
+    """
+    raw = _text(spark, paths)
+    out = _numbered(raw, raw).where(F.trim("value") != "")
+    return out.select("path", "line_no", "value", *[c for c in out.columns if c not in ("path", "line_no", "value")])
+
+
+def read_parsed(spark: SparkSession, paths, parse) -> DataFrame:
+    """Parsed lines with their line number, from one scan of the text.
+
+    Good, faulty and blank lines are written once, in folders of their own;
+    block counts are then taken from the narrow columns of that table. Text is
+    kept for faulty lines only.
+    """
+    d = parse(_named(_text(spark, paths)))
+    kind = F.when(F.trim("value") == "", "blank").when(F.col("error").isNotNull(), "faulty").otherwise("good")
+    d = d.withColumn("_kind", kind).withColumn("value", F.when(F.col("_kind") == "faulty", F.left("value", F.lit(REJECT_PREFIX))))
+    table = landed(d, "parsed", ["_kind"])
+    return _numbered(table.where("_kind <> 'blank'").drop("_kind"), table)
 
 
 def _errors(checks: list[tuple[Column, str]]) -> Column:
@@ -180,12 +202,12 @@ def _named(d: DataFrame) -> DataFrame:
 
 
 def read_attack_csv(spark, paths, scenario="DoS", dataset="csv") -> tuple[DataFrame, DataFrame]:
-    good, bad = split_rejects(landed(parse_attack_csv(_named(read_lines(spark, paths))), "parsed"))
+    good, bad = split_rejects(read_parsed(spark, paths, parse_attack_csv))
     return to_frames(good, dataset, F.lit("csv"), F.lit(scenario)), bad
 
 
 def read_tagged_txt(spark, paths, mode="txt_normal", scenario="Normal", dataset="txt") -> tuple[DataFrame, DataFrame]:
-    good, bad = split_rejects(landed(parse_tagged_txt(_named(read_lines(spark, paths))), "parsed"))
+    good, bad = split_rejects(read_parsed(spark, paths, parse_tagged_txt))
     return to_frames(good, dataset, F.lit(mode), F.lit(scenario)), bad
 
 
@@ -217,18 +239,18 @@ SPEC_SCHEMA = "path string, source_file string, scenario string, mode string"
 def scan_sources(spark: SparkSession, spec: list[tuple], dataset="logs") -> DataFrame:
     """Frames of many files, each with its own label mode.
 
-    ``spec`` rows are (path, source_file, scenario, mode), one per folder or file
-    and built on the driver, so its size is known and small.
+    ``spec`` rows are (path, source_file, scenario, mode), one per folder or file;
+    Spark knows its size and decides how to join it.
     """
     parsers = {"csv": parse_attack_csv, "txt_normal": parse_tagged_txt, "txt_scenario": parse_tagged_txt}
     parts = []
     for mode in sorted({s[3] for s in spec}):
         rows = [s for s in spec if s[3] == mode]
-        lines = _named(read_lines(spark, [r[0] for r in rows]))
         table = spark.createDataFrame(rows, SPEC_SCHEMA).drop("path")
-        good, _ = split_rejects(parsers[mode](lines.join(F.broadcast(table), "source_file")))
+        parse = lambda lines, mode=mode, table=table: parsers[mode](lines.join(table, "source_file"))
+        good, _ = split_rejects(read_parsed(spark, [r[0] for r in rows], parse))
         parts.append(good)
-    good = landed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "parsed")
+    good = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return to_frames(good, dataset, F.col("mode"), F.col("scenario"))
 
 
