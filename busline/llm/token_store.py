@@ -201,7 +201,10 @@ def build_mph(h: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
 
     On each level a key takes the bit it hashes to if no other key does; the
     rest go on to the next level. The slot is the number of set bits before.
+    Equal hashes, which no level can tell apart, raise.
     """
+    if len(np.unique(h)) < len(h):
+        raise ValueError("two keys have the same 64-bit hash and cannot share an index")
     sizes, bits, at = [], [], np.empty(len(h), np.int64)
     left, start = np.arange(len(h)), 0
     while len(left):

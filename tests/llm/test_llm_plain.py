@@ -227,3 +227,8 @@ def test_pairwise_ranking_orders_and_cuts():
     assert abs((s < 0.5).mean() - 0.2) < 0.01
     assert (s[:400][:, None] > s[400:]).mean() > 0.98
     assert len(quality.features(None)) == len(quality.features("a b c\nd"))
+
+
+def test_equal_hashes_of_keys_raise():
+    with pytest.raises(ValueError, match="same 64-bit hash"):
+        token_store.build_mph(np.array([7, 7, 9], np.uint64))
