@@ -37,7 +37,7 @@ def first_ranks(d: DataFrame, by: list[str], quota: DataFrame | int, seed, key:
     """
     d = d.withColumn("_k", draw_key(seed, stream, F.col(key)))
     if by:
-        sizes = landed(d.groupBy(*by).agg(F.count("*").alias("_size")), "sizes")
+        sizes = d.groupBy(*by).agg(F.count("*").alias("_size"))
         want = sizes.withColumn("quota", F.lit(quota)) if isinstance(quota, int) else sizes.join(quota, [c for c in by if c in quota.columns])
     else:
         want = d.agg(F.count("*").alias("_size")).withColumn("quota", F.lit(quota))
