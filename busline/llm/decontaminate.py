@@ -11,11 +11,13 @@ The filter has a fixed size, so what each task receives does not grow; a full
 filter lets more through, and the join stays exact.
 
 Words are runs of letters and digits, case ignored. A stretch counts with
-``LEAST`` matching words, or ``PART`` of the item if it is shorter.
+``LEAST`` matching words. Items of up to ``SHORT`` words, which are shorter than
+that or near it, have masks of four words besides, of which one misses every
+set of substitutions allowed; their overlaps are counted over the whole item
+and need ``PART`` of it, five words at least.
 
-Defined cases: null or empty texts match nothing; items of fewer than five
-words are not searched for; items of five to ten words need an intact run of
-five; rows that repeat doc_id and text give one row per item; the best stretch
+Defined cases: null or empty texts match nothing; items of one or two words are
+not searched for; items of three to five words match as a whole; rows that repeat doc_id and text give one row per item; the best stretch
 is the one with most matches, then the first.
 """
 
@@ -30,7 +32,10 @@ from busline.llm.common import arrow_map, landed
 from busline.llm.hashing import NON_WORD, STEPS, mix, word_hashes
 
 MASKS = ("11101001011", "11011001101", "10110011011")
-SHORT_MASK = "11111"  # for items that no spaced mask fits
+SHORT_MASKS = ("1111", "110011")  # for short items
+WHOLE_MASK = "111"  # for items of three words
+ALL_MASKS = (*MASKS, *SHORT_MASKS, WHOLE_MASK)
+SHORT = 16
 LEAST = 13
 PART = 0.8
 BITS = 1 << 24  # of the Bloom filter
@@ -40,8 +45,8 @@ SALTS = 8
 
 
 def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
-    """Hash of the chosen words of each window; mask number ``len(MASKS)`` is the short one."""
-    shape = (*MASKS, SHORT_MASK)[mask]
+    """Hash of the chosen words of each window."""
+    shape = ALL_MASKS[mask]
     n = len(words) - len(shape) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -53,6 +58,18 @@ def seed_hashes(words: np.ndarray, mask: int) -> np.ndarray:
         return mix(total)
 
 
+def masks_for(n: int) -> list[int]:
+    """Numbers of the masks for an item of ``n`` words."""
+    if n <= 3:
+        return [ALL_MASKS.index(WHOLE_MASK)] if n == 3 else []
+    return [m for m, shape in enumerate(ALL_MASKS[:-1]) if len(shape) <= n and (n <= SHORT or m < len(MASKS))]
+
+
+def least_matches(n: int) -> float:
+    """Matching words that an item of ``n`` words needs."""
+    return min(LEAST, max(min(5, n), PART * n))
+
+
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BITS - 1)).astype(np.int64)
 
@@ -65,8 +82,7 @@ def item_seeds(items: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFr
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         seeds, words = [], word_hashes([t or "" for t in batch.column(1).to_pylist()], NON_WORD)
         for w in words:
-            masks = range(len(MASKS)) if len(w) >= len(MASKS[0]) else (len(MASKS),)
-            seeds.append([{"mask": m, "h": int(h), "at": i} for m in masks for i, h in enumerate(seed_hashes(w, m).view(np.int64))])
+            seeds.append([{"mask": m, "h": int(h), "at": i} for m in masks_for(len(w)) for i, h in enumerate(seed_hashes(w, m).view(np.int64))])
         kind = pa.list_(pa.struct([("mask", pa.int32()), ("h", pa.int64()), ("at", pa.int32())]))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([w.tobytes() for w in words], pa.binary()), pa.array(seeds, kind)], names=["item", "words", "seeds"])
 
@@ -109,7 +125,7 @@ def regions(docs: DataFrame, bloom: np.ndarray, *, key: str, text: str) -> DataF
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows, starts, words, hits = [], [], [], []
         for k, w in enumerate(word_hashes([t or "" for t in batch.column(3).to_pylist()], NON_WORD)):
-            found = [(*passing(w, m), m) for m in range(len(MASKS) + 1)]
+            found = [(*passing(w, m), m) for m in range(len(ALL_MASKS))]
             at = np.concatenate([f[0] for f in found])
             if not len(at):
                 continue
@@ -144,6 +160,15 @@ def best_stretch(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int,
     return int(same[first:end].sum()), lo + first, lo + end
 
 
+def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int]:
+    """Matches and their first place in the item: all of a short item, the best stretch of a longer one."""
+    if len(item) > SHORT:
+        return best_stretch(words, item, shift)[:2]
+    lo, hi = max(0, -shift), min(len(item), len(words) - shift)
+    at = lo + np.flatnonzero(words[lo + shift : hi + shift] == item[lo:hi]) if hi > lo else ()
+    return (len(at), int(at[0])) if len(at) else (0, 0)
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, a, b, item_id, matched, item_words, doc_start): best verified overlap of each document and item.
 
@@ -166,8 +191,8 @@ def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
             keep, matched, length, begin = [], [], [], []
             for r, (start, w, i, shifts) in enumerate(zip(*(batch.column(c).to_pylist() for c in (4, 5, 6, 7)))):
                 w, i = np.frombuffer(w, np.uint64), np.frombuffer(i, np.uint64)
-                n, at = max(((m, -(start + s + f)) for s in shifts for m, f, _ in [best_stretch(w, i, s)]), default=(0, 0))
-                if n >= min(LEAST, max(5, PART * len(i))):
+                n, at = max(((m, -(start + s + f)) for s in shifts for m, f in [overlap(w, i, s)]), default=(0, 0))
+                if n >= least_matches(len(i)):
                     keep.append(r)
                     matched.append(n)
                     length.append(len(i))

@@ -6,7 +6,12 @@ nodes. Both ratios are smoothed along the page, multiplied, and the paths that
 reach a threshold are content: running text scores high on both, while menus,
 lists of links and labels score low. The element that holds the content gives
 the blocks; elements named as menus, notices, adverts, forms or comments, and
-blocks of links, are left out.
+blocks of links, are left out. A name never takes out the element that holds
+the article: that with the page's main element, or with its first heading and
+half of its text, or with nearly all text. Names of a state (``has-sidebar``,
+``nav-open``) do not count, parts of a name do not count for a paragraph, and
+names that sections of an article bear too (``related``) count where the
+element is links or labels.
 
 Defined cases: a null or empty page has an empty text; markup may be cut off,
 unclosed or wrongly nested; nesting depth and length are not limited; all
@@ -36,12 +41,18 @@ CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot",
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 MAIN = re.compile(r"""\brole\s*=\s*["']?main\b|\bitemprop\s*=\s*["']?articleBody\b""", re.I)
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|"
-    r"signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|side|aside|widgets?|footer|header|masthead|toolbar|share|sharing|social|related|"
-    r"recommended|comments?|comment-\w+|replies|reply|disqus|pagination|pager|tags|skip|hidden|sr-only|visually-hidden|copyright)(?:$|[\s_-])",
-    re.I,
+# Words in class and id names. The second list is also used for parts of articles.
+_HARD = (
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|"
+    r"signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side-bar|aside|widgets?|footer|header|masthead|toolbar|social|"
+    r"comments?|comment-\w+|replies|reply|disqus|pagination|pager|hidden|sr-only|visually-hidden|copyright"
 )
+_SOFT = r"side|share|sharing|related|recommended|tags|skip"
+NOISE = re.compile(rf"(?:^|[\s_-])(?:{_HARD})(?:$|[\s_-])", re.I)
+WEAK_NOISE = re.compile(rf"(?:^|[\s_-])(?:{_SOFT})(?:$|[\s_-])", re.I)
+WHOLE_NOISE = re.compile(rf"(?:^|\s)(?:{_HARD}|{_SOFT})(?:$|\s)", re.I)
+STATE = re.compile(r"(?<!\S)(?:(?:has|with|without|no)-\S+|\S+-(?:open|closed|collapsed|expanded))(?!\S)", re.I)
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote td th span b i em strong a u font".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -56,6 +67,7 @@ class _Page:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.skip, self.main, self.path, self.link = [-1], [""], [False], [False], [0], [False]
+        self.named: dict[int, bool] = {}  # elements with a name of noise, and whether it is a strong one
         self.paths: dict[tuple[int, str], int] = {}
         self.open, self.count = [0], {}
         self.nodes: list[tuple[int, int, str]] = []  # block, element, text
@@ -67,8 +79,12 @@ class _Page:
         label = f"{tag}.{names.lower()}" if names else tag
         path = self.paths.setdefault((self.path[up], label), len(self.paths) + 1)
         main = tag in ("article", "main") or bool(attrs and MAIN.search(attrs))
-        noise = bool(names and NOISE.search(names)) and tag not in ("html", "body") and not (main and tag == "main")
-        self.skip.append(self.skip[up] or tag in SKIP or noise or bool(attrs and _HIDDEN.search(attrs)))
+        if names and tag not in ("html", "body", "main"):
+            own = STATE.sub("", names)
+            strong = bool((WHOLE_NOISE if tag in TEXT_LEVEL else NOISE).search(own))
+            if strong or (tag not in TEXT_LEVEL and WEAK_NOISE.search(own)):
+                self.named[len(self.tag)] = strong
+        self.skip.append(self.skip[up] or tag in SKIP or bool(attrs and _HIDDEN.search(attrs)))
         self.parent.append(up)
         self.tag.append(tag)
         self.main.append(main)
@@ -152,6 +168,42 @@ def content_paths(paths: list[int], texts: list[str]) -> set[int]:
     return {p for p, v in fused.items() if v >= line}
 
 
+def skip_named(doc: _Page, texts: list[tuple[int, str]]) -> None:
+    """Skip elements with a name of noise, but for those that hold the article."""
+    if not doc.named:
+        return
+    n = len(doc.tag)
+    size, linked, marks = [0] * n, [0] * n, [0] * n
+    for e, t in texts:
+        size[e] += len(t)
+        marks[e] += len(_PUNCT.findall(t))
+        if doc.link[e]:
+            linked[e] += len(t)
+    for e in range(n - 1, 0, -1):
+        up = doc.parent[e]
+        size[up] += size[e]
+        linked[up] += linked[e]
+        marks[up] += marks[e]
+
+    def above(e: int) -> set[int]:
+        out = set()
+        while e > 0:
+            out.add(e)
+            e = doc.parent[e]
+        return out
+
+    mains = [e for e in range(n) if doc.main[e] and not doc.skip[e] and e not in doc.named]
+    of_main = above(max(mains, key=lambda e: (size[e], -e))) if mains else set()
+    of_title = above(next((e for e in range(n) if doc.tag[e] == "h1" and not doc.skip[e]), 0))
+    for e in range(1, n):
+        if doc.skip[doc.parent[e]]:
+            doc.skip[e] = True
+        elif e in doc.named:
+            strong = doc.named[e] or 2 * linked[e] >= size[e] or not marks[e]
+            holds = (e in of_main and size[e] >= 0.3 * size[0]) or (e in of_title and 2 * size[e] >= size[0]) or size[e] >= 0.98 * size[0]
+            doc.skip[e] = doc.skip[e] or (strong and not holds)
+
+
 def extract(page: str | None) -> str:
     """Blocks of the main text, joined by newlines."""
     if not page:
@@ -159,6 +211,8 @@ def extract(page: str | None) -> str:
     doc = _Page()
     doc.feed(page)
     shown = [(b, e, html.unescape(t)) for b, e, t in doc.nodes]
+    skip_named(doc, [(e, t.strip()) for _, e, t in shown])
+    shown = [(b, e, t) for b, e, t in shown if not doc.skip[e]]
     filled = [(b, e, t) for b, e, t in shown if t.strip()]
     if not filled:
         return ""

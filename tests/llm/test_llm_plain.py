@@ -118,6 +118,41 @@ def test_html_broken_pages(page, text):
     assert html_text.extract(page) == text
 
 
+PROSE = "<p>Running text, which is long enough; it tells of things. And more of it, too.</p>" * 3
+LINE = "Running text, which is long enough; it tells of things. And more of it, too."
+
+
+@pytest.mark.parametrize(
+    ("body", "more"),
+    [
+        ("<div class='layout has-sidebar'>%s</div>", []),
+        ("<div class='content with-sidebar'>%s</div>", []),
+        ("<div class='single-post nav-open'>%s</div>", []),
+        ("<article>%s<p class='side-effects'>Pain, and more; it passes.</p></article>", ["Pain, and more; it passes."]),
+        ("<article>%s<section id='related-work'><p>Others did so, too; see them.</p></section></article>", ["Others did so, too; see them."]),
+        ("<div class='page-header-wrap'><main>%s</main></div><div class='comments'><p>Nice, I see.</p></div>", []),
+        ("<div>%s<div class='related'><a href=/a>Another, and more.</a></div><div class='cookie-notice'><p>We set cookies, fine?</p></div></div>", []),
+    ],
+)
+def test_html_names_do_not_empty_pages(body, more):
+    page = f"<body><nav><a href=/>Home</a></nav>{body % PROSE}<footer>f</footer></body>"
+    assert html_text.extract(page).split("\n") == [LINE] * 3 + more
+
+
+def test_content_paths_equal_plain_ratios():
+    rng = random.Random(5)
+    for _ in range(50):
+        paths = [rng.randint(1, 5) for _ in range(rng.randint(1, 30))]
+        texts = ["".join(rng.choice("abc ,.") for _ in range(rng.randint(1, 60))) for _ in paths]
+        of = lambda p: [t for q, t in zip(paths, texts) if q == p]  # noqa: B023, E731
+        size = [sum(map(len, of(p))) / len(of(p)) for p in paths]
+        mark = [sum(len(re.findall(r"[.,]", t)) for t in of(p)) / len(of(p)) for p in paths]
+        near = lambda v, i: v[max(i - 1, 0)] / 4 + v[i] / 2 + v[min(i + 1, len(v) - 1)] / 4
+        fused = {p: sum(near(size, i) * (0.5 + near(mark, i)) for i, q in enumerate(paths) if q == p) / paths.count(p) for p in set(paths)}
+        limit = 0.1 * max(fused.values())
+        assert {p for p, v in fused.items() if v >= limit * (1 + 1e-9)} <= html_text.content_paths(paths, texts) <= {p for p, v in fused.items() if v >= limit * (1 - 1e-9)}
+
+
 def test_html_deep_and_long():
     assert html_text.extract("<div>" * 50_000 + "deep text, here." + "</div>" * 50_000) == "deep text, here."
 
@@ -186,6 +221,17 @@ def test_best_stretch_equals_brute_force():
         assert n == sum(words[k + shift] == item[k] for k in range(first, end))
 
 
+def test_short_items_keep_a_seed():
+    for n in range(5, decontaminate.SHORT + 1):
+        least = decontaminate.least_matches(n)
+        shapes = [decontaminate.ALL_MASKS[m] for m in decontaminate.masks_for(n)]
+        windows = [{i + j for j, c in enumerate(s) if c == "1"} for s in shapes for i in range(n - len(s) + 1)]
+        for wrong in range(n + 1):
+            if n - wrong >= least:
+                for places in itertools.combinations(range(n), wrong):
+                    assert any(w.isdisjoint(places) for w in windows), (n, places)
+
+
 def test_base_spans_follow_patterns():
     text = 'API_KEY = "abcDEF12" token:short token: x password=aaaaaa AKIA' + "Z" * 16 + " AKIAX " + "0a" * 12 + " ſecret=longenough Kelvin apiKey=longenough"
     got = [(secret_scan.KINDS[k], text[a:b]) for a, b, k in secret_scan.base_spans(text)]

@@ -264,6 +264,40 @@ def test_decontamination(spark, docs, empty, texts):
     assert decontaminate.leaks(empty, bench).count() == 0 and decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(3)
+    words = [prose(rng, 1) + str(i) for i in range(400)]
+    items = [[rng.choice(words) for _ in range(n)] for n in (*range(1, 20), 25, 40)]
+    texts = []
+    for item in items:
+        for wrong in ([], [rng.randrange(len(item))], rng.sample(range(len(item)), min(2, len(item)))):
+            own = ["x" if i in wrong else w for i, w in enumerate(item)]
+            texts.append([rng.choice(words) for _ in range(rng.randint(0, 90))] + own + [rng.choice(words) for _ in range(rng.randint(0, 90))])
+    want = set()
+    for d, text in enumerate(texts):
+        for k, item in enumerate(items):
+            n, best = len(item), 0
+            for shift in range(1 - n, len(text)):
+                same = [0 <= i + shift < len(text) and text[i + shift] == w for i, w in enumerate(item)]
+                if n <= 16:
+                    best = max(best, sum(same))
+                else:  # longest gain of a stretch, 1 for a match and -2 for another word
+                    value, total, matches, run = 0, 0, 0, 0
+                    for ok in same:
+                        total, run = (total + 1, run + 1) if ok else (total - 2, run)
+                        if total < 0:
+                            total, run = 0, 0
+                        if total > value:
+                            value, matches = total, run
+                    best = max(best, matches)
+            if n >= 3 and best >= (n if n <= 5 else min(13, max(5, 0.8 * n))):
+                want.add((d, k, best))
+    assert len(want) > 40
+    docs = spark.createDataFrame(rows_of([" ".join(t) for t in texts]), DOCS)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["matched"]) for r in decontaminate.leaks(docs, bench).collect()} == want
+
+
 def test_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
     import corpus_pipeline
 
