@@ -30,6 +30,9 @@ _SPACE = "[\t\n\x0b\x0c\r \x85\xa0  -     　]+"
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 
 
+PAIRS_KEPT = 150_000  # answers of the pair test that a worker keeps, about 25 MB
+
+
 class PairTable:
     """Merges as numbers: base symbols first, then one token per merge in rank order."""
 
@@ -65,7 +68,7 @@ class PairTable:
     def neighbours(self, a: int, b: int) -> bool:
         known = self.known.get((a, b))
         if known is None:
-            if len(self.known) > 400_000:
+            if len(self.known) >= PAIRS_KEPT:
                 self.known.clear()
             known = self.known[(a, b)] = self.fits(a, b)
         return known
@@ -82,7 +85,7 @@ class PairTable:
 class WordBpe:
     """Encoder and decoder for a vocabulary file with word ends and lower-cased, white-space-free words."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 60_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         vocab = model["vocab"]
@@ -179,6 +182,12 @@ class WordBpe:
                 self._plain(part, out)
         return out
 
+    def forget(self) -> None:
+        """Empty the caches; the vocabulary and its automaton stay."""
+        self.table.known.clear()
+        self._words.clear()
+        self._chunks, self._older = {}, {}
+
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by one space: the format names no decoder."""
         return " ".join(map(self.text_of.__getitem__, ids))
@@ -231,4 +240,4 @@ def bpe_columns(df, path: str, text: str = "text", keep: tuple[str, ...] = ("doc
             names.append("ids")
         return pa.RecordBatch.from_arrays(cols, names=names)
 
-    return arrow_map(src, run, T.StructType(fields), "__text")
+    return arrow_map(src, run, T.StructType(fields), "__text", after=lambda: encoder(path).forget())

@@ -31,13 +31,20 @@ def slices(batch: pa.RecordBatch, column: str, rows: int = 1024, size: int = 8 <
         at = upto
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", rows: int = 1024) -> DataFrame:
-    """``mapInArrow`` over bounded slices, so that a batch of very long texts is not turned into Python objects at once."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: str = "text", rows: int = 1024, after: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` over bounded slices, so that a batch of very long texts is not turned into Python objects at once.
+
+    ``after`` runs when a task ends, to free what its worker, which serves other tasks too, need not keep.
+    """
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, column, rows):
-                yield fn(part)
+        try:
+            for batch in batches:
+                for part in slices(batch, column, rows):
+                    yield fn(part)
+        finally:
+            if after is not None:
+                after()
 
     return df.mapInArrow(run, schema)
 
