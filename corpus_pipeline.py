@@ -25,7 +25,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     ranker = quality.train(known, labels)
     discard(known)
     # features again, rather than the texts written with them
-    scored = quality.score(quality.with_features(docs, keep=docs.columns), ranker, keep=docs.columns, names=("__score", "__predicted"))
+    scored = quality.score_texts(docs, ranker, names=("__score", "__predicted"))
     return scored.filter("__predicted = 1").select(*docs.columns)
 
 
