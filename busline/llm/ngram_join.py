@@ -13,8 +13,8 @@ that can still reach T are looked up in the long ones by binary search.
 
 Equal sets are one record from the start. Candidates are made and verified in
 two rounds: first the nearest one of each record and token, a number in
-proportion to the input, then those that the links so far leave in different
-components. A link inside a component that is known already changes nothing, so
+proportion to the input, then, for the tokens that had more, those that the
+links so far leave in different components. A link inside a component that is known already changes nothing, so
 a large group of near copies does not become all its pairs.
 
 Defined cases: null or empty texts have no shingles and link with nothing; fewer
@@ -205,10 +205,11 @@ def _nearest(pairs: np.ndarray) -> np.ndarray:
 
 
 def candidates(shared: DataFrame, large: DataFrame, reps: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(x, y, apart) of records that share a prefix token and may reach the overlap.
+    """(x, y) of records that share a prefix token and may reach the overlap.
 
-    Without ``labels`` only the nearest of each record and token; with them all
-    that are in different components. Rows of a token lie together in a task,
+    Without ``labels`` only the nearest of each record and token, and a row
+    (null, null, token) for each token that has more; with them all that are in
+    different components. Rows of a token lie together in a task,
     sorted; tokens with more than ``BLOCK`` records (``large``) are dealt out as
     pairs of blocks.
     """
@@ -216,29 +217,34 @@ def candidates(shared: DataFrame, large: DataFrame, reps: DataFrame, labels: Dat
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id")
     rows = reps.select("id", F.col("n").cast("int").alias("n"), "parity")
-    if labels is None:
-        rows = rows.withColumn("label", F.col("id"))
-    else:
+    names = ["token", "p", "q", "side", "id", "n", "parity"]
+    if labels is not None:
+        names.append("label")
         rows = rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    dealt = dealt.join(rows, "id").select("token", "p", "q", "side", "id", "n", "parity", "label")
+    dealt = dealt.join(rows, "id").select(*names)
     nearest = labels is None
 
     def run(batches):
         for t, heads in _runs(batches, ["token", "p", "q"]):
-            ids, n, side, label = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool), np.asarray(t.column("label"))
-            parity, found = t.column("parity"), []
+            ids, n, side, label = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool), np.asarray(t.column("id" if nearest else "label"))
+            token, parity, found, more = np.asarray(t.column("token")), t.column("parity"), [], []
             for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 if b - a > 1 and (label[a:b] != label[a]).any():
                     own = [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b], label[a:b])]
                     own = np.concatenate(own) if own else np.zeros((0, 3), np.int64)
                     found.append(_nearest(own) if nearest and len(own) else own)
+                    if len(found[-1]) < len(own):
+                        more.append(token[a])
             if sum(map(len, found)):
-                pairs = np.unique(np.concatenate(found), axis=0)
+                pairs = np.unique(np.concatenate(found)[:, :2], axis=0)
                 for at in range(0, len(pairs), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs[at : at + 10_000].T], names=["x", "y", "apart"])
+                    x, y = pairs[at : at + 10_000].T
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], names=["x", "y", "token"])
+            if more:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(more), pa.int64())] * 2 + [pa.array(more, pa.int64())], names=["x", "y", "token"])
 
     keys = ["token", "p", "q"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long, apart long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "x long, y long, token long").distinct()
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], need: list[int], mu: float = 0.01) -> list[bool]:
@@ -317,7 +323,8 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     shared = landed(shared_tokens(reps), "ngram-shared")
     large = shared.filter("late").groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1")
     large = landed(large, "ngram-large")
-    near = landed(candidates(shared, large, reps).select("x", "y"), "ngram-near")
+    first = landed(candidates(shared, large, reps), "ngram-near")
+    near, open_tokens = first.filter("x IS NOT NULL").select("x", "y"), first.filter("x IS NULL").select("token")
     # a record with any candidate has a nearest one, so these are all whose sets are needed
     needed = near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct()
     wanted = landed(reps.select("id", "rep").join(needed, "id").select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b")), "ngram-wanted")
@@ -332,9 +339,9 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
         sets = sets.dropDuplicates(["id"])
     links = landed(verified(near, sets), "ngram-links")
     labels = landed(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "ngram-labels")
-    rest = landed(candidates(shared, large, reps, labels).select("x", "y").join(near, ["x", "y"], "left_anti"), "ngram-rest")
+    rest = landed(candidates(shared.join(open_tokens, "token", "left_semi"), large, reps, labels).select("x", "y").join(near, ["x", "y"], "left_anti"), "ngram-rest")
     more = landed(verified(rest, sets), "ngram-links")
-    discard(tokens_of, near, rest, shared, large, wanted, reps, labels)
+    discard(tokens_of, first, rest, shared, large, wanted, reps, labels)
     labels = components(links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
     rows = found.select("doc_id", "text_hash", "id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "id"), "id", "left")
     own = landed(rows.withColumn("label", F.coalesce("label", "id")), "ngram-rows")
