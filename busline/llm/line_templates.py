@@ -27,11 +27,9 @@ from busline.llm.common import discard, landed
 from busline.llm.components import components
 
 LEAST = 8  # unrelated documents
-SHARE = 0.2  # of the documents that have the template; SQL twin only
 TOKENS = 3  # shorter lines have no template
 WILD_TOKENS = 8  # shorter lines have no wildcard part
 PARTS = 3
-MARKS = 16  # words kept from either end of the hash order; SQL twin only
 SHINGLE = 3  # words
 SKETCH = 32  # least shingle hashes of a text
 BANDS = 6  # pairs of minhashes of the sketch
@@ -112,26 +110,3 @@ def drop_recurring(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias(dropped),
     )
 
-
-SQL = rf"""
-WITH doc AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts,
-       list_transform(list_sort(list_transform(list_distinct(list_filter(string_split_regex(text, '[ \t\r\n\f\x0B]+'), lambda w: length(w) >= 6)),
-         lambda w: md5(w) || w)), lambda x: x[33:]) AS m FROM documents),
-raw AS (SELECT doc_id, md5(text) AS b, m[1:{MARKS}] AS m1, list_reverse(m[greatest(len(m) - {MARKS - 1}, 1):]) AS m2, unnest(list_distinct(parts)) AS line FROM doc),
-kin AS (SELECT *, coalesce(list_filter(m1, lambda w: NOT contains(line, w))[1], '#' || b) AS f1,
-       coalesce(list_filter(m2, lambda w: NOT contains(line, w))[1], '#' || b) AS f2 FROM raw),
-clean AS (SELECT *, regexp_replace(trim(regexp_replace(line, '{_BLANK}', ' ', 'g')), '{_FIELD}', '<*>', 'g') AS c FROM kin),
-tok AS (SELECT *, string_split(c, ' ') AS t, len(string_split(c, ' ')) AS n FROM clean WHERE len(string_split(c, ' ')) >= {TOKENS}),
-rows AS (SELECT doc_id, b, f1, f2, line, '{PARTS} ' || n || ' ' || c AS template FROM tok
-  UNION ALL
-  SELECT doc_id, b, f1, f2, line, j || ' ' || n || ' ' || array_to_string(list_concat(t[1:(n - 2) * j // {PARTS} + 2], ['<*>'], t[(n - 2) * (j + 1) // {PARTS} + 3:]), ' ')
-  FROM tok, (SELECT unnest(range({PARTS})) AS j) WHERE n >= {WILD_TOKENS}),
-k1 AS (SELECT template, f1, count(DISTINCT doc_id) AS docs, min(b) = max(b) AS alone FROM rows GROUP BY 1, 2),
-k2 AS (SELECT template, f2, count(DISTINCT doc_id) AS docs, min(b) = max(b) AS alone FROM rows GROUP BY 1, 2),
-t1 AS (SELECT template, sum(docs) AS docs, sum(alone::INT) AS alone FROM k1 GROUP BY 1),
-t2 AS (SELECT template, sum(alone::INT) AS alone FROM k2 GROUP BY 1),
-chosen AS (SELECT template FROM t1 JOIN t2 USING (template) WHERE greatest(t1.alone, t2.alone) >= {LEAST} AND greatest(t1.alone, t2.alone) >= {SHARE} * docs),
-bad AS (SELECT doc_id, list(DISTINCT line) AS bad FROM rows WHERE template IN (SELECT template FROM chosen) GROUP BY 1),
-kept AS (SELECT doc.doc_id, parts, CASE WHEN bad IS NULL THEN parts ELSE list_filter(parts, lambda x: NOT list_contains(bad, x)) END AS k FROM doc LEFT JOIN bad USING (doc_id))
-SELECT doc_id, array_to_string(k, chr(10)) AS text, len(parts) AS n_lines, len(parts) - len(k) AS n_dropped FROM kept
-"""

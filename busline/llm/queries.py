@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from busline.llm.common import read_table
-from busline.llm.line_templates import SQL as LINE_SQL
 from busline.llm.twins import clusters_sql, resample_sql, top_products_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,15 +91,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
-def _op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("op2_line_templates")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.line_templates import drop_recurring
 
     return drop_recurring(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-query("op2_line_templates", LINE_SQL)(_op2)
-
-
 @query("op8_ngram_join")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from busline.llm.ngram_join import linked

@@ -10,6 +10,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from busline.llm import bpe, components, decontaminate, html_text, line_templates, ngram_join, order_minhash, quality, secret_scan, token_store, warc
@@ -244,6 +245,63 @@ def test_line_templates(spark, docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def spark_hash(*values):
+    """``xxhash64`` of strings, ints and, as (long,), longs."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else v[0].to_bytes(8, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(4, "little")
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_line_dedup(texts):
+    """The rule of line dedup in plain Python: distinct clusters of texts for each template."""
+    root = {t: t for t in texts}
+
+    def find(t):
+        while root[t] != t:
+            t = root[t]
+        return t
+
+    first, found = {}, defaultdict(set)
+    for t in root:
+        w = re.split(r"[ \t\r\n\f\x0B]+", t.strip(" "))
+        sketch = sorted(spark_hash(*w[i : i + 3]) for i in range(len(w) - 2))[:32]
+        for j in range(6) if sketch else ():
+            band = (j, *(min(spark_hash((x,), k) for x in sketch) for k in (2 * j, 2 * j + 1)))
+            root[find(t)] = find(first.setdefault(band, t))
+
+    def templates(line):
+        one = re.sub(r"[ \t\r\f\x0B]+", " ", line).strip(" ")
+        tokens = re.sub(r"[^ ]*(?:[0-9@]|://)[^ ]*", "<*>", one).split(" ")
+        n = len(tokens)
+        out = [(n, *tokens)] if n >= 3 else []
+        for j in range(3) if n >= 8 else ():
+            a, b = ((n - 2) * k // 3 + 2 for k in (j, j + 1))
+            out.append((n, j, *tokens[:a], *tokens[b:]))
+        return out
+
+    for t in root:
+        for line in t.split("\n"):
+            for x in templates(line):
+                found[x].add(find(t))
+    bad = {x for x, kin in found.items() if len(kin) >= 8}
+    return {t: "\n".join(x for x in t.split("\n") if bad.isdisjoint(templates(x))) for t in root}
+
+
+def test_line_dedup_equals_plain_rule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = [r["text"] for r in docs.select("text").collect()]
+    rng = random.Random(4)
+    own = [f"{prose(rng, 40)}\nread the terms of {prose(rng, 1)} and of the others at page {i}\nall  rights\tare kept {i}" for i in range(12)]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(own)], "doc_id long, text string"))
+    want = plain_line_dedup([t for t in texts if t is not None] + own)
+    got = line_templates.drop_recurring(table).collect()
+    assert len(got) == len(texts) + len(own) and sum(r["n_dropped"] > 0 for r in got) > 12
+    before = {r["doc_id"]: r["text"] for r in table.collect()}
+    assert all(r["text"] == want.get(before[r["doc_id"]]) for r in got)
+
+
 @pytest.mark.parametrize("n", [1_000, 10_000, 100_000])
 def test_line_in_every_document(spark, n):
     # texts of 40 words out of 300, so that unrelated ones share any single word; a third of them are near copies of one
