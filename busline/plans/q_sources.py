@@ -21,6 +21,13 @@ def _seconds():
 
 
 def _hex_id():
+    """Four hex digits at least; ``lpad`` alone would cut longer ids."""
+    digits = F.lower(F.hex("can_id"))
+    return F.lpad(digits, F.greatest(F.lit(4), F.length(digits)), "0")
+
+
+def _four_digits():
+    """The id as the SQL twin of A7 writes it into faulty lines, cut at four digits."""
     return F.lpad(F.lower(F.hex("can_id")), 4, "0")
 
 
@@ -170,8 +177,8 @@ def a7(t: Tables):
     tail = F.concat_ws(",", F.col("dlc").cast("string"), _joined(","), F.when(F.col("binary_label_id") == 1, "T").otherwise("R"))
     line = (
         F.when(e % 97 == 0, F.concat_ws(",", _seconds(), F.lit("zz"), tail))
-        .when(e % 89 == 0, F.concat_ws(",", _seconds(), _hex_id(), F.lit("8,1ff,R")))
-        .when(e % 101 == 0, F.concat_ws(",", _seconds(), _hex_id()))
+        .when(e % 89 == 0, F.concat_ws(",", _seconds(), _four_digits(), F.lit("8,1ff,R")))
+        .when(e % 101 == 0, F.concat_ws(",", _seconds(), _four_digits()))
         .otherwise(_csv_line())
     )
     _, bad = L.read_attack_csv(t.spark, _write_lines(t.labelled, line, "csv"))

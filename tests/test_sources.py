@@ -3,6 +3,7 @@ import os
 import pytest
 
 from busline.functions import text as X
+from busline.plans import q_sources as QS
 from busline.schema import FRAME_SCHEMA
 from busline.sources import logs as L
 
@@ -98,3 +99,9 @@ def test_merge_shards_guards(spark):
         L.merge_shards([a, b.where("k > 9")], ["k"]).collect()
     with pytest.raises(ValueError, match="lacks key columns"):
         L.merge_shards([a, b.drop("k")], ["k"])
+
+
+def test_long_ids_survive_the_text(spark):
+    """Ids of more than four hex digits are written whole, shorter ones padded to four."""
+    d = spark.createDataFrame([(26,), (2047,), (65535,), (65536,), (89999,)], "can_id int").select(QS._hex_id().alias("h"))
+    assert [r.h for r in d.collect()] == ["001a", "07ff", "ffff", "10000", "15f8f"]
