@@ -262,6 +262,16 @@ def exact_quantiles(
     return g.select(*keys, *out)
 
 
+def with_facts(df: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join a table with one row per group to the rows of the groups.
+
+    The facts are written first, so Spark knows their size and sends a small
+    table to the rows. Sized while the join runs, it would shuffle the rows by
+    the group alone, and leave all later steps of a group to that one task.
+    """
+    return df.join(landed(facts, "facts"), list(keys), how)
+
+
 def one_value(df: DataFrame, expr) -> Column:
     """Scalar subquery: a one-row fact used as a column, without a join."""
     return df.select(expr).scalar()

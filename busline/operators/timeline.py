@@ -25,7 +25,7 @@ def with_delta_t(df, by=SRC, order=ROW, ts="timestamp", out="delta_t", span=SPAN
 def with_elapsed(df, by=SRC, order=ROW, ts="timestamp") -> DataFrame:
     """Seconds since the first frame in file order; one row per source carries the start."""
     first = df.groupBy(*by).agg(F.min_by(ts, order).alias("_t0"))
-    return df.join(first, list(by)).withColumn("elapsed", F.col(ts) - F.col("_t0")).drop("_t0")
+    return O.with_facts(df, first, by).withColumn("elapsed", F.col(ts) - F.col("_t0")).drop("_t0")
 
 
 def with_segments(df, by=SRC, order=ROW, ts="timestamp", span=SPAN) -> DataFrame:
@@ -82,7 +82,7 @@ def assign_split_asof(frames, ep, by=SRC, order=ROW, span=SPAN) -> DataFrame:
     d = frames.join(starts, [*by, order], "left")
     d = O.carry_last(d, list(by), order, F.col("_s"), "split", span)
     first = ep.groupBy(*by).agg(F.min_by("split", "start_row").alias("_first"))
-    d = d.join(first, list(by), "left")
+    d = O.with_facts(d, first, by, "left")
     return d.withColumn("split", F.coalesce("split", "_first")).drop("_s", "_first")
 
 
@@ -93,7 +93,7 @@ def assign_split_fraction(frames, ratios=SPLIT_RATIOS, by=SRC, order=ROW) -> Dat
     split = (
         F.when(share < ratios[0], "train").when(share < F.lit(ratios[0] + ratios[1]), "val").otherwise("test")
     )
-    return frames.join(total, list(by)).withColumn("split", split).drop("_n")
+    return O.with_facts(frames, total, by).withColumn("split", split).drop("_n")
 
 
 def split_frames(frames, gap=EPISODE_GAP, ratios=SPLIT_RATIOS, by=SRC, order=ROW, span=SPAN) -> DataFrame:

@@ -27,9 +27,8 @@ def _covering(idx: Column, size: int, stride: int) -> Column:
 
 
 def with_group_rows(frames: DataFrame, by, out="_rows") -> DataFrame:
-    """Rows per group, joined back; adaptive execution broadcasts the small side."""
-    n = frames.groupBy(*by).agg(F.count("*").alias(out))
-    return frames.join(n, list(by))
+    """Rows per group, joined back without a shuffle of frames."""
+    return O.with_facts(frames, frames.groupBy(*by).agg(F.count("*").alias(out)), by)
 
 
 def window_frames(frames: DataFrame, by, size=WINDOW, stride=STRIDE, idx="idx") -> DataFrame:

@@ -20,7 +20,7 @@ MAX_ID = 2047
 
 # Rows of one source that a single task orders; longer sources are cut into
 # spans of this many order units and stitched together by span totals.
-SPAN = 1 << 20
+SPAN = 1 << 16
 
 # Columns of the frame table, in order.
 FRAME_SCHEMA = T.StructType(

@@ -1,6 +1,7 @@
 """Span-wise operators against plain Python on small spans, so that every span edge is crossed."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +135,24 @@ def test_average_ranks_return_to_their_rows(spark, tied):
     assert sorted(got) == sorted(want)
     plan = O.join_ties(df, O.average_ranks(df, ["g"], "v", "r"), ["g", "v"])._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_facts_do_not_gather_a_group(spark):
+    """Facts of a group are sent to its rows: no shuffle deals frames by their source alone."""
+    from busline.operators import timeline as TL
+    from busline.operators import windows as WN
+
+    d = spark.range(40_000).select(F.concat(F.lit("s"), F.col("id") % 2).alias("source_file"), F.col("id").alias("idx"), F.col("id").alias("row_in_source"), (F.col("id") % 50).alias("can_id"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")
+    try:
+        for made in (WN.window_id_counts(d, ["source_file"]), TL.assign_split_fraction(d)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(source_file#\d+, \d+\)", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_default_span_is_a_small_task(spark):
+    most = spark.range(300_000).groupBy(O.span_of("id")).count().agg(F.max("count")).first()[0]
+    assert most <= 1 << 16
