@@ -5,10 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from busline.operators import metrics as ME
@@ -16,7 +16,7 @@ from busline.operators import ordered as O
 from busline.operators import sampling as S
 from busline.operators import windows as WN
 from busline.schema import STRIDE, WINDOW
-from busline.session import landed
+from busline.session import discard, landed, scratch_dir
 
 
 def normal_ids(frames: DataFrame) -> DataFrame:
@@ -64,6 +64,33 @@ def detect_timing(intervals: DataFrame, id_counts: DataFrame, profile: DataFrame
 
 
 FOREST_ROWS = 1 << 15  # rows of a task that grows trees; small tables are dealt to up to eight tasks
+FOREST_NODES = 1 << 18  # nodes that the driver holds at once, about 200 MB while they grow
+
+
+class Forest:
+    """Trees in batches, each saved to the shared folder: the driver holds one batch at a time."""
+
+    def __init__(self, vectors: VectorAssembler):
+        self.vectors, self.folders = vectors, []
+
+    def add(self, model) -> None:
+        self.folders.append(scratch_dir(SparkSession.active(), "forest"))
+        model.write().save(self.folders[-1])
+
+    def transform(self, d: DataFrame) -> DataFrame:
+        """Class probabilities in ``probability``: the votes of all batches, added up from one written table to the next."""
+        kept = d.columns
+        table = landed(self.vectors.transform(d), "forest-votes")
+        for folder in self.folders:
+            voted = RandomForestClassificationModel.load(folder).transform(table)
+            votes = vector_to_array("rawPrediction")
+            if "_votes" in table.columns:
+                votes = F.zip_with("_votes", votes, lambda a, b: a + b)
+            after = landed(voted.select(*kept, "_x", votes.alias("_votes")), "forest-votes")
+            discard(table)
+            table = after
+        total = F.aggregate("_votes", F.lit(0.0), lambda a, x: a + x)
+        return table.select(*kept, array_to_vector(F.transform("_votes", lambda x: x / total)).alias("probability"))
 
 
 def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=30, seed=42, balanced=True, leaf=2):
@@ -72,15 +99,32 @@ def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=3
     Spark grows trees to a depth of 30 at most, one job for each level and node
     group. Every task of it sends the histograms of all open nodes, so the
     vectors are written once and dealt to no more tasks than needed.
+
+    Trees grow in the driver, and their nodes with the rows. A table whose trees
+    could pass ``FOREST_NODES`` is fitted in batches with seeds of their own:
+    one tree first, then as many as the largest tree so far leaves room for.
     """
     weighted = S.class_weights(d, label) if balanced else d.withColumn("weight", F.lit(1.0))
     vectors = VectorAssembler(inputCols=features, outputCol="_x")
     table = landed(vectors.transform(weighted.withColumn(label, F.col(label).cast("double"))).select("_x", label, "weight"), "forest-rows")
-    rf = RandomForestClassifier(
-        featuresCol="_x", labelCol=label, weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf)
     n = table.count()
-    model = rf.fit(table.repartition(max(-(-n // FOREST_ROWS), min(8, 1 + n // 512))))
-    return PipelineModel([vectors, model])
+    dealt = table.repartition(max(-(-n // FOREST_ROWS), min(8, 1 + n // 512)))
+
+    def grow(k: int, seed: int):
+        rf = RandomForestClassifier(
+            featuresCol="_x", labelCol=label, weightCol="weight", numTrees=k, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf)
+        return rf.fit(dealt)
+
+    if trees * (n // leaf) <= FOREST_NODES:  # half the nodes that so many leaves allow, which real trees do not reach
+        return PipelineModel([vectors, grow(trees, seed)])
+    forest, done, largest, batch = Forest(vectors), 0, 1, 1
+    while done < trees:
+        model = grow(batch, seed + done)
+        forest.add(model)
+        done += batch
+        largest = max(largest, -(-model.totalNumNodes // batch))
+        batch = min(trees - done, max(1, FOREST_NODES // (largest + largest // 4)))
+    return forest
 
 
 def score_forest(d: DataFrame, model) -> DataFrame:
