@@ -221,7 +221,7 @@ SELECT domain, round(e, 6) AS entropy, round((SELECT sum(-q * log2(q)) FROM (SEL
 def e15(t: Tables):
     c = domains(t).groupBy("domain", "can_id").agg(F.count("*").alias("n"))
     a = P.entropy_of(c, ["domain"])
-    b = P.entropy_of(c, ["domain"], bins=2049).withColumnRenamed("entropy", "smoothed")
+    b = P.entropy_of(c, ["domain"], bins=2049, value="can_id").withColumnRenamed("entropy", "smoothed")
     return r6(a.join(b, "domain"), "entropy", "smoothed", keep=("domain",))
 
 
@@ -229,7 +229,7 @@ def e15(t: Tables):
 def e16(t: Tables):
     c = _pair(t, {"id": F.array("can_id")})
     bins = t.spark.range(2049).select(F.lit("id").alias("kind"), F.col("id").cast("double").alias("v"))
-    a, b = P.divergences(c).select("js").scalar(), P.divergences(c, P.EPS, bins).select("js").scalar()
+    a, b = P.divergences(c).select("js").scalar(), P.divergences(c, P.EPS, bins, beyond=True).select("js").scalar()
     return t.spark.range(1).select(F.round(a, 8).alias("js_exact"), F.round(b, 8).alias("js_smoothed"))
 
 

@@ -39,6 +39,40 @@ def test_forests_of_queries_have_full_size(grown):
     assert grown[4:] == [(100, 30)]
 
 
+def test_forest_in_batches(spark, monkeypatch):
+    """A table whose trees pass the node limit is fitted in batches: as many trees, each batch of few nodes, votes of all of them."""
+    d = spark.range(600).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), F.rand(3).alias("c"))
+    d = d.withColumn("y", ((F.col("a") + F.rand(4) / 2 > 0.7).cast("int") + (F.col("b") > 0.8).cast("int"))).cache()
+    monkeypatch.setattr(DE, "FOREST_NODES", 1000)
+    seen, real = [], DE.RandomForestClassifier.fit
+    monkeypatch.setattr(DE.RandomForestClassifier, "fit", lambda self, t: (seen.append(real(self, t)), seen[-1])[1])
+    model = DE.fit_forest(d, ["a", "b", "c"], "y", trees=12)
+    assert len(seen) > 2 and sum(m.getNumTrees for m in seen) == 12 and max(m.totalNumNodes for m in seen) <= 1000
+    x = model.vectors.transform(d)
+    votes = [{r.id: r.v for r in m.transform(x).select("id", DE.vector_to_array("rawPrediction").alias("v")).collect()} for m in seen]
+    got = {r.id: r for r in DE.score_forest(d, model).collect()}
+    assert len(got) == 600
+    for i, r in got.items():
+        want = np.sum([v[i] for v in votes], axis=0) / 12
+        assert np.allclose(r.probs, want) and r.score == pytest.approx(1 - want[0])
+
+
+def test_quality_counts_long_ids(spark):
+    """Ids beyond the 2049 bins count: sides that share no id are one bit apart, and their entropy is that of all ids."""
+    real, syn = frames_of(spark, 1, [5, 3000, 70000, 80000], 0.3), frames_of(spark, 2, [6, 4000], 0.2)
+    r = P.synthetic_quality(real, syn, spark.createDataFrame([(None,)], "auc double"), ["w"]).first()
+    p = real.toPandas().can_id.value_counts(normalize=True)
+    assert r.can_id_js == pytest.approx(1.0, abs=1e-6) and r.real_can_id_entropy == pytest.approx(-(p * np.log2(p)).sum(), abs=1e-6)
+
+
+def test_smoothed_entropy_has_no_bins_beyond(spark):
+    """Values outside the bins belong to the total only."""
+    c = spark.createDataFrame([("a", 0, 2), ("a", 7, 1), ("a", 8, 1), ("a", -1, 4)], "d string, v int, n long")
+    q = (np.array([2, 0, 0, 0, 0, 0, 0, 1]) / 8 + P.EPS) / (1 + 8 * P.EPS)
+    got = P.entropy_of(c, ["d"], bins=8, value="v").first().entropy
+    assert got == pytest.approx(float(-(q * np.log2(q)).sum()), abs=1e-12)
+
+
 def audit_windows(spark, shift, n=240):
     """Windows of two classes in blocks of four; ``shift`` moves the first feature of the synthetic ones of class 2."""
     i = F.col("id")
