@@ -6,8 +6,12 @@ the logistic loss on feature differences of (good, bad) pairs. A quantile of
 the scores, at the share of bad documents among the labels, is the threshold;
 the reported score is sigmoid(s - threshold), so 0.5 is the threshold.
 
-The fit uses at most ``SAMPLE`` labelled documents of each class, chosen by a
-hash of the text, copies once, and ``PAIRS`` pairs. Features and scores cover all documents.
+``train_all`` fits on all labelled documents, copies once: a hash of the text
+deals them to buckets of about ``BUCKET`` of the rarer class, all pairs of a
+bucket count, and each Newton step is one sum over the buckets. The threshold is
+the exact quantile over all labelled rows. ``train`` is the bounded form, on at
+most ``SAMPLE`` documents of each class and ``PAIRS`` pairs. Features and scores
+cover all documents.
 
 Defined cases: a null text is an empty one and gets a score like any other;
 without labels of both classes every score is 0.5; labels that contradict each
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from busline.llm.common import arrow_map, landed
+from busline.operators import ordered as O
 
 SAMPLE = 20_000
 PAIRS = 200_000
+BUCKET = 32
 RIDGE = 1e-3
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 
@@ -137,10 +143,8 @@ def _quantile(good: np.ndarray, bad: np.ndarray, bad_share: float) -> float:
 
 
 def train(featured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality") -> Ranker | None:
-    """Fit on labelled documents that are not held out; None without both classes."""
-    agreed = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("low"), F.max(label).alias("high"))
-    agreed = agreed.filter("low = high").select(key, F.col("low").cast("int").alias("y"))
-    rows = featured.select(key, "__hash", "__x").filter(~held_out(key)).join(agreed, key).select("y", "__hash", "__x")
+    """Fit on a sample of the labelled documents that are not held out; None without both classes."""
+    rows = _labelled(featured, labels, key, label)
     n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
@@ -148,6 +152,87 @@ def train(featured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label:
     return fit_pairs(*picked, bad_share=n[0] / (n[0] + n[1]))
 
 
+def _labelled(featured: DataFrame, labels: DataFrame, key: str, label: str) -> DataFrame:
+    """(y, __hash, __x) of the documents with one label that are not held out."""
+    agreed = labels.filter(F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("low"), F.max(label).alias("high"))
+    agreed = agreed.filter("low = high").select(key, F.col("low").cast("int").alias("y"))
+    return featured.select(key, "__hash", "__x").filter(~held_out(key)).join(agreed, key).select("y", "__hash", "__x")
+
+
+def _matrix(x: pa.Array) -> np.ndarray:
+    return np.asarray(x.flatten(), dtype=float).reshape(len(x), -1)
+
+
+def _total(d: DataFrame, part) -> np.ndarray:
+    """Sum of the vectors ``part(batch)``; each task sends one vector of fixed size."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            v = part(batch)
+            total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["v"])
+
+    return np.sum([r["v"] for r in d.mapInArrow(run, "v array<double>").collect()], axis=0)
+
+
+def _newton_sums(w: np.ndarray, scale: np.ndarray):
+    """Pairs, gradient and Hessian of the buckets of a batch (good, bad) at the weights ``w``."""
+    n = len(w)
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        count, grad, hess = 0, np.zeros(n), np.zeros((n, n))
+        for good, bad in zip(batch.column(0), batch.column(1)):
+            if not len(good) or not len(bad):
+                continue
+            g, b = _matrix(good.values) / scale, _matrix(bad.values) / scale
+            step = max(1, 50_000 // len(b))
+            for at in range(0, len(g), step):
+                d = (g[at : at + step, None] - b[None]).reshape(-1, n)
+                p = 1 / (1 + np.exp(np.clip(d @ w, -50, 50)))  # chance that the pair is ranked wrongly
+                count += len(d)
+                grad += d.T @ p
+                hess += (d * (p * (1 - p))[:, None]).T @ d
+        return np.concatenate([[count], grad, hess.ravel()])
+
+    return part
+
+
+def train_all(featured: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "quality", rounds: int = 25) -> Ranker | None:
+    """Fit on all labelled documents that are not held out; None without both classes. The driver holds sums only."""
+    rows = _labelled(featured, labels, key, label)
+    texts = landed(rows.groupBy("y", "__hash").agg(F.min("__x").alias("__x"), F.count("*").alias("__n")), "quality-labelled")
+    n = {r["y"]: r for r in texts.groupBy("y").agg(F.count("*").alias("texts"), F.sum("__n").alias("rows")).collect()}
+    if len(n) < 2:
+        return None
+    x = texts.select("__x")
+    size = n[0]["texts"] + n[1]["texts"]
+    mean = _total(x, lambda batch: _matrix(batch.column(0)).sum(axis=0)) / size
+    scale = np.sqrt(_total(x, lambda batch: ((_matrix(batch.column(0)) - mean) ** 2).sum(axis=0)) / size)
+    scale = np.where(scale < 1e-9, 1.0, scale)
+    buckets = max(1, min(n[0]["texts"], n[1]["texts"]) // BUCKET)
+    of = lambda y: F.collect_list(F.when(F.col("y") == y, F.col("__x")))
+    pairs = texts.groupBy(F.pmod(F.col("__hash"), F.lit(buckets)).alias("__bucket")).agg(of(1).alias("good"), of(0).alias("bad"))
+    pairs = landed(pairs.select("good", "bad"), "quality-pairs")
+    w = np.zeros(len(mean))
+    for _ in range(rounds):
+        s = _total(pairs, _newton_sums(w, scale))
+        count, grad, hess = max(1.0, s[0]), s[1 : 1 + len(w)], s[1 + len(w) :].reshape(len(w), -1)
+        step = np.linalg.solve(hess / count + RIDGE * np.eye(len(w)), grad / count - RIDGE * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+
+    def raw(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(((_matrix(batch.column(0)) - mean) / scale) @ w, pa.float64()), batch.column(1)], names=["s", "n"])
+
+    scores = texts.select("__x", "__n").mapInArrow(raw, "s double, n long")
+    at = (n[0]["rows"] - 0.5) / (n[0]["rows"] + n[1]["rows"] - 1)  # midway between the ranks that the bad share divides
+    return Ranker(mean, scale, w, O.exact_quantiles(scores, [], "s", {"t": at}, weight=F.col("n")).first()["t"])
+
+
 def score(featured: DataFrame, ranker: Ranker | None, *, keep: list[str], names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Columns ``keep`` with the score, and 1 from 0.5 on, else 0."""
 
@@ -180,4 +265,4 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     """(doc_id, held_out, score, predicted) of every document."""
     featured = landed(with_features(docs.withColumnRenamed(key, "doc_id"), keep=["doc_id"], text=text), "quality-features")
     labels = labels.withColumnRenamed(key, "doc_id")
-    return score(featured.withColumn("held_out", held_out()), train(featured, labels), keep=["doc_id", "held_out"])
+    return score(featured.withColumn("held_out", held_out()), train_all(featured, labels), keep=["doc_id", "held_out"])

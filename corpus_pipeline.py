@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Keep documents with a score of 0.5 and more; scores come from the text alone."""
     labels = read_table(spark, sf_dir, "labels")
     known = landed(quality.with_features(docs, keep=["doc_id"]), "pipeline-features")
-    ranker = quality.train(known, labels)
+    ranker = quality.train_all(known, labels)
     discard(known)
     # features again, rather than the texts written with them
     scored = quality.score_texts(docs, ranker, names=("__score", "__predicted"))

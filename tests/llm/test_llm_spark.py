@@ -369,6 +369,26 @@ def test_near_duplicates_with_repeated_and_null_ids(spark, tmp_path):
     assert len(rest) == 2 and alone[5] in rest
 
 
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """Small buckets and a sample of two do not limit the fit: it nears that on all pairs, and cuts at the bad share of all rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0.7, 1, (300, 3)), rng.normal(-0.7, 1, (100, 3))])
+    order = rng.permutation(400).tolist()
+    data = [(k, int(rng.integers(1 << 40)), x[k].tolist(), k) for k in order]
+    table = spark.createDataFrame(data, "doc_id long, __hash long, __x array<double>, k int")
+    labels = spark.createDataFrame([(k, int(k < 300)) for k in range(400)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "SAMPLE", 2)
+    monkeypatch.setattr(quality, "held_out", lambda key="doc_id": F.lit(False))
+    m = quality.train_all(table, labels)
+    whole = quality.fit_pairs(x[:300], x[300:], 0.25, pairs=200_000)
+    assert np.allclose(m.mean, x.mean(axis=0)) and np.allclose(m.scale, x.std(axis=0))
+    assert np.corrcoef(m.scores(x), whole.scores(x))[0, 1] > 0.99
+    assert (m.scores(x) < 0.5).sum() == 100
+    monkeypatch.setattr(quality, "train", lambda *a, **k: pytest.fail("the bounded fit is used"))
+    docs = spark.createDataFrame(rows_of([prose(random.Random(i), 30) for i in range(6)]), DOCS)
+    assert quality.classify(docs, labels).count() == 6
+
+
 def test_training_samples_take_copies_once(spark, monkeypatch):
     rng = random.Random(9)
     texts = [prose(rng, 40 + i) for i in range(20)] * 30
