@@ -8,6 +8,7 @@ position), so a recomputed task makes the same frames.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -472,9 +473,8 @@ def placebo_twin(pool: DataFrame, seed: int, key="wkey") -> DataFrame:
     d = d.withColumn("_shift", F.when((shift == 0) & (n > 1), 1).otherwise(shift))
     moved = F.transform("_s", lambda e, r: F.struct(e["p"].alias("p"), F.get("_s", ((r + F.col("_shift")) % n).cast("int"))["v"].alias("v")))
     d = d.withColumn("_map", F.map_from_entries(moved))
-    fresh = F.transform(
-        "frames", lambda f, i: f.withField("data1", F.coalesce(F.try_element_at("_map", i.cast("long")), f["data1"]))
-    )
+    swap = lambda f, i: f.withField("data1", F.coalesce(F.try_element_at("_map", i.cast("long")), f["data1"]))
+    fresh = F.transform("frames", lambda f, i: F.when(i.between(F.array_min("positions"), F.array_max("positions")), swap(f, i)).otherwise(f))
     spoof = F.col("y_attack_type").isin(3, 4)
     return d.withColumn("frames", F.when(spoof, fresh).otherwise(F.col("frames"))).drop("_s", "_m", "_shift", "_map")
 
@@ -505,22 +505,31 @@ def _roles(mode, seed, k, frames, r, d: int):
     return [(r * 37) % 256, F.lit(127.5) + 127.5 * F.sin(r * (3 * math.pi / (MASK - 1))), clip(ramp + jit(12, "dj"))]
 
 
-def _apply(frames: Column, mode, seed, k, p: int, d: int, step: Column | int, ident: Column, limit: Column | int = MASK):
+def burst_ranks(step: Column, frames="frames") -> Column:
+    """Rank in the burst of each position of a window, null outside: a slice of a fixed array, as only the start moves."""
+    at = lambda st: F.array(*[F.lit(j // st if j >= 0 and j % st == 0 and j < st * MASK else None).cast("int") for j in range(-WINDOW, WINDOW)])
+    cut = lambda st: F.slice(at(st), (F.lit(WINDOW + 1) - F.col("latent_start")).cast("int"), F.size(frames))
+    return F.when(step == 2, cut(2)).when(step == 3, cut(3))
+
+
+def with_roles(base: DataFrame, mode, seed, k, d: int, n: int = MASK) -> DataFrame:
+    """``_roles``: role values at the first ``n`` burst ranks; ``_wide``: the frames as doubles. Made once for all cells of a base."""
+    values = lambda r: F.array(*[v.cast("double") for v in _roles(mode, seed, k, F.col("frames"), r, d)])
+    wide = F.transform("frames", lambda f: F.struct(*[f[c].cast("double").alias(c) for c in CHANNELS]))
+    ranks = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+    return base.withColumn("_roles", F.transform(ranks, values)).withColumn("_wide", wide)
+
+
+def _apply(mode, p: int, step: Column, ident: Column, limit: int | Column = MASK):
+    """The frames of ``with_roles`` with the burst written in; frames outside it are handed on as they are."""
     cols = PLACES[mode][p]
-    size = F.lit(limit) if isinstance(limit, int) else limit
-    stp = F.lit(step) if isinstance(step, int) else step
 
-    def one(f, i):
-        off = i - F.col("latent_start")
-        hit = (off >= 0) & (off % stp == 0) & (off < stp * size)
-        r = F.floor(off / stp)
-        roles = dict(zip(cols, _roles(mode, seed, k, frames, r, d)))
+    def one(f, r):
+        roles = {c: F.get(F.get("_roles", r), F.lit(j)) for j, c in enumerate(cols)}
         new = {"can_id": ident, "dlc": F.lit(8), **roles, "delta_t": F.greatest(f["delta_t"], F.lit(DT_FLOOR))}
-        return F.struct(*[
-            (F.when(hit, new[c].cast("double")).otherwise(f[c].cast("double")) if c in new else f[c].cast("double")).alias(c) for c in CHANNELS
-        ])
+        return F.when(r < limit, F.struct(*[(new[c].cast("double") if c in new else f[c]).alias(c) for c in CHANNELS])).otherwise(f)
 
-    return F.transform(frames, one)
+    return F.zip_with("_wide", burst_ranks(step, "_wide"), one)
 
 
 def with_latent(base: DataFrame, mode: str, seed: int, key="wkey") -> DataFrame:
@@ -535,67 +544,82 @@ def factorial_windows(base: DataFrame, seed: int, modes=("gear", "rpm"), key="wk
         k = F.concat_ws("|", key, F.lit(mode))
         cells = [(s, st, ident) for s in (0, 1) for st, ident in zip(("canonical", "shifted"), TARGET_IDS[mode])]
         grid = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(st).alias("stratum"), F.lit(i).alias("_id")) for s, st, i in cells])
-        d = d.withColumn("_c", F.explode(grid)).select("*", "_c.*").drop("_c")
         step = F.col("s") + 2
         for p in (0, 1):
             for dyn in (0, 1):
-                w = d.withColumn("p", F.lit(p)).withColumn("d", F.lit(dyn)).withColumn("base_frames", F.col("frames"))
-                parts.append(w.withColumn("frames", _apply(F.col("base_frames"), mode, seed, k, p, dyn, step, F.col("_id"))))
-    return _union(parts).drop("_id")
+                w = with_roles(d, mode, seed, k, dyn).withColumn("_c", F.explode(grid)).select("*", "_c.*").drop("_c")
+                w = w.withColumn("p", F.lit(p)).withColumn("d", F.lit(dyn)).withColumn("base_frames", F.col("frames"))
+                parts.append(w.withColumn("frames", _apply(mode, p, step, F.col("_id"))))
+    return _union(parts).drop("_id", "_roles", "_wide")
 
 
 def factorial_checks(w: DataFrame, key="wkey") -> DataFrame:
     """Per factor: frames compared and frames where a channel outside the factor changed.
 
     Cells of one base and attack differ only in the factor under test, so each
-    is set beside its level-0 partner by one equi join on the remaining cell
-    coordinates and the frame position (spacing: the rank in the burst).
+    is set beside its level-0 partner with the remaining cell coordinates, and
+    their burst frames by position (spacing: by the rank in the burst). One pass
+    and one shuffle: the burst frames of the 16 cells of a base and attack meet in one row.
     """
-    both_frames = F.zip_with("frames", "base_frames", lambda x, y: F.struct(x.alias("frames"), y.alias("base_frames")))
-    numbered = F.transform(both_frames, lambda z, i: F.struct(i.alias("pos"), z.alias("z")))
-    f = w.select(key, "attack", "stratum", "p", "s", "d", "latent_start", F.inline(numbered))
-    off = F.col("pos") - F.col("latent_start")
     step = F.col("s") + 2
-    hit = (off >= 0) & (off % step == 0) & (off < step * MASK)
-    f = f.select("*", hit.alias("hit"), F.floor(off / step).alias("r"))
-    same = lambda a, b, cs: F.forall(F.array(*[(a[c].cast("double") == b[c].cast("double")) for c in cs]), lambda x: x)
-    new, old = F.col("z.frames"), F.col("z.base_frames")
-    outside = f.groupBy("attack").agg(
-        F.count_if(~F.col("hit")).alias("frames"), F.count_if(~F.col("hit") & ~same(new, old, CHANNELS)).alias("violations")
-    ).select("attack", F.lit("untouched").alias("check"), "frames", "violations")
-
-    def pair(col, lo, hi, at, allowed):
-        cell = [c for c in ("stratum", "p", "s", "d") if c != col]
-        side = lambda v, name: f.where((F.col(col) == v) & F.col("hit")).select(key, "attack", *cell, at, new.alias(name))
-        j = side(lo, "a").join(side(hi, "b"), [key, "attack", *cell, at])
-        bad = F.lit(False)
-        for mode in PLACES:
-            for place in (0, 1):
-                frozen = [c for c in CHANNELS if c not in allowed(mode, place)]
-                here = (F.col("attack") == mode) & (F.lit(True) if col == "p" else F.col("p") == place)
-                bad = bad | (here & ~same(F.col("a"), F.col("b"), frozen))
-        return j.groupBy("attack").agg(F.count("*").alias("frames"), F.count_if(bad).alias("violations")).select(
-            "attack", F.lit(col).alias("check"), "frames", "violations")
+    same = lambda a, b, cs: reduce(lambda x, y: x & y, [a[c].cast("double") == b[c].cast("double") for c in cs])
+    wide = f"array<struct<{', '.join(f'{c}: double' for c in CHANNELS)}>>"
+    narrow = F.transform(F.col("base_frames"), lambda f: F.struct(*[f[c].alias(c) for c in CHANNELS])).cast(wide)
+    w = w.withColumn("_base", narrow).withColumn("_new", F.col("frames").cast(wide))
+    w = w.withColumn("_rank", burst_ranks(step))
+    w = w.withColumn("_out", F.filter(F.arrays_zip("_new", "_base", "_rank"), lambda z: z["_rank"].isNull()))
+    changed = F.size(F.filter("_out", lambda z: ~same(z["_new"], z["_base"], CHANNELS)))  # counted only where the arrays differ
+    w = w.withColumn("_changed", F.when(F.col("_out._new") == F.col("_out._base"), 0).otherwise(changed).cast("long"))
+
+    cell = ["stratum", "p", "s", "d"]
+    burst = F.transform(F.sequence(F.lit(0), F.lit(MASK - 1)), lambda r: F.get("_new", (F.col("latent_start") + r * step).cast("int")))
+    g = w.groupBy(key, "attack").agg(
+        F.collect_list(F.struct(*cell, "latent_start", burst.alias("burst"))).alias("_cells"),
+        F.sum(F.size("_out").cast("long")).alias("frames"), F.sum("_changed").alias("violations"))
+
+    def partners(col, lo, hi):
+        rest = [c for c in cell if c != col]
+        fits = lambda a: lambda b: reduce(lambda u, v: u & v, [b[col] == hi, *[b[c] == a[c] for c in rest]])
+        entry = lambda a: lambda b: F.struct(F.lit(col).alias("check"), a.alias("a"), b.alias("b"))
+        return F.flatten(F.transform(F.filter("_cells", lambda a: a[col] == lo), lambda a: F.transform(F.filter("_cells", fits(a)), entry(a))))
 
     both = lambda m, place: {*PLACES[m][0], *PLACES[m][1]}
     roles = lambda m, place: set(PLACES[m][place])
     spaced = lambda m, place: {c for c in CHANNELS if c not in ("can_id", "dlc", *PLACES[m][place])}
-    checks = [
-        outside,
-        pair("stratum", "canonical", "shifted", "pos", lambda m, place: {"can_id"}),
-        pair("p", 0, 1, "pos", both),
-        pair("d", 0, 1, "pos", roles),
-        pair("s", 0, 1, "r", spaced),
-    ]
-    return _union(checks)
+    free = {"stratum": lambda m, place: {"can_id"}, "p": both, "d": roles, "s": spaced}
+    kinds = [(check, m, place) for check in free for m in PLACES for place in (0, 1)]
+
+    def frozen(holds):
+        """Whether ``holds`` is true of the channels that the check, attack and place leave alone."""
+        out = F.lit(True)
+        for check, m, place in kinds:
+            here = (F.col("check") == check) & (F.col("attack") == m) & (F.col("a.p") == place)
+            out = F.when(here, holds([c for c in CHANNELS if c not in free[check](m, place)])).otherwise(out)
+        return out
+
+    first = F.get("_cells", F.lit(0))
+    pairs = g.select("attack", "frames", "violations", F.inline(F.concat(
+        F.array(F.struct(F.lit("untouched").alias("check"), first.alias("a"), first.alias("b"))),
+        partners("stratum", "canonical", "shifted"), partners("p", 0, 1), partners("d", 0, 1), partners("s", 0, 1))))
+    gap, stride = F.col("a.latent_start") - F.col("b.latent_start"), F.col("a.s") + 2
+    shift = F.when(F.col("check") == "s", F.lit(0)).when(gap % stride == 0, F.floor(gap / stride))
+    d = pairs.select("*", shift.alias("_shift"), *[(F.col(f"a.burst.{c}") == F.col(f"b.burst.{c}")).alias(f"_eq_{c}") for c in CHANNELS])
+    whole = (F.col("_shift") == 0) & F.get("a.burst", F.lit(MASK - 1)).isNotNull() & F.get("b.burst", F.lit(MASK - 1)).isNotNull()
+    clean = whole & frozen(lambda cs: reduce(lambda x, y: x & y, [F.col(f"_eq_{c}") for c in cs]))
+    beside = F.transform("a.burst", lambda x, r: F.struct(x.alias("x"), F.get("b.burst", (r + F.col("_shift")).cast("int")).alias("y")))
+    met = F.filter(beside, lambda z: z["x"].isNotNull() & z["y"].isNotNull())
+    bad = F.size(F.filter(met, lambda z: ~frozen(lambda cs: same(z["x"], z["y"], cs))))
+    base = F.col("check") == "untouched"
+    return d.groupBy("attack", "check").agg(
+        F.sum(F.when(base, F.col("frames")).when(clean, MASK).otherwise(F.size(met))).alias("frames"),
+        F.sum(F.when(base, F.col("violations")).when(clean, 0).otherwise(bad)).alias("violations"))
 
 
 def sparse_windows(base: DataFrame, ks: tuple[int, ...], seed: int, mode: str, key="wkey") -> DataFrame:
     """Only the first k burst frames are injected, once with the relation intact and once broken."""
-    d = with_latent(base, mode, seed, key)
+    d = with_roles(with_latent(base, mode, seed, key), mode, seed, F.concat_ws("|", key, F.lit(mode)), 0, max(ks))
     d = d.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
-    kk = F.concat_ws("|", key, F.lit(mode))
-    d = d.withColumn("frames", _apply(F.col("frames"), mode, seed, kk, 0, 0, 2, F.lit(TARGET_IDS[mode][0]), F.col("k")))
+    d = d.withColumn("frames", _apply(mode, 0, F.lit(2), F.lit(TARGET_IDS[mode][0]), F.col("k"))).drop("_roles", "_wide")
     d = d.select("*", F.col("latent_start").alias("burst_start"), (F.col("k") * 2 - 1).alias("burst_len"), F.lit(2).alias("burst_step"))
     d = with_positions(d).withColumn("y_attack_type", F.lit(3 if mode == "gear" else 4)).withColumn("y_binary", F.lit(1))
     twin = placebo_twin(d, seed, key)

@@ -235,14 +235,15 @@ def h13(t: Tables):
 
 
 def factorial(t: Tables):
-    return t.stored("factorial", lambda: A.factorial_windows(normals(t).select("wkey", "frames"), SEED))
+    return A.factorial_windows(normals(t).select("wkey", "frames"), SEED)  # made as it is read: 32 windows a base cost more to write than to make
 
 
 @query("h14_factorial_windows")
 def h14(t: Tables):
     w = factorial(t)
-    f = A.explode_frames(w, ["attack", "stratum", "p", "s", "d"])
-    return f.groupBy("attack", "stratum", "p", "s", "d").agg(F.count("*").alias("frames"), F.round(F.avg("data0"), 4).alias("data0"), F.round(F.avg("data7"), 4).alias("data7"))
+    cell = ["attack", "stratum", "p", "s", "d"]
+    f = w.select(*cell, F.inline(F.arrays_zip("frames.data0", "frames.data7")))
+    return f.groupBy(*cell).agg(F.count("*").alias("frames"), F.round(F.avg("data0"), 4).alias("data0"), F.round(F.avg("data7"), 4).alias("data7"))
 
 
 @query("h15_factorial_checks", """

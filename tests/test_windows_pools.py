@@ -334,3 +334,43 @@ def test_target_pool_quotas(spark):
     assert {r["count"] for r in short} == {75}
     with pytest.raises(ValueError, match="no normal windows"):
         A.target_pool(n.limit(0), 100, 3)
+
+
+def _bases(spark, n=6):
+    one = lambda w, i: {c: float((w * 7 + i * 3 + j) % 200) for j, c in enumerate(CHANNELS)}
+    kind = "wkey string, frames array<struct<" + ", ".join(f"{c}: double" for c in CHANNELS) + ">>"
+    return spark.createDataFrame([(f"w{w}", [one(w, i) for i in range(A.WINDOW)]) for w in range(n)], kind)
+
+
+def test_factorial_checks_count_planted_changes_in_one_shuffle(spark):
+    """Clean cells have no violation; one changed byte in and one out of a burst are found; frames are not joined."""
+    w = A.factorial_windows(_bases(spark), 5)
+    want = {("untouched", 6 * 16 * 96), ("stratum", 6 * 8 * 32), ("p", 6 * 8 * 32), ("d", 6 * 8 * 32), ("s", 6 * 8 * 32)}
+    got = A.factorial_checks(w).collect()
+    assert {(r["attack"], r["check"], r["frames"]) for r in got} == {(m, *x) for m in ("gear", "rpm") for x in want}
+    assert not sum(r["violations"] for r in got)
+
+    cell = (F.col("wkey") == "w1") & (F.col("attack") == "gear") & (F.col("stratum") == "shifted") & (F.col("p") == 1) & (F.col("s") == 1) & (F.col("d") == 0)
+    hurt = lambda at: F.transform("frames", lambda f, i: F.when(i == at, f.withField("data3", f["data3"] + 1)).otherwise(f))
+    at = F.col("latent_start").cast("int")
+    inside = A.factorial_checks(w.withColumn("frames", F.when(cell, hurt(at + 6)).otherwise(F.col("frames")))).where("violations > 0").collect()
+    assert {(r["attack"], r["check"], r["violations"]) for r in inside} == {("gear", c, 1) for c in ("stratum", "p", "d")}
+    outside = A.factorial_checks(w.withColumn("frames", F.when(cell, hurt(at + 1)).otherwise(F.col("frames")))).where("violations > 0").collect()
+    assert [(r["attack"], r["check"], r["violations"]) for r in outside] == [("gear", "untouched", 1)]
+    plan = A.factorial_checks(w)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_burst_values_are_drawn_once_for_all_cells(spark):
+    """Draws lie below the row generator that deals a base out to its cells, not above it."""
+    for made in (A.factorial_windows(_bases(spark), 5), A.sparse_windows(_bases(spark), (2, 32), 5, "gear").where("relation = 'intact'")):
+        lines = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth, above = None, []
+        for line in lines:
+            indent = len(line) - len(line.lstrip(" :+-"))
+            if "Generate " in line:
+                depth = indent
+            elif depth is None or indent <= depth:
+                depth = None
+                above.append(line)
+        assert len(above) < len(lines) and not any("md5(" in line for line in above)
