@@ -112,7 +112,8 @@ def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=3
 
     def grow(k: int, seed: int):
         rf = RandomForestClassifier(
-            featuresCol="_x", labelCol=label, weightCol="weight", numTrees=k, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf)
+            featuresCol="_x", labelCol=label, weightCol="weight", numTrees=k, maxDepth=depth, seed=seed, subsamplingRate=1.0, minInstancesPerNode=leaf,
+            featureSubsetStrategy="sqrt")  # "auto" would give a batch of one tree all features
         return rf.fit(dealt)
 
     if trees * (n // leaf) <= FOREST_NODES:  # half the nodes that so many leaves allow, which real trees do not reach

@@ -158,3 +158,14 @@ def test_synthetic_quality_row(spark):
     assert r.real_delta_t_mean == pytest.approx(a.delta_t.mean()) and r.synthetic_delta_t_mean == pytest.approx(b.delta_t.mean())
     means = [(a[a.can_id == i].delta_t.mean(), b[b.can_id == i].delta_t.mean()) for i in (5, 9)]
     assert r.periodicity_mae == pytest.approx(np.mean([abs(x - y) for x, y in means])) and r.real_vs_synthetic_auc == 0.75
+
+
+def test_batch_of_one_tree_draws_features(spark, monkeypatch):
+    """A tree that grows alone looks at a draw of the features like any other: not each root is the one feature that separates."""
+    y = (F.col("id") % 2).cast("int")
+    d = spark.range(400).select(y.alias("y"), (y * 10 + F.rand(1)).alias("f0"), *[F.rand(i + 2).alias(f"f{i}") for i in range(1, 16)]).cache()
+    monkeypatch.setattr(DE, "FOREST_NODES", 1)
+    seen, real = [], DE.RandomForestClassifier.fit
+    monkeypatch.setattr(DE.RandomForestClassifier, "fit", lambda self, t: (seen.append(real(self, t)), seen[-1])[1])
+    DE.fit_forest(d, [f"f{i}" for i in range(16)], "y", trees=8)
+    assert [m.getNumTrees for m in seen] == [1] * 8 and max(m.totalNumNodes for m in seen) > 3
