@@ -39,7 +39,7 @@ from busline.llm.common import open_fs, scratch_dir, slices
 BUCKET_KEYS = 16_384  # keys of a bucket, in the mean
 LOAD = 1.6  # bits per key on each level of the hash
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
 
 class UnitEncoder:
@@ -57,9 +57,10 @@ class UnitEncoder:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.type = np.dtype(f"<u{width}")
-        self.size = np.zeros(self.lib.get_vocab_size(), np.int64)  # bytes of each token; a character stands for one
+        # tokens that begin with a blank or a line feed, in the printable stand-ins of the vocabulary
+        self.blank, self.line = np.zeros((2, self.lib.get_vocab_size()), bool)
         for token, i in self.lib.get_vocab().items():
-            self.size[i] = len(token)
+            self.blank[i], self.line[i] = token[0] == "\u0120", token[0] == "\u010a"
         self.cache = cache
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -67,27 +68,35 @@ class UnitEncoder:
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of new units. Those with a blank before them are asked for in rows, and told apart by the bytes of their tokens."""
-        rows = [u for u in units if u[0] == " " and len(u) > 1 and not u.isspace()]
-        rest = [u for u in units if not (u[0] == " " and len(u) > 1 and not u.isspace())]
-        out = dict(zip(rest, self._bytes(rest)))
-        groups = [rows[i : i + 256] for i in range(0, len(rows), 256)]
-        for us, e in zip(groups, self.lib.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False)):
+    def _rows(self, units: list[str], glue: str, begins: np.ndarray, skip: int) -> dict[str, bytes]:
+        """Ids of units, asked for in rows with ``glue`` before each. The ids of one go from a token of ``begins`` to the next, less the first ``skip``.
+
+        A token over the border of two units would be one beginning less; then each unit of the row is asked for alone.
+        """
+        out, width = {}, self.type.itemsize
+        groups = [units[i : i + 256] for i in range(0, len(units), 256)]
+        for us, e in zip(groups, self.lib.encode_batch_fast([glue + glue.join(g) for g in groups], add_special_tokens=False)):
             ids = np.array(e.ids, self.type)
-            ends, cuts = np.cumsum(self.size[ids]), np.cumsum([len(u.encode()) for u in us])
-            last = np.searchsorted(ends, cuts)
-            if not np.array_equal(ends[last], cuts):
+            at = np.flatnonzero(begins[ids])
+            if len(at) != len(us):
                 out.update(zip(us, self._bytes(us)))
                 continue
-            raw, width, at = ids.tobytes(), self.type.itemsize, 0
-            for u, b in zip(us, ((last + 1) * width).tolist()):
-                out[u] = raw[at:b]
-                at = b
+            raw = ids.tobytes()
+            ends = [*(at[1:] * width).tolist(), len(raw)]
+            out.update(zip(us, map(raw.__getitem__, map(slice, ((at + skip) * width).tolist(), ends))))
+        return out
+
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units. Words are told apart by the blank before them, or by a line feed put there."""
+        rest = [u for u in units if u.isspace()]
+        words = [u for u in units if not u.isspace()]
+        out = dict(zip(rest, self._bytes(rest)))
+        out.update(self._rows([u for u in words if u[0] == " "], "", self.blank, 0))
+        out.update(self._rows([u for u in words if u[0] != " "], "\n", self.line, 1))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(o in t for o in _ODD)]
         units = [_UNIT.findall(t) for t in texts]
         for i in whole:
             units[i] = []

@@ -68,6 +68,24 @@ def test_unit_encoder_equals_library():
         assert own.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
+def test_unit_encoder_asks_in_rows():
+    """Words without a blank before them go to the library in rows too, and no other text of the row gets into their ids."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("byte_bpe_50k.json")
+    own, lib = token_store.UnitEncoder(path, 2), tokenizers.Tokenizer.from_file(path)
+    asked = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **k):
+            asked.extend(texts)
+            return lib.encode_batch_fast(texts, **k)
+
+    own.lib = Counted()
+    texts = ["\n".join(f"w{i}'s, {i} \u00e9{i}" for i in range(k, k + 50)) for k in range(0, 500, 50)]
+    assert own.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert len(asked) < 20  # 1,500 units, 500 of them without a blank
+
+
 def test_minimal_perfect_hash():
     for n in (0, 1, 2, 500, 5000):
         h = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
