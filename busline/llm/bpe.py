@@ -109,6 +109,7 @@ class WordBpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cache_size = cache
         self._words: dict[str, tuple[int, ...]] = {}
+        self._older_words: dict[str, tuple[int, ...]] = {}
         self._chunks, self._older = {}, {}
 
     def _symbols(self, token: str) -> str:
@@ -119,47 +120,58 @@ class WordBpe:
 
     def encode_symbols(self, s: str) -> list[int]:
         """Ids of one word: fill in the last token of each prefix, then walk back."""
-        fits, known, last, width, found = self.table.neighbours, self.table.known, [-1] * (len(s) + 1), [0] * (len(s) + 1), -1
+        fits, known, last, width, found = self.table.neighbours, self.table.known.get, [-1] * (len(s) + 1), [0] * (len(s) + 1), -1
         for at, (token, n) in self.automaton.iter(s):
             if at == found:
                 continue
             if n <= at:
                 before = last[at + 1 - n]
-                if before < 0 or not (known[before, token] if (before, token) in known else fits(before, token)):
+                if before < 0:
+                    continue
+                ok = known((before, token))
+                if not (fits(before, token) if ok is None else ok):
                     continue
             last[at + 1], width[at + 1], found = token, n, at
-        out, end = [], len(s)
+        out, end, ids = [], len(s), self.ids
         while end:
-            out.append(self.ids[last[end]])
+            out.append(ids[last[end]])
             end -= width[end]
         out.reverse()
         return out
 
     def _word(self, piece: str) -> tuple[int, ...]:
+        """Ids of a word; short ones are kept in two generations of bounded size."""
         ids = self._words.get(piece)
         if ids is None:
-            s = piece.encode().decode("latin-1")
-            ids = tuple(self.encode_symbols(s[:-1] + chr(ord(s[-1]) + 256) if self.end else s))
+            ids = self._older_words.get(piece)
+            if ids is None:
+                s = piece if piece.isascii() else piece.encode().decode("latin-1")
+                ids = tuple(self.encode_symbols(s[:-1] + chr(ord(s[-1]) + 256) if self.end else s))
             if len(piece) <= 32:
-                if len(self._words) >= self.cache_size // 2:
-                    self._words.clear()
+                if len(self._words) >= self.cache_size:
+                    self._words, self._older_words = {}, self._words
                 self._words[piece] = ids
         return ids
 
     def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a run without white space; short ones are kept in two generations of bounded size."""
+        """Ids of a run without white space; the most frequent ones are kept, a quarter as many as words."""
         ids = self._older.get(chunk)
         if ids is None:
             ids = self._encode_chunk(chunk)
         if len(chunk) <= 32:
-            if len(self._chunks) >= self.cache_size:
+            if len(self._chunks) >= self.cache_size // 4:
                 self._chunks, self._older = {}, self._chunks
             self._chunks[chunk] = ids
         return ids
 
     def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        s = unicodedata.normalize("NFC", chunk)
-        s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
+        if chunk.isascii():
+            s = chunk.lower()
+            if s.isalpha():  # one piece
+                return self._word(s)
+        else:
+            s = unicodedata.normalize("NFC", chunk)
+            s = s.lower() if "Σ" not in s else "".join(c.lower() for c in s)
         return tuple(i for piece in self.pieces.findall(s) for i in self._word(piece))
 
     def _plain(self, text: str, out: list[int]) -> None:
@@ -185,7 +197,7 @@ class WordBpe:
     def forget(self) -> None:
         """Empty the caches; the vocabulary and its automaton stay."""
         self.table.known.clear()
-        self._words.clear()
+        self._words, self._older_words = {}, {}
         self._chunks, self._older = {}, {}
 
     def decode(self, ids: list[int]) -> str:

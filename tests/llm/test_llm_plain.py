@@ -59,6 +59,16 @@ def test_bpe_equals_library():
     assert own.encode(None) == []
 
 
+def test_word_ids_are_kept_across_punctuation_and_turnover():
+    """A word in ever new mixtures of case and punctuation is encoded once, also after more other words than one generation holds."""
+    own = WordBpe(vocabulary("word_bpe_49k.json"), cache=40)
+    asked, real = [], own.encode_symbols
+    own.encode_symbols = lambda s: (asked.append(s), real(s))[1]
+    for i in range(100):
+        own.encode(f"erheiten{'!' * (i % 30)} Erheiten{'?' * (i % 30)} {'xyzq'[i % 4] * (2 + i // 4)}")
+    assert sum(s.startswith("erheite") for s in asked) == 1
+
+
 def test_unit_encoder_equals_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = vocabulary("byte_bpe_50k.json")
