@@ -4,8 +4,10 @@ Two sets of n and m shingles link if they share T = ceil(9 (n + m) / 19). So,
 with tokens in one common order, they share one of the first n - ceil(0.9 n) + 1
 of either. The order puts tokens with long inverted lists last: long lists are
 told by a fixed number of counters over all documents. Records that share such
-a token are candidates if their sizes, and the parities of their hashed tokens,
-allow T common tokens; both tests lose no link.
+a token are candidates if their sizes, the places of the token in their orders,
+and the parities of their hashed tokens allow T common tokens; these tests lose no
+link. Sizes and places travel with each prefix token, parities only with tokens
+that pass for some pair by them.
 
 A candidate list is then searched with DivideSkip: the long lists among the
 query's tokens are set aside, the short ones are merged with a heap, and records
@@ -37,6 +39,7 @@ from pyspark.sql import functions as F
 
 from busline.llm.common import arrow_map, discard, landed
 from busline.llm.components import components
+from busline.llm.decontaminate import _bits, seed_filter
 from busline.llm.hashing import sequences, word_hashes
 
 WORDS = 3
@@ -45,6 +48,7 @@ COUNTERS = 1 << 20  # of token hashes; a bit of each is sent to every task
 SLICES = 64
 PARITY = 256  # bits of the parity test for up to four times as many tokens; eight times as many for each eightfold size
 BLOCK = 4096  # records compared in one go for one token
+NEIGHBOURS = 16  # rows by size of which one must fit before parities are fetched
 
 
 def least_overlap(n, m):
@@ -132,13 +136,23 @@ def fold(parity: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(parity)
 
 
-def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, label: np.ndarray):
-    """(x, y, apart) of pairs of a block with different labels that pass the size and parity tests; across sides if it has two.
+def may_link(n, pos, m, other):
+    """Can sets of n <= m tokens link whose common prefix token has the places ``pos`` and ``other`` in their orders?
 
-    ``apart`` is the parity difference per mille of the two sizes.
+    The first common token of linked sets has all T in and after it.
+    """
+    need = least_overlap(n, m)
+    return (pos + need <= n) & (other + need <= m)
+
+
+def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.ndarray, label: np.ndarray, pos: np.ndarray | None = None):
+    """(x, y, apart) of pairs of a block with different labels that pass the size, place and parity tests; across sides if it has two.
+
+    ``apart`` is the parity difference per mille of the two sizes. Places count from 0.
     """
     order = np.argsort(n, kind="stable")
-    ids, n, side, label = ids[order], n[order], side[order], label[order]
+    pos = np.zeros(len(n), np.int64) if pos is None else pos[order].astype(np.int64)
+    ids, n, side, label = ids[order], n[order].astype(np.int64), side[order], label[order]
     width = np.array([len(parity[i]) for i in order])
     first = {w: int(np.argmax(width == w)) for w in set(width.tolist())}  # rows of a width follow each other
     bits = {w: np.frombuffer(b"".join(parity[i] for i in order if len(parity[i]) == w), np.uint8).reshape(-1, w) for w in first}
@@ -153,6 +167,8 @@ def _run_pairs(ids: np.ndarray, n: np.ndarray, parity: list[bytes], side: np.nda
             ok &= side[rows][:, None] != side[other]
         i, j = np.nonzero(ok)
         i, j = rows[i], other[j]
+        fit = may_link(n[i], pos[i], n[j], pos[j])
+        i, j = i[fit], j[fit]
         for v, w in set(zip(width[i].tolist(), width[j].tolist())):
             chosen = np.flatnonzero((width[i] == v) & (width[j] == w))
             for c in range(0, len(chosen), max(1, (1 << 23) // w)):
@@ -181,18 +197,46 @@ def _runs(batches, keys: list[str]):
         yield kept, np.array([0, len(kept)])
 
 
+def _partners(heads: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Has a row another one in its run that it may link with? Rows of a run rise by ``n``.
+
+    Only the next ``NEIGHBOURS`` rows are looked at; a run in which more have fitting sizes counts as a whole.
+    """
+    run = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+    out, left = np.zeros(len(n), bool), np.arange(len(n))
+    for step in range(1, NEIGHBOURS + 2):
+        left = left[left + step < len(n)]
+        left = left[(run[left] == run[left + step]) & (SHARE[1] * n[left] >= SHARE[0] * n[left + step])]
+        if step <= NEIGHBOURS:
+            fit = left[may_link(n[left], pos[left], n[left + step], pos[left + step])]
+            out[fit] = out[fit + step] = True
+    whole = np.zeros(len(heads), bool)
+    whole[run[left]] = True
+    return out | whole[run]
+
+
 def shared_tokens(reps: DataFrame) -> DataFrame:
-    """(token, id, late) of prefix tokens that more than one record has."""
-    flat = reps.select("id", "n_short", F.posexplode("prefix").alias("pos", "token")).select("token", "id", (F.col("pos") >= F.col("n_short")).alias("late"))
+    """(token, id, n, pos, late) of prefix tokens, for records that may link with another one that has the token."""
+    place = F.shiftleft(F.col("n"), 32) + F.shiftleft(F.col("pos").cast("long"), 1) + (F.col("pos") >= F.col("n_short")).cast("long")  # one number shuffles in fewer bytes
+    flat = reps.select("id", "n", "n_short", F.posexplode("prefix").alias("pos", "token")).select("token", "id", place.alias("place"))
 
     def run(batches):
         for t, heads in _runs(batches, ["token"]):
             size = np.diff(heads)
             many = np.flatnonzero(np.repeat(size > 1, size))
-            if len(many):
-                yield from t.take(pa.array(many)).combine_chunks().to_batches()
+            if not len(many):
+                continue
+            token, place = (np.asarray(t.column(c))[many] for c in ("token", "place"))
+            order = np.lexsort((place, token))  # by size in a token
+            many, place = many[order], place[order]
+            n, pos = place >> 32, (place & (1 << 32) - 1) >> 1
+            chosen = np.flatnonzero(_partners(np.concatenate([[0], np.cumsum(size[size > 1])]), n, pos))
+            if len(chosen):
+                found = t.select(["token", "id"]).take(pa.array(many[chosen]))
+                cols = [pa.array(n[chosen], pa.int32()), pa.array(pos[chosen], pa.int32()), pa.array((place[chosen] & 1).astype(bool))]
+                yield from pa.table([*found.columns, *cols], names=["token", "id", "n", "pos", "late"]).combine_chunks().to_batches()
 
-    return flat.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, late boolean")
+    return flat.repartition("token").sortWithinPartitions("token").mapInArrow(run, "token long, id long, n int, pos int, late boolean")
 
 
 def _nearest(pairs: np.ndarray) -> np.ndarray:
@@ -215,9 +259,9 @@ def candidates(shared: DataFrame, large: DataFrame, reps: DataFrame, labels: Dat
     """
     dealt = shared.join(large, "token", "left").withColumn("own", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), "blocks").cast("int")))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id")
-    rows = reps.select("id", F.col("n").cast("int").alias("n"), "parity")
-    names = ["token", "p", "q", "side", "id", "n", "parity"]
+    dealt = dealt.select("token", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).alias("side"), "id", "n", "pos")
+    rows = reps.select("id", "parity")
+    names = ["token", "p", "q", "side", "id", "n", "pos", "parity"]
     if labels is not None:
         names.append("label")
         rows = rows.join(labels.select(F.col("node").alias("id"), "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
@@ -226,11 +270,11 @@ def candidates(shared: DataFrame, large: DataFrame, reps: DataFrame, labels: Dat
 
     def run(batches):
         for t, heads in _runs(batches, ["token", "p", "q"]):
-            ids, n, side, label = np.asarray(t.column("id")), np.asarray(t.column("n")), np.asarray(t.column("side").to_pylist(), bool), np.asarray(t.column("id" if nearest else "label"))
+            ids, n, pos, side, label = *(np.asarray(t.column(c)) for c in ("id", "n", "pos")), np.asarray(t.column("side").to_pylist(), bool), np.asarray(t.column("id" if nearest else "label"))
             token, parity, found, more = np.asarray(t.column("token")), t.column("parity"), [], []
             for a, b in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 if b - a > 1 and (label[a:b] != label[a]).any():
-                    own = [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b], label[a:b])]
+                    own = [np.stack(p, axis=1) for p in _run_pairs(ids[a:b], n[a:b], parity.slice(a, b - a).to_pylist(), side[a:b], label[a:b], pos[a:b])]
                     own = np.concatenate(own) if own else np.zeros((0, 3), np.int64)
                     found.append(_nearest(own) if nearest and len(own) else own)
                     if len(found[-1]) < len(own):
@@ -314,6 +358,20 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` (a, b, ...) that ``wanted`` (a, b) may have, told by a Bloom filter of fixed size, so that the join need not shuffle all texts."""
+    h = F.xxhash64("a", "b")
+    shared = texts.sparkSession.sparkContext.broadcast(seed_filter(wanted.select(h.alias("h"))))
+
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        table = shared.value
+        one, two = _bits(np.asarray(h).view(np.uint64))
+        return pa.array(((table[one >> 3] << (one & 7).astype(np.uint8)) & (table[two >> 3] << (two & 7).astype(np.uint8)) & 128) > 0)
+
+    return texts.filter(known(h))
+
+
 def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, component) of every row; ``component`` tells components apart where ids repeat or are null."""
     found = landed(records(docs, long_lists(docs, text), key=key, text=text), "ngram-records")
@@ -329,7 +387,7 @@ def linked(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     needed = near.select(F.col("x").alias("id")).unionByName(near.select(F.col("y").alias("id"))).distinct()
     wanted = landed(reps.select("id", "rep").join(needed, "id").select("id", F.xxhash64("rep.doc_id").alias("a"), F.col("rep.text_hash").alias("b")), "ngram-wanted")
     texts = docs.select(F.xxhash64(key).alias("a"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("b"), F.col(text).alias("__text"))
-    chosen = wanted.join(texts, ["a", "b"]).select("id", "__text")
+    chosen = wanted.join(likely(texts, wanted), ["a", "b"]).select("id", "__text")
 
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], names=["id", "tokens"])

@@ -226,6 +226,34 @@ def test_block_tests_lose_no_pair():
         assert not link or (i, j) in found
 
 
+def test_rows_without_a_partner_are_left_out_and_no_link_is_lost():
+    rng = np.random.default_rng(11)
+    base = np.unique(rng.integers(0, 1 << 63, 150, dtype=np.uint64))
+    sets = []
+    for _ in range(80):  # near copies, other texts that share a few tokens, and sizes that fit none
+        s = base[: rng.integers(100, 150)].copy() if rng.random() < 0.5 else np.append(base[rng.integers(0, 150, 3)], rng.integers(0, 1 << 63, rng.integers(3, 400), dtype=np.uint64))
+        s[rng.integers(0, len(s), 5)] = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
+        sets.append(np.unique(s))
+    rows = sorted((int(t), len(s), pos, i) for i, s in enumerate(sets) for pos, t in enumerate(s[: len(s) - -(-9 * len(s) // 10) + 1]))
+    token, n, pos, owner = np.array(rows, dtype=object).T
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    heads = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
+    kept = ngram_join._partners(heads, n, pos)
+    meet = set()
+    for a, b in zip(heads[:-1], heads[1:]):
+        for i, j in itertools.combinations(range(a, b), 2):
+            if kept[i] and kept[j] and ngram_join.may_link(n[i], pos[i], n[j], pos[j]):
+                meet.add(frozenset((owner[i], owner[j])))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * common >= 90 * (len(sets[i]) + len(sets[j]) - common):
+            assert frozenset((i, j)) in meet
+    several = np.repeat(np.diff(heads) > 1, np.diff(heads))
+    assert not kept[~several].any() and 0 < kept.sum() < 0.9 * several.sum()
+    far = ngram_join._partners(np.array([0, 3, 5]), np.array([10, 100, 105, 95, 95]), np.array([0, 0, 9, 3, 7]))
+    assert far.tolist() == [False, False, False, False, False]
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(10)
     for n in (0, 5, 1024, 1025, 40_000):

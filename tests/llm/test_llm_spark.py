@@ -219,6 +219,14 @@ def test_ngram_join_equals_brute_force(spark, docs, empty):
     assert ngram_join.linked(empty).count() == 0
 
 
+def test_texts_of_records_without_candidates_are_not_shuffled(spark):
+    texts = spark.range(4000).selectExpr("id as a", "id * 7 as b", "'text' as __text")
+    wanted = texts.filter("a % 100 = 3").select("a", "b")
+    sent = {r["a"] for r in ngram_join.likely(texts, wanted).collect()}
+    assert {r["a"] for r in wanted.collect()} <= sent and len(sent) < 50
+    assert ngram_join.likely(texts, wanted.filter("a < 0")).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
