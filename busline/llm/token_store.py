@@ -40,6 +40,9 @@ BUCKET_KEYS = 16_384  # keys of a bucket, in the mean
 LOAD = 1.6  # bits per key on each level of the hash
 _UNIT = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: White space that is more than a blank or up to two line feeds between words.
+_BREAKS = ("  ", " \n", "\n ", "\n\n\n", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class UnitEncoder:
@@ -49,7 +52,7 @@ class UnitEncoder:
     kept. Texts with control separators or special tokens go through whole.
     """
 
-    def __init__(self, path: str, width: int, cache: int = 150_000):
+    def __init__(self, path: str, width: int, cache: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -61,15 +64,19 @@ class UnitEncoder:
         self.blank, self.line = np.zeros((2, self.lib.get_vocab_size()), bool)
         for token, i in self.lib.get_vocab().items():
             self.blank[i], self.line[i] = token[0] == "\u0120", token[0] == "\u010a"
+        # does the vocabulary never join letters and signs after them? They are two pieces then
+        self.apart = self.lib.pre_tokenizer is not None and len(self.lib.pre_tokenizer.pre_tokenize_str(f" ab\u00e9{_SIGNS}")) == 2
         self.cache = cache
+        self.signs: dict[str, bytes] = {}
+        self.long: list[str] = []
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _bytes(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _rows(self, units: list[str], glue: str, begins: np.ndarray, skip: int) -> dict[str, bytes]:
-        """Ids of units, asked for in rows with ``glue`` before each. The ids of one go from a token of ``begins`` to the next, less the first ``skip``.
+    def _rows(self, units: list[str], glue: str, begins: np.ndarray) -> dict[str, bytes]:
+        """Ids of units with ``glue`` before each, asked for in rows. The ids of one go from a token of ``begins`` to the next.
 
         A token over the border of two units would be one beginning less; then each unit of the row is asked for alone.
         """
@@ -79,38 +86,80 @@ class UnitEncoder:
             ids = np.array(e.ids, self.type)
             at = np.flatnonzero(begins[ids])
             if len(at) != len(us):
-                out.update(zip(us, self._bytes(us)))
+                out.update(zip(us, self._bytes([glue + u for u in us])))
                 continue
             raw = ids.tobytes()
             ends = [*(at[1:] * width).tolist(), len(raw)]
-            out.update(zip(us, map(raw.__getitem__, map(slice, ((at + skip) * width).tolist(), ends))))
+            out.update(zip(us, map(raw.__getitem__, map(slice, (at * width).tolist(), ends))))
         return out
 
     def _units(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of new units. Words are told apart by the blank before them, or by a line feed put there."""
-        rest = [u for u in units if u.isspace()]
-        words = [u for u in units if not u.isspace()]
-        out = dict(zip(rest, self._bytes(rest)))
-        out.update(self._rows([u for u in words if u[0] == " "], "", self.blank, 0))
-        out.update(self._rows([u for u in words if u[0] != " "], "\n", self.line, 1))
+        """Ids of new units, see ``_cut``. Words are told apart by the blank or the line feed before them."""
+        rest = [u for u in units if not u or u.isspace()]
+        words = [u for u in units if u and not u.isspace()]
+        out = dict(zip(rest, self._bytes([u or " " for u in rest])))
+        out.update(self._rows([u for u in words if u[0] != "\n"], " ", self.blank))
+        out.update(self._rows([u for u in words if u[0] == "\n"], "", self.line))
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Put the ids of new units into ``known``; a word with signs after it is that word and the signs."""
+        known, words, heads, tails = self.known, [], [], []
+        for u in [u for u in new if not u.isalpha()] if self.apart else ():
+            head = u.rstrip(_SIGNS)
+            if len(head) < len(u):
+                word = head[1:] if head[:1] == "\n" else head
+                if word.isalpha() and (word.isascii() or max(word) < "\u0180"):
+                    words.append(u)
+                    heads.append(head)
+                    tails.append(u[len(head) :])
+        ask = set(heads).difference(known)
+        for u in self.older.keys() & ask:
+            known[u] = self.older[u]
+        ask.update(set(new).difference(words))
+        known.update(self._units(list(ask.difference(known))))
+        if len(self.signs) > 10_000:
+            self.signs = {}
+        signs = list(set(tails).difference(self.signs))
+        self.signs.update(zip(signs, self._bytes(signs)))
+        known.update(zip(words, map(bytes.__add__, map(known.__getitem__, heads), map(self.signs.__getitem__, tails))))
+        self.long = [u for u in ask if len(u) > 40] + [u for u in words if len(u) > 40]
+
+    def _cut(self, text: str) -> tuple[list[str], list[bool] | None]:
+        """Units of a text: a word stands for itself after a blank, or begins with the line feed before it; "" is a blank alone.
+
+        Words that have neither get a line feed, whose id is cut off again: the
+        first unit of a text, or, where other white space takes the slow way, those marked.
+        """
+        if not text.endswith("\n\n") and not any(map(text.__contains__, _BREAKS)):
+            units = text.replace("\n", " \n").split(" ")
+            units[0] = "\n" + units[0]
+            return units, None
+        units = _UNIT.findall(text)
+        bare = [u[0] != " " and not u.isspace() for u in units]
+        return ["\n" + u if b else u if u.isspace() else u[1:] for u, b in zip(units, bare)], bare
+
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(o in t for o in _ODD)]
-        units = [_UNIT.findall(t) for t in texts]
+        cut = [self._cut(t) for t in texts]
         for i in whole:
-            units[i] = []
+            cut[i] = [], []
         if len(self.known) > self.cache:
             self.known, self.older = {}, self.known
-        known = self.known
-        new = set().union(*units).difference(known)
+        known, width = self.known, self.type.itemsize
+        found = [list(map(known.get, us)) for us, _ in cut]
+        gaps = [[i for i, b in enumerate(bs) if b is None] for bs in found]
+        new = {us[i] for (us, _), gap in zip(cut, gaps) for i in gap}
         again = self.older.keys() & new
         for u in again:
             known[u] = self.older[u]
-        order = list(new - again)
-        known.update(self._units(order))
-        out = [b"".join(map(known.__getitem__, us)) for us in units]
-        for u in [u for u in order if len(u) > 40]:
+        self._learn(list(new - again))
+        out = []
+        for (us, bare), bs, gap in zip(cut, found, gaps):
+            for i in gap:
+                bs[i] = known[us[i]]
+            out.append(b"".join(bs)[width:] if bare is None else b"".join([b[width:] if c else b for b, c in zip(bs, bare)]))
+        for u in self.long:
             del known[u]
         for i, b in zip(whole, self._bytes([texts[i] for i in whole])):
             out[i] = b

@@ -78,6 +78,27 @@ def test_unit_encoder_equals_library():
         assert own.encode(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
 
 
+def test_unit_encoder_splits_signs_and_keeps_white_space():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = vocabulary("byte_bpe_50k.json")
+    own, lib = token_store.UnitEncoder(path, 2), tokenizers.Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    ask = own._units
+    asked = []
+    own._units = lambda units: asked.extend(units) or ask(units)
+    rng = random.Random(12)
+    pieces = ["word", "word,", "w\u00f6rd!&&", "don't.", "it's", "x'", "\u4e2d\u6587.", "\u0250.", "a1,", "12.", "_", "...", "(a)", "a" * 50 + ".", "'", "\u00e9\u0301;", "\u02b0.", "\u00aa!", "\u00b5?"]
+    gaps = [" ", " ", " ", "\n", "\n\n", "  ", "\n ", " \n", "\n\n\n", "\t", "\u00a0", "\r\n", "\u2003", ""]
+    texts = ["".join(rng.choice(pieces) + rng.choice(gaps[: rng.choice((3, 5, 14))]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    texts += ["", " ", "\n", "\n\n", "\n\n\n", " a", "\na", "a ", "a\n", "a\n\n", " \n", "\n ", "  ", "a\n\nb", "\n\na", "a  "]
+    texts += [w + t for t in texts[:300] for w in (" ", "\n")]
+    for at in range(0, len(texts), 100):
+        got = own.encode(texts[at : at + 100])
+        assert [np.frombuffer(b, "<u2").tolist() for b in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts[at : at + 100]]
+    assert "word" in asked and "word," not in asked and "w\u00f6rd!&&" not in asked and not any(len(u) > 40 for u in own.known)
+
+
 def test_unit_encoder_asks_in_rows():
     """Words without a blank before them go to the library in rows too, and no other text of the row gets into their ids."""
     tokenizers = pytest.importorskip("tokenizers")
