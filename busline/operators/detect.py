@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from busline.operators import forest as FT
 from busline.operators import metrics as ME
 from busline.operators import ordered as O
 from busline.operators import sampling as S
@@ -63,6 +64,7 @@ def detect_timing(intervals: DataFrame, id_counts: DataFrame, profile: DataFrame
     )
 
 
+ML_ROWS = 1 << 11  # rows up to which Spark ML grows the forest
 FOREST_ROWS = 1 << 15  # rows of a task that grows trees; small tables are dealt to up to eight tasks
 FOREST_NODES = 1 << 18  # nodes that the driver holds at once, about 200 MB while they grow
 
@@ -100,6 +102,9 @@ def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=3
     group. Every task of it sends the histograms of all open nodes, so the
     vectors are written once and dealt to no more tasks than needed.
 
+    Their size does not fall with the rows of a node, so a table of more than
+    ``ML_ROWS`` rows is grown by ``forest`` instead, by the same rule.
+
     Trees grow in the driver, and their nodes with the rows. A table whose trees
     could pass ``FOREST_NODES`` is fitted in batches with seeds of their own:
     one tree first, then as many as the largest tree so far leaves room for.
@@ -108,6 +113,8 @@ def fit_forest(d: DataFrame, features: list[str], label: str, trees=160, depth=3
     vectors = VectorAssembler(inputCols=features, outputCol="_x")
     table = landed(vectors.transform(weighted.withColumn(label, F.col(label).cast("double"))).select("_x", label, "weight"), "forest-rows")
     n = table.count()
+    if n > ML_ROWS:
+        return FT.fit_in_tasks(table, n, vectors, label, trees, depth, seed, leaf)
     dealt = table.repartition(max(-(-n // FOREST_ROWS), min(8, 1 + n // 512)))
 
     def grow(k: int, seed: int):
